@@ -51,3 +51,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies. Each executor has the package, so the path holds there as well."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

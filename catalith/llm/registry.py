@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
-from .common import bound_batches, documents
+from . import exact_dedup, language, mixing, packing, quality, secrets, token_counts
+from .common import bound_batches, documents, labels, tokenizer_path
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,8 +19,33 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return secrets.find_secrets(documents(spark, sf_dir))
+
+
+def op7_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return token_counts.count_tokens(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return language.identify(documents(spark, sf_dir))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op4_find_secrets, op7_count_tokens, op8_quality, op9_language, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
