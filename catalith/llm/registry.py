@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, mixing, packing, quality, secrets, token_counts
+from . import exact_dedup, language, mixing, packing, quality, secrets, token_counts, toxicity
 from .common import bound_batches, documents, labels, tokenizer_path
 
 
@@ -19,6 +19,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return toxicity.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     bound_batches(spark)
     return secrets.find_secrets(documents(spark, sf_dir))
@@ -45,7 +50,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op4_find_secrets, op7_count_tokens, op8_quality, op9_language, op10_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_find_secrets, op7_count_tokens, op8_quality, op9_language, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
