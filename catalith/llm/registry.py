@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, language, mixing, packing, quality, secrets, token_counts, toxicity
+from . import exact_dedup, fingerprints, jaccard_join, language, mixing, packing, quality, secrets, token_counts, toxicity
 from .common import bound_batches, documents, labels, tokenizer_path
 
 
@@ -29,6 +29,11 @@ def op4_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return jaccard_join.jaccard_join(documents(spark, sf_dir), k=4, num=85, den=100)
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
@@ -54,7 +59,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_find_secrets, op6_fingerprints, op7_count_tokens, op8_quality, op9_language, op10_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_find_secrets, op5_jaccard_join, op6_fingerprints, op7_count_tokens, op8_quality, op9_language, op10_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
