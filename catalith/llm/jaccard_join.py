@@ -321,7 +321,7 @@ def _prefixes(classes: DataFrame, limit: Threshold) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, k: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(rows: row, doc_id, n, high, low; links: u, v, links as of the blocks' search)."""
+    """(rows: row, doc_id, text_hash, n, high, low; links: u, v, links as of the blocks' search)."""
     frequent = _frequent(docs, k, limit)
     sets = materialize(_rows(docs).mapInArrow(_sets(k, limit, frequent), SET_SCHEMA), "jaccard-sets")
     first = F.min_by(F.struct("row", "doc_id", "text_hash", "counted", "further"), "row").alias("x")
@@ -353,15 +353,10 @@ def link_classes(docs: DataFrame, k: int, limit: Threshold) -> tuple[DataFrame,
     same = placed["doc_id"].eqNullSafe(texts["doc_id"]) & (placed["text_hash"] == texts["text_hash"])
     shipped = placed.join(texts, same).select(F.pmod("block", F.lit(groups)).alias("group"), "block", "side", "row", "weight", "text")
     links = materialize(shipped.groupBy("group").applyInArrow(_searcher(k, limit), LINK_SCHEMA), "jaccard-links")
-    return sets.select("row", "doc_id", "n", "high", "low"), links
+    return sets.select("row", "doc_id", "text_hash", "n", "high", "low"), links
 
 
-def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_size, n_links: one row a row of docs.
-
-    n_links counts the other documents that a document is linked with, copies included.
-    """
-    limit = Threshold(num, den)
+def _joined(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
     rows, links = link_classes(docs, k, limit)
     roots = components(links.filter("links = 0").select("u", "v"))
     degree = links.filter("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
@@ -372,6 +367,27 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100)
     out = rows.join(known.join(named, "root").select("high", "low", "n", "component_id", "class_size", "links"), ["high", "low", "n"], "left")
     empty = F.col("n") == 0
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "text_hash", "n", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(empty, 0).otherwise(F.col("links") + F.col("class_size") - 1).cast("long").alias("n_links"),
     )
+
+
+def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_size, n_links: one row a row of docs.
+
+    n_links counts the other documents that a document is linked with, copies included.
+    """
+    out = _joined(docs, k, Threshold(num, den)).drop("text_hash").withColumnRenamed("n", "n_shingles")
+    return out.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
+
+
+def keep_one(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each component the row of the least doc_id.
+
+    Rows without any shingle stay; a row that is repeated whole comes once.
+    """
+    found = _joined(docs, k, Threshold(num, den))
+    gone = found.filter((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    tagged = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash"))
+    return tagged.join(gone, same, "left_anti").dropDuplicates(["doc_id", "_hash"]).drop("_hash")

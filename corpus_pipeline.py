@@ -1,11 +1,60 @@
-"""A corpus pipeline over the operators of catalith.llm: each stage works on what the one before kept."""
+"""A corpus pipeline over the operators of catalith.llm: each stage works on what the one before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from catalith.llm import exact_dedup, jaccard_join, mixing, packing, quality
+from catalith.llm.common import bound_batches, documents, labels, materialize, tokenizer_path
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    bound_batches(spark)
+    return quality.keep_good(docs, labels(spark, sf_dir))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row of the largest doc_id stays."""
+    bound_batches(spark)
+    return exact_dedup.keep_one(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links of similarity 0.8 over five-word shingles connect, the least doc_id stays."""
+    bound_batches(spark)
+    return jaccard_join.keep_one(docs, k=5, num=80, den=100)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it."""
+    return mixing.repeat_rows(docs)
+
+
+def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in training windows."""
+    bound_batches(spark)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", source_mix),
+    ("packing", windows),
+]
+
+#: The classifier, the tokenizer and the window packing are beyond SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
