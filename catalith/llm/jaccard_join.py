@@ -180,14 +180,15 @@ def divide_skip(query: np.ndarray, tokens: np.ndarray, starts: np.ndarray, posti
 
     tokens: the index's distinct tokens; starts: where each one's sorted list of set numbers begins in postings.
     """
-    at = np.searchsorted(tokens, query)
-    at = at[at < len(tokens)]
-    hit = at[np.isin(tokens[at], query, assume_unique=True)]
+    none = np.zeros(0, np.int64)
+    if not len(tokens):
+        return none, none
+    at = np.minimum(np.searchsorted(tokens, query), len(tokens) - 1)
+    hit = at[tokens[at] == query]
     begin, end = starts[hit], starts[hit + 1]
     order = np.argsort(end - begin, kind="stable")
     begin, end = begin[order], end[order]
-    least = int(needed.min()) if len(needed) else 1
-    none = np.zeros(0, np.int64)
+    least = int(needed.min())
     if len(hit) < least:
         return none, none
     longest = int(end[-1] - begin[-1])
