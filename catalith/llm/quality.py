@@ -127,7 +127,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     rows = texts_of(docs, ids).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.mapInArrow(_sampled, "doc_id long, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    return np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, -1).astype(np.float64)
+    return np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, len(statistics(""))).astype(np.float64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model | float:
