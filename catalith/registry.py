@@ -12,7 +12,7 @@ from .sources.catalog import Catalog
 from .sources.oracle_views import with_views
 
 MODULES = (
-    "functions.scalars", "operators.gallery", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks",
+    "functions.scalars", "operators.gallery", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks", "operators.records",
     "plans.transfer", "plans.ingest", "streaming.incremental",
 )
 
