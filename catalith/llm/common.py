@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +66,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def worker_cache(key: str, make: Callable[[], Any]) -> Any:
+    """An object that a Python worker keeps from task to task; it must bound its own size."""
+    kept = sys.modules.setdefault("_catalith_worker", types.ModuleType("_catalith_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, worker_cache
 
 CAPACITY = 4096
 END_ID = 2
 #: Tokens of the largest piece that is no full window. Smaller pieces make windows more equal, and cut more documents.
 GRAIN = 1024
 GROUP_WINDOWS = 128
-#: Distinct chunks whose ids a task keeps; beyond this the table starts anew.
-KEPT = 400_000
+#: Distinct chunks whose ids a worker keeps, about 200 bytes each; beyond this the table starts anew.
+KEPT = 1_000_000
 
 PIECE_SCHEMA = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -43,10 +43,9 @@ class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids one after
-    another; nor does it join letters to the punctuation after them, so most chunks are a stem and a tail. Ids of
-    distinct chunks, stems and tails are kept. New stems are encoded many at a time, and told apart by the tokens
-    that end a word. Texts that might hold a special token, or white space that the two sides see differently, are
-    encoded whole.
+    another; nor does it join letters to a single comma or full stop beside them, so these are set apart first. Ids of
+    distinct chunks are kept. New runs of letters are encoded many at a time, and told apart by the tokens that end a
+    word. Texts that might hold a special token, or white space that the two sides see differently, are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str, kept: int = KEPT) -> None:
@@ -54,10 +53,10 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_file), kept
-        self.chunks: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.odd = re.compile("<\\||[\x1c-\x1f\u180e]")
-        self.plain = re.compile(r"([A-Za-z\u00c0-\u024f]+)([.,;:!?]*)")  # one letter each, unchanged by composition
+        self.joined = re.compile(r"[.,](?:[^\w\s]|(?<=[^\w\s].))")
+        self.letters = re.compile(r"[A-Za-z\u00c0-\u024f]{1,200}")  # one letter each, unchanged by composition
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -71,41 +70,28 @@ class Encoder:
         ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
         if len(ends) != len(words):
             return self._bytes(words)
-        raw, out, at = ids.tobytes(), [], 0
-        for end in ends.tolist():
-            out.append(raw[at:end])
-            at = end
-        return out
+        raw, stops = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
 
     def _learn(self, new: list[str]) -> None:
-        parts, odd, stems = [], [], set()
-        for chunk in new:
-            m = self.plain.fullmatch(chunk)
-            if m and len(m[1]) < 200:
-                stem = m[1].lower() if chunk.isascii() else m[1]
-                parts.append((chunk, stem, m[2]))
-                if stem not in self.stems:
-                    stems.add(stem)
-            else:
-                odd.append(chunk)
-        tails = [t for t in {t for _, _, t in parts} if t not in self.stems]
-        self.stems.update(zip(tails, self._bytes(tails), strict=True))
-        stems = sorted(stems)
-        for i in range(0, len(stems), 2000):
-            self.stems.update(zip(stems[i : i + 2000], self._words(stems[i : i + 2000]), strict=True))
-        for i in range(0, len(odd), 2000):
-            self.chunks.update(zip(odd[i : i + 2000], self._bytes(odd[i : i + 2000]), strict=True))
-        for chunk, stem, tail in parts:
-            self.chunks[chunk] = self.stems[stem] + self.stems[tail]
+        plain = self.letters.fullmatch
+        for some, encode in (([w for w in new if plain(w)], self._words), ([w for w in new if not plain(w)], self._bytes)):
+            for i in range(0, len(some), 2000):
+                self.known.update(zip(some[i : i + 2000], encode(some[i : i + 2000]), strict=True))
+
+    def _split(self, text: str) -> list[str] | None:
+        if self.odd.search(text):
+            return None
+        if text.isascii():
+            text = text.lower()
+        return (text if self.joined.search(text) else text.replace(",", " , ").replace(".", " . ")).split()
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
-        if len(self.chunks) > self.kept:
-            self.chunks = {}
-        if len(self.stems) > self.kept:
-            self.stems = {}
-        self._learn([w for w in set().union(*[s for s in split if s is not None]) if w not in self.chunks])
-        get = self.chunks.__getitem__
+        split = [self._split(t) for t in texts]
+        if len(self.known) > self.kept:
+            self.known = {}
+        self._learn(list(set().union(*[s for s in split if s is not None]).difference(self.known)))
+        get = self.known.__getitem__
         return [b"".join(map(get, words)) if words is not None else self._bytes([text])[0] for words, text in zip(split, texts, strict=True)]
 
 
@@ -124,7 +110,7 @@ def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
 
 def cutter(tokenizer_file: str, end_id: int, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer_file), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_cache(f"pack:{tokenizer_file}", lambda: Encoder(tokenizer_file)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
