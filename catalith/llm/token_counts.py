@@ -1,11 +1,16 @@
 """Token counts from distinct pre-tokens, without materialising ids.
 
 The tokenizer's units never reach across the start of a run of spaces, so a text splits into pre-tokens there, and
-its token count is the sum of its pre-tokens' counts. Pre-tokens repeat a lot. The texts of an Arrow batch are
-split once; the pieces of every distinct pre-token are counted once, and these counts are joined to the
-per-document frequencies by code and summed. Counts of pre-tokens met before are kept for the task's later
-batches in a table of bounded size. Nothing is shuffled: at 100 TB a corpus-wide join of pre-tokens to documents
-would move about as many bytes as the texts hold, while a task's own table already answers most look-ups.
+its token count is the sum over its pre-tokens of frequency times pieces. Pieces are counted once for each distinct
+pre-token of the corpus:
+
+- the HEAD most frequent pre-tokens of a sample of documents are counted first and broadcast, a table of bounded
+  size that covers nearly all occurrences; which ones it holds makes no difference to any result;
+- what remains of each document, its rarer pre-tokens with their frequencies, is joined to a table of the corpus's
+  distinct rarer pre-tokens and their pieces, and summed by document.
+
+Distinct pre-tokens are reduced map-side before they are shuffled; a rare pre-token that turns out hot is split by the
+skew join. The texts themselves are read once and not shuffled.
 
 Defined cases: null text counts as empty text, which has no token; repeated rows each get their own row; an empty
 table gives an empty result; other columns of the input are never read, whatever they are called.
@@ -13,20 +18,23 @@ table gives an empty result; other columns of the input are never read, whatever
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pre-tokens whose counts a task keeps; beyond this the table starts anew.
-KEPT = 400_000
+from .common import materialize, worker_cache
+
+#: Pre-tokens of the broadcast table, and the longest of them; one of so many documents is looked at for it.
+HEAD, HEAD_LENGTH = 200_000, 40
+SAMPLED_ONE_IN = 32
 LIMIT = 4096
 #: The character that stands for a space inside the model; in a text it counts as a space.
-SPACE = "\u2581"
+SPACE = "▁"
 
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+SPLIT_SCHEMA = "row long, doc_id long, n_bytes long, head_tokens long, tail array<struct<word:string,times:int>>"
 
 
 def pretokens(text: str) -> list[str]:
@@ -50,45 +58,67 @@ def pretokens(text: str) -> list[str]:
     return out
 
 
-class Counts:
-    """Pieces of distinct pre-tokens."""
+def _model(model_file: str):
+    import sentencepiece
+
+    return worker_cache(f"pieces:{model_file}", lambda: sentencepiece.SentencePieceProcessor(model_file=model_file))
+
+
+def pieces(model_file: str, words: list[str]) -> list[int]:
+    """Pieces of each pre-token. An empty one is the lone space, which the library drops from an empty text."""
+    model = _model(model_file)
+    return [len(ids) if word else 1 for word, ids in zip(words, model.encode(words, num_threads=1), strict=True)]
 
-    def __init__(self, model_file: str, kept: int = KEPT) -> None:
-        import sentencepiece
 
-        self.model, self.kept, self.known = sentencepiece.SentencePieceProcessor(model_file=model_file), kept, {}
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = Counter(w for t in batch.column("text").to_pylist() for w in pretokens(t or "") if len(w) <= HEAD_LENGTH)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "times"])
 
-    def _new(self, words: list[str]) -> None:
-        """A pre-token that is empty once its first space is off is the lone space: the library drops it from an
-        empty text, so it is counted as one more space after another."""
-        for word, ids in zip(words, self.model.encode(words, num_threads=1), strict=True):
-            self.known[word] = len(ids)
-        if "" in self.known:
-            self.known[""] = 1
 
-    def of(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text."""
-        split = [pretokens(t) for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {}
-        distinct = set().union(*split) if split else set()
-        self._new([w for w in distinct if w not in self.known])
-        get = self.known.__getitem__
-        return np.array([sum(map(get, words)) for words in split], np.int64)
+def frequent(docs: DataFrame, model_file: str, most: int) -> dict[str, int]:
+    """Pieces of the pre-tokens that a sample of documents repeats most."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED_ONE_IN)) == 0).select("text")
+    per = some.mapInArrow(_sampled, "word string, times long").groupBy("word").agg(F.sum("times").alias("n"))
+    words = per.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column("word").to_pylist()
+    return dict(zip(words, pieces(model_file, words), strict=True))
 
 
-def counter(model_file: str, limit: int):
+def splitter(head: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(model_file)
+        known = head.get
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            n = counts.of(texts)
-            size = np.array([len(t.encode()) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            tokens, offsets, words, times = [], [0], [], []
+            for text in texts:
+                parts = pretokens(text)
+                values = list(map(known, parts))
+                tokens.append(sum(filter(None, values)))
+                tail = Counter([w for w, v in zip(parts, values, strict=True) if v is None])
+                words += tail.keys()
+                times += tail.values()
+                offsets.append(len(words))
+            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int32())], names=["word", "times"]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), tail], names=["row", "doc_id", "n_bytes", "head_tokens", "tail"])
+
+    return run
+
+
+def piece_counter(model_file: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces(model_file, batch.column("word").to_pylist()), pa.int64())], names=["word", "pieces"])
 
     return run
 
 
-def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT) -> DataFrame:
+def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row a row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(counter(model_file, limit), SCHEMA)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    split = materialize(rows.mapInArrow(splitter(frequent(docs, model_file, head)), SPLIT_SCHEMA), "token-splits")
+    tail = split.select("row", F.explode("tail").alias("t")).select("row", "t.*")
+    counted = tail.select("word").distinct().mapInArrow(piece_counter(model_file), "word string, pieces long")
+    summed = tail.join(counted, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
+    out = split.select("row", "doc_id", "n_bytes", "head_tokens").join(summed, "row", "left")
+    n = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))
+    return out.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
