@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values that may be thinned before they are ranked (a row of the driver's for each).
+FREQUENT = 1000
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -28,11 +32,18 @@ def labelled_ids(labels: DataFrame, label: str, *, folds: int, not_fold: int, mo
 def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, most: int) -> DataFrame:
     """doc_id, label: for each value at most `most` ids outside the held-out fold, the first by a hash of the id.
 
-    The rank limit is applied in every task before the shuffle, so a value that holds most rows sends few.
+    Of the FREQUENT commonest values only ids of a low enough hash (about four times as many as are wanted) are ranked,
+    so that a value that holds most rows sends few to the task that ranks it.
     """
-    rows = docs.filter(F.col(value).isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != not_fold))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return rows.select("doc_id", F.col(value).alias("label")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
+    rows = docs.filter(F.col(value).isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != not_fold)).select("doc_id", F.col(value).alias("label"))
+    common = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * most).orderBy(F.desc("n"), "label").limit(FREQUENT).collect()
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    order = Window.partitionBy("label").orderBy("draw", "doc_id")
+    few = rows.withColumn("draw", draw)
+    if common:
+        upto = F.create_map(*[F.lit(x) for r in common for x in (r["label"], 4 * most / r["n"])])
+        few = few.filter(F.col("draw") <= F.coalesce(F.try_element_at(upto, F.col("label")), F.lit(1.0)))
+    return few.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("doc_id", "label")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
