@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import materialize, worker_cache
 
 #: Pre-tokens of the broadcast table, and the longest of them; one of so many documents is looked at for it.
-HEAD, HEAD_LENGTH = 200_000, 40
-SAMPLED_ONE_IN = 32
+HEAD, HEAD_LENGTH = 400_000, 40
+SAMPLED_ONE_IN = 8
 LIMIT = 4096
 #: The character that stands for a space inside the model; in a text it counts as a space.
 SPACE = "▁"
