@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -39,13 +40,24 @@ PIECE_SCHEMA = "row long, doc_id long, start long, length long, ids_crc32 long,
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def plain_class() -> str:
+    """A character class: white space, and the letters and digits of the BMP that NFC and lower-casing leave whole.
+
+    The tokenizer's own classes are \\p{L} and \\p{N}: '_' is punctuation to it, and so is the dot that lower-casing
+    parts from U+0130. Letters beyond the BMP are left out, which costs time and no correctness.
+    """
+    marks = bytes(all(unicodedata.category(x)[0] in "LN" for x in (c, *unicodedata.normalize("NFC", c).lower())) for c in map(chr, range(0x10000)))
+    return r"\s" + "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in re.finditer(b"\x01+", marks))
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids one after
-    another; nor does it join letters to a single comma or full stop beside them, so these are set apart first. Ids of
-    distinct chunks are kept. New runs of letters are encoded many at a time, and told apart by the tokens that end a
-    word. Texts that might hold a special token, or white space that the two sides see differently, are encoded whole.
+    another; nor does it join letters or digits to a single comma or full stop between them, so these are set apart
+    first; any with another neighbour stays in its chunk. Ids of distinct chunks are kept. New runs of letters are
+    encoded many at a time, and told apart by the tokens that end a word. Texts that might hold a special token, or
+    white space that the two sides see differently, are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str, kept: int = KEPT) -> None:
@@ -55,7 +67,9 @@ class Encoder:
         self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_file), kept
         self.known: dict[str, bytes] = {}
         self.odd = re.compile("<\\||[\x1c-\x1f\u180e]")
-        self.joined = re.compile(r"[.,](?:[^\w\s]|(?<=[^\w\s].))")
+        plain = plain_class()
+        self.joined = re.compile(f"[.,](?:[^{plain}]|(?<=[^{plain}][.,]))")
+        self.apart = re.compile(f"(?<![^{plain}])([.,])(?![^{plain}])")
         self.letters = re.compile(r"[A-Za-z\u00c0-\u024f]{1,200}")  # one letter each, unchanged by composition
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -84,7 +98,7 @@ class Encoder:
             return None
         if text.isascii():
             text = text.lower()
-        return (text if self.joined.search(text) else text.replace(",", " , ").replace(".", " . ")).split()
+        return (self.apart.sub(r" \1 ", text) if self.joined.search(text) else text.replace(",", " , ").replace(".", " . ")).split()
 
     def of(self, texts: list[str]) -> list[bytes]:
         split = [self._split(t) for t in texts]

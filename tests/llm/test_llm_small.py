@@ -452,6 +452,18 @@ def test_pieces_are_whole_and_windows_bounded(spark, odd):
     assert used >= 0.9 * 512 * len(sequences)
 
 
+def test_commas_and_full_stops_are_set_apart_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["__init__.py", "foo_, bar", "x_.y", "a._b", "\u0130.a", "a.\u0130", "\u0958.a", "e\u0301.a", "A\u03a3.A", "1.2,3", "x.'ll", "it's.x", "a..b,c", "a.b._c", "a. b,\u2028c."]
+    texts += [f"b{chr(c)}.{chr(c)},c" for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    got = encoder.of(texts)
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ascii(t) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
 def test_packing_of_odd_rows(odd, empty):
     rows = packing.pack_documents(odd, tokenizer_path("word_bpe_49k.json")).collect()
     assert sum(r["start"] == 0 for r in rows) == len(ODD)
