@@ -57,6 +57,28 @@ def validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataF
     return rows.groupBy(F.col("t").alias("threshold")).agg(F.count_if(within).alias("found"), F.count_if(within & F.col("same")).alias("right_ones"), F.count_if("same").alias("truth"))
 
 
+@query("all_validation_by_threshold", """
+SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER (WHERE d <= m AND same) AS right_ones, count(*) FILTER (WHERE same) AS truth FROM (VALUES (75, 16), (80, 12), (85, 9), (90, 6), (95, 3), (100, 0)) v(t, m) LEFT JOIN (
+  SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d, a.label = b.label AS same FROM (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) a JOIN (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) b ON a.h < b.h) p ON true GROUP BY t""")
+def all_validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """The same at all six thresholds over the 62-bit hashes; truth is every pair of unequal hashes that shares a label.
+
+    Only pairs at most 16 bits apart are made; the truth follows from the sizes of labels and buckets.
+    """
+    from .similarity import block_pairs
+
+    count = F.count(F.lit(1))
+    sizes = contents.filter("h62 is not null").join(embeddings.select(F.col("vec_id").alias("content_id"), "label"), "content_id").groupBy(F.col("h62").alias("h"), "label").agg(count.alias("n"))
+    low, high = (sizes.select(F.col("h").alias(side), F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}_n")) for side in ("low", "high"))
+    near = block_pairs(hashes(contents, "h62"), max(schema.THRESHOLDS.values())).join(low, "low").join(high, "high")
+    near = near.groupBy("distance", F.coalesce(F.col("low_label") == F.col("high_label"), F.lit(False)).alias("same")).agg(F.sum(F.col("low_n") * F.col("high_n")).alias("n"))
+    labels = sizes.filter("label is not null").groupBy("label").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("truth"))
+    levels = labels.select("truth", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(d).alias("m")) for t, d in schema.THRESHOLDS.items()])).alias("x")).select("truth", "x.*")
+    rows = levels.join(F.broadcast(near), F.col("distance") <= F.col("m"), "left")  # at most 34 rows on the right
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    return rows.groupBy("threshold").agg(total(F.col("n")).alias("found"), total(F.when(F.col("same"), F.col("n"))).alias("right_ones"), F.max("truth").alias("truth"))
+
+
 @query("incremental_pairs", """
 SELECT a.h AS known, b.h AS new FROM hashes a JOIN hashes b ON a.h % 4 <> 0 AND b.h % 4 = 0 AND bit_count(xor(a.h, b.h)) <= 3""")
 def incremental_pairs(contents: DataFrame, most: int = 3) -> DataFrame:

@@ -56,10 +56,10 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("low").alias("h"), F.col("high").alias("other"), "distance").union(pairs.select("high", "low", "distance"))
 
 
-def available(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def available(photos: DataFrame, contents: DataFrame, column: str = "h20") -> DataFrame:
     """content_id, h, photo_id: one delivered photo for each content that has a hash."""
     held = photos.filter(F.col("status").isin(*schema.DELIVERED)).groupBy("sha1_hash").agg(F.min("id").alias("photo_id"))
-    return contents.filter("h20 is not null").join(held, "sha1_hash").select("content_id", F.col("h20").alias("h"), "photo_id", "mean_brightness", "mean_gradient")
+    return contents.filter(F.col(column).isNotNull()).join(held, "sha1_hash").select("content_id", F.col(column).alias("h"), "photo_id", "mean_brightness", "mean_gradient")
 
 
 def buckets(avail: DataFrame) -> DataFrame:
@@ -119,6 +119,20 @@ def threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
     return out.select("photo_id", *[(own + F.coalesce(F.col(f"s{t}"), F.lit(0)) if d else own).alias(f"at_{t}") for t, d in schema.THRESHOLDS.items() if d <= NEAR])
 
 
+@query("all_threshold_counts", """
+SELECT photo_id, count(*) FILTER (WHERE d <= 16) - 1 AS at_75, count(*) FILTER (WHERE d <= 12) - 1 AS at_80, count(*) FILTER (WHERE d <= 9) - 1 AS at_85, count(*) FILTER (WHERE d <= 6) - 1 AS at_90, count(*) FILTER (WHERE d <= 3) - 1 AS at_95, count(*) FILTER (WHERE d = 0) - 1 AS at_100
+FROM (SELECT a.photo_id, bit_count(xor(a.h, b.h)) AS d FROM (SELECT c.h62 AS h, min(p.id) AS photo_id FROM photos p JOIN contents c USING (sha1_hash) WHERE p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND c.h62 IS NOT NULL GROUP BY c.content_id, c.h62) a
+CROSS JOIN (SELECT c.h62 AS h FROM contents c WHERE c.h62 IS NOT NULL AND c.sha1_hash IN (SELECT sha1_hash FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination'))) b) GROUP BY photo_id""")
+def all_threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    """Cumulative counts at all six thresholds over the 62-bit hashes, block by block, in one aggregation."""
+    avail = available(photos, contents, "h62")
+    b = buckets(avail)
+    near = both_ways(block_pairs(b.select("h"), max(schema.THRESHOLDS.values()))).join(b.select(F.col("h").alias("other"), "n"), "other")
+    per = near.groupBy("h").agg(*[F.sum(F.when(F.col("distance") <= d, F.col("n"))).alias(f"s{t}") for t, d in schema.THRESHOLDS.items()])
+    out = avail.join(b, "h").join(per, "h", "left")
+    return out.select("photo_id", *[(F.col("n") - 1 + F.coalesce(F.col(f"s{t}"), F.lit(0))).alias(f"at_{t}") for t in schema.THRESHOLDS])
+
+
 @query("reference_histogram", """
 SELECT d AS distance, n, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS cumulative FROM (SELECT CAST(bit_count(xor(h, (SELECT h FROM available ORDER BY photo_id LIMIT 1))) AS INTEGER) AS d, count(*) AS n FROM available GROUP BY 1)""")
 def reference_histogram(photos: DataFrame, contents: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from catalith import schema
 from catalith.functions import paths as X
-from catalith.operators import duplicates, gallery, lineage, metadata, similarity
+from catalith.operators import duplicates, gallery, lineage, metadata, records, similarity
 from catalith.streaming import incremental
 
 
@@ -73,6 +76,18 @@ def test_equal_hashes_are_counted_not_joined(spark):
     assert similarity.edges(contents).count() == 0
 
 
+def test_all_six_thresholds_are_counted(spark):
+    values = [0, 0, 0x7, 0x3F, 0x1FF, 0xFFF, 0xFFFF, 0x1FFFF]
+    photos, contents = library(spark, values)
+    got = {r["photo_id"]: tuple(r)[1:] for r in similarity.all_threshold_counts(photos, contents.withColumn("h62", F.col("h20"))).collect()}
+    assert got[0] == (6, 5, 4, 3, 2, 1)  # at 75, 80, 85, 90, 95, 100; the last is 17 bits away
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "vec_id long, label int")
+    rows = {r["threshold"]: (r["found"], r["truth"]) for r in records.all_validation_by_threshold(contents.withColumn("h62", F.col("h20")), labels).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(8), 2) if values[a] != values[b]]
+    truth = sum((a - b) % 2 == 0 for a, b in pairs)
+    assert rows == {t: (sum((values[a] ^ values[b]).bit_count() <= d for a, b in pairs), truth) for t, d in schema.THRESHOLDS.items()}
+
+
 def test_sets_are_relative_to_their_reference(spark):
     photos, contents = library(spark, [0, 0x3F, 0xFFF, 0x3FFFF])
     assert ids(similarity.reference_set(photos, contents), "member") == [0, 1]
