@@ -113,6 +113,31 @@ def vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
     return lost.join(there, "dest_path", "left").select("id", F.when(F.col("there"), "Found_At_Destination").otherwise("Failed").alias("outcome"))
 
 
+@query("all_gone_folder", """
+SELECT p.id, CASE WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera
+  WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND q.lens = p.lens AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera || '/' || lens END AS gone FROM photos p WHERE dest_path IS NOT NULL AND dest_path NOT IN (SELECT path FROM observed)""")
+def all_gone_folder(photos: DataFrame, observed: DataFrame) -> DataFrame:
+    """The outermost folder of each file that a walk did not meet, where no file left holds that folder."""
+    parts = F.split(X.folder(F.col("source_path")), "/")
+    up = lambda df: df.select("id", F.explode(F.sequence(F.lit(3), F.size(parts))).alias("k"), parts.alias("parts")).select("id", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("folder"))
+    there = observed.select(F.col("path").alias("dest_path"), F.lit(True).alias("there")).distinct()
+    rows = photos.join(there, "dest_path", "left")
+    lost = rows.filter("dest_path is not null and there is null")
+    left = up(rows.filter("dest_path is null or there")).select("folder").distinct()
+    gone = up(lost).join(left, "folder", "left_anti").groupBy("id").agg(F.min_by("folder", "k").alias("gone"))
+    return lost.select("id").join(gone, "id", "left")
+
+
+@query("all_vanished", """
+SELECT id, CASE WHEN sha1_hash IN (SELECT sha1_hash FROM observed) THEN 'Found_At_Destination' ELSE 'Failed' END AS outcome FROM photos
+WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') AND dest_path NOT IN (SELECT path FROM observed)""")
+def all_vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
+    """Every settled photo that a walk did not meet at its place: its content found elsewhere there, or failed."""
+    lost = photos.filter(F.col("status").isin(*schema.DELIVERED) & F.col("dest_path").isNotNull()).join(observed.select(F.col("path").alias("dest_path")), "dest_path", "left_anti")
+    held = observed.select("sha1_hash", F.lit(True).alias("held")).distinct()
+    return lost.join(held, "sha1_hash", "left").select("id", F.when(F.col("held"), "Found_At_Destination").otherwise("Failed").alias("outcome"))
+
+
 @query("reconcile_outcomes", """
 SELECT op, CASE WHEN s = 'unreadable' OR d = 'unreadable' OR (s = 'absent' AND d = 'absent') OR d = 'mismatch' THEN 'Failed' WHEN d = 'match' AND s = 'absent' THEN 'Completed' WHEN d = 'match' THEN 'Pending/incomplete' ELSE 'Pending/not_started' END AS outcome
 FROM (SELECT op, ['absent', 'present', 'present', 'unreadable'][photo_id % 4 + 1] AS s, ['match', 'absent', 'mismatch', 'match', 'absent'][run_id % 5 + 1] AS d FROM operations WHERE status = 'Pending')""")

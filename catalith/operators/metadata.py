@@ -51,6 +51,14 @@ def field_values(tags: DataFrame) -> DataFrame:
     return tags.groupBy("field", "source").agg(F.countDistinct("photo_id").alias("photos"), F.count_if(F.col("value") == "").alias("empty"))
 
 
+def associated(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
+    stem = F.floor(F.col("id") / 4)
+    owners = photos.filter("status <> 'Failed'").groupBy("camera", "lens", stem.alias("stem")).agg(F.count(F.lit(1)).alias("owners"), F.count_if(X.extension(F.col("name")).isin(*schema.RAW)).alias("raws"))
+    cars = sidecars.withColumn("stem", stem).join(owners, ["camera", "lens", "stem"], "left").fillna(0, ["owners", "raws"])
+    basis = F.when(F.col("owners") == 0, "orphan").when(F.col("id") % 7 == 0, "full_name").when(F.col("owners") == 1, "single").when(F.col("raws") == 1, "policy").otherwise("needs_choice")
+    return cars.select(F.col("id").alias("sidecar"), basis.alias("basis"), "owners")
+
+
 @query("sidecar_association", r"""
 SELECT s.id AS sidecar, CASE WHEN n.owners = 0 THEN 'orphan' WHEN s.id % 7 = 0 THEN 'full_name' WHEN n.owners = 1 THEN 'single' WHEN n.raws = 1 THEN 'policy' ELSE 'needs_choice' END AS basis, n.owners
 FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p.name LIKE '%.cr2') AS raws FROM photos s LEFT JOIN photos p ON p.camera = s.camera AND p.lens = s.lens AND p.id // 4 = s.id // 4 AND p.status <> 'Failed' GROUP BY s.id) n ON n.id = s.id WHERE s.id % 3 = 0""")
@@ -59,11 +67,15 @@ def sidecar_association(photos: DataFrame) -> DataFrame:
 
     Here a stem is a folder and a run of four ids; every third photo stands for a sidecar.
     """
-    stem = F.floor(F.col("id") / 4)
-    owners = photos.filter("status <> 'Failed'").groupBy("camera", "lens", stem.alias("stem")).agg(F.count(F.lit(1)).alias("owners"), F.count_if(X.extension(F.col("name")).isin(*schema.RAW)).alias("raws"))
-    cars = photos.filter("id % 3 = 0").withColumn("stem", stem).join(owners, ["camera", "lens", "stem"], "left").fillna(0, ["owners", "raws"])
-    basis = F.when(F.col("owners") == 0, "orphan").when(F.col("id") % 7 == 0, "full_name").when(F.col("owners") == 1, "single").when(F.col("raws") == 1, "policy").otherwise("needs_choice")
-    return cars.select(F.col("id").alias("sidecar"), basis.alias("basis"), "owners")
+    return associated(photos, photos.filter("id % 3 = 0"))
+
+
+@query("all_sidecar_association", r"""
+SELECT s.id AS sidecar, CASE WHEN n.owners = 0 THEN 'orphan' WHEN s.id % 7 = 0 THEN 'full_name' WHEN n.owners = 1 THEN 'single' WHEN n.raws = 1 THEN 'policy' ELSE 'needs_choice' END AS basis, n.owners
+FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p.name LIKE '%.cr2') AS raws FROM photos s LEFT JOIN photos p ON p.camera = s.camera AND p.lens = s.lens AND p.id // 4 = s.id // 4 AND p.status <> 'Failed' GROUP BY s.id) n ON n.id = s.id""")
+def all_sidecar_association(photos: DataFrame) -> DataFrame:
+    """The same with each photo standing for a sidecar."""
+    return associated(photos, photos)
 
 
 @query("earlier_versions", """

@@ -22,6 +22,12 @@ def oplog_status_facets(operations: DataFrame) -> DataFrame:
     return operations.filter("run_id < 1000").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("all_oplog_status_facets", "SELECT status, count(*) AS n FROM operations GROUP BY status")
+def all_oplog_status_facets(operations: DataFrame) -> DataFrame:
+    """Counts by status over the whole log."""
+    return operations.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("oplog_run_facets", "SELECT run_id, count(*) AS n FROM operations WHERE status = 'Failed' GROUP BY run_id")
 def oplog_run_facets(operations: DataFrame) -> DataFrame:
     return operations.filter("status = 'Failed'").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))

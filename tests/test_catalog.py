@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalith import schema
 from catalith.functions import paths as X
-from catalith.operators import duplicates, gallery, lineage, metadata, records, similarity
+from catalith.operators import checks, duplicates, gallery, lineage, metadata, oplog, records, similarity
 from catalith.streaming import incremental
 
 
@@ -88,6 +88,18 @@ def test_all_six_thresholds_are_counted(spark):
     assert rows == {t: (sum((values[a] ^ values[b]).bit_count() <= d for a, b in pairs), truth) for t, d in schema.THRESHOLDS.items()}
 
 
+def test_no_id_is_left_out(spark):
+    log = spark.createDataFrame([(1, "Failed"), (1000, "Failed"), (5000, "Copied")], "run_id long, status string")
+    assert {tuple(r) for r in oplog.all_oplog_status_facets(log).collect()} == {("Failed", 2), ("Copied", 1)}
+    rows = [(1, "Copied", "/dst/1", "s1", "/src/a/x/1"), (2, "Copied", "/dst/2", "s2", "/src/a/y/2"), (3, "Copied", "/dst/3", "s3", "/src/b/x/3"), (4, "Pending", None, "s4", "/src/a/y/4")]
+    photos = spark.createDataFrame(rows, "id long, status string, dest_path string, sha1_hash string, source_path string")
+    observed = spark.createDataFrame([("/dst/2", "s2"), ("/dst/moved/1", "s1")], "path string, sha1_hash string")
+    assert {tuple(r) for r in checks.all_vanished(photos, observed).collect()} == {(1, "Found_At_Destination"), (3, "Failed")}
+    assert {tuple(r) for r in checks.all_gone_folder(photos, observed).collect()} == {(1, "/src/a/x"), (3, "/src/b")}
+    cars = spark.createDataFrame([(i, "Copied", "n.cr2" if i == 5 else "n.jpg", "c", "l") for i in (4, 5, 10)], "id long, status string, name string, camera string, lens string")
+    assert {tuple(r) for r in metadata.all_sidecar_association(cars).collect()} == {(4, "policy", 2), (5, "policy", 2), (10, "single", 1)}
+
+
 def test_sets_are_relative_to_their_reference(spark):
     photos, contents = library(spark, [0, 0x3F, 0xFFF, 0x3FFFF])
     assert ids(similarity.reference_set(photos, contents), "member") == [0, 1]
