@@ -5,10 +5,11 @@ documents, in enough documents to be no accident and in enough different context
 stems, the heads that several such longer words share, so that inflected forms unseen in the sample count too. A head that
 clean documents hold as well, but far more seldom, is a weak stem: one hit says little, several say much.
 
-Matching. The terms form a trie; the Levenshtein automata of the permitted distance (0, 1 or 2 by the term's length,
-the first letter fixed) are intersected with it, and the product is made deterministic state by state as words ask
-for it. A word is walked once, is mostly refused within a few letters, and its verdict is kept. Inexact matches that
-occur in clean sample documents are ordinary words and are not counted.
+Matching. The terms form two tries, one of terms of FREE letters and more, in which any letter may be edited, and one
+of shorter terms, whose first letter is fixed. The Levenshtein automata of the permitted distance (0, 1 or 2 by the
+term's length) are intersected with them, and the product is made deterministic state by state as words ask for it. A
+word is walked once and its verdict is kept. Inexact matches that occur in clean sample documents are ordinary words
+and are not counted. An inexact form of a term that starts with a weak stem counts as a hit of that weak stem.
 
 Scoring. Each hit looks at the window of WINDOW words around it: inside quotation marks, or beside a reporting verb,
 it weighs QUOTED of a hit; further hits in the window raise it. The sums over the whole text go through a logistic
@@ -38,6 +39,8 @@ FOLDS, HELD_OUT = 3, 1
 SAMPLE = 16_000
 #: Terms and stems that the lexicon holds at most, the most frequent first.
 LEXICON = 4000
+#: Ordinary words that come near to a term. More of them are an error: leaving some out would make them hits.
+ORDINARY = 100 * LEXICON
 PURITY = 0.97
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_KINDS = 4
@@ -46,7 +49,10 @@ LIFT, RATIO = 4.0, 30.0
 WINDOW = 8
 QUOTED = 0.4
 THRESHOLD = 0.7
-KEPT = 300_000
+#: Words whose verdict a worker keeps, and nodes in the states of its automaton; beyond either they start anew.
+KEPT, KEPT_NODES = 300_000, 2_000_000
+#: Letters from which a term's first letter may be edited too.
+FREE = 6
 
 #: Verbs that report speech, and marks that enclose it.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes reported dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
@@ -65,37 +71,39 @@ def permitted(term: str) -> int:
 class Lexicon:
     """Terms and stems, with the automaton that finds inexact terms."""
 
-    NONE, EXACT, STEM, FUZZY, WEAK = 0, 1, 2, 3, 4
+    NONE, EXACT, STEM, FUZZY, WEAK, FAINT = 0, 1, 2, 3, 4, 5  # FAINT is an inexact form of a weak stem's term
 
     def __init__(self, terms: list[str], stems: list[str], weak: list[str] = (), ordinary: list[str] = ()) -> None:
         self.terms, self.stems, self.weak, self.ordinary = frozenset(terms), frozenset(stems), frozenset(weak), frozenset(ordinary)
         self.lengths = sorted({len(s) for s in [*stems, *weak]})
-        self.children: list[dict[str, int]] = [{}]
-        self.ends: list[int] = [-1]  # edits permitted to the term that ends here
-        self.allow: list[int] = [0]  # the most edits that any term below permits
+        self.children: list[dict[str, int]] = [{}, {}]  # node 0 is the root of the short terms, 1 that of the others
+        self.ends: list[int] = [-1, -1]  # edits permitted to the term that ends here
+        self.faint: list[bool] = [False, False]  # whether that term is a form of a weak stem
+        self.allow: list[int] = [0, 0]  # the most edits that any term below permits
         for term in terms:
-            if any(term[:k] in self.weak for k in self.lengths):
-                continue  # a form of a weak stem: inexact forms of it are ordinary
-            node, most = 0, permitted(term)
-            self.allow[0] = max(self.allow[0], most)
+            node, most = int(len(term) >= FREE), permitted(term)
+            self.allow[node] = max(self.allow[node], most)
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.ends.append(-1)
+                    self.faint.append(False)
                     self.allow.append(0)
                 node = self.children[node][c]
                 self.allow[node] = max(self.allow[node], most)
             self.ends[node] = most
+            self.faint[node] = any(term[:k] in self.weak for k in self.lengths)
         self._reset()
 
     def _reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
-        self.accept: list[bool] = []
+        self.accept: list[int] = []
+        self.nodes = 0
         self.moves: list[dict[str, int]] = []
         self.known: dict[str, int] = {}
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0), (1, 0)})
 
     def _state(self, found: set[tuple[int, int]]) -> int:
         """The number of a state, -1 if it is empty. Of a node's edit counts only the least matters."""
@@ -106,7 +114,7 @@ class Lexicon:
             if e > self.allow[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
-            if node:  # a letter of the term may be missing, but not its first
+            if node:  # a letter of the term may be missing, but not a short term's first
                 todo += [(child, e + 1) for child in self.children[node].values()]
         if not best:
             return -1
@@ -114,7 +122,9 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            self.accept.append(any(e <= self.ends[n] for n, e in key))
+            ended = {self.faint[n] for n, e in key if e <= self.ends[n]}
+            self.accept.append(self.FUZZY if False in ended else self.FAINT if ended else self.NONE)
+            self.nodes += len(key)
             self.moves.append({})
         return self.states[key]
 
@@ -129,16 +139,20 @@ class Lexicon:
         self.moves[state][c] = out = self._state(found)
         return out
 
-    def near(self, word: str) -> bool:
-        """Whether some term lies within its permitted distance."""
+    def nearest(self, word: str) -> int:
+        """FUZZY where some term lies within its permitted distance, FAINT where only forms of weak stems do."""
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
             state = self._move(state, c) if to is None else to
             if state < 0:
-                return False
+                return self.NONE
         return self.accept[state]
 
+    def near(self, word: str) -> bool:
+        """Whether some term lies within its permitted distance."""
+        return self.nearest(word) != self.NONE
+
     def _verdict(self, word: str) -> int:
         if word in self.terms:
             return self.EXACT
@@ -149,10 +163,10 @@ class Lexicon:
         plain = word if word.isalpha() else word.translate(LOOKALIKE)
         if len(plain) < 4 or word.isdigit() or word in self.ordinary or not self.terms:
             return self.NONE
-        return self.FUZZY if plain in self.terms or self.near(plain) else self.NONE
+        return self.FUZZY if plain in self.terms else self.nearest(plain)
 
     def verdicts(self, words: list[str]) -> list[int]:
-        if len(self.known) > KEPT or len(self.sets) > KEPT:
+        if len(self.known) > KEPT or self.nodes > KEPT_NODES:
             self._reset()
         known = self.known
         for w in set(words).difference(known):
@@ -169,8 +183,8 @@ def features(lexicon: Lexicon, text: str) -> list[float]:
     low = text.lower()
     words = WORD.findall(low)
     marks = lexicon.verdicts(words)
-    n_weak = marks.count(lexicon.WEAK)
-    hits = [i for i, v in enumerate(marks) if v and v != lexicon.WEAK]
+    n_weak = marks.count(lexicon.WEAK) + marks.count(lexicon.FAINT)
+    hits = [i for i, v in enumerate(marks) if v and v < lexicon.WEAK]
     weak = [math.log1p(n_weak), float(n_weak > 1), float(n_weak > 2), min(20.0, 100 * n_weak / (20 + len(words)))]
     if not hits:
         return [0.0] * 7 + weak + [0, 0, 0]
@@ -237,9 +251,11 @@ def learn(sample: DataFrame) -> Lexicon:
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column("w").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, v in zip(names, lexicon.verdicts(names), strict=True) if v == Lexicon.FUZZY], pa.string())], names=["w"])
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, v in zip(names, lexicon.verdicts(names), strict=True) if v in (Lexicon.FUZZY, Lexicon.FAINT)], pa.string())], names=["w"])
 
-    usual = [r["w"] for r in other.select("w").mapInArrow(ordinary, "w string").limit(100 * LEXICON).collect()]
+    usual = [r["w"] for r in other.select("w").mapInArrow(ordinary, "w string").limit(ORDINARY + 1).collect()]
+    if len(usual) > ORDINARY:
+        raise ValueError(f"more than {ORDINARY} words of clean sample documents are near to a term")
     return Lexicon(words, sorted(kept), sorted(weak), sorted(usual))
 
 

@@ -147,6 +147,14 @@ def test_automaton_agrees_with_edit_distance():
         assert lexicon.near(word) == want, (word, terms)
 
 
+def test_first_letters_and_forms_of_weak_stems_may_be_misspelt():
+    lexicon = toxicity.Lexicon(["worthless", "clowns", "idiot", "scumbags"], [], ["scum"], ["flowns"])
+    words = ["vorthless", "orthless", "xworthless", "lowns", "glowns", "flowns", "udiot", "skumbags", "scumbagz", "scumbags"]
+    fuzzy, faint, weak, none, exact = lexicon.FUZZY, lexicon.FAINT, lexicon.WEAK, lexicon.NONE, lexicon.EXACT
+    assert lexicon.verdicts(words) == [fuzzy, fuzzy, fuzzy, fuzzy, fuzzy, none, none, faint, weak, exact]
+    assert toxicity.features(lexicon, "you skumbags")[7] > 0 and toxicity.features(lexicon, "you vorthless lot")[2] == 1.0
+
+
 def test_quotation_weighs_less_than_abuse():
     lexicon = toxicity.Lexicon(["idiot"], [])
     plain = toxicity.features(lexicon, "you are an idiot and a fool of the first rank here")
