@@ -3,8 +3,8 @@
 One pass over the texts finds candidates: three base kinds by pattern, and a further kind, `token`, of long
 mixed-character strings whose letters are close to random. Only the candidates leave that pass. They are then
 counted over the whole corpus by a hash of their value: in how many distinct repositories and for how many distinct
-owners it occurs. A value that many owners share is a widely copied example; one that stays with few owners looks
-live. Base spans are always reported; a `token` candidate becomes a span only if its value looks live.
+owners it occurs, and in how many places. A value that many owners or repositories share, or that stands in many
+places of one of them, is a widely copied example; one that stays with few of each looks live. Base spans are always reported; a `token` candidate becomes a span only if its value looks live.
 
 Distinct repositories and owners are counted after a partial distinct, so a value that stands in a third of all
 documents sends one row for each task and repository, not one for each document.
@@ -38,8 +38,8 @@ KINDS = ("assign", "access", "hex", "token")
 #: The method's own candidates: strings of 20 or more of these, with letters and digits, of this entropy a character.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 TOKEN_BITS = 3.5
-#: A value that at most this many owners share looks live.
-LIVE_OWNERS = 2
+#: A value looks live that at most so many owners and repositories share and that stands in at most so many places.
+LIVE_OWNERS, LIVE_REPOS, LIVE_PLACES = 2, 4, 20
 
 SCAN_SCHEMA = "row long, doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, found array<struct<start:long,end:long,kind:int,value:string>>"
 
@@ -117,7 +117,7 @@ def ownership(rows: DataFrame) -> DataFrame:
     some = each.groupBy("value_sha256", "repo", "owner").agg(F.count(F.lit(1)).alias("n"))
     marks = [F.coalesce(F.col(c), F.lit("\0")) for c in ("repo", "owner")]
     counted = some.groupBy("value_sha256").agg(F.countDistinct(marks[0]).alias("n_repos"), F.countDistinct(marks[1]).alias("n_owners"), F.sum("n").alias("n_places"))
-    return counted.withColumn("live", F.col("n_owners") <= LIVE_OWNERS)
+    return counted.withColumn("live", (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repos") <= LIVE_REPOS) & (F.col("n_places") <= LIVE_PLACES))
 
 
 def find_secrets(docs: DataFrame, *, repo: str = "concat_ws('/', source, lang)", owner: str = "source") -> DataFrame:

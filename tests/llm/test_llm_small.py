@@ -226,6 +226,12 @@ def test_widely_copied_values_are_examples(spark, odd, empty):
     assert secrets.find_secrets(empty).count() == 0
 
 
+def test_values_copied_within_one_owner_are_examples(spark):
+    rows = [(i, "token = abcdefghij0123456789", "en", "s0") for i in range(21)] + [(30 + i, "token = klmnopqrst0123456789", f"l{i}", "s0") for i in range(5)] + [(40, "token = zzzzzzzzzz9876543210", "en", "s0")]
+    got = {r["doc_id"]: (r["n_live"], r["n_examples"]) for r in secrets.find_secrets(table(spark, rows)).collect()}
+    assert got[0] == (0, 1) and got[30] == (0, 1) and got[40] == (1, 0)
+
+
 # n-gram Jaccard join
 
 
