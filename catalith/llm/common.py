@@ -6,10 +6,12 @@ import sys
 import tempfile
 import types
 import uuid
+import weakref
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space (fixed by the query contracts).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -18,7 +20,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 ARROW_BYTES = 32 << 20
 
+#: Keys that lookup() broadcasts at most, and the rows that such a key holds at least.
+HOT_KEYS, LEAST_HOT = 10_000, 64
+
 _own_dir: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +38,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset (a local session)."""
+    """The folder named by spark.checkpoint.dir; one of our own only where that is unset and the session is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="spark-catalith-"))
     return _own_dir[0]
@@ -45,7 +53,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back.
 
     This cuts the lineage in a place that every executor sees, so a lost executor costs a re-read, not a rerun.
-    The folder goes when the driver's JVM ends.
+    The folder goes by discard(), or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/catalith-llm/{label}-{uuid.uuid4().hex}"
@@ -54,7 +62,47 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     if jvm is not None:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    path, spark = _paths.pop(df, None), df.sparkSession
+    jvm = getattr(spark, "_jvm", None)
+    if path and jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """Inner join of rows with table, which has one row a key, where a key may hold any share of the rows.
+
+    times: the column of table that counts a key's rows (or more); total: the sum of these counts. A key that holds a
+    HOT_KEYS-th of the rows or more is joined by a broadcast, which has HOT_KEYS rows at most; the others by a shuffle.
+    """
+    bound = max(LEAST_HOT, -(-total // HOT_KEYS))
+    hot = table.filter(F.col(times) >= bound)
+    often = rows.join(F.broadcast(hot), on)
+    seldom = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col(times) < bound), on)
+    return often.unionByName(seldom)
+
+
+def row_key(doc_id: Column, mark: Column) -> Column:
+    """A string, never null, of an id and a mark of its text."""
+    return F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), mark.cast("string"))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """The rows of docs whose key is in keys (one column, key), one a key, with all their columns.
+
+    Repeated rows are reduced map-side before the one shuffle of the texts, so no key gathers in a task. The columns
+    travel in a struct: their names can't clash.
+    """
+    held = docs.select(key.alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    one = held.groupBy("key").agg(F.first("row").alias("row"))
+    return one.join(keys, "key", "left_semi").select("row.*")
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:

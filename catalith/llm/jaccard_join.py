@@ -8,14 +8,17 @@
    that only one class holds fall out at once; the rest of the space follows by hash, and shingles found to be very
    frequent in a sample of documents come last. What the sample misses costs time, never a link.
 3. Classes that share a prefix shingle fall into candidate components. These are cut into bands of size and chunks
-   of CHUNK classes; a block is a pair of chunks that may hold links. A block is searched on its own: its shingles'
-   inverted lists are built, and for each class DivideSkip merges the short lists by a heap, probes the long ones by
+   of CHUNK classes; a block is a pair of chunks that may hold links. A component of more than PAIRED chunks in a band
+   is cut by prefix shingle instead: the holders of each shingle make blocks, and a pair counts where its least common
+   prefix shingle is. A block is searched on its own: its shingles' inverted lists are built, and for each class
+   DivideSkip heap-merges the short lists, jumping over classes that cannot occur often enough, probes the long ones by
    binary search, and keeps every class that occurs at least T times. Occurrences are exact, so no link is missed and
    none is false.
 4. A block returns a spanning forest of its links and each class's number of links; connected components of the
    forests give the documents' components.
 
-Nothing is capped: a long list or a large component makes more blocks, not dropped pairs.
+Nothing is capped: a long list or a large component makes more blocks, not dropped pairs. Shingles, components and
+classes that hold many rows are joined by a bounded broadcast (common.lookup).
 
 Defined cases: null text and text without words have no shingle, link with nothing and are their own component; texts
 of fewer than k words have one shingle, the whole sequence; a null doc_id takes part but never names a component
@@ -27,15 +30,16 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, lookup, materialize, row_key, rows_of
 from .components import components
 
 #: Classes of a chunk, and rows that a task holds at once.
@@ -43,18 +47,16 @@ CHUNK = 512
 TASK_ROWS = 1500
 #: One of so many documents is looked at for very frequent shingles; of these at most so many are noted.
 SAMPLED_ONE_IN, FREQUENT = 64, 20_000
-#: Postings up to which a heap merges the short lists; beyond, the same merge is done by counting.
-HEAP = 2048
+#: Chunks of one band up to which a component's blocks are pairs of chunks.
+PAIRED = 48
 #: Bits of the filter that keeps documents out of the last shuffle.
 FILTER_BITS = 1 << 25
 #: DivideSkip's weight of a probe against a merge step.
 PROBE = 0.0085
+#: Long lists that are probed before sets that cannot get there any more are left out.
+PROBED = 16
 SLICE = 1 << 20
 
-_BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,35 +68,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _shingled(texts: list[bytes], k: int) -> list[np.ndarray]:
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[raw]
-    before = np.r_[True, space[:-1]]
-    starts = np.flatnonzero(~space & before)
-    out = [np.zeros(0, np.uint64)] * len(texts)
-    if not len(starts):
-        return out
+    """bytes.lower() and bytes.split() change and split at exactly the characters of the contract: A-Z and ASCII white space."""
+    split = [t.lower().split() for t in texts]
+    edges = np.cumsum([0, *map(len, split)])
+    flat = np.empty(edges[-1], object)
+    flat[:] = [w for words in split for w in words]
+    words = pd.util.hash_array(flat, categorize=False) if len(flat) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]), axis=0) if starts[0] == 0 else None
-        if place is None:
-            place = np.zeros(len(raw), np.int64)
-            place[starts[0] :] = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
-        powers = np.cumprod(np.full(int(place.max()) + 1, _BASE, np.uint64))
-        value = _BYTE[raw] * powers[place]
-        value[space] = 0
-        words = _mix(np.add.reduceat(value, starts))
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        edges = np.r_[0, np.cumsum(sizes)]
-        first = np.searchsorted(starts, edges)  # words of text i: first[i] up to first[i + 1]
-        grams = np.zeros(len(words), np.uint64)
-        for j in range(k):
-            grams[: len(words) - j] += _mix(words[j:] + np.uint64(j + 1) * _BASE)
+        windows = max(0, len(words) - k + 1)
+        grams = np.zeros(windows, np.uint64)
+        for j in range(k if windows else 0):
+            grams += _mix(words[j : j + windows] + np.uint64(j + 1) * _BASE)
         grams = _mix(grams)
-        for i in range(len(texts)):
-            a, b = int(first[i]), int(first[i + 1])
-            if b - a >= k:
-                out[i] = np.unique(grams[a : b - k + 1])
-            elif b > a:
-                out[i] = _mix(np.array([sum((_mix(words[a + j : a + j + 1] + np.uint64(101 + j) * _BASE)[0] for j in range(b - a)), np.uint64(b - a))], np.uint64))
+        out = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            n = int(b - a)
+            if n >= k:
+                out.append(np.unique(grams[a : b - k + 1]))
+            elif n:
+                out.append(_mix(_mix(words[a:b] + np.arange(101, 101 + n, dtype=np.uint64) * _BASE).sum(keepdims=True, dtype=np.uint64) + np.uint64(n)))
+            else:
+                out.append(np.zeros(0, np.uint64))
     return out
 
 
@@ -175,67 +169,99 @@ def _frequent(docs: DataFrame, k: int, limit: Threshold) -> np.ndarray:
     return np.sort(np.array([r["s"] for r in found.select("s").collect()], np.int64).astype(np.uint64))
 
 
-def divide_skip(query: np.ndarray, tokens: np.ndarray, starts: np.ndarray, postings: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sets (by number) that share at least needed[set] tokens with the query, and how many.
+def merge_skip(flat: list[int], spans: list[tuple[int, int]], least: int) -> tuple[list[int], list[int]]:
+    """Numbers that stand in at least `least` of the sorted lists flat[a:b], and in how many.
 
-    tokens: the index's distinct tokens; starts: where each one's sorted list of set numbers begins in postings.
+    A heap holds the head of each list. A head that too few lists share is left behind together with the next ones, as
+    many as make least - 1 lists in all; these lists jump, by binary search, to the head that is then on top.
     """
-    none = np.zeros(0, np.int64)
-    if not len(tokens):
-        return none, none
-    at = np.minimum(np.searchsorted(tokens, query), len(tokens) - 1)
-    hit = at[tokens[at] == query]
-    begin, end = starts[hit], starts[hit + 1]
-    order = np.argsort(end - begin, kind="stable")
-    begin, end = begin[order], end[order]
-    least = int(needed.min())
-    if len(hit) < least:
-        return none, none
-    longest = int(end[-1] - begin[-1])
-    n_long = min(int(least / (PROBE * math.log2(max(2, longest)) + 1)), least - 1)
-    n_short = len(hit) - n_long
-    short = [postings[b:e] for b, e in zip(begin[:n_short], end[:n_short], strict=True)]
-    if sum(map(len, short)) <= HEAP:
-        seen: dict[int, int] = {}
-        for x in heapq.merge(*(s.tolist() for s in short)):
-            seen[x] = seen.get(x, 0) + 1
-        found = np.array([x for x, c in seen.items() if c >= least - n_long], np.int64)
-        counts = np.array([seen[x] for x in found.tolist()], np.int64)
-    else:
-        every = np.bincount(np.concatenate(short), minlength=len(needed))
-        found = np.flatnonzero(every >= least - n_long)
-        counts = every[found]
-    for i, (b, e) in enumerate(zip(begin[n_short:], end[n_short:], strict=True)):  # probes, while a set may still get there
-        if not len(found):
+    w = len(spans)
+    at, end = [a for a, _ in spans], [b for _, b in spans]
+    heap = [flat[a] * w + i for i, (a, b) in enumerate(spans) if a < b]
+    heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
+    found, counts = [], []
+    while len(heap) >= least:
+        top = heap[0] // w
+        above, popped = (top + 1) * w, []
+        while heap and heap[0] < above:
+            popped.append(pop(heap) % w)
+        if len(popped) >= least:
+            found.append(top)
+            counts.append(len(popped))
+            for i in popped:
+                at[i] = a = at[i] + 1
+                if a < end[i]:
+                    push(heap, flat[a] * w + i)
+            continue
+        while heap and len(popped) < least - 1:
+            popped.append(pop(heap) % w)
+        if not heap:
+            break
+        top = heap[0] // w
+        for i in popped:
+            at[i] = a = bisect_left(flat, top, at[i], end[i])
+            if a < end[i]:
+                push(heap, flat[a] * w + i)
+    return found, counts
+
+
+class Index:
+    """The inverted lists of some sets, which are numbered in order of size."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        tokens, of = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), self.size)
+        by = np.argsort(tokens, kind="stable")
+        tokens = tokens[by]
+        first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, np.int64)
+        self.tokens, self.starts = tokens[first], np.r_[first, len(tokens)]
+        self.postings = of[by].tolist()
+        self.keys = np.repeat(np.arange(len(first)), np.diff(self.starts)) * len(sets) + of[by]  # list and number in one
+
+    def search(self, query: np.ndarray, low: int, high: int, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """DivideSkip: the sets from low up to high that share at least needed[set] tokens with query, and how many."""
+        none = np.zeros(0, np.int64)
+        if low >= high or not len(self.tokens):
+            return none, none
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        lists = at[self.tokens[at] == query]
+        least = int(needed[low:high].min())
+        if len(lists) < least:
             return none, none
-        probe = postings[b:e]
-        where = np.searchsorted(probe, found)
-        where[where == len(probe)] = 0
-        counts = counts + (probe[where] == found)
-        if i % 16 == 15:
-            alive = counts + (n_long - 1 - i) >= needed[found]
+        lists = lists[np.argsort(self.starts[lists + 1] - self.starts[lists], kind="stable")]
+        longest = int(self.starts[lists[-1] + 1] - self.starts[lists[-1]])
+        n_long = max(0, min(int(least / (PROBE * math.log2(max(2, longest)) + 1)), least - 1))
+        n_short = len(lists) - n_long
+        short = lists[:n_short]
+        spans = [(bisect_left(self.postings, low, a, b), bisect_left(self.postings, high, a, b)) for a, b in zip(self.starts[short].tolist(), self.starts[short + 1].tolist(), strict=True)]
+        found, counts = (np.array(x, np.int64) for x in merge_skip(self.postings, spans, least - n_long))
+        for i in range(n_short, len(lists), PROBED):  # probes, while a set may still get there
+            alive = counts + (len(lists) - i) >= needed[found]
             found, counts = found[alive], counts[alive]
-    keep = counts >= needed[found]
-    return found[keep], counts[keep]
+            if not len(found):
+                return none, none
+            wanted = (lists[i : i + PROBED, None] * len(self.size) + found).ravel()
+            hit = self.keys[np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)] == wanted
+            counts = counts + hit.reshape(-1, len(found)).sum(axis=0)
+        keep = counts >= needed[found]
+        return found[keep], counts[keep]
 
 
 def search_block(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: Threshold) -> list[tuple[int, int]]:
-    """Linked pairs (i, j), i in left and j in right; where a set is in both, each pair once."""
+    """Linked pairs (i, j), i in left and j in right. Either all sets are on both sides, each pair then once, or none is."""
     order = np.flatnonzero(left)
-    flat = np.concatenate([sets[i] for i in order]) if len(order) else np.zeros(0, np.uint64)
-    of = np.repeat(np.arange(len(order)), [len(sets[i]) for i in order])
-    by = np.argsort(flat, kind="stable")
-    flat, postings = flat[by], of[by]
-    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    tokens, starts = flat[first], np.r_[first, len(flat)]
-    size = np.array([len(sets[i]) for i in order], np.int64)
+    order = order[np.argsort([len(sets[i]) for i in order], kind="stable")]
+    index = Index([sets[i] for i in order])
+    place = np.full(len(sets), len(order))
+    place[order] = np.arange(len(order))
     out = []
     for q in np.flatnonzero(right).tolist():
-        needed = limit.needed(size, len(sets[q]))
-        found, _ = divide_skip(sets[q], tokens, starts, postings, needed)
-        for x in order[found].tolist():
-            if x != q and not (left[q] and right[x] and x > q):
-                out.append((x, q))
+        n = len(sets[q])
+        low = int(np.searchsorted(index.size * limit.den, limit.num * n))
+        high = min(int(np.searchsorted(index.size * limit.num, limit.den * n, side="right")), int(place[q]))
+        found, _ = index.search(sets[q], low, high, limit.needed(index.size, n))
+        out += [(x, q) for x in order[found].tolist()]
     return out
 
 
@@ -243,12 +269,15 @@ LINK_SCHEMA = "u long, v long, links long"
 
 
 def _searcher(k: int, limit: Threshold):
-    """Searches the blocks of one task's group: rows block, side (0 left, 1 right, 2 both), row, weight, text."""
+    """Searches the blocks of one task's group: rows block, side (0 left, 1 right, 2 both), shingle, row, weight, prefix, text.
+
+    Where a block is a shingle's, prefix holds a row's prefix shingles, and a pair counts only at its least common one.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("block", "ascending"), ("row", "ascending")])
         block, side, row, weight = (table.column(c).to_numpy() for c in ("block", "side", "row", "weight"))
-        text = table.column("text")
+        text, shingle, prefix = table.column("text"), table.column("shingle"), table.column("prefix")
         u, v, n = [], [], []
         edges = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() + [len(block)]
         for a, b in zip(edges, edges[1:], strict=False):
@@ -258,6 +287,10 @@ def _searcher(k: int, limit: Threshold):
             at = at[np.r_[True, row[at][1:] != row[at][:-1]]]  # a repeated document comes once
             sets = shingle_sets(text.take(pa.array(at)).to_pylist(), k)
             pairs = search_block(sets, side[at] != 1, side[at] != 0, limit)
+            here = shingle[a].as_py()
+            if here is not None:
+                held = [frozenset(x) for x in prefix.take(pa.array(at)).to_pylist()]
+                pairs = [(i, j) for i, j in pairs if min(held[i] & held[j]) == here]
             root = list(range(len(at)))
 
             def find(x: int) -> int:
@@ -308,69 +341,105 @@ def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter(maybe(_bit("doc_id", "text_hash")))
 
 
-def _prefixes(classes: DataFrame, limit: Threshold) -> DataFrame:
-    """row, n, shingle: prefix shingles that other classes hold too, or may hold."""
-    held = F.size("counted")
-    p = (F.col("n") - F.ceil(F.col("n") * limit.num / limit.den) + 1).alias("p")
-    each = classes.select("row", "n", p, held.alias("held"), F.explode("counted").alias("s"))
-    shared = each.repartition("s").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("s"))).filter("df > 1")
-    some = shared.groupBy("row", "n", "p", "held").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+def _prefixes(sets: DataFrame, classes: DataFrame, limit: Threshold) -> DataFrame:
+    """row, s: prefix shingles that other classes hold too, or may hold."""
+    total = sets.agg(F.sum(F.size("counted"))).first()[0] or 0
+    each = classes.select("row", F.explode("counted").alias("s"))
+    shared_by = materialize(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "jaccard-shared")
+    some = lookup(each, shared_by, ["s"], "df", total).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+    sizes = sets.select(F.col("row").alias("of"), (F.col("n") - F.ceil(F.col("n") * limit.num / limit.den) + 1).alias("p"), F.size("counted").alias("held"))
     left = (F.col("p") - (F.col("held") - F.size("shared"))).cast("int")  # places of the prefix that lone shingles don't fill
-    counted = some.filter(left > 0).select("row", "n", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("row", "n", F.col("x.s").alias("s"))
-    further = classes.filter(F.size("further") > 0).select("row", "n", F.explode("further").alias("s"))
+    counted = some.join(sizes, F.col("row") == F.col("of")).filter(left > 0).select("row", F.explode(F.slice("shared", F.lit(1), left)).alias("x")).select("row", F.col("x.s").alias("s"))
+    further = classes.filter(F.size("further") > 0).select("row", F.explode("further").alias("s"))
     return counted.union(further)
 
 
+def _pairs(chunks: Column, chunk: Column, name) -> Column:
+    """For each unordered pair of a chunk with a chunk of the same kind: block, and side (2 for the chunk with itself)."""
+    every = F.sequence(F.lit(0), chunks - 1)
+    return F.transform(every, lambda c: F.struct(name(F.least(chunk, c), F.greatest(chunk, c)).alias("block"), F.when(c == chunk, 2).when(c > chunk, 0).otherwise(1).alias("side")))
+
+
+def _plan(active: DataFrame, limit: Threshold) -> tuple[DataFrame, Column]:
+    """One row a component and band: its classes, its chunks and its neighbours'; and the band of a class."""
+    # bands of size: linked sets lie in the same band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(limit.den / limit.num) * 1.0000001)).cast("int")
+    whole, by_band = Window.partitionBy("root"), Window.partitionBy("root").orderBy("band")
+    plan = active.groupBy("root", band.alias("band")).agg(F.count(F.lit(1)).alias("times")).withColumn("all", F.sum("times").over(whole))
+    plan = plan.withColumn("chunks", F.when(F.col("all") <= CHUNK, 1).otherwise(F.ceil(F.col("times") / F.lit(CHUNK))).cast("int"))
+    beside = lambda by, at: F.when((F.col("all") > CHUNK) & (at("band") == F.col("band") + by), at("chunks")).otherwise(0)
+    plan = plan.withColumn("below", F.coalesce(beside(-1, lambda c: F.lag(c).over(by_band)), F.lit(0))).withColumn("above", F.coalesce(beside(1, lambda c: F.lead(c).over(by_band)), F.lit(0)))
+    plan = plan.withColumn("listed", F.max("chunks").over(whole) > PAIRED).withColumn("one", F.col("all") <= CHUNK)
+    return materialize(plan.drop("all"), "jaccard-plan"), band
+
+
+def _blocks(active: DataFrame, prefixes: DataFrame, leaders: DataFrame, limit: Threshold) -> DataFrame:
+    """row, doc_id, text_hash, weight, shingle, prefix, block, side: each class in each block that it takes part in."""
+    plan, band = _plan(active, limit)
+    placed = lookup(active.withColumn("band", band), plan, ["root", "band"], "times", active.count())
+    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("band")))
+    kept = ["row", "doc_id", "text_hash", "weight"]
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    name = lambda b1, c1, b2, c2: F.xxhash64("root", b1, c1, b2, c2)
+    own = _pairs(F.col("chunks"), F.col("chunk"), lambda a, b: name("band", a, "band", b))
+    lower = F.transform(upto("below"), lambda c: F.struct(name(F.col("band") - 1, c, "band", "chunk").alias("block"), F.lit(1).alias("side")))
+    upper = F.transform(upto("above"), lambda c: F.struct(name("band", "chunk", F.col("band") + 1, c).alias("block"), F.lit(0).alias("side")))
+    none = [F.lit(None).cast("long").alias("shingle"), F.lit(None).cast("array<long>").alias("prefix")]
+    out = placed.filter("not listed").select(*kept, *none, F.explode(F.concat(own, lower, upper)).alias("x")).select(*kept, "shingle", "prefix", "x.*")
+    if plan.filter("listed").limit(1).count():
+        large = placed.filter("listed").select(*kept)
+        held = prefixes.join(large.select("row"), "row", "left_semi")
+        whole = held.groupBy("row").agg(F.collect_set("s").alias("prefix"))
+        each = lookup(held, leaders, ["s"], "c", prefixes.count()).withColumn("chunks", F.ceil(F.col("c") / F.lit(CHUNK)).cast("int"))
+        chunk = F.pmod(F.xxhash64("row", F.lit(1)), F.col("chunks")).cast("int")
+        each = each.select("row", F.col("s").alias("shingle"), F.explode(_pairs(F.col("chunks"), chunk, lambda a, b: F.xxhash64("s", a, b))).alias("x"))
+        out = out.unionByName(large.join(whole, "row").join(each, "row").select(*kept, "shingle", "prefix", "x.*"))
+    return materialize(out, "jaccard-blocks")
+
+
 def link_classes(docs: DataFrame, k: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
     """(rows: row, doc_id, text_hash, n, high, low; links: u, v, links as of the blocks' search)."""
     frequent = _frequent(docs, k, limit)
     sets = materialize(_rows(docs).mapInArrow(_sets(k, limit, frequent), SET_SCHEMA), "jaccard-sets")
-    first = F.min_by(F.struct("row", "doc_id", "text_hash", "counted", "further"), "row").alias("x")
-    classes = sets.filter("n > 0").groupBy("high", "low", "n").agg(first, F.count(F.lit(1)).alias("weight")).select("n", "weight", "x.*")
-    prefixes = materialize(_prefixes(classes, limit), "jaccard-prefixes")
-    leaders = prefixes.groupBy("s").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    near = prefixes.join(leaders, "s").filter("row <> leader").select(F.col("row").alias("u"), F.col("leader").alias("v")).distinct()
+    first = F.min_by(F.struct("row", "counted", "further"), "row").alias("x")
+    classes = sets.filter("n > 0").groupBy("high", "low", "n").agg(first).select("x.*")
+    prefixes = materialize(_prefixes(sets, classes, limit), "jaccard-prefixes")
+    leaders = materialize(prefixes.groupBy("s").agg(F.min("row").alias("leader"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "jaccard-leaders")
+    near = lookup(prefixes, leaders, ["s"], "c", prefixes.count()).filter("row <> leader").select(F.col("row").alias("u"), F.col("leader").alias("v")).distinct()
     found = components(near)
     small = sets.filter("n > 0").groupBy("high", "low", "n").agg(F.min_by(F.struct("row", "doc_id", "text_hash"), "row").alias("x"), F.count(F.lit(1)).alias("weight")).select("n", "weight", "x.*")
     active = materialize(small.join(found, small["row"] == found["node"]).select("row", "doc_id", "text_hash", "n", "weight", "root"), "jaccard-active")
-    # bands of size: linked sets lie in the same band or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(limit.den / limit.num) * 1.0000001)).cast("int")
-    whole = active.groupBy("root").agg(F.count(F.lit(1)).alias("all"))
-    member = active.join(whole, "root").withColumn("band", F.when(F.col("all") <= CHUNK, F.lit(0)).otherwise(band))
-    chunks = member.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
-    beside = lambda by, name: chunks.select(F.col("root"), (F.col("band") + by).alias("band"), F.col("chunks").alias(name))
-    placed = member.join(chunks, ["root", "band"]).join(beside(1, "below"), ["root", "band"], "left").join(beside(-1, "above"), ["root", "band"], "left")
-    chunk = F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")
-    placed = placed.withColumn("chunk", chunk)
-    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
-    block = lambda b1, c1, b2, c2: F.xxhash64("root", b1, c1, b2, c2)
-    # the same band: unordered pairs of chunks; its own chunk on both sides
-    own = F.transform(upto("chunks"), lambda c: F.struct(block("band", F.least("chunk", c), "band", F.greatest("chunk", c)).alias("block"), F.when(c == F.col("chunk"), 2).when(c > F.col("chunk"), 0).otherwise(1).alias("side")))
-    lower = F.transform(upto("below"), lambda c: F.struct(block(F.col("band") - 1, c, "band", "chunk").alias("block"), F.lit(1).alias("side")))
-    upper = F.transform(upto("above"), lambda c: F.struct(block("band", "chunk", F.col("band") + 1, c).alias("block"), F.lit(0).alias("side")))
-    placed = materialize(placed.select("row", "doc_id", "text_hash", "weight", F.explode(F.concat(own, lower, upper)).alias("x")).select("row", "doc_id", "text_hash", "weight", "x.*"), "jaccard-blocks")
+    placed = _blocks(active, prefixes, leaders, limit)
     groups = max(1, -(-placed.count() // TASK_ROWS))
     texts = _among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), active)
     same = placed["doc_id"].eqNullSafe(texts["doc_id"]) & (placed["text_hash"] == texts["text_hash"])
-    shipped = placed.join(texts, same).select(F.pmod("block", F.lit(groups)).alias("group"), "block", "side", "row", "weight", "text")
+    shipped = placed.join(texts, same).select(F.pmod("block", F.lit(groups)).alias("group"), "block", "side", "shingle", "row", "weight", "prefix", "text")
     links = materialize(shipped.groupBy("group").applyInArrow(_searcher(k, limit), LINK_SCHEMA), "jaccard-links")
+    for table in (prefixes, leaders, active, placed):
+        discard(table)
     return sets.select("row", "doc_id", "text_hash", "n", "high", "low"), links
 
 
 def _joined(docs: DataFrame, k: int, limit: Threshold) -> DataFrame:
+    """doc_id, text_hash, n, component_id, stays, class_size, n_links: one row a row of docs."""
     rows, links = link_classes(docs, k, limit)
     roots = components(links.filter("links = 0").select("u", "v"))
     degree = links.filter("links > 0").groupBy("u").agg(F.sum("links").alias("links"))
-    classes = rows.filter("n > 0").groupBy("high", "low", "n").agg(F.min("row").alias("first"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("class_size"))
+    # of a component the least doc_id stays, null ids last, of equal ids the least text hash
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best")
+    classes = rows.filter("n > 0").groupBy("high", "low", "n").agg(F.min("row").alias("first"), best, F.count(F.lit(1)).alias("class_size"))
     known = classes.join(roots, classes["first"] == roots["node"], "left").join(degree, F.col("first") == degree["u"], "left")
-    known = materialize(known.select("high", "low", "n", "least_id", "class_size", F.coalesce("root", "first").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
-    named = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    out = rows.join(known.join(named, "root").select("high", "low", "n", "component_id", "class_size", "links"), ["high", "low", "n"], "left")
-    empty = F.col("n") == 0
-    return out.select(
-        "doc_id", "text_hash", "n", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.when(empty, 0).otherwise(F.col("links") + F.col("class_size") - 1).cast("long").alias("n_links"),
+    known = materialize(known.select("high", "low", "n", "best", "class_size", F.coalesce("root", "first").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
+    named = materialize(known.groupBy("root").agg(F.min("best").alias("least"), F.count(F.lit(1)).alias("classes")), "jaccard-named")
+    known = lookup(known.drop("best"), named, ["root"], "classes", known.count()).select("high", "low", "n", "class_size", "links", "least")
+    known = materialize(known, "jaccard-known")
+    out = lookup(rows.filter("n > 0"), known, ["high", "low", "n"], "class_size", rows.count())
+    out = out.select(
+        "doc_id", "text_hash", "n", F.col("least.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))).alias("stays"),
+        "class_size", (F.col("links") + F.col("class_size") - 1).cast("long").alias("n_links"),
     )
+    alone = rows.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("stays"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
+    return out.unionByName(alone)
 
 
 def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -378,17 +447,15 @@ def jaccard_join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100)
 
     n_links counts the other documents that a document is linked with, copies included.
     """
-    out = _joined(docs, k, Threshold(num, den)).drop("text_hash").withColumnRenamed("n", "n_shingles")
+    out = _joined(docs, k, Threshold(num, den)).withColumnRenamed("n", "n_shingles")
     return out.select("doc_id", "n_shingles", "component_id", "class_size", "n_links")
 
 
 def keep_one(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the row of the least doc_id.
+    """The rows of docs that stay, with all their columns, whatever these are called: of each component one.
 
-    Rows without any shingle stay; a row that is repeated whole comes once.
+    It is the row of the least doc_id; null ids come last; of equal ids that of the least text hash. Rows without any
+    shingle stay. A row whose id and text are repeated comes once, with the other columns of any one of them.
     """
-    found = _joined(docs, k, Threshold(num, den))
-    gone = found.filter((F.col("n") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
-    tagged = docs.withColumn("_hash", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash"))
-    return tagged.join(gone, same, "left_anti").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    found = _joined(docs, k, Threshold(num, den)).filter("stays").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
+    return rows_of(docs, found, row_key(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])))

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from catalith.llm import components, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, quality, secrets, token_counts, toxicity
+from catalith.llm import common, components, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, quality, secrets, token_counts, toxicity
 from catalith.llm.common import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, row long, q double"
@@ -279,15 +279,44 @@ def near_rows(n=220, seed=6):
     return rows
 
 
+@pytest.mark.parametrize("paired", [48, 1])  # 1: blocks by shingle
 @pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
-def test_join_equals_brute_force(spark, monkeypatch, k, num):
+def test_join_equals_brute_force(spark, monkeypatch, k, num, paired):
     rows = near_rows()
     monkeypatch.setattr(jaccard_join, "CHUNK", 7)  # large components take many blocks
-    monkeypatch.setattr(jaccard_join, "HEAP", 60)  # both ways of merging
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
     got = jaccard_join.jaccard_join(table(spark, rows), k=k, num=num, den=100).collect()
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["n_links"]) for r in got) == brute_join(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("k", [4, 5])
+def test_shingles_of_few_words(k):
+    rng = random.Random(2)
+    for n in range(2 * k + 1):
+        text = " ".join(f"w{i}" for i in range(n))
+        (alone,) = jaccard_join.shingle_sets([text], k)
+        assert len(alone) == (max(1, n - k + 1) if n else 0)
+        others = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 3 * k))) for _ in range(5)]
+        for batch in ([text, *others], [*others, text], [*others, text, *others]):
+            assert (jaccard_join.shingle_sets(batch, k)[batch.index(text)] == alone).all()
+
+
+def test_join_of_a_single_short_document(spark):
+    for n in (0, 2):
+        rows = [(1, " ".join(["hello", "world"][:n]), "en", "a")]
+        got = [tuple(r) for r in jaccard_join.jaccard_join(table(spark, rows), k=4, num=85, den=100).collect()]
+        assert got == [(1, min(n, 1), 1, 1, 0)]
+    assert jaccard_join.keep_one(table(spark, [(1, "hello world", "en", "a")])).count() == 1
+
+
+def test_words_of_a_repeating_pattern_stay_apart():
+    for bits in (10, 11, 12):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+        b = a.translate(str.maketrans("ab", "ba"))
+        x, y = jaccard_join.shingle_sets([a, b], 4)
+        assert x[0] != y[0]
+
+
 def test_join_of_odd_rows(odd, empty):
     got = jaccard_join.jaccard_join(odd, k=4, num=85, den=100).collect()
     want = brute_join(ODD, 4, 85, 100)
@@ -303,17 +332,34 @@ def test_join_keeps_one_of_each_component(spark):
     assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(i for i, n, c, _ in want if n == 0 or i == c)
 
 
-def test_divide_skip_counts_exactly():
-    rng = np.random.default_rng(8)
-    limit = jaccard_join.Threshold(60, 100)
-    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)]
-    everyone = np.ones(60, bool)
-    got = sorted(jaccard_join.search_block(sets, everyone, everyone, limit))
-    want = [(a, b) for a, b in itertools.combinations(range(60), 2) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))]
-    assert got == want
+def test_merge_skip_counts_exactly():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lists = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).tolist() for _ in range(rng.integers(1, 12))]
+        flat, ends = [x for li in lists for x in li], np.cumsum([0, *map(len, lists)]).tolist()
+        least = int(rng.integers(1, len(lists) + 2))
+        found, counts = jaccard_join.merge_skip(flat, list(zip(ends, ends[1:], strict=False)), least)
+        want = {x: c for x in range(40) if (c := sum(x in li for li in lists)) >= least}
+        assert dict(zip(found, counts, strict=True)) == want and found == sorted(found)
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize(("num", "most"), [(60, 40), (30, 60), (85, 200)])
+def test_divide_skip_finds_every_link(num, most):
+    rng = np.random.default_rng(8)
+    limit = jaccard_join.Threshold(num, 100)
+    base = np.unique(rng.integers(0, 400, most).astype(np.uint64))
+    sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)] + [np.unique(np.r_[base[rng.random(len(base)) < 0.95], rng.integers(0, 400, 3).astype(np.uint64)]) for _ in range(60)]
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))
+    everyone = np.ones(120, bool)
+    got = sorted(tuple(sorted(p)) for p in jaccard_join.search_block(sets, everyone, everyone, limit))
+    assert got == [p for p in itertools.combinations(range(120), 2) if linked(*p)]
+    left = rng.random(120) < 0.5
+    got = sorted(jaccard_join.search_block(sets, left, ~left, limit))
+    assert got == sorted((a, b) for a in np.flatnonzero(left).tolist() for b in np.flatnonzero(~left).tolist() if linked(a, b))
+
+
+def test_components_of_paths_and_stars(spark, monkeypatch):
+    monkeypatch.setattr(common, "LEAST_HOT", 20)  # hubs are looked up by broadcast
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(500, 501), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 500: 500, 501: 500}
