@@ -1,16 +1,16 @@
 """Token counts from distinct pre-tokens, without materialising ids.
 
-The tokenizer's units never reach across the start of a run of spaces, so a text splits into pre-tokens there, and
-its token count is the sum over its pre-tokens of frequency times pieces. Pieces are counted once for each distinct
-pre-token of the corpus:
+The tokenizer's units never reach across the start of a run of spaces, so a text splits into pre-tokens there, and its
+token count is the sum over its pre-tokens of frequency times pieces.
 
-- the HEAD most frequent pre-tokens of a sample of documents are counted first and broadcast, a table of bounded
-  size that covers nearly all occurrences; which ones it holds makes no difference to any result;
-- what remains of each document, its rarer pre-tokens with their frequencies, is joined to a table of the corpus's
-  distinct rarer pre-tokens and their pieces, and summed by document.
+1. The texts are read once. A batch of documents becomes a block: its distinct pre-tokens, and for each document the
+   frequencies of its pre-tokens, which name a pre-token by its number in the block.
+2. Pieces are counted once for each distinct pre-token of the corpus, in the tasks, and joined to the blocks that hold
+   it. A block asks for a pre-token once, however many of its documents hold it; a pre-token that very many blocks hold
+   is joined by a bounded broadcast (common.lookup).
+3. The pieces come back to their block, where frequencies times pieces are summed by document.
 
-Distinct pre-tokens are reduced map-side before they are shuffled; a rare pre-token that turns out hot is split by the
-skew join. The texts themselves are read once and not shuffled.
+A block is an Arrow batch, whose rows and bytes are bounded, and so are its pre-tokens. Nothing is encoded on the driver.
 
 Defined cases: null text counts as empty text, which has no token; repeated rows each get their own row; an empty
 table gives an empty result; other columns of the input are never read, whatever they are called.
@@ -21,20 +21,19 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import lookup, materialize, worker_cache
 
-#: Pre-tokens of the broadcast table, and the longest of them; one of so many documents is looked at for it.
-HEAD, HEAD_LENGTH = 400_000, 40
-SAMPLED_ONE_IN = 8
 LIMIT = 4096
 #: The character that stands for a space inside the model; in a text it counts as a space.
 SPACE = "▁"
 
-SPLIT_SCHEMA = "row long, doc_id long, n_bytes long, head_tokens long, tail array<struct<word:string,times:int>>"
+BLOCK_SCHEMA = "block long, words array<string>, doc_id array<long>, n_bytes array<long>, kinds array<int>, word array<int>, times array<int>"
+COUNT_SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
 def pretokens(text: str) -> list[str]:
@@ -70,55 +69,60 @@ def pieces(model_file: str, words: list[str]) -> list[int]:
     return [len(ids) if word else 1 for word, ids in zip(words, model.encode(words, num_threads=1), strict=True)]
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = Counter(w for t in batch.column("text").to_pylist() for w in pretokens(t or "") if len(w) <= HEAD_LENGTH)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "times"])
+def _list(values: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
-def frequent(docs: DataFrame, model_file: str, most: int) -> dict[str, int]:
-    """Pieces of the pre-tokens that a sample of documents repeats most."""
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED_ONE_IN)) == 0).select("text")
-    per = some.mapInArrow(_sampled, "word string, times long").groupBy("word").agg(F.sum("times").alias("n"))
-    words = per.filter("n > 1").orderBy(F.desc("n"), "word").limit(most).select("word").toArrow().column("word").to_pylist()
-    return dict(zip(words, pieces(model_file, words), strict=True))
+def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block of each batch of row, doc_id and text; its name is the number of its first row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        number: dict[str, int] = {}
+        kinds, word, times = [], [], []
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for text in texts:
+            found = Counter(pretokens(text))
+            kinds.append(len(found))
+            word += [number.setdefault(w, len(number)) for w in found]
+            times += found.values()
+        columns = [batch.column("row")[:1], _list(list(number), pa.string()), _list(batch.column("doc_id").to_pylist(), pa.int64()), _list([len(t.encode()) for t in texts], pa.int64()), *(_list(x, pa.int32()) for x in (kinds, word, times))]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "words", "doc_id", "n_bytes", "kinds", "word", "times"])
 
 
-def splitter(head: dict[str, int]):
+def piece_counter(model_file: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.get
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            tokens, offsets, words, times = [], [0], [], []
-            for text in texts:
-                parts = pretokens(text)
-                values = list(map(known, parts))
-                tokens.append(sum(filter(None, values)))
-                tail = Counter([w for w, v in zip(parts, values, strict=True) if v is None])
-                words += tail.keys()
-                times += tail.values()
-                offsets.append(len(words))
-            tail = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int32())], names=["word", "times"]))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), tail], names=["row", "doc_id", "n_bytes", "head_tokens", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces(model_file, batch.column("word").to_pylist()), pa.int64()), batch.column("blocks")], names=["word", "pieces", "blocks"])
 
     return run
 
 
-def piece_counter(model_file: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(pieces(model_file, batch.column("word").to_pylist()), pa.int64())], names=["word", "pieces"])
-
-    return run
+def _sum(block: pa.Table, counted: pa.Table) -> pa.Table:
+    """Sums of one block: its frequencies, and the pieces of its pre-tokens by number."""
+    out = []
+    for one in range(block.num_rows):
+        kinds, word, times = (block.column(c)[one].values.to_numpy() for c in ("kinds", "word", "times"))
+        table = np.zeros(counted.num_rows, np.int64)
+        table[counted.column("number").to_numpy()] = counted.column("pieces").to_numpy()
+        ends = np.r_[0, np.cumsum(times * table[word])] if len(word) else np.zeros(1, np.int64)
+        last = np.cumsum(kinds)
+        out.append(pa.table({"doc_id": block.column("doc_id")[one].values, "n_bytes": block.column("n_bytes")[one].values, "n_tokens": pa.array(ends[last] - ends[last - kinds], pa.int64())}))
+    return pa.concat_tables(out) if out else pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "n_bytes", "n_tokens")})
 
 
-def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
+def count_tokens(docs: DataFrame, model_file: str, *, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: one row a row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    split = materialize(rows.mapInArrow(splitter(frequent(docs, model_file, head)), SPLIT_SCHEMA), "token-splits")
-    tail = split.select("row", F.explode("tail").alias("t")).select("row", "t.*")
-    counted = tail.select("word").distinct().mapInArrow(piece_counter(model_file), "word string, pieces long")
-    summed = tail.join(counted, "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("tail_tokens"))
-    out = split.select("row", "doc_id", "n_bytes", "head_tokens").join(summed, "row", "left")
-    n = F.col("head_tokens") + F.coalesce("tail_tokens", F.lit(0))
-    return out.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    blocks = materialize(rows.mapInArrow(split, BLOCK_SCHEMA), "token-blocks")
+    asked = blocks.select("block", F.posexplode("words").alias("number", "word"))
+    distinct = asked.groupBy("word").agg(F.count(F.lit(1)).alias("blocks"))
+    counted = materialize(distinct.mapInArrow(piece_counter(model_file), "word string, pieces long, blocks long"), "token-pieces")
+    total = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    answers = lookup(asked, counted, ["word"], "blocks", total).select(F.col("block").alias("of_block"), "number", "pieces")
+
+    def total_of(block: pa.Table, answer: pa.Table) -> pa.Table:
+        return _sum(block, answer)
+
+    summed = blocks.drop("words").groupBy("block").cogroup(answers.groupBy("of_block")).applyInArrow(total_of, COUNT_SCHEMA)
+    return summed.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
