@@ -5,10 +5,9 @@ documents, in enough documents to be no accident and in enough different context
 stems, the heads that several such longer words share, so that inflected forms unseen in the sample count too. A head that
 clean documents hold as well, but far more seldom, is a weak stem: one hit says little, several say much.
 
-Matching. The terms form two tries, one of terms of FREE letters and more, in which any letter may be edited, and one
-of shorter terms, whose first letter is fixed. The Levenshtein automata of the permitted distance (0, 1 or 2 by the
-term's length) are intersected with them, and the product is made deterministic state by state as words ask for it. A
-word is walked once and its verdict is kept. Inexact matches that occur in clean sample documents are ordinary words
+Matching. The terms form a trie. The Levenshtein automata of the permitted distance (0, 1 or 2 by the term's length;
+any letter may be edited, the first too) are intersected with it, and the product is made deterministic state by state
+as words ask for it. A word is walked once and its verdict is kept. Inexact matches that occur in clean sample documents are ordinary words
 and are not counted. An inexact form of a term that starts with a weak stem counts as a hit of that weak stem.
 
 Scoring. Each hit looks at the window of WINDOW words around it: inside quotation marks, or beside a reporting verb,
@@ -37,10 +36,8 @@ from .sampling import held_out, labelled_ids, texts_of
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 16_000
-#: Terms and stems that the lexicon holds at most, the most frequent first.
-LEXICON = 4000
 #: Ordinary words that come near to a term. More of them are an error: leaving some out would make them hits.
-ORDINARY = 100 * LEXICON
+ORDINARY = 400_000
 PURITY = 0.97
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_KINDS = 4
@@ -51,8 +48,6 @@ QUOTED = 0.4
 THRESHOLD = 0.7
 #: Words whose verdict a worker keeps, and nodes in the states of its automaton; beyond either they start anew.
 KEPT, KEPT_NODES = 300_000, 2_000_000
-#: Letters from which a term's first letter may be edited too.
-FREE = 6
 
 #: Verbs that report speech, and marks that enclose it.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes reported dit écrit appelé sagte schrieb nannte dijo escribió llamó".split())
@@ -76,12 +71,12 @@ class Lexicon:
     def __init__(self, terms: list[str], stems: list[str], weak: list[str] = (), ordinary: list[str] = ()) -> None:
         self.terms, self.stems, self.weak, self.ordinary = frozenset(terms), frozenset(stems), frozenset(weak), frozenset(ordinary)
         self.lengths = sorted({len(s) for s in [*stems, *weak]})
-        self.children: list[dict[str, int]] = [{}, {}]  # node 0 is the root of the short terms, 1 that of the others
-        self.ends: list[int] = [-1, -1]  # edits permitted to the term that ends here
-        self.faint: list[bool] = [False, False]  # whether that term is a form of a weak stem
-        self.allow: list[int] = [0, 0]  # the most edits that any term below permits
+        self.children: list[dict[str, int]] = [{}]  # node 0 is the root
+        self.ends: list[int] = [-1]  # edits permitted to the term that ends here
+        self.faint: list[bool] = [False]  # whether that term is a form of a weak stem
+        self.allow: list[int] = [0]  # the most edits that any term below permits
         for term in terms:
-            node, most = int(len(term) >= FREE), permitted(term)
+            node, most = 0, permitted(term)
             self.allow[node] = max(self.allow[node], most)
             for c in term:
                 if c not in self.children[node]:
@@ -103,7 +98,7 @@ class Lexicon:
         self.nodes = 0
         self.moves: list[dict[str, int]] = []
         self.known: dict[str, int] = {}
-        self.start = self._state({(0, 0), (1, 0)})
+        self.start = self._state({(0, 0)})
 
     def _state(self, found: set[tuple[int, int]]) -> int:
         """The number of a state, -1 if it is empty. Of a node's edit counts only the least matters."""
@@ -114,8 +109,7 @@ class Lexicon:
             if e > self.allow[node] or best.get(node, 99) <= e:
                 continue
             best[node] = e
-            if node:  # a letter of the term may be missing, but not a short term's first
-                todo += [(child, e + 1) for child in self.children[node].values()]
+            todo += [(child, e + 1) for child in self.children[node].values()]  # a letter of the term may be missing
         if not best:
             return -1
         key = frozenset(best.items())
@@ -133,9 +127,8 @@ class Lexicon:
         for node, e in self.sets[state]:
             if c in self.children[node]:
                 found.add((self.children[node][c], e))
-            if node:
-                found.add((node, e + 1))
-                found.update((child, e + 1) for letter, child in self.children[node].items() if letter != c)
+            found.add((node, e + 1))
+            found.update((child, e + 1) for letter, child in self.children[node].items() if letter != c)
         self.moves[state][c] = out = self._state(found)
         return out
 
@@ -208,7 +201,7 @@ def _words(text: Column) -> Column:
 
 
 def learn(sample: DataFrame) -> Lexicon:
-    """sample: doc_id, text, label. A few thousand candidate terms at most reach the driver."""
+    """sample: doc_id, text, label. Only the terms and stems reach the driver, which the sample bounds."""
     one = sample.select("label", "text").groupBy(F.sha2("text", 256).alias("doc")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
     rows = materialize(one.select("doc", "label", _words(F.col("text")).alias("words")), "toxic-sample")
     toxic, clean = rows.filter("label = 1"), rows.filter("label = 0")
@@ -230,13 +223,13 @@ def learn(sample: DataFrame) -> Lexicon:
         return both.withColumn("ratio", 2 * (part(t, (t + n) * every) + part(n, (t + n) * (1 - every))))
 
     terms = against_clean(by_word.filter((F.col("t") >= least) & (F.col("contexts") >= least)), "w", other)
-    terms = terms.filter(F.col("t") >= PURITY * (F.col("t") + F.col("n"))).orderBy(F.desc("t"), "w").limit(LEXICON)
+    terms = terms.filter(F.col("t") >= PURITY * (F.col("t") + F.col("n")))
     common = (F.col("t") >= least) & (F.col("contexts") >= least) & (F.col("kinds") >= STEM_KINDS)
     stems = against_clean(by_stem.filter(common), "stem", heads(other).groupBy("stem").agg(F.sum("n").alias("n")))
     lift = (F.col("t") / n_toxic) >= LIFT * (F.col("n") / (n_all - n_toxic))
     stems = stems.withColumn("pure", F.col("t") >= PURITY * (F.col("t") + F.col("n"))).filter(F.col("pure") | (lift & (F.col("ratio") >= RATIO)))
-    words = [r["w"] for r in terms.select("w").collect()]
-    found = stems.orderBy(F.desc("ratio"), F.desc(F.length("stem")), "stem").limit(LEXICON).select("stem", "pure").collect()
+    words = sorted(r["w"] for r in terms.select("w").collect())
+    found = stems.orderBy(F.desc("ratio"), F.desc(F.length("stem")), "stem").select("stem", "pure").collect()
     kept: set[str] = set()
     for stem in sorted((r["stem"] for r in found if r["pure"]), key=lambda x: (len(x), x)):  # a stem that a shorter one covers adds nothing
         if not any(stem[:k] in kept for k in STEM_LENGTHS if k < len(stem)):
