@@ -8,7 +8,8 @@ bytes, so a digest outside the history is never mistaken for a member.
 
 New rows are first reduced to distinct digests (partial aggregation runs before the shuffle, so thousands of
 copies send one row a task), then looked up shard by shard. Members are repeats of the history and update its
-winner; non-members are grouped among themselves. A shard holds about SHARD_KEYS keys whatever the corpus size.
+winner; non-members are grouped among themselves. A shard holds about SHARD_KEYS keys whatever the corpus size. The
+decision goes back to the rows by digest; digests that very many rows hold are sent by a bounded broadcast.
 
 Defined cases: null text counts as empty text; among equal texts the row of the largest doc_id stays (null ids are
 smallest; of several rows with that id exactly one stays); an empty history or batch is allowed; other columns of
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize, row_key, rows_of
 
 SHARD_KEYS = 50_000
 SPACE = 2.0
@@ -176,16 +177,18 @@ def exact_dedup(docs: DataFrame, *, shard_keys: int = SHARD_KEYS) -> DataFrame:
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
     index = materialize(build_index(rows.filter(old), n_shards), "dedup-index")
     groups = materialize(merge_batch(index, rows.filter(~old), n_shards), "dedup-groups")
-    out = rows.join(groups, "digest")
+    out = lookup(rows, groups, ["digest"], "group_size", n)
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "in_history")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    tagged = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The rows of docs that stay, with all their columns, whatever these are called: of equal texts one.
+
+    It is the row of the largest doc_id; a row whose id and text are repeated comes once, with the other columns of any
+    one of them. The texts are shuffled once.
+    """
+    kept = exact_dedup(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    return rows_of(docs, kept, row_key(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))
 
 
 ORACLE_SQL = """

@@ -3,8 +3,9 @@
 A text's lower-cased UTF-8 bytes give overlapping subwords of 2, 3 and 4 bytes; each is hashed to a bucket with an
 embedding, the embeddings are averaged over the whole text, and a linear softmax follows. Embeddings and softmax are
 trained together by stochastic gradient descent in numpy on a bounded sample: at most SAMPLE_PER_LANGUAGE documents
-a language outside the held-out fold. Part of the sample is kept from training to fit the softmax's temperature and
-the confidence below which a prediction counts as rejected.
+a language outside the held-out fold, and SAMPLE_ROWS in all. Part of the sample is kept from training to fit the
+softmax's temperature, so that confidences are probabilities, and the confidence below which a prediction is rejected:
+the least at which the errors among the accepted ones, counted with one error more, stay within ERRORS.
 
 The average and the softmax are linear, so for scoring each bucket's embedding is multiplied with the softmax
 weights once; what is broadcast to tasks is buckets x languages numbers, whatever the corpus size.
@@ -28,12 +29,14 @@ from .sampling import held_out, per_value_ids, texts_of
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_PER_LANGUAGE = 600
+#: Rows of the whole sample, whatever the number of languages.
+SAMPLE_ROWS = 60_000
 BUCKET_BITS = 14
 DIMENSIONS = 16
 LENGTHS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 6, 32, 2.0
-#: Share of the kept-out sample that may be rejected.
-REJECTED_SHARE = 0.01
+#: Share of errors that may be among the predictions that aren't rejected.
+ERRORS = 0.01
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
 UNKNOWN = "und"
@@ -140,10 +143,23 @@ def train(texts_counted: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
     temperatures = np.geomspace(0.05, 5, 40)
     losses = [-np.log(np.maximum(1e-9, _softmax(logits / t)[np.arange(len(kept)), labels[kept]])).mean() for t in temperatures]
     temperature = float(temperatures[int(np.argmin(losses))])
-    threshold = float(np.quantile(_softmax(logits / temperature).max(axis=1), REJECTED_SHARE)) if len(kept) else 0.0
+    p = _softmax(logits / temperature)
+    threshold = rejection_threshold(p.max(axis=1), p.argmax(axis=1) == labels[kept], ERRORS) if len(kept) else 0.0
     return Model(languages, np.vstack([emb @ out, np.zeros((1, kinds), np.float32)]).astype(np.float32), temperature, threshold)
 
 
+def rejection_threshold(confidence: np.ndarray, right: np.ndarray, errors: float) -> float:
+    """The least confidence from which on (errors + 1) / (accepted + 1) is within errors; 1 if there is none."""
+    order = np.argsort(-confidence, kind="stable")
+    confidence, wrong = confidence[order], np.cumsum(~right[order])
+    last = np.r_[confidence[1:] != confidence[:-1], True]  # equal confidences are accepted or rejected together
+    fits = last & (wrong + 1 <= errors * (np.arange(len(wrong)) + 2))
+    if not fits.any():
+        return 1.0
+    at = int(np.flatnonzero(fits)[-1])
+    return 0.0 if at == len(confidence) - 1 else float(confidence[at])
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = [counted(t or "", BUCKET_BITS) for t in batch.column("text").to_pylist()]
@@ -151,7 +167,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, *, most: int = SAMPLE_PER_LANGUAGE) -> Model | None:
-    ids = per_value_ids(docs, "lang", folds=FOLDS, not_fold=HELD_OUT, most=most)
+    ids = per_value_ids(docs, "lang", folds=FOLDS, not_fold=HELD_OUT, most=most, most_rows=SAMPLE_ROWS)
     rows = texts_of(docs, ids).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("string").alias("label"))
     found = rows.mapInArrow(_sample, "doc_id long, label string, kinds binary, shares binary").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending"), ("kinds", "ascending")])
     if not found.num_rows:

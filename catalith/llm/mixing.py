@@ -3,10 +3,10 @@
 Every source gets a word target. A document is first given the whole copies that its source's target makes
 certain; what is left of the target is filled by a Pareto order sample: documents are ranked by
 
-    random odds / inclusion odds = (u / (1 - u)) / ((p / (1 - p)) * a)
+    random odds / inclusion odds = (u / (1 - u)) / (p / (1 - p))
 
-where p is the share of the source still wanted and a, between 1/4 and 4, is the document's size relative to its
-source's mean, so that inclusion is unequal and longer documents are likelier. The ranking is cut where the
+where p, a document's inclusion probability, is the share of its source's words that is still wanted: probabilities
+differ from source to source, and times sizes they add up to the words that are wanted. The ranking is cut where the
 words taken come nearest to what is left of the target: a sample of fixed size, the size being counted in words.
 
 The cut is found without sorting a source: ranks fall into bins, bins are summed map-side first, and only the rows
@@ -39,12 +39,12 @@ def _uniform(doc_id: Column, seed: str) -> Column:
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
-    """One row a source: src, source_size, mean, target, certain, wanted (words beyond the certain copies).
+    """One row a source: src, source_size, target, certain, wanted (words beyond the certain copies).
 
     Filling to a common level: sources in order of cap / weight; level k leaves the first k at their caps and
     shares the rest by weight; the true level is the largest of these.
     """
-    sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.avg("size").alias("mean"))
+    sources = sized.groupBy("src").agg(F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("src").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     ranked = sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long"))
@@ -59,15 +59,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], share: float, cap
     share_of = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = out.withColumn("certain", F.floor(share_of).cast("long"))
     out = out.withColumn("wanted", F.col("target") - F.col("certain") * F.col("source_size"))
-    return out.select("src", "source_size", "mean", "target", "certain", "wanted")
+    return out.select("src", "source_size", "target", "certain", "wanted")
 
 
 def _rank(plan_row: DataFrame, seed: str) -> DataFrame:
-    """Adds q, the Pareto rank; null where nothing is left to sample."""
-    part = F.col("wanted") / F.col("source_size")
-    liking = F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.col("size") / F.col("mean")))
+    """Adds inclusion, the probability of a further copy, and q, the Pareto rank; null where nothing is left to sample."""
+    ranked = plan_row.withColumn("inclusion", F.when(F.col("wanted") > 0, F.col("wanted") / F.col("source_size")))
     u = _uniform(F.col("id"), seed)
-    return plan_row.withColumn("q", F.when(F.col("wanted") > 0, (u / (1 - u)) / (part / (1 - part) * liking)))
+    return ranked.withColumn("q", (u / (1 - u)) / (F.col("inclusion") / (1 - F.col("inclusion"))))
 
 
 def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix", bins: int = BINS) -> DataFrame:
@@ -85,11 +84,11 @@ def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: f
     last = inside.filter(2 * F.col("ahead") + F.col("size") <= 2 * F.col("wanted")).groupBy("src").agg(F.max(F.struct("q", F.coalesce("id", F.lit(9223372036854775807)).alias("id"))).alias("last"))
     last = last.select(F.col("src").alias("last_src"), "last")
     out = targets.join(cut, F.col("src").eqNullSafe(F.col("cut_src")), "left").join(last, F.col("src").eqNullSafe(F.col("last_src")), "left")
-    return materialize(out.select("src", "source_size", "mean", "target", "certain", "wanted", "cut_bin", "last"), "mix-plan")
+    return materialize(out.select("src", "source_size", "target", "certain", "wanted", "cut_bin", "last"), "mix-plan")
 
 
 def apply_mix(rows: DataFrame, plan: DataFrame, *, seed: str = "mix", bins: int = BINS) -> DataFrame:
-    """rows: id, src, size and any others. Adds the plan's columns and copies, the times that a row is taken."""
+    """rows: id, src and any others. Adds the plan's columns, inclusion, and copies, the times that a row is taken."""
     out = _rank(rows.join(plan.withColumnRenamed("src", "plan_src"), F.col("src").eqNullSafe(F.col("plan_src"))), seed)
     place = F.floor(F.col("q") / (1 + F.col("q")) * bins).cast("int")
     inside = F.struct(F.col("q"), F.coalesce("id", F.lit(9223372036854775807)).alias("id")) <= F.col("last")
@@ -102,17 +101,20 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words), copies: one row a document."""
+    """doc_id, source, size, source_size, target, taken (words), copies, inclusion: one row a document.
+
+    inclusion is the probability of one copy beyond the certain ones.
+    """
     sized = materialize(sizes(docs), "mix-sizes")
     plan = plan_mix(sized, weights=weights, share=share, cap=cap, seed=seed)
     out = apply_mix(sized, plan, seed=seed)
-    return out.select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select(F.col("id").alias("doc_id"), F.col("src").alias("source"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.coalesce("inclusion", F.lit(0.0)).alias("inclusion"))
 
 
 def repeat_rows(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as the mix takes it."""
     plan = plan_mix(materialize(sizes(docs), "mix-sizes"), weights=weights, share=share, cap=cap, seed=seed)
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("src"), words(F.col("text")).alias("size"))
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("src"))
     taken = apply_mix(held, plan, seed=seed).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
@@ -121,14 +123,14 @@ ORACLE_SQL = r"""
 WITH sized AS (
   SELECT doc_id AS id, source AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), sources AS (
-  SELECT src, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size) AS DOUBLE) / count(*) AS mean FROM sized GROUP BY src
+  SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY src
 ), ranked AS (
   SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY src ASC NULLS LAST) - 1) % 3) + 1] AS w, source_size * 2 AS cap FROM sources
 ), levels AS (
   SELECT *, (CAST((sum(source_size) OVER ()) AS DOUBLE) * 1.5::DOUBLE - CAST(coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / w, src ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
     / CAST(sum(w) OVER (ORDER BY CAST(cap AS DOUBLE) / w, src ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lv FROM ranked
 ), targets AS (
-  SELECT src, source_size, mean, least(CAST(cap AS DOUBLE), max(lv) OVER () * w) AS target FROM levels
+  SELECT src, source_size, least(CAST(cap AS DOUBLE), max(lv) OVER () * w) AS target FROM levels
 ), planned AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS certain FROM targets
 ), wants AS (
@@ -136,12 +138,14 @@ WITH sized AS (
 ), q AS (
   SELECT s.id, s.size, w.*, (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(s.id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM sized s JOIN wants w ON s.src IS NOT DISTINCT FROM w.src
+), i AS (
+  SELECT *, CASE WHEN wanted > 0 THEN wanted / source_size END AS inclusion FROM q
 ), r AS (
-  SELECT *, CASE WHEN wanted > 0 THEN (u / (1 - u)) / ((wanted / source_size) / (1 - wanted / source_size) * greatest(0.25::DOUBLE, least(4.0::DOUBLE, size / mean))) END AS rk FROM q
+  SELECT *, (u / (1 - u)) / (inclusion / (1 - inclusion)) AS rk FROM i
 ), c AS (
   SELECT *, CAST(sum(size) OVER (PARTITION BY src ORDER BY rk, id NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) - size AS ahead FROM r
 ), d AS (
   SELECT *, certain + CASE WHEN rk IS NOT NULL AND 2 * ahead + size <= 2 * wanted THEN 1 ELSE 0 END AS copies FROM c
 )
-SELECT id AS doc_id, src AS source, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies FROM d
+SELECT id AS doc_id, src AS source, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies, coalesce(inclusion, 0) AS inclusion FROM d
 """

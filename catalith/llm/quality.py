@@ -1,19 +1,22 @@
 """Quality classification by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are the training rows labelled as good; the unlabelled text is a sample of the corpus outside the
-held-out fold, labels unseen; the class prior is the share of good rows among the training labels. A logistic model
-on standardised text statistics and their squares minimises, by gradient descent,
+Trusted positives are the training rows labelled as good; rows labelled as bad are not used. The unlabelled text is a
+sample of the corpus outside the held-out fold, labels unseen. The class prior, the share of good text in it, is
+estimated from these two: a first classifier tells positives from unlabelled rows on one half of either, and on the
+other half the prior is the share of unlabelled rows over the share of positives above the score where this quotient
+is least, sampling errors added; text above that score is almost all good. A logistic model on standardised text
+statistics and their squares then minimises, by gradient descent,
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
 and steps against the second term's gradient whenever that term is negative, which keeps flexible models from
-driving the risk below zero. The intercept is then set so that the unlabelled sample's mean score is the prior.
+driving the risk below zero.
 
 Statistics of the sampled rows (a few tens of numbers each, at most SAMPLE rows of either kind) go to the driver;
 the texts do not. Every whole text is scored.
 
-Defined cases: null text is empty text and is scored as such; without positives or without a corpus every score is
-the prior (1 when there is no label at all); repeated rows each get their own row; other columns of the input are
+Defined cases: null text is empty text and is scored as such; without positives or without unlabelled text there is
+nothing to learn and every score is 1; a repeated doc_id gives one row to the samples; repeated rows each get their own row; other columns of the input are
 never read, whatever they are called.
 """
 
@@ -33,7 +36,7 @@ from .sampling import fold, held_out, labelled_ids, texts_of
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 12_000
-STEPS, RATE, DECAY = 1500, 0.05, 1e-3
+STEPS, PRIOR_STEPS, RATE, DECAY = 1500, 600, 0.05, 1e-3
 THRESHOLD = 0.5
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -91,30 +94,51 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def standardised(unlabelled: np.ndarray) -> Model:
+    return Model(unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6, np.zeros(2 * unlabelled.shape[1]), 0.0)
+
+
+def _descend(gradient, size: int, steps: int) -> np.ndarray:
+    """Adam from zero weights and an intercept of 1; the intercept comes last."""
+    w, m, v = np.r_[np.zeros(size), 1.0], np.zeros(size + 1), np.zeros(size + 1)
+    for step in range(1, steps + 1):
+        g = gradient(w) + DECAY * np.r_[w[:-1], 0.0]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows. Of either, every second row is kept from the first classifier."""
+    model = standardised(unlabelled)
+    (p, p_kept), (u, u_kept) = ((model.expanded(x[::2]), model.expanded(x[1::2] if len(x) > 1 else x)) for x in (positive, unlabelled))
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        dp, du = _sigmoid(p @ w[:-1] + w[-1]) - 1, _sigmoid(u @ w[:-1] + w[-1])
+        return np.r_[dp @ p / len(p) + du @ u / len(u), dp.mean() + du.mean()]
+
+    w = _descend(gradient, p.shape[1], PRIOR_STEPS)[:-1]
+    sp, su = np.sort(p_kept @ w), np.sort(u_kept @ w)
+    above_p, above_u = 1 - np.searchsorted(sp, sp) / len(sp), 1 - np.searchsorted(su, sp) / len(su)
+    slack = np.sqrt(np.log(4 / 0.1) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    at = int(np.argmin((above_u + slack) / above_p))
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Non-negative risk with the sigmoid loss l(z) = 1 / (1 + e^z), then a logistic calibration of the intercept."""
-    mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
-    model = Model(mean, scale, np.zeros(2 * positive.shape[1]), 0.0)
+    """Non-negative risk with the sigmoid loss l(z) = 1 / (1 + e^z)."""
+    model = standardised(unlabelled)
     p, u = model.expanded(positive), model.expanded(unlabelled)
-    w, b = np.zeros(p.shape[1]), 1.0
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, STEPS + 1):
-        sp, su = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        sp, su = _sigmoid(p @ w[:-1] + w[-1]), _sigmoid(u @ w[:-1] + w[-1])
         dp, du = sp * (1 - sp) / len(p), su * (1 - su) / len(u)  # slope of the risk of being called good
         gp, gu = np.r_[dp @ p, dp.sum()], np.r_[du @ u, du.sum()]
-        negative = su.mean() - prior * sp.mean()
         # R_p(+) falls as sp rises; the estimated negative risk is pushed back up where it is below zero
-        g = -prior * gp + (gu - prior * gp) if negative >= 0 else -(gu - prior * gp)
-        g = g + DECAY * np.r_[w, 0.0]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    raw = u @ w
-    low, high = -60.0, 60.0
-    for _ in range(60):  # the intercept at which the mean score is the prior
-        b = (low + high) / 2
-        low, high = (low, b) if _sigmoid(raw + b).mean() > prior else (b, high)
-    model.weights, model.intercept = w, b
+        return gu - 2 * prior * gp if su.mean() >= prior * sp.mean() else prior * gp - gu
+
+    w = _descend(gradient, p.shape[1], STEPS)
+    model.weights, model.intercept = w[:-1], float(w[-1])
     return model
 
 
@@ -130,25 +154,21 @@ def _features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(found.column("x").to_pylist()), "<f4").reshape(found.num_rows, len(statistics(""))).astype(np.float64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model | float:
-    """The model, or the prior where there is nothing to fit on."""
-    ids = labelled_ids(labels, "quality", folds=FOLDS, not_fold=HELD_OUT, most=most)
-    prior = ids.agg(F.avg("label")).first()[0]
-    if prior is None:
-        return 1.0
-    positive = _features(docs, ids.filter("label = 1"))
+def fit(docs: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model | None:
+    """The model, or None where there is nothing to fit on."""
+    positive = _features(docs, labelled_ids(labels.filter("quality = 1"), "quality", folds=FOLDS, not_fold=HELD_OUT, most=most))
     free = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id").limit(most).withColumn("label", F.lit(-1))
     unlabelled = _features(docs, free.dropDuplicates(["doc_id"]))
-    return train(positive, unlabelled, float(prior)) if len(positive) and len(unlabelled) and 0 < prior < 1 else float(prior)
+    return train(positive, unlabelled, estimate_prior(positive, unlabelled)) if len(positive) and len(unlabelled) else None
 
 
-def scorer(model: Model | float):
+def scorer(model: Model | None):
     """A column function: text -> score."""
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        if isinstance(model, float) or not len(text):
-            return pd.Series(np.full(len(text), model if isinstance(model, float) else 0.0))
+        if model is None or not len(text):
+            return pd.Series(np.ones(len(text)))
         return pd.Series(model.scores(feature_rows([t or "" for t in text])))
 
     return score

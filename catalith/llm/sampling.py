@@ -29,14 +29,21 @@ def labelled_ids(labels: DataFrame, label: str, *, folds: int, not_fold: int, mo
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, most: int) -> DataFrame:
+def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, most: int, most_rows: int) -> DataFrame:
     """doc_id, label: for each value at most `most` ids outside the held-out fold, the first by a hash of the id.
 
+    All values together get most_rows at most, so that the sample is fit to be broadcast: where there are very many
+    values each gets fewer, and more values than most_rows are an error.
     Of the FREQUENT commonest values only ids of a low enough hash (about four times as many as are wanted) are ranked,
     so that a value that holds most rows sends few to the task that ranks it.
     """
     rows = docs.filter(F.col(value).isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), folds) != not_fold)).select("doc_id", F.col(value).alias("label"))
-    common = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * most).orderBy(F.desc("n"), "label").limit(FREQUENT).collect()
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    values = counts.count()
+    if values > most_rows:
+        raise ValueError(f"{values} values of {value} are more than the {most_rows} rows of the sample")
+    most = min(most, most_rows // max(1, values))
+    common = counts.filter(F.col("n") > 8 * most).orderBy(F.desc("n"), "label").limit(FREQUENT).collect()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     order = Window.partitionBy("label").orderBy("draw", "doc_id")
     few = rows.withColumn("draw", draw)
@@ -47,5 +54,9 @@ def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, mos
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text, label of the sampled ids (bounded by the sample, hence broadcast)."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    """doc_id, text, label of the sampled ids (bounded by the sample, hence broadcast).
+
+    Of rows that share an id one text is taken, so that the result is as bounded as the ids.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")

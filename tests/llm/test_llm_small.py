@@ -65,11 +65,17 @@ def test_mix_comes_near_targets_and_reruns_agree(spark):
     again = sorted(map(tuple, mixing.mix_sources(docs.repartition(7)).collect()))
     assert first == again
     taken, target, largest = {}, {}, {}
-    for _, source, size, _, t, n, _ in first:
+    sizes_of = {r[1]: r[3] for r in first}
+    for _, source, size, _, t, n, *_ in first:
         taken[source] = taken.get(source, 0) + n
         target[source] = t
         largest[source] = max(size, largest.get(source, 0))
+    wanted = {}
+    for _, source, size, _, t, n, copies, inclusion in first:
+        assert 0 <= inclusion < 1
+        wanted[source] = wanted.get(source, 0) + size * (t // sizes_of[source] + inclusion)
     for source in taken:
+        assert abs(wanted[source] - target[source]) < 1e-6 * target[source]
         assert abs(taken[source] - target[source]) <= largest[source]
 
 
@@ -124,34 +130,33 @@ def test_dedup_keeps_exactly_one_of_each(odd, empty):
 # toxicity
 
 
-def test_automaton_agrees_with_edit_distance():
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            above, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
-        return row[-1]
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
 
+def test_automaton_agrees_with_edit_distance():
     terms = ["idiot", "worthless", "clown", "abc", "disgusting"]
     lexicon = toxicity.Lexicon(terms, [])
     rng = random.Random(2)
-    for _ in range(3000):
-        term = rng.choice(terms)
-        word = list(term)
+    for _ in range(5000):
+        word = list(rng.choice(terms))
         for _ in range(rng.randint(0, 3)):
-            k = rng.randrange(1, len(word) + 1)
+            k = rng.randrange(len(word) + 1)
             word[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "t", "s"])
         word = "".join(word)
-        want = any(word[0] == t[0] and edits(word[1:], t[1:]) <= toxicity.permitted(t) for t in terms)
-        assert lexicon.near(word) == want, (word, terms)
+        assert lexicon.near(word) == any(edits(word, t) <= toxicity.permitted(t) for t in terms), word
 
 
 def test_first_letters_and_forms_of_weak_stems_may_be_misspelt():
     lexicon = toxicity.Lexicon(["worthless", "clowns", "idiot", "scumbags"], [], ["scum"], ["flowns"])
     words = ["vorthless", "orthless", "xworthless", "lowns", "glowns", "flowns", "udiot", "skumbags", "scumbagz", "scumbags"]
     fuzzy, faint, weak, none, exact = lexicon.FUZZY, lexicon.FAINT, lexicon.WEAK, lexicon.NONE, lexicon.EXACT
-    assert lexicon.verdicts(words) == [fuzzy, fuzzy, fuzzy, fuzzy, fuzzy, none, none, faint, weak, exact]
+    assert lexicon.verdicts(words) == [fuzzy, fuzzy, fuzzy, fuzzy, fuzzy, none, fuzzy, faint, weak, exact]
     assert toxicity.features(lexicon, "you skumbags")[7] > 0 and toxicity.features(lexicon, "you vorthless lot")[2] == 1.0
 
 
@@ -187,6 +192,43 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_toxicity_against_brute_force(spark):
+    """Hits of whole texts by comparing every word with every term, and the scores that follow from them."""
+    docs, labels = toxic_table(spark)
+    lexicon, weights = toxicity.fit(docs, labels)
+    assert lexicon.terms or lexicon.stems
+    rng = random.Random(31)
+    letters = "abcdeiorstuwé"
+    known = sorted(lexicon.terms) + [s + "xy" for s in sorted(lexicon.stems)] + ["bona", "ceri", "dulo"]
+    rows = []
+    for i in range(120):
+        words = []
+        for _ in range(rng.randint(0, 30)):
+            w = list(rng.choice(known))
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+                k = rng.randrange(len(w) + 1)
+                w[k : k + rng.randint(0, 1)] = rng.choice(["", *letters])
+            words.append("".join(w))
+        rows.append((i, " ".join(words) or None, "en", "a"))
+
+    def verdict(w):
+        if w in lexicon.terms:
+            return 0
+        if any(len(w) > k and w[:k] in lexicon.stems for k in toxicity.STEM_LENGTHS):
+            return 1
+        if any(len(w) > k and w[:k] in lexicon.weak for k in toxicity.STEM_LENGTHS) or len(w) < 4 or w in lexicon.ordinary:
+            return None
+        return 2 if any(edits(w, t) <= toxicity.permitted(t) and not any(t.startswith(x) for x in lexicon.weak) for t in lexicon.terms) else None
+
+    scored = spark.createDataFrame([(i, False, t) for i, t, _, _ in rows], "doc_id long, held_out boolean, text string").mapInArrow(toxicity.scorer(lexicon, weights), toxicity.SCHEMA)
+    for r in scored.collect():
+        found = [verdict(w) for w in (rows[r["doc_id"]][1] or "").split()]
+        assert (r["n_exact"], r["n_stem"], r["n_fuzzy"]) == tuple(found.count(k) for k in range(3))
+        x = toxicity.features(lexicon, rows[r["doc_id"]][1] or "")[: toxicity.FEATURES]
+        assert abs(r["score"] - 1 / (1 + np.exp(-(np.array(x) @ weights[:-1] + weights[-1])))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
 def test_toxicity_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], LABELS)
     assert toxicity.score_toxicity(odd, none).count() == len(ODD)
@@ -384,13 +426,94 @@ def test_edited_texts_and_likeness(spark):
             assert r["near_edited"] > r["near_next"]
 
 
-def test_anchors_are_context_free(spark):
+def anchors_of(spark, texts):
+    df = fingerprints.with_anchors(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "text", "a")
+    return [r["f"] for r in df.orderBy("id").select(fingerprints.written(df["a"]).alias("f")).collect()]
+
+
+def brute_anchors(texts, spark, k=6, s=2):
+    """The anchors of each text by comparing all its s-mers; the hashes of words and runs are Spark's own."""
     from pyspark.sql import functions as F
 
+    split = [[w for run in WORD.findall(t) for w in re.findall("[\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]|[^\u0e00-\u0eff\u3040-\u30ff\u4e00-\u9fff]+", run)] for t in texts]
+    values = sorted({w for words in split for w in words})
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in values], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    runs = sorted({tuple(hashed[w] for w in words[i : i + n]) for words in split for n in {s, k, len(words)} for i in range(len(words) - n + 1) if n})
+    frame = spark.createDataFrame([(list(r),) for r in runs], "r array<long>")
+    whole = {tuple(r["r"]): r["h"] for r in frame.select("r", F.xxhash64("r").alias("h")).collect()}
+    inner = {tuple(r["r"]): r["h"] for r in frame.filter(F.size("r") == s).select("r", F.xxhash64(*[F.get("r", F.lit(i)) for i in range(s)]).alias("h")).collect()}
+    out = []
+    for words in split:
+        h = [hashed[w] for w in words]
+        smers = [inner[tuple(h[i : i + s])] for i in range(len(h) - s + 1)]
+        at = [i for i in range(len(h) - k + 1) if min(smers[i : i + k - s + 1]) in (smers[i], smers[i + k - s])]
+        found = [(i, whole[tuple(h[i : i + k])]) for i in at] or ([(0, whole[tuple(h)])] if h else [])
+        out.append(" ".join(f"{i}:{x & 0xFFFFFFFF:08x}" for i, x in found))
+    return out
+
+
+def brute_likeness(a, b):
+    """From two written fingerprints."""
+    first = []
+    for f in (a, b):
+        places = {}
+        for x in f.split():
+            position, h = x.split(":")
+            places.setdefault(h, int(position))
+        first.append(places)
+    shifts = [first[1][h] - first[0][h] for h in first[0].keys() & first[1].keys()]
+    either = len(first[0].keys() | first[1].keys())
+    return sum(d == 0 or shifts.count(d) > 1 for d in shifts) / either if either else 1.0
+
+
+def test_anchors_and_likeness_equal_brute_force(spark):
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(40)] + ["日本", "ไทย", "é"]
+    rows = []
+    for i in range(80):
+        words = [rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 5, 6, 7, 40, 150]))]
+        if rows and rng.random() < 0.4:  # words put into, taken out of, or moved within the document before
+            words = (rows[-1][1] or "").split()
+            k = rng.randrange(len(words) + 1)
+            words[k : k + rng.randint(0, 3)] = [rng.choice(vocabulary) for _ in range(rng.randint(0, 3))]
+            words = words[k:] + words[:k] if rng.random() < 0.3 else words
+        rows.append((i * 2, "  ".join(words) if rng.random() < 0.9 else None, "en", "a"))
+    got = [r for r in fingerprints.fingerprint_edits(table(spark, rows), block_rows=9).orderBy("doc_id").collect()]
+    texts = [t or "" for _, t, _, _ in rows]
+    want = brute_anchors(texts, spark)
+    assert [r["fingerprint"] for r in got] == want
+    edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:] + texts[:1], strict=True)]
+    assert [r["edited_fingerprint"] for r in got] == brute_anchors(edited, spark)
+    for r, after in zip(got, want[1:] + want[:1], strict=True):
+        assert abs(r["near_edited"] - brute_likeness(r["fingerprint"], r["edited_fingerprint"])) < 1e-12
+        assert abs(r["near_next"] - brute_likeness(r["fingerprint"], after)) < 1e-12
+
+
+def test_words_put_in_shift_what_follows(spark):
     words = [f"w{i * 7919 % 101}" for i in range(300)]
-    rows = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(["new", "words", "here", *words[50:]]))], "id long, text string")
-    a, b = (set(x["hash"] for x in r["a"]) for r in fingerprints.with_anchors(rows, "text", "a").orderBy("id").select(F.col("a")).collect())
-    assert len(b - a) <= 9 and len(a & b) >= 30
+    a, b, c = anchors_of(spark, [" ".join(words), " ".join([*words[:50], "new", "words", "here", *words[50:]]), " ".join(reversed(words))])
+    assert brute_likeness(a, b) > 0.85 and brute_likeness(a, c) < 0.05
+
+
+@pytest.mark.parametrize("ids", ["far", "same", "null"])
+def test_blocks_stay_small_whatever_the_ids(spark, ids):
+    from pyspark.sql import functions as F
+
+    rows = [({"far": i if i < 999 else 1 << 60, "same": i % 3, "null": None}[ids], f"text {i}", "en", "a") for i in range(1000)]
+    docs = table(spark, rows)
+    placed, blocks = fingerprints.with_blocks(docs, block_rows=50)
+    assert max(r["count"] for r in placed.groupBy("block").count().collect()) <= 50 and 20 <= blocks <= 60
+    ordered = placed.select("block", "order", "tie").collect()
+    by_block = {}
+    for r in ordered:
+        by_block.setdefault(r["block"], []).append((r["order"], r["tie"]))
+    for k in range(blocks - 1):
+        assert max(by_block[k]) < min(by_block[k + 1])
+    out = fingerprints.with_next(docs, block_rows=50).select("doc_id", "text", "next_text").collect()
+    after = {r["text"]: r["next_text"] for r in out}
+    hashed = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = sorted((r[0] if r[0] is not None else -(1 << 63), hashed[r[1]], r[1]) for r in rows)
+    assert [after[t] for _, _, t in want] == [t for _, _, t in want[1:] + want[:1]]
 
 
 def test_fingerprints_of_odd_rows(odd, empty):
@@ -524,6 +647,22 @@ def test_commas_and_full_stops_are_set_apart_as_the_library_does():
     assert [ascii(t) for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
 
 
+def test_ids_of_random_strings_equal_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    rng = random.Random(41)
+    alphabet = [*"_.,_.,ab1Z'-!é", "\u0130", "\u0301", "e\u0301", "\u0327", "\u03a3", "日", "<|endoftext|>", "<unk>", "<s>", "</w>", "it's", "don't", *map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x180E, 0x2003, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0x200B, 0xFEFF))]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(100_000)]
+    wrong = []
+    for i in range(0, len(texts), 5000):
+        some = texts[i : i + 5000]
+        want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        wrong += [ascii(t) for t, g, w in zip(some, encoder.of(some), want, strict=True) if g != w]
+    assert wrong == []
+
+
 def test_packing_of_odd_rows(odd, empty):
     rows = packing.pack_documents(odd, tokenizer_path("word_bpe_49k.json")).collect()
     assert sum(r["start"] == 0 for r in rows) == len(ODD)
