@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,16 @@ def under(path: Column, root: str) -> Column:
     return (path == F.lit(root)) | path.startswith(root.rstrip("/") + "/")
 
 
+def normal_folder(folder: Column) -> Column:
+    """A relative folder without empty and "." steps; "." alone is kept; null where it is empty, absolute or goes outside.
+
+    Steps "a/.." inside are not folded, so a folder that has them is refused as well.
+    """
+    steps = F.filter(F.split(folder, "/"), lambda s: (s != "") & (s != "."))
+    refused = (folder == "") | folder.startswith("/") | F.array_contains(steps, "..") | (F.size(steps) == 0) | folder.contains("\0")
+    return F.when(folder == ".", folder).when(~refused, F.array_join(steps, "/"))
+
+
 def escape_like(text: str) -> str:
     """A search term as a LIKE pattern that matches it literally."""
     return "%" + text.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
@@ -58,6 +70,11 @@ def distance_for(percent: Column) -> Column:
     return F.floor((F.lit(100) - percent) * F.lit(schema.HASH_BITS) / 100).cast("int")
 
 
+def match_distance(percent: float) -> int:
+    """The same for a percentage that may have a fraction."""
+    return math.floor((100 - percent) * schema.HASH_BITS / 100 + 1e-9)
+
+
 def score(distance: Column) -> Column:
     """Percent of equal bits, to two places, halves to even."""
     return F.bround((F.lit(schema.HASH_BITS) - distance) * 100 / F.lit(schema.HASH_BITS), 2)

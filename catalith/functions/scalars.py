@@ -26,9 +26,9 @@ def scalar_dates(photos: DataFrame) -> DataFrame:
 
 
 @query("scalar_match", """
-SELECT content_id, CAST(bit_count(h20) AS INTEGER) AS bits, CAST(floor((100 - content_id % 101) * 64 / 100.0) AS INTEGER) AS distance_max, round_even((64 - CAST(bit_count(h20) AS BIGINT)) * 100 / 64.0, 2)::DOUBLE AS score FROM contents""")
+SELECT content_id, CAST(bit_count(h62) AS INTEGER) AS bits, CAST(floor((100 - content_id % 101) * 64 / 100.0) AS INTEGER) AS distance_max, round_even((64 - CAST(bit_count(h62) AS BIGINT)) * 100 / 64.0, 2)::DOUBLE AS score FROM contents""")
 def scalar_match(contents: DataFrame) -> DataFrame:
-    bits = F.bit_count("h20")
+    bits = F.bit_count("h62")
     return contents.select("content_id", bits.alias("bits"), X.distance_for(F.col("content_id") % 101).alias("distance_max"), X.score(bits).alias("score"))
 
 

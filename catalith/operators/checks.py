@@ -93,30 +93,14 @@ def repair_plan(photos: DataFrame, observed: DataFrame) -> DataFrame:
     return out.select("path", fix.alias("fix"))
 
 
-@query("gone_folder", """
-SELECT p.id, p.gone FROM (SELECT id, CASE WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND q.id % 50 <> 0) THEN '/src/' || camera WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND q.lens = p.lens AND q.id % 50 <> 0) THEN '/src/' || camera || '/' || lens END AS gone FROM photos p WHERE id % 50 = 0) p""")
-def gone_folder(photos: DataFrame) -> DataFrame:
-    """The outermost folder of a vanished file that no file left holds; here every fiftieth file vanished."""
-    parts = F.split(X.folder(F.col("source_path")), "/")
-    up = lambda df: df.select("id", parts.alias("parts"), F.explode(F.sequence(F.lit(3), F.size(parts))).alias("k")).select("id", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("folder"))
-    left = up(photos.filter("id % 50 <> 0")).select("folder").distinct()
-    gone = up(photos.filter("id % 50 = 0")).join(left, "folder", "left_anti").groupBy("id").agg(F.min_by("folder", "k").alias("gone"))
-    return photos.filter("id % 50 = 0").select("id").join(gone, "id", "left")
-
-
-@query("vanished", """
-SELECT id, CASE WHEN dest_path IN (SELECT path FROM observed) THEN 'Found_At_Destination' ELSE 'Failed' END AS outcome FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') AND id % 10 = 0""")
-def vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
-    """Settled photos that a scan did not meet (here every tenth): found at the destination, or failed."""
-    there = observed.select(F.col("path").alias("dest_path"), F.lit(True).alias("there")).distinct()
-    lost = photos.filter(F.col("status").isin(*schema.DELIVERED) & (F.col("id") % 10 == 0))
-    return lost.join(there, "dest_path", "left").select("id", F.when(F.col("there"), "Found_At_Destination").otherwise("Failed").alias("outcome"))
+GONE_FOLDER_SQL = """
+SELECT p.id, CASE WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera
+  WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND q.lens = p.lens AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera || '/' || lens END AS gone FROM photos p WHERE dest_path IS NOT NULL AND dest_path NOT IN (SELECT path FROM observed)"""
 
 
-@query("all_gone_folder", """
-SELECT p.id, CASE WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera
-  WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.camera AND q.lens = p.lens AND (q.dest_path IS NULL OR q.dest_path IN (SELECT path FROM observed))) THEN '/src/' || camera || '/' || lens END AS gone FROM photos p WHERE dest_path IS NOT NULL AND dest_path NOT IN (SELECT path FROM observed)""")
-def all_gone_folder(photos: DataFrame, observed: DataFrame) -> DataFrame:
+@query("gone_folder", GONE_FOLDER_SQL)
+@query("all_gone_folder", GONE_FOLDER_SQL)
+def gone_folder(photos: DataFrame, observed: DataFrame) -> DataFrame:
     """The outermost folder of each file that a walk did not meet, where no file left holds that folder."""
     parts = F.split(X.folder(F.col("source_path")), "/")
     up = lambda df: df.select("id", F.explode(F.sequence(F.lit(3), F.size(parts))).alias("k"), parts.alias("parts")).select("id", "k", F.array_join(F.slice("parts", F.lit(1), F.col("k")), "/").alias("folder"))
@@ -128,10 +112,14 @@ def all_gone_folder(photos: DataFrame, observed: DataFrame) -> DataFrame:
     return lost.select("id").join(gone, "id", "left")
 
 
-@query("all_vanished", """
+VANISHED_SQL = """
 SELECT id, CASE WHEN sha1_hash IN (SELECT sha1_hash FROM observed) THEN 'Found_At_Destination' ELSE 'Failed' END AS outcome FROM photos
-WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') AND dest_path NOT IN (SELECT path FROM observed)""")
-def all_vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
+WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') AND dest_path NOT IN (SELECT path FROM observed)"""
+
+
+@query("vanished", VANISHED_SQL)
+@query("all_vanished", VANISHED_SQL)
+def vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
     """Every settled photo that a walk did not meet at its place: its content found elsewhere there, or failed."""
     lost = photos.filter(F.col("status").isin(*schema.DELIVERED) & F.col("dest_path").isNotNull()).join(observed.select(F.col("path").alias("dest_path")), "dest_path", "left_anti")
     held = observed.select("sha1_hash", F.lit(True).alias("held")).distinct()
@@ -140,14 +128,13 @@ def all_vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
 
 @query("reconcile_outcomes", """
 SELECT op, CASE WHEN s = 'unreadable' OR d = 'unreadable' OR (s = 'absent' AND d = 'absent') OR d = 'mismatch' THEN 'Failed' WHEN d = 'match' AND s = 'absent' THEN 'Completed' WHEN d = 'match' THEN 'Pending/incomplete' ELSE 'Pending/not_started' END AS outcome
-FROM (SELECT op, ['absent', 'present', 'present', 'unreadable'][photo_id % 4 + 1] AS s, ['match', 'absent', 'mismatch', 'match', 'absent'][run_id % 5 + 1] AS d FROM operations WHERE status = 'Pending')""")
-def reconcile_outcomes(operations: DataFrame) -> DataFrame:
+FROM (SELECT op, source_state AS s, dest_state AS d FROM ends WHERE status = 'Pending')""")
+def reconcile_outcomes(ends: DataFrame) -> DataFrame:
     """Interrupted operations settled by a decision table over the states of both sides."""
-    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    rows = operations.filter("status = 'Pending'").select("op", pick(("absent", "present", "present", "unreadable"), F.col("photo_id")).alias("s"), pick(("match", "absent", "mismatch", "match", "absent"), F.col("run_id")).alias("d"))
-    s, d = F.col("s"), F.col("d")
+    s, d = F.col("source_state"), F.col("dest_state")
     failed = (s == "unreadable") | (d == "unreadable") | ((s == "absent") & (d == "absent")) | (d == "mismatch")
-    return rows.select("op", F.when(failed, "Failed").when((d == "match") & (s == "absent"), "Completed").when(d == "match", "Pending/incomplete").otherwise("Pending/not_started").alias("outcome"))
+    outcome = F.when(failed, "Failed").when((d == "match") & (s == "absent"), "Completed").when(d == "match", "Pending/incomplete").otherwise("Pending/not_started")
+    return ends.filter("status = 'Pending'").select("op", outcome.alias("outcome"))
 
 
 @query("ranked_findings", f"""

@@ -9,11 +9,17 @@ from .. import schema
 from ..registry import query
 
 
+def with_content(photos: DataFrame, per: DataFrame) -> DataFrame:
+    """photos with what is known of their content; rows without a hash are a group of their own, as in a window."""
+    per = per.withColumnRenamed("sha1_hash", "of")
+    return photos.join(per, photos["sha1_hash"].eqNullSafe(per["of"])).drop("of")
+
+
 @query("duplicate_counts", "SELECT id, count(*) OVER (PARTITION BY sha1_hash) - 1 AS copies FROM photos QUALIFY copies > 0")
 def duplicate_counts(photos: DataFrame) -> DataFrame:
     """Photos that have other rows of the same content. Contents are counted map-side before rows meet them."""
     n = photos.groupBy("sha1_hash").agg((F.count(F.lit(1)) - 1).alias("copies")).filter("copies > 0")
-    return photos.join(n, "sha1_hash").select("id", "copies")
+    return with_content(photos, n).select("id", "copies")
 
 
 @query("content_representatives", "SELECT sha1_hash, min(id) AS id, arg_min(name, id) AS name FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') GROUP BY sha1_hash")
@@ -36,7 +42,7 @@ def normalize_duplicates(photos: DataFrame) -> DataFrame:
     least = lambda s: F.min(F.when(F.col("status") == s, F.col("id")))
     per = rows.groupBy("sha1_hash").agg(F.bool_or(~F.col("status").isin(*schema.OPEN)).alias("closed"), F.coalesce(least("Pending"), least("Duplicate")).alias("keep"))
     new = F.when(~F.col("status").isin(*schema.OPEN), F.col("status")).when(~F.col("closed") & (F.col("id") == F.col("keep")), "Pending").otherwise("Duplicate")
-    return rows.join(per, "sha1_hash").select("id", "status", new.alias("new_status"))
+    return with_content(rows, per).select("id", "status", new.alias("new_status"))
 
 
 @query("repoint_duplicates", """
@@ -82,7 +88,7 @@ def duplicates_by_folder(photos: DataFrame, root: str = "/src/") -> DataFrame:
 def insert_time_duplicates(photos: DataFrame) -> DataFrame:
     """A row whose content an earlier row holds already comes in as a duplicate."""
     first = photos.groupBy("sha1_hash").agg(F.min("id").alias("first"))
-    return photos.join(first, "sha1_hash").select("id", F.when(F.col("id") > F.col("first"), "Duplicate").otherwise("Pending").alias("at_insert"))
+    return with_content(photos, first).select("id", F.when(F.col("id") > F.col("first"), "Duplicate").otherwise("Pending").alias("at_insert"))
 
 
 @query("rejected_promotion", """

@@ -26,24 +26,24 @@ def place_counts(photos: DataFrame) -> DataFrame:
 @query("facet_chips", """
 SELECT count(*) FILTER (WHERE coalesce(CAST(substr(date_taken, 1, 4) AS INTEGER) < 1800, false) AND status <> 'Failed') AS suspicious, count(*) FILTER (WHERE status <> 'Failed' AND (date_taken IS NULL OR date_source = 'file_mtime')) AS undated,
   count(*) FILTER (WHERE status <> 'Failed' AND least(width, height) < 1000) AS small, count(*) FILTER (WHERE p.id IN (SELECT photo_id FROM issues WHERE category = 'unestablished_outcome' AND NOT resolved)) AS attention
-FROM photos p JOIN contents USING (sha1_hash) WHERE name LIKE '%.jpg'""")
+FROM photos p LEFT JOIN contents USING (sha1_hash) WHERE name LIKE '%.jpg'""")
 def facet_chips(photos: DataFrame, contents: DataFrame, issues: DataFrame, ext: str = "jpg") -> DataFrame:
     """Each chip's count under the other filters that are on."""
     open_ids = issues.filter("category = 'unestablished_outcome' and not resolved").select(F.col("photo_id").alias("id"), F.lit(True).alias("open")).distinct()
-    rows = photos.filter(X.extension(F.col("source_path")) == ext).join(contents.select("sha1_hash", "width", "height"), "sha1_hash").join(open_ids, "id", "left")
+    rows = photos.filter(X.extension(F.col("source_path")) == ext).join(contents.select("sha1_hash", "width", "height"), "sha1_hash", "left").join(open_ids, "id", "left")
     d, s = F.col("date_taken"), F.col("status")
     return rows.agg(*count_where({"suspicious": X.suspicious(d, s), "undated": X.undated(d, F.col("date_source"), s), "small": (s != "Failed") & (F.least("width", "height") < 1000), "attention": F.col("open")}))
 
 
 @query("index_summary", """
-SELECT count(*) AS indexed, count(*) FILTER (WHERE p.status = 'Pending') AS waiting, count(*) FILTER (WHERE p.status = 'Failed') AS failed, count(*) FILTER (WHERE c.h20 IS NULL) AS unknown_hash,
+SELECT count(*) AS indexed, count(*) FILTER (WHERE p.status = 'Pending') AS waiting, count(*) FILTER (WHERE p.status = 'Failed') AS failed, count(*) FILTER (WHERE c.h62 IS NULL) AS unknown_hash,
   count(*) FILTER (WHERE p.status IN ('Duplicate', 'Removed_Duplicate')) AS identical, CAST(sum(p.file_size) AS BIGINT) AS bytes,
   count(*) FILTER (WHERE p.status = 'Duplicate' AND p.sha1_hash IN (SELECT sha1_hash FROM photos WHERE status = 'Pending')) AS waiting_copies FROM photos p LEFT JOIN contents c USING (sha1_hash)""")
 def index_summary(photos: DataFrame, contents: DataFrame) -> DataFrame:
     waiting = photos.filter("status = 'Pending'").select("sha1_hash", F.lit(True).alias("has_waiting")).distinct()
     s = F.col("status")
-    rows = photos.join(contents.select("sha1_hash", "h20"), "sha1_hash", "left").join(waiting, "sha1_hash", "left")
-    named = {"indexed": F.lit(True), "waiting": s == "Pending", "failed": s == "Failed", "unknown_hash": F.col("h20").isNull(), "identical": s.isin(*schema.COPIES)}
+    rows = photos.join(contents.select("sha1_hash", "h62"), "sha1_hash", "left").join(waiting, "sha1_hash", "left")
+    named = {"indexed": F.lit(True), "waiting": s == "Pending", "failed": s == "Failed", "unknown_hash": F.col("h62").isNull(), "identical": s.isin(*schema.COPIES)}
     return rows.agg(*count_where(named), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), *count_where({"waiting_copies": (s == "Duplicate") & F.col("has_waiting")}))
 
 

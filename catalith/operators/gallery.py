@@ -31,8 +31,9 @@ def gallery_page_newest(photos: DataFrame, page: int = 2, size: int = 60) -> Dat
 SELECT id, name FROM photos WHERE name ILIKE '%7.j%' OR sha1_hash IN (SELECT sha1_hash FROM photos WHERE name ILIKE '%7.j%')""")
 def search_name(photos: DataFrame, term: str = "7.J") -> DataFrame:
     """Photos whose own name, or any name of the same content, holds the term; folders never count."""
-    named = photos.filter(F.ilike("name", F.lit(X.escape_like(term)), F.lit("\\")))
-    return photos.join(named.select("sha1_hash").distinct(), "sha1_hash", "left_semi").select("id", "name")
+    own = F.coalesce(F.ilike("name", F.lit(X.escape_like(term)), F.lit("\\")), F.lit(False))
+    named = photos.filter(own & F.col("sha1_hash").isNotNull()).select("sha1_hash", F.lit(True).alias("twin")).distinct()
+    return photos.join(named, "sha1_hash", "left").filter(own | F.col("twin")).select("id", "name")
 
 
 @query("undated", "SELECT id, date_taken, date_source FROM photos WHERE status <> 'Failed' AND (date_taken IS NULL OR date_source = 'file_mtime')")
@@ -80,13 +81,13 @@ def suspicious_dates(photos: DataFrame) -> DataFrame:
 @query("source_filters", """
 SELECT f AS filter, count(*) AS n FROM (
   SELECT p.id, unnest([CASE WHEN p.status = 'Pending' THEN 'ready' END, CASE WHEN p.status <> 'Failed' THEN 'indexed' END, CASE WHEN p.status IN ('Duplicate', 'Removed_Duplicate') THEN 'identical' END,
-    CASE WHEN c.h20 IS NULL THEN 'unknown_hash' END, CASE WHEN p.status IN ('Processing') THEN 'unfinished' END, CASE WHEN p.status = 'Failed' THEN 'failed' END]) AS f
+    CASE WHEN c.h62 IS NULL THEN 'unknown_hash' END, CASE WHEN p.status IN ('Processing') THEN 'unfinished' END, CASE WHEN p.status = 'Failed' THEN 'failed' END]) AS f
   FROM photos p LEFT JOIN contents c USING (sha1_hash)) WHERE f IS NOT NULL GROUP BY f""")
 def source_filters(photos: DataFrame, contents: DataFrame) -> DataFrame:
     """How many photos each named filter of the source view keeps."""
     s = F.col("status")
-    named = {"ready": s == "Pending", "indexed": s != "Failed", "identical": s.isin(*schema.COPIES), "unknown_hash": F.col("h20").isNull(), "unfinished": s == "Processing", "failed": s == "Failed"}
-    rows = photos.join(contents.select("sha1_hash", "h20"), "sha1_hash", "left").select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("filter"))
+    named = {"ready": s == "Pending", "indexed": s != "Failed", "identical": s.isin(*schema.COPIES), "unknown_hash": F.col("h62").isNull(), "unfinished": s == "Processing", "failed": s == "Failed"}
+    rows = photos.join(contents.select("sha1_hash", "h62"), "sha1_hash", "left").select(F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))).alias("filter"))
     return rows.groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,10 +141,10 @@ def selection_missing(operations: DataFrame, photos: DataFrame) -> DataFrame:
 
 @query("inspect_photo", """
 SELECT p.id, p.name, c.width, c.height, (SELECT count(*) FROM photos q WHERE q.sha1_hash = p.sha1_hash AND q.id <> p.id) AS copies, coalesce(o.n, 0) AS operations, coalesce(o.kinds, '') AS kinds
-FROM photos p JOIN contents c USING (sha1_hash) LEFT JOIN (SELECT photo_id, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS kinds FROM operations GROUP BY photo_id) o ON o.photo_id = p.id""")
+FROM photos p LEFT JOIN contents c USING (sha1_hash) LEFT JOIN (SELECT photo_id, count(*) AS n, string_agg(DISTINCT status, ',' ORDER BY status) AS kinds FROM operations GROUP BY photo_id) o ON o.photo_id = p.id""")
 def inspect_photo(photos: DataFrame, contents: DataFrame, operations: DataFrame) -> DataFrame:
     """The inspector's record of each photo: dimensions, copies, and its operations' number and kinds."""
-    same = photos.groupBy("sha1_hash").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    same = photos.filter("sha1_hash is not null").groupBy("sha1_hash").agg((F.count(F.lit(1)) - 1).alias("copies"))
     ops = operations.groupBy(F.col("photo_id").alias("id")).agg(F.count(F.lit(1)).alias("operations"), F.array_join(F.sort_array(F.collect_set("status")), ",").alias("kinds"))
-    out = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash").join(same, "sha1_hash").join(ops, "id", "left")
-    return out.select("id", "name", "width", "height", "copies", F.coalesce("operations", F.lit(0)).alias("operations"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    out = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash", "left").join(same, "sha1_hash", "left").join(ops, "id", "left")
+    return out.select("id", "name", "width", "height", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("operations", F.lit(0)).alias("operations"), F.coalesce("kinds", F.lit("")).alias("kinds"))

@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.stored import kept
 
-#: Levels that a forest may have: pointer doubling needs the logarithm of this many steps.
-DEPTH = 1 << 40
+#: Levels of a closure that are read as tables of their own.
+MOST_LEVELS = 8
 
 
 def roots(origins: DataFrame, rounds: int = 41) -> DataFrame:
     """file_id, root, depth: every file's topmost origin, by pointer doubling.
 
     Each round joins the pointers with themselves and doubles the distance they span; it stops when no pointer moves.
-    Rounds are checkpointed in the folder that the session names, where lineage would otherwise grow.
+    Every round is written to the shared folder where there is one, so that a lost executor costs a round at most.
     """
-    spark = origins.sparkSession
     up = origins.select("file_id", F.col("origin_file_id").alias("root"), F.lit(1).cast("bigint").alias("depth"))
-    kept = bool(spark.conf.get("spark.checkpoint.dir", None))
-    for k in range(rounds):
+    for _ in range(rounds):
         step = up.select(F.col("file_id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
         joined = up.join(step, "root", "left").withColumn("moved", F.col("above").isNotNull())
-        up = joined.select("file_id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "moved")
-        up = up.checkpoint() if kept and k % 3 == 2 else up.cache()
+        up = kept(joined.select("file_id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "moved"), "lineage")
         if not up.filter("moved").limit(1).count():
             break
         up = up.drop("moved")
@@ -41,15 +41,26 @@ def lineage_roots(origins: DataFrame) -> DataFrame:
 @query("lineage_closure", """
 , down(id) AS (SELECT CAST(3 AS BIGINT) UNION SELECT o.file_id FROM down d JOIN origins o ON o.origin_file_id = d.id) SELECT id FROM down""")
 def lineage_closure(origins: DataFrame, start: int = 3) -> DataFrame:
-    """A file and everything made from it: a frontier that grows by a level a round and never meets a file twice."""
+    return closure(origins, start)
+
+
+def closure(origins: DataFrame, start: int) -> DataFrame:
+    """id: a file and everything made from it. A frontier grows by a level a round and never meets a file twice.
+
+    Each level is written on its own, and what was seen is read as one table of the levels, so plans don't nest.
+    """
     spark = origins.sparkSession
-    seen = spark.range(start, start + 1).select("id")
-    frontier = seen
+    frontier = kept(spark.range(start, start + 1).select("id"), "closure")
+    levels = [frontier]
     while True:
-        frontier = origins.join(frontier, origins["origin_file_id"] == frontier["id"]).select(F.col("file_id").alias("id")).distinct().join(seen, "id", "left_anti").cache()
+        seen = reduce(DataFrame.union, levels)
+        found = origins.join(frontier, origins["origin_file_id"] == frontier["id"]).select(F.col("file_id").alias("id")).distinct().join(seen, "id", "left_anti")
+        frontier = kept(found, "closure")
         if not frontier.limit(1).count():
             return seen
-        seen = seen.union(frontier)
+        levels.append(frontier)
+        if len(levels) > MOST_LEVELS:  # a deep forest: earlier levels become one table
+            levels = [kept(reduce(DataFrame.union, levels[:-1]), "closure"), frontier]
 
 
 @query("lineage_assembly", """

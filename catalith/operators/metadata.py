@@ -59,22 +59,18 @@ def associated(photos: DataFrame, sidecars: DataFrame) -> DataFrame:
     return cars.select(F.col("id").alias("sidecar"), basis.alias("basis"), "owners")
 
 
-@query("sidecar_association", r"""
+ASSOCIATION_SQL = r"""
 SELECT s.id AS sidecar, CASE WHEN n.owners = 0 THEN 'orphan' WHEN s.id % 7 = 0 THEN 'full_name' WHEN n.owners = 1 THEN 'single' WHEN n.raws = 1 THEN 'policy' ELSE 'needs_choice' END AS basis, n.owners
-FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p.name LIKE '%.cr2') AS raws FROM photos s LEFT JOIN photos p ON p.camera = s.camera AND p.lens = s.lens AND p.id // 4 = s.id // 4 AND p.status <> 'Failed' GROUP BY s.id) n ON n.id = s.id WHERE s.id % 3 = 0""")
+FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p.name LIKE '%.cr2') AS raws FROM photos s LEFT JOIN photos p ON p.camera = s.camera AND p.lens = s.lens AND p.id // 4 = s.id // 4 AND p.status <> 'Failed' GROUP BY s.id) n ON n.id = s.id"""
+
+
+@query("sidecar_association", ASSOCIATION_SQL)
+@query("all_sidecar_association", ASSOCIATION_SQL)
 def sidecar_association(photos: DataFrame) -> DataFrame:
     """Which photo a sidecar belongs to: by full name, by being the only one of its stem, or by the raw-first rule.
 
-    Here a stem is a folder and a run of four ids; every third photo stands for a sidecar.
+    Here a stem is a folder and a run of four ids, and each photo stands for a sidecar.
     """
-    return associated(photos, photos.filter("id % 3 = 0"))
-
-
-@query("all_sidecar_association", r"""
-SELECT s.id AS sidecar, CASE WHEN n.owners = 0 THEN 'orphan' WHEN s.id % 7 = 0 THEN 'full_name' WHEN n.owners = 1 THEN 'single' WHEN n.raws = 1 THEN 'policy' ELSE 'needs_choice' END AS basis, n.owners
-FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p.name LIKE '%.cr2') AS raws FROM photos s LEFT JOIN photos p ON p.camera = s.camera AND p.lens = s.lens AND p.id // 4 = s.id // 4 AND p.status <> 'Failed' GROUP BY s.id) n ON n.id = s.id""")
-def all_sidecar_association(photos: DataFrame) -> DataFrame:
-    """The same with each photo standing for a sidecar."""
     return associated(photos, photos)
 
 

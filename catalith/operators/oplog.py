@@ -16,15 +16,13 @@ def oplog_page(operations: DataFrame, runs: DataFrame, size: int = 100) -> DataF
     return rows.join(runs.select(F.col("id").alias("run_id"), "mode"), "run_id", "left").select("op", "run_id", "photo_id", "status", "mode").orderBy(F.desc("run_id"), "op").limit(size)
 
 
-@query("oplog_status_facets", "SELECT status, count(*) AS n FROM operations WHERE run_id < 1000 GROUP BY status")
-def oplog_status_facets(operations: DataFrame) -> DataFrame:
-    """Counts by status under every filter but the status itself."""
-    return operations.filter("run_id < 1000").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+STATUS_FACETS_SQL = "SELECT status, count(*) AS n FROM operations GROUP BY status"
 
 
-@query("all_oplog_status_facets", "SELECT status, count(*) AS n FROM operations GROUP BY status")
-def all_oplog_status_facets(operations: DataFrame) -> DataFrame:
-    """Counts by status over the whole log."""
+@query("oplog_status_facets", STATUS_FACETS_SQL)
+@query("all_oplog_status_facets", STATUS_FACETS_SQL)
+def oplog_status_facets(operations: DataFrame) -> DataFrame:
+    """Counts by status under every filter but the status itself: here over the whole log."""
     return operations.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths as X
 from ..registry import query
-from .similarity import distance, hashes
+from ..sources.catalog import BITS
+from .similarity import hashes, near_pairs
 
 
 @query("attention_newest", """
@@ -40,28 +41,15 @@ def hash_validity(contents: DataFrame) -> DataFrame:
     return contents.groupBy("phash_state").agg(F.count(F.lit(1)).alias("n"), F.count_if(written.rlike("^[0-9a-f]{16}$")).alias("valid"))
 
 
-@query("validation_by_threshold", """
-SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER (WHERE d <= m AND same) AS right_ones, count(*) FILTER (WHERE same) AS truth FROM (
-  SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d, a.label = b.label AS same FROM (SELECT c.h20 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) a JOIN (SELECT c.h20 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 6)
-CROSS JOIN (VALUES (90, 6), (95, 3), (100, 0)) v(t, m) GROUP BY t""")
-def validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """How many of the near pairs share a label, at each threshold: the counts behind precision and recall."""
-    from .similarity import edges
-
-    named = contents.filter("h20 is not null").join(embeddings.select(F.col("vec_id").alias("content_id"), "label"), "content_id").select(F.col("h20").alias("h"), "label")
-    near = edges(contents).join(named.select(F.col("h").alias("low"), F.col("label").alias("a")), "low").join(named.select(F.col("h").alias("high"), F.col("label").alias("b")), "high")
-    near = near.withColumn("same", F.col("a") == F.col("b"))
-    levels = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(d).alias("m")) for t, d in schema.THRESHOLDS.items() if d <= 6])
-    rows = near.select("distance", "same", F.explode(levels).alias("x")).select("distance", "same", "x.*")
-    within = F.col("distance") <= F.col("m")
-    return rows.groupBy(F.col("t").alias("threshold")).agg(F.count_if(within).alias("found"), F.count_if(within & F.col("same")).alias("right_ones"), F.count_if("same").alias("truth"))
+VALIDATION_SQL = """
+SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER (WHERE d <= m AND same) AS right_ones, count(*) FILTER (WHERE same) AS truth FROM (VALUES (75, 16), (80, 12), (85, 9), (90, 6), (95, 3), (100, 0)) v(t, m) LEFT JOIN (
+  SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d, a.label = b.label AS same FROM (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) a JOIN (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) b ON a.h < b.h) p ON true GROUP BY t"""
 
 
-@query("all_validation_by_threshold", """
-SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER (WHERE d <= m AND same) AS right_ones, count(*) FILTER (WHERE same) AS truth FROM (VALUES (75, 16), (80, 12), (85, 9), (90, 6), (95, 3), (100, 0)) v(t, m) LEFT JOIN (
-  SELECT CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS d, a.label = b.label AS same FROM (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) a JOIN (SELECT c.h62 AS h, e.label FROM contents c JOIN embeddings e ON e.vec_id = c.content_id) b ON a.h < b.h) p ON true GROUP BY t""")
-def all_validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """The same at all six thresholds over the 62-bit hashes; truth is every pair of unequal hashes that shares a label.
+@query("validation_by_threshold", VALIDATION_SQL)
+@query("all_validation_by_threshold", VALIDATION_SQL)
+def validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """How many of the near pairs share a label, at each of the six thresholds, the counts behind precision and recall; truth is every pair of unequal hashes that shares a label.
 
     Only pairs at most 16 bits apart are made; the truth follows from the sizes of labels and buckets.
     """
@@ -83,12 +71,8 @@ def all_validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> D
 SELECT a.h AS known, b.h AS new FROM hashes a JOIN hashes b ON a.h % 4 <> 0 AND b.h % 4 = 0 AND bit_count(xor(a.h, b.h)) <= 3""")
 def incremental_pairs(contents: DataFrame, most: int = 3) -> DataFrame:
     """Only new hashes (here every fourth) against known ones, by bands of the hash."""
-    bands = most + 1
     h = hashes(contents)
-    cut = [20 * k // bands for k in range(bands + 1)]
-    part = lambda df, n: df.select(F.col("h").alias(n), F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("part")) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))])).alias("x")).select(n, "x.*")
-    both = part(h.filter("h % 4 <> 0"), "known").join(part(h.filter("h % 4 = 0"), "new"), ["band", "part"])
-    return both.filter(distance(F.col("known"), F.col("new")) <= most).select("known", "new").distinct()
+    return near_pairs(h.filter("h % 4 <> 0").select(F.col("h").alias("a")), h.filter("h % 4 = 0").select(F.col("h").alias("b")), BITS, most).select(F.col("a").alias("known"), F.col("b").alias("new"))
 
 
 @query("recovery_totals", "SELECT phash_state, count(*) AS n, count(*) FILTER (WHERE s.held) AS retryable FROM contents c LEFT JOIN (SELECT sha1_hash, bool_or(dest_path IS NOT NULL) AS held FROM photos GROUP BY 1) s USING (sha1_hash) GROUP BY 1")
@@ -173,13 +157,12 @@ def status_before_reject(photos: DataFrame, review_events: DataFrame) -> DataFra
 
 
 @query("issue_verdicts", """
-SELECT op, CASE WHEN s = 'match' AND d = 'match' THEN 'both' WHEN d = 'match' THEN 'delivered' WHEN s = 'match' THEN 'kept' WHEN s = 'absent' AND d = 'absent' THEN 'lost' ELSE 'unclear' END AS verdict FROM (SELECT op, ['match', 'mismatch', 'absent', 'unreadable'][photo_id % 4 + 1] AS s, ['match', 'absent', 'mismatch'][run_id % 3 + 1] AS d FROM operations WHERE status = 'Failed')""")
-def issue_verdicts(operations: DataFrame) -> DataFrame:
+SELECT op, CASE WHEN source_state = 'match' AND dest_state = 'match' THEN 'both' WHEN dest_state = 'match' THEN 'delivered' WHEN source_state = 'match' THEN 'kept' WHEN source_state = 'absent' AND dest_state = 'absent' THEN 'lost' ELSE 'unclear' END AS verdict FROM ends WHERE status = 'Failed'""")
+def issue_verdicts(ends: DataFrame) -> DataFrame:
     """A check's verdict from what lies at both ends."""
-    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    rows = operations.filter("status = 'Failed'").select("op", pick(("match", "mismatch", "absent", "unreadable"), F.col("photo_id")).alias("s"), pick(("match", "absent", "mismatch"), F.col("run_id")).alias("d"))
-    s, d = F.col("s"), F.col("d")
-    return rows.select("op", F.when((s == "match") & (d == "match"), "both").when(d == "match", "delivered").when(s == "match", "kept").when((s == "absent") & (d == "absent"), "lost").otherwise("unclear").alias("verdict"))
+    s, d = F.col("source_state"), F.col("dest_state")
+    verdict = F.when((s == "match") & (d == "match"), "both").when(d == "match", "delivered").when(s == "match", "kept").when((s == "absent") & (d == "absent"), "lost").otherwise("unclear")
+    return ends.filter("status = 'Failed'").select("op", verdict.alias("verdict"))
 
 
 @query("first_seen", "SELECT p.id, min(r.created_at) AS first_seen, count(r.id) AS sightings FROM photos p LEFT JOIN review_events r ON r.photo_id = p.id GROUP BY p.id")

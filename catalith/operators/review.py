@@ -26,9 +26,9 @@ def rejected_at(review_events: DataFrame) -> DataFrame:
 
 
 FLAGS_SQL = """
-SELECT p.id, p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND least(c.width, c.height) < 1000 AND NOT EXISTS (SELECT 1 FROM review_events r WHERE r.photo_id = p.id AND r.action = 'view') AS small,
+SELECT p.id, p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND coalesce(least(c.width, c.height) < 1000, false) AND NOT EXISTS (SELECT 1 FROM review_events r WHERE r.photo_id = p.id AND r.action = 'view') AS small,
   coalesce(l.action = 'click', false) AS later, p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND coalesce(CAST(substr(p.date_taken, 1, 4) AS INTEGER) < 1800, false) AS odd_date, EXISTS (SELECT 1 FROM issues i WHERE i.photo_id = p.id AND i.category = 'unestablished_outcome' AND NOT i.resolved) AS issue
-FROM photos p JOIN contents c USING (sha1_hash) LEFT JOIN (SELECT photo_id, arg_max(action, id) AS action FROM review_events GROUP BY photo_id) l ON l.photo_id = p.id"""
+FROM photos p LEFT JOIN contents c USING (sha1_hash) LEFT JOIN (SELECT photo_id, arg_max(action, id) AS action FROM review_events GROUP BY photo_id) l ON l.photo_id = p.id"""
 
 
 @query("review_flags", FLAGS_SQL)
@@ -36,10 +36,10 @@ def review_flags(photos: DataFrame, contents: DataFrame, review_events: DataFram
     """Why each photo asks for review: small, put off, odd date, open issue."""
     seen = review_events.groupBy(F.col("photo_id").alias("id")).agg(F.max_by("action", "id").alias("action"), F.bool_or(F.col("action") == "view").alias("viewed"))
     open_ids = issues.filter("category = 'unestablished_outcome' and not resolved").select(F.col("photo_id").alias("id"), F.lit(True).alias("open")).distinct()
-    rows = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash").join(seen, "id", "left").join(open_ids, "id", "left")
+    rows = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash", "left").join(seen, "id", "left").join(open_ids, "id", "left")
     delivered, no = F.col("status").isin(*schema.DELIVERED), F.lit(False)
     return rows.select(
-        "id", (delivered & (F.least("width", "height") < 1000) & ~F.coalesce("viewed", no)).alias("small"), F.coalesce(F.col("action") == "click", no).alias("later"),
+        "id", (delivered & F.coalesce(F.least("width", "height") < 1000, no) & ~F.coalesce("viewed", no)).alias("small"), F.coalesce(F.col("action") == "click", no).alias("later"),
         (delivered & X.suspicious(F.col("date_taken"), F.col("status"))).alias("odd_date"), F.coalesce("open", no).alias("issue"),
     )
 

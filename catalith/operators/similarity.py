@@ -1,9 +1,11 @@
 """Look-alikes over locality hashes: Hamming joins, buckets, counts, neighbourhoods.
 
 Equal hashes are never joined with each other: a bucket is counted once, and only distinct hashes are compared. For
-distances up to 6 the comparison is an exact equi-join: 64 (or fewer) bits cut into one band more than the distance
-leave at least one band equal, so bands are joined and the distance is checked after. Beyond that no band is
-selective; distinct hashes are then dealt into blocks and compared block by block, each task holding two blocks.
+distances up to 6 the comparison is an exact equi-join by multi-index search: of four bands of a 62-bit hash one
+differs in one bit at most, so each band is looked up with its value and with every value one bit away, and the
+distance is checked after; a pair counts at its first such band only, so no distinct is needed. Up to 16 bits, bands
+save too little (four bands with up to four bits each would probe 2,517 values and still meet a seventh of all pairs):
+distinct hashes are dealt into blocks of about BLOCK rows, and every unordered pair of blocks is one join key.
 """
 
 from __future__ import annotations
@@ -17,35 +19,52 @@ from ..registry import query
 from ..sources.catalog import BITS
 
 NEAR = 6
+#: Bands of the multi-index search, and rows of a block.
+BANDS, BLOCK = 4, 4096
 
 
 def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def hashes(contents: DataFrame, column: str = "h20") -> DataFrame:
+def hashes(contents: DataFrame, column: str = "h62") -> DataFrame:
     return contents.filter(F.col(column).isNotNull()).select(F.col(column).alias("h")).distinct()
 
 
+def near_pairs(left: DataFrame, right: DataFrame, bits: int, most: int, bands: int = BANDS) -> DataFrame:
+    """left: a; right: b (distinct hashes). a, b, distance: every pair at most `most` bits apart, once."""
+    radius = most // bands
+    if radius > 1:
+        raise ValueError("more than one bit a band: use block_pairs")
+    edges = [bits * k // bands for k in range(bands + 1)]
+    part = lambda h, k: F.shiftright(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("bigint"))
+    flips = lambda k: [0, *(1 << i for i in range(edges[k + 1] - edges[k]))][: None if radius else 1]
+    struct = lambda k, value: F.struct(F.lit(k).alias("band"), value.alias("part"))
+    probes = F.array(*[struct(k, part("a", k).bitwiseXOR(F.lit(f).cast("bigint"))) for k in range(bands) for f in flips(k)])
+    held = F.array(*[struct(k, part("b", k)) for k in range(bands)])
+    found = left.select("a", F.explode(probes).alias("x")).select("a", "x.*").join(right.select("b", F.explode(held).alias("x")).select("b", "x.*"), ["band", "part"])
+    apart = lambda k: F.bit_count(part("a", k).bitwiseXOR(part("b", k)))
+    first = F.coalesce(*[F.when(apart(k) <= radius, F.lit(k)) for k in range(bands)])
+    d = distance(F.col("a"), F.col("b"))
+    return found.filter((d <= most) & (F.col("band") == first)).select("a", "b", d.alias("distance"))
+
+
 def band_pairs(h: DataFrame, bits: int, most: int) -> DataFrame:
     """low, high, distance of distinct hashes at most `most` bits apart, by bands."""
-    bands = most + 1
-    edges = [bits * k // bands for k in range(bands + 1)]
-    parts = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftright("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("bigint")).alias("part")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
-    each = h.select("h", F.explode(parts).alias("x")).select("h", "x.*")
-    a, b = each.alias("a"), each.alias("b")
-    found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.h") < F.col("b.h")))
-    d = distance(F.col("a.h"), F.col("b.h"))
-    return found.filter(d <= most).select(F.col("a.h").alias("low"), F.col("b.h").alias("high"), d.alias("distance")).distinct()
+    found = near_pairs(h.select(F.col("h").alias("a")), h.select(F.col("h").alias("b")), bits, most).filter("a < b")
+    return found.select(F.col("a").alias("low"), F.col("b").alias("high"), "distance")
 
 
-def block_pairs(h: DataFrame, most: int, blocks: int = 8) -> DataFrame:
+def block_pairs(h: DataFrame, most: int) -> DataFrame:
     """The same for distances that no band helps with: every pair of blocks is one join key, so no task sees all."""
-    left = h.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y")).alias("a")
-    right = h.select("h", F.pmod(F.xxhash64("h"), F.lit(blocks)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("x")).alias("b")
+    blocks = max(1, -(-h.count() // BLOCK))
+    own = F.pmod(F.xxhash64("h"), F.lit(blocks))
+    side = lambda at, other: h.select(F.col("h"), own.alias(at)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("x <= y")
+    a, b = side("x", "y").alias("a"), side("y", "x").alias("b")
     d = distance(F.col("a.h"), F.col("b.h"))
-    found = left.join(right, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.h") < F.col("b.h")) & (d <= most))
-    return found.select(F.col("a.h").alias("low"), F.col("b.h").alias("high"), d.alias("distance"))
+    once = (F.col("a.x") < F.col("a.y")) | (F.col("a.h") < F.col("b.h"))
+    found = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & once & (d <= most))
+    return found.select(F.least("a.h", "b.h").alias("low"), F.greatest("a.h", "b.h").alias("high"), d.alias("distance"))
 
 
 def edges(contents: DataFrame) -> DataFrame:
@@ -56,7 +75,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("low").alias("h"), F.col("high").alias("other"), "distance").union(pairs.select("high", "low", "distance"))
 
 
-def available(photos: DataFrame, contents: DataFrame, column: str = "h20") -> DataFrame:
+def available(photos: DataFrame, contents: DataFrame, column: str = "h62") -> DataFrame:
     """content_id, h, photo_id: one delivered photo for each content that has a hash."""
     held = photos.filter(F.col("status").isin(*schema.DELIVERED)).groupBy("sha1_hash").agg(F.min("id").alias("photo_id"))
     return contents.filter(F.col(column).isNotNull()).join(held, "sha1_hash").select("content_id", F.col(column).alias("h"), "photo_id", "mean_brightness", "mean_gradient")
@@ -106,26 +125,17 @@ def similar_gallery_ranked(photos: DataFrame, contents: DataFrame, size: int = 6
     return match_counts(photos, contents).filter("matches > 0").orderBy(F.desc("matches"), "photo_id").limit(size)
 
 
-@query("six_threshold_counts", """
-SELECT a.photo_id, CAST(b.n - 1 + coalesce(sum(n6), 0) AS BIGINT) AS at_90, CAST(b.n - 1 + coalesce(sum(n3), 0) AS BIGINT) AS at_95, b.n - 1 AS at_100 FROM available a JOIN buckets b USING (h)
-LEFT JOIN (SELECT r.h, CASE WHEN r.distance <= 6 THEN b.n END AS n6, CASE WHEN r.distance <= 3 THEN b.n END AS n3 FROM around r JOIN buckets b ON b.h = r.other) s ON s.h = a.h GROUP BY a.photo_id, b.n""")
-def threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    """Cumulative counts at each threshold that the compared distance covers, in one aggregation."""
-    avail = available(photos, contents)
-    sums = [F.coalesce(F.sum(F.when(F.col("distance") <= d, F.col("n"))), F.lit(0)).alias(f"s{t}") for t, d in schema.THRESHOLDS.items() if 0 < d <= NEAR]
-    per = weighted(avail, contents).groupBy("h").agg(*sums)
-    out = avail.join(buckets(avail), "h").join(per, "h", "left")
-    own = F.col("n") - 1
-    return out.select("photo_id", *[(own + F.coalesce(F.col(f"s{t}"), F.lit(0)) if d else own).alias(f"at_{t}") for t, d in schema.THRESHOLDS.items() if d <= NEAR])
-
-
-@query("all_threshold_counts", """
+THRESHOLD_COUNTS_SQL = """
 SELECT photo_id, count(*) FILTER (WHERE d <= 16) - 1 AS at_75, count(*) FILTER (WHERE d <= 12) - 1 AS at_80, count(*) FILTER (WHERE d <= 9) - 1 AS at_85, count(*) FILTER (WHERE d <= 6) - 1 AS at_90, count(*) FILTER (WHERE d <= 3) - 1 AS at_95, count(*) FILTER (WHERE d = 0) - 1 AS at_100
 FROM (SELECT a.photo_id, bit_count(xor(a.h, b.h)) AS d FROM (SELECT c.h62 AS h, min(p.id) AS photo_id FROM photos p JOIN contents c USING (sha1_hash) WHERE p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND c.h62 IS NOT NULL GROUP BY c.content_id, c.h62) a
-CROSS JOIN (SELECT c.h62 AS h FROM contents c WHERE c.h62 IS NOT NULL AND c.sha1_hash IN (SELECT sha1_hash FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination'))) b) GROUP BY photo_id""")
-def all_threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
+CROSS JOIN (SELECT c.h62 AS h FROM contents c WHERE c.h62 IS NOT NULL AND c.sha1_hash IN (SELECT sha1_hash FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination'))) b) GROUP BY photo_id"""
+
+
+@query("six_threshold_counts", THRESHOLD_COUNTS_SQL)
+@query("all_threshold_counts", THRESHOLD_COUNTS_SQL)
+def threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
     """Cumulative counts at all six thresholds over the 62-bit hashes, block by block, in one aggregation."""
-    avail = available(photos, contents, "h62")
+    avail = available(photos, contents)
     b = buckets(avail)
     near = both_ways(block_pairs(b.select("h"), max(schema.THRESHOLDS.values()))).join(b.select(F.col("h").alias("other"), "n"), "other")
     per = near.groupBy("h").agg(*[F.sum(F.when(F.col("distance") <= d, F.col("n"))).alias(f"s{t}") for t, d in schema.THRESHOLDS.items()])
@@ -143,22 +153,26 @@ def reference_histogram(photos: DataFrame, contents: DataFrame) -> DataFrame:
     return per.select("distance", "n", F.sum("n").over(Window.orderBy("distance")).alias("cumulative"))
 
 
-@query("comparison_state", "SELECT count(*) FILTER (WHERE h20 IS NULL) AS unavailable, count(*) FILTER (WHERE h20 IS NOT NULL AND h20 NOT IN (SELECT low FROM edges UNION SELECT high FROM edges)) AS alone, count(*) AS contents FROM contents")
+@query("comparison_state", "SELECT count(*) FILTER (WHERE h62 IS NULL) AS unavailable, count(*) FILTER (WHERE h62 IS NOT NULL AND h62 NOT IN (SELECT low FROM edges UNION SELECT high FROM edges)) AS alone, count(*) AS contents FROM contents")
 def comparison_state(contents: DataFrame) -> DataFrame:
     e = edges(contents)
-    met = e.select("low").union(e.select("high")).distinct().select(F.col("low").alias("h20"), F.lit(True).alias("met"))
-    return contents.join(met, "h20", "left").agg(F.count_if(F.col("h20").isNull()).alias("unavailable"), F.count_if(F.col("h20").isNotNull() & F.col("met").isNull()).alias("alone"), F.count(F.lit(1)).alias("contents"))
+    met = e.select("low").union(e.select("high")).distinct().select(F.col("low").alias("h62"), F.lit(True).alias("met"))
+    return contents.join(met, "h62", "left").agg(F.count_if(F.col("h62").isNull()).alias("unavailable"), F.count_if(F.col("h62").isNotNull() & F.col("met").isNull()).alias("alone"), F.count(F.lit(1)).alias("contents"))
 
 
 @query("neighbourhood_sets", """
 SELECT min(photo_id) AS representative, count(*) AS members FROM (SELECT a.photo_id, n.k FROM available a JOIN (SELECT h, string_agg(x, ',' ORDER BY x) AS k FROM (SELECT h, h AS x FROM buckets UNION SELECT r.h, r.other FROM around r JOIN buckets b ON b.h = r.other) GROUP BY h) n USING (h)) GROUP BY k HAVING count(*) > 1""")
 def neighbourhood_sets(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    """Photos whose closed neighbourhoods are identical, by an order-free key of the neighbourhood."""
+    """Photos whose closed neighbourhoods are identical, by an order-free key of bounded size: its number and two sums.
+
+    The key takes no list of the neighbours, so a hash with very many costs no more memory than one with few.
+    """
     avail = available(photos, contents)
     b = buckets(avail)
     closed = b.select("h", F.col("h").alias("x")).union(both_ways(edges(contents)).select("h", F.col("other").alias("x"))).distinct()
     closed = closed.join(b.select(F.col("h").alias("x")), "x", "left_semi").join(b.select("h"), "h", "left_semi")
-    keys = closed.groupBy("h").agg(F.sort_array(F.collect_list("x")).alias("k"))
+    mark = lambda salt: F.sum(F.xxhash64("x", F.lit(salt)).cast("decimal(20,0)"))
+    keys = closed.groupBy("h").agg(F.struct(F.count(F.lit(1)), mark(1), mark(2)).alias("k"))
     return avail.join(keys, "h").groupBy("k").agg(F.min("photo_id").alias("representative"), F.count(F.lit(1)).alias("members")).filter("members > 1").drop("k")
 
 
@@ -200,10 +214,93 @@ def low_detail(contents: DataFrame) -> DataFrame:
     return contents.select("content_id", low.alias("low"), F.col("mean_brightness").isNull().alias("unknown"))
 
 
+def queue_orders() -> dict[str, list[Column]]:
+    """The match queue's sorts. Names fold ASCII case only."""
+    folded = F.translate("name", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return {
+        "matches": [F.desc("matches"), F.col("id")], "newest": [F.col("date_taken").isNull(), F.desc("date_taken"), F.desc("id")], "oldest": [F.col("date_taken").isNull(), F.asc("date_taken"), F.col("id")],
+        "name": [folded, F.col("id")], "largest": [F.desc_nulls_last("file_size"), F.col("id")],
+    }
+
+
 @query("match_queue", """
 SELECT id, matches FROM (SELECT id, count(*) OVER (PARTITION BY sha1_hash) - 1 AS matches, file_size FROM photos WHERE status <> 'Failed') WHERE matches > 0 ORDER BY matches DESC, file_size DESC, id LIMIT 60""")
 def match_queue(photos: DataFrame, size: int = 60) -> DataFrame:
     """Exact matches, most first."""
     rows = photos.filter("status <> 'Failed'")
     n = rows.groupBy("sha1_hash").agg((F.count(F.lit(1)) - 1).alias("matches")).filter("matches > 0")
-    return rows.join(n, "sha1_hash").orderBy(F.desc("matches"), F.desc("file_size"), "id").select("id", "matches").limit(size)
+    return rows.join(n, rows["sha1_hash"].eqNullSafe(n["sha1_hash"])).orderBy(F.desc("matches"), F.desc("file_size"), "id").select("id", "matches").limit(size)
+
+
+def similar_queue(photos: DataFrame, contents: DataFrame, percent: float, sort: str, term: str = "", page: int = 1, size: int = 30) -> DataFrame:
+    """A page of the photos that have look-alikes at a percentage, whose name holds the term."""
+    avail = available(photos, contents)
+    b = buckets(avail)
+    near = both_ways(pairs_within(b.select("h"), X.match_distance(percent))).join(b.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("around"))
+    counted = avail.join(b, "h").join(near, "h", "left").select(F.col("photo_id").alias("id"), (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("matches")).filter("matches > 0")
+    named = photos.filter(F.ilike("name", F.lit(X.escape_like(term)), F.lit("\\")))
+    return counted.join(named, "id").orderBy(*queue_orders()[sort]).offset((page - 1) * size).limit(size).select("id", "name", "matches")
+
+
+def pairs_within(h: DataFrame, most: int) -> DataFrame:
+    return band_pairs(h, BITS, most) if most <= 2 * BANDS - 1 else block_pairs(h, most)
+
+
+SIMILAR_QUEUE_SQL = """
+SELECT id, name, matches FROM (SELECT p.id, p.name, p.date_taken, p.file_size, (SELECT count(*) FROM available b WHERE bit_count(xor(a.h, b.h)) <= {d}) - 1 AS matches FROM available a JOIN photos p ON p.id = a.photo_id)
+WHERE matches > 0 AND name ILIKE '%{term}%' ORDER BY {order} LIMIT 30 OFFSET {skip}"""
+
+
+@query("match_queue_similar", SIMILAR_QUEUE_SQL.format(d=6, term="", order="matches DESC, id", skip=0))
+def match_queue_similar(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    return similar_queue(photos, contents, 90, "matches")
+
+
+@query("match_queue_newest", SIMILAR_QUEUE_SQL.format(d=16, term="cr2", order="date_taken IS NULL, date_taken DESC, id DESC", skip=30))
+def match_queue_newest(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    return similar_queue(photos, contents, 75, "newest", "CR2", page=2)
+
+
+@query("match_queue_oldest", SIMILAR_QUEUE_SQL.format(d=12, term="", order="date_taken IS NULL, date_taken, id", skip=0))
+def match_queue_oldest(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    return similar_queue(photos, contents, 80, "oldest")
+
+
+@query("match_queue_name", SIMILAR_QUEUE_SQL.format(d=16, term="", order="lower(name), id", skip=0))
+def match_queue_name(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    return similar_queue(photos, contents, 75, "name")
+
+
+@query("match_queue_largest", SIMILAR_QUEUE_SQL.format(d=3, term="", order="file_size DESC NULLS LAST, id", skip=0))
+def match_queue_largest(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    return similar_queue(photos, contents, 95, "largest")
+
+
+@query("largest_match", """
+SELECT photo_id AS id, arg_max(content_id, (pixels, -content_id)) AS content_id, max(pixels) AS pixels FROM (
+  SELECT a.photo_id, b.content_id, c.width::BIGINT * c.height AS pixels FROM available a JOIN available b ON a.content_id <> b.content_id AND bit_count(xor(a.h, b.h)) <= 6 JOIN contents c ON c.content_id = b.content_id WHERE c.width > 0 AND c.height > 0) GROUP BY photo_id""")
+def largest_match(photos: DataFrame, contents: DataFrame) -> DataFrame:
+    """Each photo's look-alike with the most pixels, of equal ones that of the least id. A bucket's two best are enough."""
+    avail = available(photos, contents).join(contents.filter("width > 0 and height > 0").select("content_id", (F.col("width").cast("bigint") * F.col("height")).alias("pixels")), "content_id")
+    order = Window.partitionBy("h").orderBy(F.desc("pixels"), "content_id")
+    best = avail.withColumn("k", F.row_number().over(order)).filter("k <= 2").select(F.col("h").alias("other"), "content_id", "pixels")
+    h = hashes(contents)
+    around = both_ways(edges(contents)).select("h", "other").union(h.select("h", F.col("h").alias("other")))
+    seen = available(photos, contents).select("photo_id", "h", F.col("content_id").alias("own")).join(around, "h").join(best, "other").filter("own <> content_id")
+    top = F.max(F.struct("pixels", (-F.col("content_id")).alias("at"))).alias("top")
+    return seen.groupBy(F.col("photo_id").alias("id")).agg(top).select("id", (-F.col("top.at")).alias("content_id"), F.col("top.pixels").alias("pixels"))
+
+
+@query("similarity_diagnostics", "SELECT (SELECT count(*) FROM hashes) AS distinct_hashes, (SELECT count(*) FROM edges) AS stored_pairs, (SELECT count(*) FROM hashes WHERE h NOT IN (SELECT low FROM edges UNION SELECT high FROM edges)) AS alone")
+def similarity_diagnostics(contents: DataFrame) -> DataFrame:
+    """Distinct hashes, pairs of look-alikes, and hashes without any."""
+    h, e = hashes(contents), edges(contents)
+    met = e.select(F.col("low").alias("h")).union(e.select("high")).distinct().withColumn("met", F.lit(True))
+    per = h.join(met, "h", "left").agg(F.count(F.lit(1)).alias("distinct_hashes"), F.count_if(F.col("met").isNull()).alias("alone"))
+    return per.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("stored_pairs")))).select("distinct_hashes", "stored_pairs", "alone")  # one row each
+@query("low_detail", "SELECT content_id, coalesce(mean_brightness < 10, false) OR coalesce(mean_gradient < 2, false) AS low, mean_brightness IS NULL AS unknown FROM contents")
+def low_detail(contents: DataFrame) -> DataFrame:
+    low = F.coalesce(F.col("mean_brightness") < 10, F.lit(False)) | F.coalesce(F.col("mean_gradient") < 2, F.lit(False))
+    return contents.select("content_id", low.alias("low"), F.col("mean_brightness").isNull().alias("unknown"))
+
+

@@ -12,8 +12,8 @@ from .sources.catalog import Catalog
 from .sources.oracle_views import with_views
 
 MODULES = (
-    "functions.scalars", "operators.gallery", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks", "operators.records",
-    "plans.transfer", "plans.ingest", "streaming.incremental",
+    "functions.scalars", "functions.values", "operators.gallery", "operators.predicates", "operators.capture", "operators.findings", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks", "operators.records",
+    "plans.transfer", "plans.ingest", "plans.ledger", "streaming.incremental",
 )
 
 _found: dict[str, tuple[Callable[..., DataFrame], str | None]] = {}

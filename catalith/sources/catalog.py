@@ -1,6 +1,8 @@
 """The catalog's tables, derived from the tables of a directory.
 
 Each view is a DataFrame here and a common table expression in SQL (see oracle_views): the two are the same relation.
+The views over whole texts and vectors are written once a session, as an index is, so that a query reads a narrow table
+and not the texts.
 """
 
 from __future__ import annotations
@@ -10,12 +12,30 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 20
+from .stored import stored
 
+#: Bits of a locality hash: what fits a long beside a sign and what every engine can shift.
+BITS = 62
 
-def sign_hash(embedding, bits: int):
-    """A locality hash: bit i is set where the embedding's number i is positive."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"), lambda acc, i: acc + F.when(F.get(embedding, i) > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+
+#: A word is a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def similarity_hashes(texts: DataFrame) -> DataFrame:
+    """texts: content_id, text. content_id, h62: bit i is set where most words' hashes have it, so like texts have near hashes.
+
+    It stands for the perceptual hash of a picture, which is an input. Words are summed where they are read.
+    """
+    word = F.md5(F.col("word"))
+    half = lambda at: F.conv(F.substring(word, at, 8), 16, 10).cast("bigint")
+    rows = texts.select("content_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).select("content_id", half(1).alias("high"), half(9).alias("low"))
+    bits = [F.sum(F.shiftright("low" if i < BITS // 2 else "high", i % (BITS // 2)).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in range(BITS)]
+    sums = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), *bits)
+    value = F.lit(0).cast("bigint")
+    for i in range(BITS):
+        value = value + F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return sums.select("content_id", value.alias("h62"))
 
 
 class Catalog:
@@ -29,6 +49,14 @@ class Catalog:
 
     @cached_property
     def photos(self) -> DataFrame:
+        return stored(self._photos, ["documents"], self.sf_dir, "photos")
+
+    @cached_property
+    def contents(self) -> DataFrame:
+        return stored(self._contents, ["documents"], self.sf_dir, "contents")
+
+    @cached_property
+    def _photos(self) -> DataFrame:
         i = F.col("doc_id")
         name = F.concat(F.lit("doc-"), F.lpad(i.cast("string"), 7, "0"), F.lit("."), F.element_at(F.array(*map(F.lit, ("jpg", "png", "cr2", "tif"))), (i % 4 + 1).cast("int")))
         status = F.element_at(F.array(*map(F.lit, ("Failed", "Pending", "Duplicate", "Removed_Duplicate", "Rejected", "Rejected_Copied", "Completed", "Found_At_Destination", "Processing", "Copied", "Copied", "Copied"))), (i % 12 + 1).cast("int"))
@@ -41,12 +69,13 @@ class Catalog:
         )
 
     @cached_property
-    def contents(self) -> DataFrame:
+    def _contents(self) -> DataFrame:
         first = self.photos.groupBy("sha1_hash").agg(F.min("id").alias("content_id"))
-        vectors = self.table("embeddings").select(F.col("vec_id").alias("content_id"), sign_hash(F.col("embedding"), BITS).alias("h20"), sign_hash(F.col("embedding"), 62).alias("h62"))
+        texts = self.table("documents").filter("doc_id % 18 <> 5").select(F.col("doc_id").alias("content_id"), "text")  # the other pictures can't be read
+        vectors = similarity_hashes(texts)
         i = F.col("content_id")
         return first.join(vectors, "content_id", "left").select(
-            i, "sha1_hash", "h20", "h62", F.when(F.col("h20").isNull(), "error").otherwise("ok").alias("phash_state"), (640 * (1 + i % 8)).cast("int").alias("width"), (480 * (1 + i % 8)).cast("int").alias("height"),
+            i, "sha1_hash", "h62", F.when(F.col("h62").isNull(), "error").otherwise("ok").alias("phash_state"), (640 * (1 + i % 8)).cast("int").alias("width"), (480 * (1 + i % 8)).cast("int").alias("height"),
             F.when(i % 17 != 0, (i * 7 % 200).cast("double")).alias("mean_brightness"), F.when(i % 17 != 0, (i * 3 % 40) / 10).alias("mean_gradient"),
         )
 
@@ -91,3 +120,84 @@ class Catalog:
     def tags(self) -> DataFrame:
         """Metadata values as (photo, source, field, value) with the sources' reading order."""
         return self.table("events").select(F.col("event_id").alias("id"), (F.col("user_id")).alias("photo_id"), F.col("event_type").alias("source"), F.concat(F.lit("field"), (F.col("event_id") % 8).cast("string")).alias("field"), F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise((F.col("event_id") % 7).cast("string")).alias("value"))
+
+    @cached_property
+    def captures(self) -> DataFrame:
+        """Metadata captures: the state that each left, in order of id."""
+        return self.review_events.select("id", "photo_id", F.when(F.col("k") < 30, "needs_attention").otherwise("captured").alias("state"), F.col("action").alias("source"))
+
+    @cached_property
+    def version_answers(self) -> DataFrame:
+        answer = F.when(F.col("k") < 34, "waiting").when(F.col("k") < 67, "not_kept").otherwise("kept")
+        return self.review_events.filter("action = 'click'").select("id", "photo_id", answer.alias("answer"))
+
+    @cached_property
+    def confirmations(self) -> DataFrame:
+        """Dates that somebody confirmed; of some photos the date has changed since."""
+        return self.photos.filter("id % 97 = 0").select(F.col("id").alias("photo_id"), F.when(F.col("id") % 194 == 0, F.col("date_taken")).otherwise("1798").alias("date_taken"))
+
+    @cached_property
+    def thumbnails(self) -> DataFrame:
+        i = F.col("vec_id")
+        return self.table("embeddings").select(i.alias("content_id"), F.explode(F.array(F.lit(320), F.lit(1280))).alias("size"), (i % 11 != 0).alias("present")).withColumn("bytes", F.col("size") * (F.col("content_id") % 50 + 1))
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """What two checks found: one that was completed and one that was not."""
+        from ..operators.checks import destination_check
+
+        rows = destination_check(self.photos, self.observed).filter("kind <> 'ok'")
+        runs = F.explode(F.array(F.struct(F.lit(9).alias("run_id"), F.lit(True).alias("completed")), F.struct(F.lit(11).alias("run_id"), F.lit(False).alias("completed")))).alias("r")
+        rows = rows.select(runs, F.col("id").alias("photo_id"), "path", "kind", F.col("expected").alias("expected_sha1"), F.col("observed").alias("observed_sha1"), "size")
+        return rows.select("r.run_id", "r.completed", "photo_id", "path", "kind", "expected_sha1", "observed_sha1", "size", F.when((F.col("photo_id") % 5 == 0) & (F.col("r.run_id") == 9), F.col("photo_id")).alias("settled_by"))
+
+    @cached_property
+    def image_tags(self) -> DataFrame:
+        """photo_id, tag, value: qualified metadata tags as a reader gives them, some of them wrong."""
+        i, day, text = F.col("id"), F.substring("date_taken", 1, 10), lambda c: c.cast("string")
+        exif = F.concat(F.translate(day, "-", ":"), F.lit(" "), F.substring("date_taken", 12, 8))
+        degrees = lambda most: F.concat(text(i % most), F.lit("."), F.lpad(text(i * 7 % 1000), 3, "0"))
+        tags = {
+            "ExifIFD:DateTimeOriginal": F.when(i % 11 == 0, None).when(i % 17 == 0, "unknown").otherwise(exif), "ExifIFD:SubSecTimeOriginal": F.when(i % 3 == 0, text(i % 100)).when(i % 31 == 0, "x"),
+            "ExifIFD:OffsetTimeOriginal": F.when(i % 2 == 0, "+02:00").when(i % 37 == 0, "2h"), "IFD0:Orientation": F.when(i % 5 != 0, text(i % 10)), "IFD0:Make": F.col("camera"),
+            "IFD0:Copy1:Make": F.when(i % 7 == 0, F.col("lens")).when(i % 2 == 0, F.col("camera")), "IFD0:XPKeywords": F.concat("lens", F.lit("; "), "camera", F.lit(";x")),
+            "XMP-xmp:Rating": F.element_at(F.array(*map(F.lit, ("4.50", "-1", "05.0", "7", "0.00", None))), (i % 6 + 1).cast("int")), "XMP-dc:Title": F.col("camera"), "XMP-dc:Title-de": F.when(i % 4 == 0, F.col("lens")),
+            "XMP-exif:DateTimeOriginal": F.when(i % 3 == 1, F.concat(F.translate(day, "-", ":"), F.lit(" 08:00:00Z"))), "GPS:GPSLatitude": F.when(i % 4 < 3, degrees(95)), "GPS:GPSLatitudeRef": F.when(i % 8 < 6, F.lit("N")).when(i % 8 == 7, "S"),
+            "GPS:GPSLongitude": F.when(i % 4 < 3, degrees(185)), "GPS:GPSLongitudeRef": F.when(i % 4 < 3, F.lit("E")),
+        }
+        rows = self.photos.select(i.alias("photo_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in tags.items()])).alias("x"))
+        return rows.select("photo_id", "x.tag", "x.value").filter("value is not null")
+
+    @cached_property
+    def ends(self) -> DataFrame:
+        """op, kind, source_state, dest_state: what a check met at both ends of each operation that needs one."""
+        pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+        rows = self.operations.filter(F.col("status").isin("Failed", "Pending"))
+        source = F.when(F.col("status") == "Failed", pick(("match", "mismatch", "absent", "unreadable"), F.col("photo_id"))).otherwise(pick(("absent", "present", "present", "unreadable"), F.col("photo_id")))
+        dest = F.when(F.col("status") == "Failed", pick(("match", "absent", "mismatch"), F.col("run_id"))).otherwise(pick(("match", "absent", "mismatch", "match", "absent"), F.col("run_id")))
+        return rows.select("op", "status", "run_id", "photo_id", source.alias("source_state"), dest.alias("dest_state"))
+
+    @cached_property
+    def looks(self) -> DataFrame:
+        """Recorded and seen hashes of delivered pictures: what was seen differs in as many bits as the id says."""
+        other = F.expr("shiftleft(1L, cast(photo_id % 40 as int)) - 1L")
+        rows = self.photos.filter(F.col("dest_path").isNotNull()).join(self.contents.filter("h62 is not null").select("sha1_hash", "h62"), "sha1_hash")
+        return rows.select(F.col("id").alias("photo_id"), F.col("h62").alias("recorded")).withColumn("seen", F.col("recorded").bitwiseXOR(other))
+
+    @cached_property
+    def clashes(self) -> DataFrame:
+        """name, folder: folders of names that several contents share; here a name is its last digits and type."""
+        rows = self.photos.select(F.expr("right(name, 6)").alias("name"), F.regexp_extract("source_path", "^(.*)/[^/]*$", 1).alias("folder"), "sha1_hash")
+        shared = rows.groupBy("name").agg(F.min("sha1_hash").alias("a"), F.max("sha1_hash").alias("b")).filter("a <> b").select("name")
+        return rows.join(shared, "name", "left_semi").select("name", "folder").distinct()
+
+    @cached_property
+    def recorded(self) -> DataFrame:
+        return self.photos.select(F.col("source_path").alias("path"), F.col("file_size").alias("size"), (F.col("id") * 1.5).alias("mtime"), "status")
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """What a walk of the source finds: some files newer, some of another size, some times off by a rounding."""
+        i = F.col("id")
+        moved = F.when(i % 7 == 0, F.lit(1.0)).when(i % 3 == 0, F.lit(0.0000004)).otherwise(F.lit(0.0))
+        return self.photos.select(F.col("source_path").alias("path"), (F.col("file_size") + F.when(i % 11 == 0, 1).otherwise(0)).alias("size"), (i * 1.5 + moved).alias("mtime"))

@@ -1,6 +1,16 @@
 """The views of sources.catalog as common table expressions for DuckDB."""
 
-VIEWS = r"""
+#: A similarity hash by majority of word hashes, bit by bit.
+_SUMS = ", ".join(f"sum(({'low' if i < 31 else 'high'} >> {i % 31}) & 1)" for i in range(62))
+
+VIEWS = (
+    rf"""
+word_hashes AS (
+  SELECT content_id, CAST(list_sum([CASE WHEN 2 * s[i + 1] > n THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(62)]) AS BIGINT) AS h62 FROM (SELECT content_id, count(*) AS n, [{_SUMS}] AS s FROM (
+    SELECT content_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS high, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS low FROM (SELECT doc_id AS content_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents WHERE doc_id % 18 <> 5)) GROUP BY content_id)
+),
+"""
+    r"""
 photos AS (
   SELECT *, CASE WHEN id % 12 IN (6, 7, 9, 10, 11) THEN '/dst/library/' || name WHEN id % 12 IN (4, 5) THEN '/dst/rejects/' || name END AS dest_path, '/src/' || camera || '/' || lens || '/' || name AS source_path FROM (
     SELECT doc_id AS id, sha1(text) AS sha1_hash, n_chars AS file_size,
@@ -9,11 +19,9 @@ photos AS (
       CASE WHEN doc_id % 9 = 0 THEN 'file_mtime' ELSE 'exif' END AS date_source, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 7, '0') || '.' || ['jpg', 'png', 'cr2', 'tif'][doc_id % 4 + 1] AS name, source AS camera, lang AS lens FROM documents)
 ),
 contents AS (
-  SELECT content_id, sha1_hash, h20, h62, CASE WHEN h20 IS NULL THEN 'error' ELSE 'ok' END AS phash_state, CAST(640 * (1 + content_id % 8) AS INTEGER) AS width, CAST(480 * (1 + content_id % 8) AS INTEGER) AS height,
+  SELECT content_id, sha1_hash, h62, CASE WHEN h62 IS NULL THEN 'error' ELSE 'ok' END AS phash_state, CAST(640 * (1 + content_id % 8) AS INTEGER) AS width, CAST(480 * (1 + content_id % 8) AS INTEGER) AS height,
     CASE WHEN content_id % 17 <> 0 THEN CAST(content_id * 7 % 200 AS DOUBLE) END AS mean_brightness, CASE WHEN content_id % 17 <> 0 THEN (content_id * 3 % 40) / 10 END AS mean_gradient
-  FROM (SELECT sha1_hash, min(id) AS content_id FROM photos GROUP BY sha1_hash) LEFT JOIN (
-    SELECT vec_id AS content_id, CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(20)]) AS BIGINT) AS h20,
-      CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(62)]) AS BIGINT) AS h62 FROM embeddings) USING (content_id)
+  FROM (SELECT sha1_hash, min(id) AS content_id FROM photos GROUP BY sha1_hash) LEFT JOIN word_hashes USING (content_id)
 ),
 runs AS (
   SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'MOVE' WHEN '2' THEN 'COPY' WHEN '3' THEN 'CHECK' ELSE 'INDEX' END AS mode,
@@ -34,12 +42,40 @@ observed AS (
   UNION ALL SELECT '/dst/library/page-' || page_id || CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.txt' ELSE '' END, sha1(html), CASE WHEN page_id % 11 = 0 THEN 0 ELSE length(html) END FROM pages
 ),
 tags AS (SELECT event_id AS id, user_id AS photo_id, event_type AS source, 'field' || (event_id % 8) AS field, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(event_id % 7 AS VARCHAR) END AS value FROM events),
-hashes AS (SELECT DISTINCT h20 AS h FROM contents WHERE h20 IS NOT NULL),
+captures AS (SELECT id, photo_id, CASE WHEN k < 30 THEN 'needs_attention' ELSE 'captured' END AS state, action AS source FROM review_events),
+version_answers AS (SELECT id, photo_id, CASE WHEN k < 34 THEN 'waiting' WHEN k < 67 THEN 'not_kept' ELSE 'kept' END AS answer FROM review_events WHERE action = 'click'),
+confirmations AS (SELECT id AS photo_id, CASE WHEN id % 194 = 0 THEN date_taken ELSE '1798' END AS date_taken FROM photos WHERE id % 97 = 0),
+thumbnails AS (SELECT content_id, size, present, CAST(size * (content_id % 50 + 1) AS BIGINT) AS bytes FROM (SELECT vec_id AS content_id, unnest([320, 1280]) AS size, vec_id % 11 <> 0 AS present FROM embeddings)),
+findings AS (
+  SELECT r.run_id, r.completed, f.id AS photo_id, f.path, f.kind, f.expected AS expected_sha1, f.observed AS observed_sha1, f.size, CASE WHEN f.id % 5 = 0 AND r.run_id = 9 THEN f.id END AS settled_by FROM (
+    SELECT coalesce(e.path, o.path) AS path, e.id, e.sha1_hash AS expected, o.sha1_hash AS observed, o.size, CASE WHEN o.path IS NULL THEN 'missing' WHEN e.path IS NULL THEN 'unknown' WHEN e.sha1_hash = o.sha1_hash THEN 'ok' ELSE 'changed' END AS kind
+    FROM (SELECT id, dest_path AS path, sha1_hash FROM photos WHERE dest_path IS NOT NULL) e FULL JOIN observed o ON o.path = e.path) f CROSS JOIN (VALUES (9, true), (11, false)) r(run_id, completed) WHERE f.kind <> 'ok'
+),
+image_tags AS (
+  SELECT photo_id, x.tag AS tag, x.value AS value FROM (SELECT id AS photo_id, unnest([
+    {'tag': 'ExifIFD:DateTimeOriginal', 'value': CASE WHEN id % 11 = 0 THEN NULL WHEN id % 17 = 0 THEN 'unknown' ELSE replace(substr(date_taken, 1, 10), '-', ':') || ' ' || substr(date_taken, 12, 8) END}, {'tag': 'ExifIFD:SubSecTimeOriginal', 'value': CASE WHEN id % 3 = 0 THEN CAST(id % 100 AS VARCHAR) WHEN id % 31 = 0 THEN 'x' END},
+    {'tag': 'ExifIFD:OffsetTimeOriginal', 'value': CASE WHEN id % 2 = 0 THEN '+02:00' WHEN id % 37 = 0 THEN '2h' END}, {'tag': 'IFD0:Orientation', 'value': CASE WHEN id % 5 <> 0 THEN CAST(id % 10 AS VARCHAR) END}, {'tag': 'IFD0:Make', 'value': camera},
+    {'tag': 'IFD0:Copy1:Make', 'value': CASE WHEN id % 7 = 0 THEN lens WHEN id % 2 = 0 THEN camera END}, {'tag': 'IFD0:XPKeywords', 'value': lens || '; ' || camera || ';x'},
+    {'tag': 'XMP-xmp:Rating', 'value': ['4.50', '-1', '05.0', '7', '0.00', NULL][id % 6 + 1]}, {'tag': 'XMP-dc:Title', 'value': camera}, {'tag': 'XMP-dc:Title-de', 'value': CASE WHEN id % 4 = 0 THEN lens END},
+    {'tag': 'XMP-exif:DateTimeOriginal', 'value': CASE WHEN id % 3 = 1 THEN replace(substr(date_taken, 1, 10), '-', ':') || ' 08:00:00Z' END},
+    {'tag': 'GPS:GPSLatitude', 'value': CASE WHEN id % 4 < 3 THEN (id % 95) || '.' || lpad(CAST(id * 7 % 1000 AS VARCHAR), 3, '0') END}, {'tag': 'GPS:GPSLatitudeRef', 'value': CASE WHEN id % 8 < 6 THEN 'N' WHEN id % 8 = 7 THEN 'S' END},
+    {'tag': 'GPS:GPSLongitude', 'value': CASE WHEN id % 4 < 3 THEN (id % 185) || '.' || lpad(CAST(id * 7 % 1000 AS VARCHAR), 3, '0') END}, {'tag': 'GPS:GPSLongitudeRef', 'value': CASE WHEN id % 4 < 3 THEN 'E' END}]) AS x FROM photos) WHERE x.value IS NOT NULL
+),
+ends AS (
+  SELECT op, status, run_id, photo_id, CASE WHEN status = 'Failed' THEN ['match', 'mismatch', 'absent', 'unreadable'][photo_id % 4 + 1] ELSE ['absent', 'present', 'present', 'unreadable'][photo_id % 4 + 1] END AS source_state,
+    CASE WHEN status = 'Failed' THEN ['match', 'absent', 'mismatch'][run_id % 3 + 1] ELSE ['match', 'absent', 'mismatch', 'match', 'absent'][run_id % 5 + 1] END AS dest_state FROM operations WHERE status IN ('Failed', 'Pending')
+),
+looks AS (SELECT p.id AS photo_id, c.h62 AS recorded, xor(c.h62, (CAST(1 AS BIGINT) << CAST(p.id % 40 AS INTEGER)) - 1) AS seen FROM photos p JOIN contents c USING (sha1_hash) WHERE p.dest_path IS NOT NULL AND c.h62 IS NOT NULL),
+clashes AS (SELECT DISTINCT right(name, 6) AS name, regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder FROM photos WHERE right(name, 6) IN (SELECT right(name, 6) FROM photos GROUP BY 1 HAVING count(DISTINCT sha1_hash) > 1)),
+recorded AS (SELECT source_path AS path, file_size AS size, CAST(id * 1.5 AS DOUBLE) AS mtime, status FROM photos),
+candidates AS (SELECT source_path AS path, file_size + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS size, CAST(id * 1.5 AS DOUBLE) + CASE WHEN id % 7 = 0 THEN 1.0::DOUBLE WHEN id % 3 = 0 THEN 0.0000004::DOUBLE ELSE 0.0::DOUBLE END AS mtime FROM photos),
+hashes AS (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL),
 edges AS (SELECT a.h AS low, b.h AS high, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM hashes a JOIN hashes b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 6),
-available AS (SELECT c.content_id, c.h20 AS h, min(p.id) AS photo_id, c.mean_brightness, c.mean_gradient FROM photos p JOIN contents c USING (sha1_hash) WHERE p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND c.h20 IS NOT NULL GROUP BY ALL),
+available AS (SELECT c.content_id, c.h62 AS h, min(p.id) AS photo_id, c.mean_brightness, c.mean_gradient FROM photos p JOIN contents c USING (sha1_hash) WHERE p.status IN ('Completed', 'Copied', 'Found_At_Destination') AND c.h62 IS NOT NULL GROUP BY ALL),
 buckets AS (SELECT h, count(*) AS n FROM available GROUP BY h),
 around AS (SELECT low AS h, high AS other, distance FROM edges UNION ALL SELECT high, low, distance FROM edges)
 """
+)
 
 
 def with_views(sql: str) -> str:
