@@ -233,3 +233,9 @@ def plan_page(photos: DataFrame, page: int = 2, size: int = 50) -> DataFrame:
     some = F.broadcast(rows.select("folder").distinct().orderBy("folder").offset((page - 1) * size).limit(size))  # one page of folders
     order = Window.partitionBy("folder").orderBy("id")
     return rows.join(some, "folder").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= size).select("folder", "id", "k")
+
+
+@query("findings_export", f"SELECT CASE WHEN regexp_matches(path, '^[=+@-]') THEN '''' || path ELSE path END AS path, finding, tone FROM ({DESCRIBED_SQL})")
+def findings_export(photos: DataFrame, observed: DataFrame, looks: DataFrame) -> DataFrame:
+    """A report's rows as they are exported; sources.files.export writes them."""
+    return described_findings(photos, observed, looks).withColumn("path", X.csv_safe(F.col("path")))

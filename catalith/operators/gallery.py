@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import paths as X
+from ..functions.numbering import WIDTH
 from ..registry import query
 
 CARD = ("id", "status", "file_size", "sha1_hash", "date_taken", "date_source", "filename")
@@ -116,19 +117,17 @@ SELECT id, position, before, after, position // 60 + 1 AS page FROM (
 def photo_position(photos: DataFrame, size: int = 60) -> DataFrame:
     """Every photo's place in the newest-first order, its neighbours and its page.
 
-    The order is cut into its months first: a month's photos are counted, and places inside a month are added to what
-    lies ahead, so that no task orders more than a month.
+    The order is cut into days first, and into ranges of ids where there is no date: these are counted, and places
+    inside one are added to what lies ahead, so that no task orders more than a day or a range.
     """
-    month = F.coalesce(F.substring("date_taken", 1, 7), F.lit(""))
-    rows = photos.select("id", "date_taken", month.alias("month"))
-    per = rows.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    months = Window.orderBy(F.desc("month"))
-    per = per.withColumn("ahead", F.coalesce(F.sum("n").over(months.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("month").orderBy(F.desc("date_taken"), "id")
+    day = F.coalesce(F.substring("date_taken", 1, 10), F.lit(""))
+    rows = photos.select("id", "date_taken", day.alias("day"), F.when(F.col("date_taken").isNull(), F.floor(F.col("id") / WIDTH)).otherwise(0).alias("span"))
+    inside = Window.partitionBy("day", "span").orderBy(F.desc("date_taken"), "id")
     placed = rows.withColumn("k", F.row_number().over(inside)).withColumn("before", F.lag("id").over(inside)).withColumn("after", F.lead("id").over(inside))
-    ends = placed.groupBy("month").agg(F.min_by("id", "k").alias("first"), F.max_by("id", "k").alias("last"))
-    ends = per.join(ends, "month").withColumn("earlier", F.lag("last").over(months)).withColumn("later", F.lead("first").over(months)).select("month", "ahead", "earlier", "later")
-    out = placed.join(ends, "month").withColumn("position", F.col("ahead") + F.col("k") - 1)
+    order = Window.orderBy(F.desc("day"), "span")
+    ends = placed.groupBy("day", "span").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", "k").alias("first"), F.max_by("id", "k").alias("last"))
+    ends = ends.withColumn("ahead", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("earlier", F.lag("last").over(order)).withColumn("later", F.lead("first").over(order)).drop("n", "first", "last")
+    out = placed.join(ends, ["day", "span"]).withColumn("position", F.col("ahead") + F.col("k") - 1)
     return out.select("id", "position", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"), (F.floor(F.col("position") / size) + 1).alias("page"))
 
 

@@ -74,6 +74,32 @@ def sidecar_association(photos: DataFrame) -> DataFrame:
     return associated(photos, photos)
 
 
+@query("sidecar_owners", r"""
+SELECT id, CASE WHEN state = 'not_xmp' THEN 'ignored' WHEN NOT is_full AND n = 0 THEN 'orphan' WHEN state <> 'valid' THEN 'needs_attention' WHEN owner_name IS NOT NULL THEN CASE WHEN owned THEN 'associated' ELSE 'needs_choice' END WHEN is_full OR n = 1 OR raws = 1 THEN 'associated' ELSE 'needs_choice' END AS verdict,
+  CASE WHEN state <> 'valid' OR (NOT is_full AND n = 0) OR (owner_name IS NOT NULL AND NOT owned) THEN NULL WHEN is_full THEN 'full_name' WHEN owner_name IS NOT NULL THEN 'declared_owner' WHEN n = 1 THEN 'single' WHEN raws = 1 THEN 'policy' END AS basis FROM (
+  SELECT s.*, EXISTS (SELECT 1 FROM inventory f WHERE f.folder = s.folder AND f.name = s.base) AS is_full, (SELECT count(*) FROM inventory f WHERE f.folder = s.folder AND regexp_extract(f.name, '^(.+)\.[^.]+$', 1) = s.base) AS n, (SELECT count(*) FROM inventory f WHERE f.folder = s.folder AND regexp_extract(f.name, '^(.+)\.[^.]+$', 1) = s.base AND f.name LIKE '%.cr2') AS raws,
+    EXISTS (SELECT 1 FROM inventory f WHERE f.folder = s.folder AND f.name = s.owner_name AND (f.name = s.base OR (regexp_extract(f.name, '^(.+)\.[^.]+$', 1) = s.base AND NOT EXISTS (SELECT 1 FROM inventory g WHERE g.folder = s.folder AND g.name = s.base)))) AS owned FROM sidecars s)""")
+def sidecar_owners(sidecars: DataFrame, inventory: DataFrame, policy: str = "raw_only") -> DataFrame:
+    """Which photo a sidecar belongs to: by full name, by the owner that it names, as the only one of its stem, or by policy.
+
+    Equi-joins by folder and name and by folder and stem; stems are counted before they are joined.
+    """
+    names = inventory.distinct()
+    full = names.select("folder", F.col("name").alias("base"), F.lit(True).alias("is_full"))
+    stem, raw = X.stem(F.col("name")), X.extension(F.col("name")).isin(*schema.RAW)
+    stems = inventory.groupBy("folder", stem.alias("base")).agg(F.count(F.lit(1)).alias("n"), F.count_if(raw).alias("raws"))
+    owners = names.select("folder", F.col("name").alias("owner_name"), stem.alias("owner_stem"))
+    rows = sidecars.join(full, ["folder", "base"], "left").join(stems, ["folder", "base"], "left").join(owners, ["folder", "owner_name"], "left").fillna(0, ["n", "raws"])
+    is_full, named, valid = F.coalesce("is_full", F.lit(False)), F.col("owner_name").isNotNull(), F.col("state") == "valid"
+    owned = F.coalesce(F.col("owner_stem").isNotNull() & F.when(is_full, F.col("owner_name") == F.col("base")).otherwise(F.col("owner_stem") == F.col("base")), F.lit(False))
+    chosen = {"raw_only": F.col("raws") == 1, "non_raw_only": F.col("n") - F.col("raws") == 1, "all": F.lit(True)}.get(policy, F.lit(False))
+    orphan = ~is_full & (F.col("n") == 0)
+    settled = F.when(named, owned).otherwise(is_full | (F.col("n") == 1) | chosen)
+    verdict = F.when(F.col("state") == "not_xmp", "ignored").when(orphan, "orphan").when(~valid, "needs_attention").when(settled, "associated").otherwise("needs_choice")
+    basis = F.when(~valid | orphan | (named & ~owned), None).when(is_full, "full_name").when(named, "declared_owner").when(F.col("n") == 1, "single").when(chosen, "policy")
+    return rows.select("id", verdict.alias("verdict"), basis.alias("basis"))
+
+
 @query("earlier_versions", """
 SELECT p.id, max(o.file_id) AS later, count(*) AS links FROM photos p JOIN origins o ON o.origin_file_id = p.id JOIN photos q ON q.id = o.file_id
 WHERE q.sha1_hash <> p.sha1_hash AND p.sha1_hash NOT IN (SELECT sha1_hash FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination', 'Rejected', 'Rejected_Copied')) GROUP BY p.id""")

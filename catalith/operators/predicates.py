@@ -238,3 +238,29 @@ def rejects_reminder(photos: DataFrame, review_events: DataFrame, now: str = "20
     days = F.coalesce(F.datediff(F.lit(now).cast("date"), F.min("last").cast("date")), F.lit(0)).cast("bigint")
     per = photos.filter(F.col("status").isin(*schema.IN_REJECTS)).join(last, "id", "left").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), days.alias("days"))
     return per.withColumn("remind", (F.col("files") >= most_files) | (F.col("bytes") >= most_bytes) | (F.col("days") >= most_days))
+
+
+@query("hash_texts", r"""
+SELECT content_id, phash_state = 'ok' AND regexp_full_match(lower(t), '[0-9a-f]{16}') AS usable FROM (SELECT content_id, phash_state, CASE content_id % 5 WHEN 0 THEN substr(lower(lpad(to_hex(h62), 16, '0')), 1, 15) WHEN 1 THEN upper(lpad(to_hex(h62), 16, '0')) WHEN 2 THEN 'unreadable-hash!' ELSE lower(lpad(to_hex(h62), 16, '0')) END AS t FROM contents) WHERE t IS NOT NULL""")
+def hash_texts(contents: DataFrame) -> DataFrame:
+    """Whether a recorded hash is one: sixteen hexadecimal digits of a picture that could be read (here some are not)."""
+    plain, k = F.lower(F.lpad(F.hex("h62"), 16, "0")), F.col("content_id") % 5
+    text = F.when(k == 0, F.substring(plain, 1, 15)).when(k == 1, F.upper(plain)).when(k == 2, "unreadable-hash!").otherwise(plain)
+    rows = contents.select("content_id", "phash_state", text.alias("t")).filter("t is not null")
+    return rows.select("content_id", ((F.col("phash_state") == "ok") & F.lower("t").rlike("^[0-9a-f]{16}$")).alias("usable"))
+
+
+@query("discovery_breakdown", r"""
+SELECT CASE WHEN ext IN ('jpg', 'png', 'tif', 'cr2') THEN 'photos' WHEN ext IN ('xmp', 'aae') THEN 'sidecars' WHEN ext IN ('mp4', 'mov', 'avi', 'mkv') THEN 'videos' WHEN ext IN ('jpeg', 'nef') THEN 'disabled' ELSE 'other' END AS part, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT regexp_extract(path, '\.([^./]*)$', 1) AS ext, size FROM observed) GROUP BY 1""")
+def discovery_breakdown(observed: DataFrame, enabled: tuple = ("jpg", "png", "tif", "cr2")) -> DataFrame:
+    """What a walk found, in parts: photos of enabled types, photos of types that are switched off, sidecars, videos, others."""
+    ext = X.extension(F.col("path"))
+    part = F.when(ext.isin(*enabled), "photos").when(ext.isin("xmp", "aae"), "sidecars").when(ext.isin("mp4", "mov", "avi", "mkv"), "videos").when(ext.isin(*schema.RASTER, *schema.RAW), "disabled").otherwise("other")
+    return observed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+
+
+@query("selected_ids", "SELECT p.id, p.status FROM photos p WHERE p.id IN (SELECT unnest([3, 5, 8, 13, 21, 34, 55, 89, 144, 100000007]))")
+def selected_ids(photos: DataFrame, wanted: tuple = (3, 5, 8, 13, 21, 34, 55, 89, 144, 100_000_007)) -> DataFrame:
+    """A list of ids that a caller hands over, as a table (of bounded length, hence broadcast)."""
+    ids = photos.sparkSession.createDataFrame([(i,) for i in wanted], "id long")
+    return photos.join(F.broadcast(ids), "id", "left_semi").select("id", "status")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import paths as X
+from ..functions.numbering import numbered
 from ..registry import query
 from ..sources.catalog import BITS
 from .similarity import hashes, near_pairs
@@ -177,12 +178,17 @@ def rename_plan(photos: DataFrame) -> DataFrame:
     """New names without a known extension; a clash is numbered in order of id."""
     asked = F.concat(F.lit("trip "), (F.col("id") % 50).cast("string"), F.lit(".jpg"))
     rows = photos.filter(F.col("status").isin("Completed", "Copied")).select("id", F.regexp_replace(asked, r"\.(jpg|png|cr2|tif)$", "").alias("new_stem"))
-    k = F.row_number().over(Window.partitionBy("new_stem").orderBy("id"))
-    return rows.withColumn("k", k).select("id", "new_stem", F.when(F.col("k") > 1, F.concat("new_stem", F.lit("_"), (F.col("k") - 1).cast("string"))).otherwise(F.col("new_stem")).alias("target"))
+    return numbered(rows, ["new_stem"]).select("id", "new_stem", F.when(F.col("k") > 1, F.concat("new_stem", F.lit("_"), (F.col("k") - 1).cast("string"))).otherwise(F.col("new_stem")).alias("target"))
 
 
 @query("relocate_candidates", r"SELECT DISTINCT p.sha1_hash, regexp_extract(q.name, '^(.+)\.[^.]+$', 1) AS candidate FROM photos p JOIN photos q USING (sha1_hash) WHERE p.status = 'Completed' AND q.id <> p.id")
 def relocate_candidates(photos: DataFrame) -> DataFrame:
-    """Names that other rows of a delivered content offer for it."""
-    stems = photos.select("sha1_hash", F.col("id").alias("other"), X.stem(F.col("source_path")).alias("candidate"))
-    return photos.filter("status = 'Completed'").select("sha1_hash", "id").join(stems, "sha1_hash").filter("other <> id").select("sha1_hash", "candidate").distinct()
+    """Names that other rows of a delivered content offer for it.
+
+    Rows are counted by content and name before contents meet: a name counts unless the only row that has it is the
+    only delivered one.
+    """
+    done = F.col("status") == "Completed"
+    names = photos.filter("sha1_hash is not null").groupBy("sha1_hash", X.stem(F.col("source_path")).alias("candidate")).agg(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("own"))
+    per = names.groupBy("sha1_hash").agg(F.sum("own").alias("delivered")).filter("delivered > 0")
+    return names.join(per, "sha1_hash").filter(~((F.col("n") == 1) & (F.col("own") == 1) & (F.col("delivered") == 1))).select("sha1_hash", "candidate")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import paths as X
+from ..functions.numbering import numbered
 from ..registry import query
 
 FILED = "CASE WHEN date_taken IS NULL THEN 'library/Unsorted' WHEN date_source = 'file_mtime' THEN 'library/Undated/' || substr(date_taken, 1, 4) ELSE 'library/' || replace(substr(date_taken, 1, 10), '-', '/') END"
@@ -39,23 +40,28 @@ def unplanned(photos: DataFrame) -> DataFrame:
 SELECT id, folder || '/' || short || CASE WHEN k > 1 THEN '_' || (k - 1) ELSE '' END AS target FROM (SELECT id, folder, short, row_number() OVER (PARTITION BY folder, short ORDER BY id) AS k FROM (SELECT id, {FILED} AS folder, substr(name, 10, 2) AS short FROM photos WHERE status = 'Pending'))""")
 def unique_destinations(photos: DataFrame) -> DataFrame:
     """Targets made unique by a number after the stem, in order of id."""
-    from pyspark.sql import Window
-
     rows = photos.filter("status = 'Pending'").select("id", X.filing_folder(F.col("date_taken"), F.col("date_source")).alias("folder"), F.substring("name", 10, 2).alias("short"))
-    k = F.row_number().over(Window.partitionBy("folder", "short").orderBy("id"))
-    return rows.withColumn("k", k).select("id", F.concat("folder", F.lit("/"), "short", F.when(F.col("k") > 1, F.concat(F.lit("_"), (F.col("k") - 1).cast("string"))).otherwise("")).alias("target"))
+    return numbered(rows, ["folder", "short"]).select("id", F.concat("folder", F.lit("/"), "short", F.when(F.col("k") > 1, F.concat(F.lit("_"), (F.col("k") - 1).cast("string"))).otherwise("")).alias("target"))
+
+
+#: Ids of one part of a snapshot token.
+TOKEN_IDS = 1000
 
 
 @query("snapshot_token", """
-SELECT camera AS folder, sha256(string_agg(id || ':' || status || ':' || sha1_hash, ',' ORDER BY id)) AS token, count(*) AS files FROM photos GROUP BY camera""")
-def snapshot_token(photos: DataFrame) -> DataFrame:
+SELECT folder, sha256(string_agg(part || ':' || digest, ',' ORDER BY part)) AS token, CAST(sum(n) AS BIGINT) AS files FROM (
+  SELECT camera AS folder, id // 1000 AS part, count(*) AS n, sha256(string_agg(id || ':' || status || ':' || coalesce(sha1_hash, ''), ',' ORDER BY id)) AS digest FROM photos GROUP BY 1, 2) GROUP BY folder""")
+def snapshot_token(photos: DataFrame, ids: int = TOKEN_IDS) -> DataFrame:
     """A digest of each folder's rows in order, which a confirmation must still match.
 
-    Rows are digested one by one, so what a folder gathers is an id and a line of fixed size for each file.
+    It is a digest of digests: a part holds the rows of `ids` neighbouring ids at most, and a folder gathers one line a
+    part, so that no array grows with a folder's rows by more than a thousandth of them.
     """
-    line = F.concat_ws(":", F.col("id").cast("string"), "status", "sha1_hash")
-    rows = photos.groupBy(F.col("camera").alias("folder")).agg(F.sort_array(F.collect_list(F.struct("id", line.alias("line")))).alias("x"), F.count(F.lit(1)).alias("files"))
-    return rows.select("folder", F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), ","), 256).alias("token"), "files")
+    line = F.concat_ws(":", F.col("id").cast("string"), "status", F.coalesce("sha1_hash", F.lit("")))
+    digest = lambda rows: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda r: r["line"]), ","), 256)
+    parts = photos.groupBy(F.col("camera").alias("folder"), F.floor(F.col("id") / ids).alias("part")).agg(digest(F.struct("id", line.alias("line"))).alias("digest"), F.count(F.lit(1)).alias("n"))
+    whole = F.struct("part", F.concat_ws(":", F.col("part").cast("string"), "digest").alias("line"))
+    return parts.groupBy("folder").agg(digest(whole).alias("token"), F.sum("n").alias("files"))
 
 
 @query("selection_skips", "SELECT id, CASE WHEN status IN ('Rejected', 'Rejected_Copied') THEN 'already rejected' WHEN status NOT IN ('Completed', 'Copied', 'Found_At_Destination') THEN 'not delivered' WHEN id IN (SELECT photo_id FROM issues WHERE NOT resolved AND category = 'unestablished_outcome') THEN 'open issue' ELSE 'reject' END AS outcome FROM photos")

@@ -201,3 +201,19 @@ class Catalog:
         i = F.col("id")
         moved = F.when(i % 7 == 0, F.lit(1.0)).when(i % 3 == 0, F.lit(0.0000004)).otherwise(F.lit(0.0))
         return self.photos.select(F.col("source_path").alias("path"), (F.col("file_size") + F.when(i % 11 == 0, 1).otherwise(0)).alias("size"), (i * 1.5 + moved).alias("mtime"))
+
+    @cached_property
+    def inventory(self) -> DataFrame:
+        """folder, name of every photo in the source; some have a raw twin of the same stem."""
+        rows = self.photos.select("id", F.regexp_extract("source_path", "^(.*)/[^/]*$", 1).alias("folder"), "name")
+        twins = rows.filter("id % 3 = 0 and not name like '%.cr2'").select("id", "folder", F.regexp_replace("name", r"\.[^.]*$", ".cr2").alias("name"))
+        return rows.union(twins).drop("id")
+
+    @cached_property
+    def sidecars(self) -> DataFrame:
+        """id, folder, base (the sidecar's name without .xmp), owner_name, state of one sidecar a photo."""
+        i, stem = F.col("id"), F.regexp_extract("name", r"^(.+)\.[^.]+$", 1)
+        base = F.when(i % 11 == 0, F.concat(F.lit("none-"), i.cast("string"))).when(i % 5 == 0, F.col("name")).otherwise(stem)
+        owner = F.when(i % 14 == 7, F.lit("other.jpg")).when(i % 7 == 0, F.col("name"))
+        state = F.when(i % 17 == 0, "not_xmp").when(i % 13 == 0, "needs_attention").otherwise("valid")
+        return self.photos.select(i, F.regexp_extract("source_path", "^(.*)/[^/]*$", 1).alias("folder"), base.alias("base"), owner.alias("owner_name"), state.alias("state"))

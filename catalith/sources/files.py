@@ -15,7 +15,7 @@ from ..functions import paths as X
 # Leading bytes of image formats, in hexadecimal; brands of ISO media files at offset 4.
 PREFIXES = {"ffd8ff": "jpeg", "89504e470d0a1a0a": "png", "47494638": "gif", "424d": "bmp", "4d4d002a": "tiff", "49492a00": "tiff"}
 BRANDS = {"mif1": "heif", "msf1": "heif", "heic": "heif", "heix": "heif", "hevc": "heif", "avif": "avif", "avis": "avif"}
-EXPECTED = {"jpg": "jpeg", "jpeg": "jpeg", "png": "png", "gif": "gif", "bmp": "bmp", "webp": "webp", "tif": "tiff", "tiff": "tiff", "heic": "heif", "avif": "avif"}
+EXPECTED = {"jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "jfif": "jpeg", "png": "png", "gif": "gif", "bmp": "bmp", "webp": "webp", "tif": "tiff", "tiff": "tiff", "heic": "heif", "heif": "heif", "avif": "avif"}
 # Names that other programs leave behind.
 HOUSEKEEPING = (".ds_store", "thumbs.db", "desktop.ini", ".picasa.ini")
 

@@ -65,6 +65,13 @@ ends AS (
   SELECT op, status, run_id, photo_id, CASE WHEN status = 'Failed' THEN ['match', 'mismatch', 'absent', 'unreadable'][photo_id % 4 + 1] ELSE ['absent', 'present', 'present', 'unreadable'][photo_id % 4 + 1] END AS source_state,
     CASE WHEN status = 'Failed' THEN ['match', 'absent', 'mismatch'][run_id % 3 + 1] ELSE ['match', 'absent', 'mismatch', 'match', 'absent'][run_id % 5 + 1] END AS dest_state FROM operations WHERE status IN ('Failed', 'Pending')
 ),
+inventory AS (
+  SELECT regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder, name FROM photos UNION ALL SELECT regexp_extract(source_path, '^(.*)/[^/]*$', 1), regexp_replace(name, '\.[^.]*$', '.cr2') FROM photos WHERE id % 3 = 0 AND NOT name LIKE '%.cr2'
+),
+sidecars AS (
+  SELECT id, regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder, CASE WHEN id % 11 = 0 THEN 'none-' || id WHEN id % 5 = 0 THEN name ELSE regexp_extract(name, '^(.+)\.[^.]+$', 1) END AS base,
+    CASE WHEN id % 14 = 7 THEN 'other.jpg' WHEN id % 7 = 0 THEN name END AS owner_name, CASE WHEN id % 17 = 0 THEN 'not_xmp' WHEN id % 13 = 0 THEN 'needs_attention' ELSE 'valid' END AS state FROM photos
+),
 looks AS (SELECT p.id AS photo_id, c.h62 AS recorded, xor(c.h62, (CAST(1 AS BIGINT) << CAST(p.id % 40 AS INTEGER)) - 1) AS seen FROM photos p JOIN contents c USING (sha1_hash) WHERE p.dest_path IS NOT NULL AND c.h62 IS NOT NULL),
 clashes AS (SELECT DISTINCT right(name, 6) AS name, regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder FROM photos WHERE right(name, 6) IN (SELECT right(name, 6) FROM photos GROUP BY 1 HAVING count(DISTINCT sha1_hash) > 1)),
 recorded AS (SELECT source_path AS path, file_size AS size, CAST(id * 1.5 AS DOUBLE) AS mtime, status FROM photos),

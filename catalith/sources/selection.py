@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PARTS = 256
+#: Ids of one part of a seal.
+PART_IDS = 100_000
 
 
 def _digest(ids: DataFrame) -> tuple[int, str]:
-    """The count, and a digest of digests: ids hashed in PARTS ranges of their hash, so that none gathers all."""
-    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")
-    per = ids.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"))
-    one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "s"))), lambda x: F.concat_ws(":", x["part"].cast("string"), x["n"].cast("string"), x["s"].cast("string"))), ","), 256).alias("d"))
+    """The count, and a SHA-256 of the ids in order: of the digests of its parts, so that no array holds all ids."""
+    listed = lambda row, line: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(row)), line), ","), 256)
+    part = F.floor(F.col("id") / PART_IDS).alias("part")
+    per = ids.groupBy(part).agg(F.count(F.lit(1)).alias("n"), listed(F.col("id"), lambda x: x.cast("string")).alias("d"))
+    one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), listed(F.struct("part", "d"), lambda x: F.concat_ws(":", x["part"].cast("string"), x["d"])).alias("d"))
     return tuple(one.first())
 
 

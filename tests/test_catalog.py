@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith import schema
+from catalith.functions import numbering
 from catalith.functions import paths as X
-from catalith.operators import checks, duplicates, gallery, lineage, metadata, oplog, records, similarity
+from catalith.operators import checks, duplicates, gallery, lineage, metadata, oplog, predicates, records, similarity
 from catalith.streaming import incremental
 
 
@@ -56,16 +57,17 @@ def test_band_pairs_equal_brute_force(spark, most):
     assert sorted(map(tuple, got.collect())) == brute(hashes, most)
 
 
-def test_block_pairs_equal_brute_force(spark):
+def test_block_pairs_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 30)
     rng = np.random.default_rng(5)
     hashes = sorted({int(x) for x in rng.integers(0, 1 << 30, 80)})
-    got = similarity.block_pairs(spark.createDataFrame([(h,) for h in hashes], "h long"), 12, blocks=3)
+    got = similarity.block_pairs(spark.createDataFrame([(h,) for h in hashes], "h long"), 12)
     assert sorted(map(tuple, got.collect())) == brute(hashes, 12)
 
 
 def library(spark, hashes):
     photos = spark.createDataFrame([(i, f"s{i}", "Copied") for i in range(len(hashes))], "id long, sha1_hash string, status string")
-    contents = spark.createDataFrame([(i, f"s{i}", h, 100.0, 20.0) for i, h in enumerate(hashes)], "content_id long, sha1_hash string, h20 long, mean_brightness double, mean_gradient double")
+    contents = spark.createDataFrame([(i, f"s{i}", h, 100.0, 20.0) for i, h in enumerate(hashes)], "content_id long, sha1_hash string, h62 long, mean_brightness double, mean_gradient double")
     return photos, contents
 
 
@@ -79,10 +81,10 @@ def test_equal_hashes_are_counted_not_joined(spark):
 def test_all_six_thresholds_are_counted(spark):
     values = [0, 0, 0x7, 0x3F, 0x1FF, 0xFFF, 0xFFFF, 0x1FFFF]
     photos, contents = library(spark, values)
-    got = {r["photo_id"]: tuple(r)[1:] for r in similarity.all_threshold_counts(photos, contents.withColumn("h62", F.col("h20"))).collect()}
+    got = {r["photo_id"]: tuple(r)[1:] for r in similarity.threshold_counts(photos, contents).collect()}
     assert got[0] == (6, 5, 4, 3, 2, 1)  # at 75, 80, 85, 90, 95, 100; the last is 17 bits away
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "vec_id long, label int")
-    rows = {r["threshold"]: (r["found"], r["truth"]) for r in records.all_validation_by_threshold(contents.withColumn("h62", F.col("h20")), labels).collect()}
+    rows = {r["threshold"]: (r["found"], r["truth"]) for r in records.validation_by_threshold(contents, labels).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(range(8), 2) if values[a] != values[b]]
     truth = sum((a - b) % 2 == 0 for a, b in pairs)
     assert rows == {t: (sum((values[a] ^ values[b]).bit_count() <= d for a, b in pairs), truth) for t, d in schema.THRESHOLDS.items()}
@@ -90,14 +92,14 @@ def test_all_six_thresholds_are_counted(spark):
 
 def test_no_id_is_left_out(spark):
     log = spark.createDataFrame([(1, "Failed"), (1000, "Failed"), (5000, "Copied")], "run_id long, status string")
-    assert {tuple(r) for r in oplog.all_oplog_status_facets(log).collect()} == {("Failed", 2), ("Copied", 1)}
+    assert {tuple(r) for r in oplog.oplog_status_facets(log).collect()} == {("Failed", 2), ("Copied", 1)}
     rows = [(1, "Copied", "/dst/1", "s1", "/src/a/x/1"), (2, "Copied", "/dst/2", "s2", "/src/a/y/2"), (3, "Copied", "/dst/3", "s3", "/src/b/x/3"), (4, "Pending", None, "s4", "/src/a/y/4")]
     photos = spark.createDataFrame(rows, "id long, status string, dest_path string, sha1_hash string, source_path string")
     observed = spark.createDataFrame([("/dst/2", "s2"), ("/dst/moved/1", "s1")], "path string, sha1_hash string")
-    assert {tuple(r) for r in checks.all_vanished(photos, observed).collect()} == {(1, "Found_At_Destination"), (3, "Failed")}
-    assert {tuple(r) for r in checks.all_gone_folder(photos, observed).collect()} == {(1, "/src/a/x"), (3, "/src/b")}
+    assert {tuple(r) for r in checks.vanished(photos, observed).collect()} == {(1, "Found_At_Destination"), (3, "Failed")}
+    assert {tuple(r) for r in checks.gone_folder(photos, observed).collect()} == {(1, "/src/a/x"), (3, "/src/b")}
     cars = spark.createDataFrame([(i, "Copied", "n.cr2" if i == 5 else "n.jpg", "c", "l") for i in (4, 5, 10)], "id long, status string, name string, camera string, lens string")
-    assert {tuple(r) for r in metadata.all_sidecar_association(cars).collect()} == {(4, "policy", 2), (5, "policy", 2), (10, "single", 1)}
+    assert {tuple(r) for r in metadata.sidecar_association(cars).collect()} == {(4, "policy", 2), (5, "policy", 2), (10, "single", 1)}
 
 
 def test_sets_are_relative_to_their_reference(spark):
@@ -112,6 +114,39 @@ def test_normalize_duplicates(spark):
     assert got == {1: "Pending", 2: "Duplicate", 3: "Pending", 4: "Duplicate", 5: "Completed", 6: "Duplicate", 8: "Duplicate"}
 
 
+def test_rows_without_content_are_kept(spark):
+    """A null hash is a content that is not known: rows that carry it are listed, and are no copies of each other by search."""
+    photos = spark.createDataFrame([(1, "trip.jpg", None, "Pending"), (2, "other.jpg", None, "Pending"), (3, "trip.png", "a", "Copied"), (4, "x.png", "a", "Duplicate")], "id long, name string, sha1_hash string, status string")
+    assert ids(gallery.search_name(photos, term="trip")) == [1, 3, 4]
+    assert ids(duplicates.normalize_duplicates(photos)) == [1, 2, 3, 4]
+    assert ids(duplicates.insert_time_duplicates(photos)) == [1, 2, 3, 4]
+    contents = spark.createDataFrame([(3, "a", 7, 100, 100)], "content_id long, sha1_hash string, h62 long, width int, height int")
+    operations = spark.createDataFrame([(1, "Copied")], "photo_id long, status string")
+    got = {r["id"]: (r["width"], r["copies"], r["operations"]) for r in gallery.inspect_photo(photos, contents, operations).collect()}
+    assert got == {1: (None, 0, 1), 2: (None, 0, 0), 3: (100, 1, 0), 4: (100, 1, 0)}
+    assert ids(gallery.size_below(photos, contents)) == [3, 4]
+    assert sorted(tuple(r) for r in predicates.sort_duplicates(photos).collect()) == [(1, 0), (2, 0), (3, 1), (4, 1)]
+
+
+def test_numbers_in_groups_do_not_depend_on_ranges(spark):
+    rows = spark.createDataFrame([(i * 3 % 101, "ab"[i % 3 == 0]) for i in range(100)], "id long, g string")
+    got = {(r["g"], r["id"]): r["k"] for r in numbering.numbered(rows, ["g"], width=7).collect()}
+    for g in "ab":
+        assert [got[g, i] for i in sorted(i for h, i in got if h == g)] == list(range(1, sum(h == g for h, _ in got) + 1))
+
+
+def test_closure_of_a_deep_forest(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "MOST_LEVELS", 3)
+    origins = spark.createDataFrame([(i, i - 1) for i in range(1, 12)] + [(50, 3), (60, 50), (99, 98)], "file_id long, origin_file_id long")
+    assert ids(lineage.closure(origins, 2)) == [*range(2, 12), 50, 60]
+
+
+def test_names_offered_by_other_rows(spark):
+    rows = [(1, "a", "/s/one.jpg", "Completed"), (2, "a", "/s/two.jpg", "Duplicate"), (3, "b", "/s/only.jpg", "Completed"), (4, "c", "/s/x.jpg", "Completed"), (5, "c", "/t/x.png", "Duplicate"), (6, "d", "/s/y.jpg", "Completed"), (7, "d", "/s/z.jpg", "Completed")]
+    photos = spark.createDataFrame(rows, "id long, sha1_hash string, source_path string, status string")
+    assert {tuple(r) for r in records.relocate_candidates(photos).collect()} == {("a", "two"), ("c", "x"), ("d", "y"), ("d", "z")}
+
+
 def test_roots_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i - 1) for i in range(1, 70)] + [(201, 200)], "file_id long, origin_file_id long")
     got = {r["file_id"]: (r["root"], r["depth"]) for r in lineage.roots(chain).collect()}

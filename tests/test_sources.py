@@ -42,7 +42,7 @@ XMP = b"""<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="http://www.w3.
 
 @pytest.mark.parametrize(
     ("data", "state", "code"),
-    [(XMP, "valid", None), (b"<a/>", "not_xmp", None), (b"plain", "not_xmp", None), (XMP[:-20], "needs_attention", "malformed"), (b"<!DOCTYPE a>" + XMP, "needs_attention", "unsafe_xml"), (XMP.replace(b"<rdf:Bag>", b"<rdf:Odd>").replace(b"</rdf:Bag>", b"</rdf:Odd>"), "needs_attention", "unsupported_property")],
+    [(XMP, "valid", None), (b"<a/>", "not_xmp", None), (b"plain", "not_xmp", None), (XMP[:-20], "needs_attention", "malformed"), (b"<!DOCTYPE a>" + XMP, "needs_attention", "unsafe_xml"), ("<?xml version='1.0' encoding='utf-16'?><!DOCTYPE a [<!ENTITY e 'x'>]><a>&e;</a>".encode("utf-16"), "needs_attention", "unsafe_xml"), (b"<a>" * 70 + b"</a>" * 70, "needs_attention", "xml_limit"), (b"<a>" + b"<b/>" * 20_001 + b"</a>", "needs_attention", "xml_limit"), (XMP.replace(b"<rdf:Bag>", b"<rdf:Odd>").replace(b"</rdf:Bag>", b"</rdf:Odd>"), "needs_attention", "unsupported_property")],
 )
 def test_sidecar_states(data, state, code):
     assert sidecars.parse(data)[:2] == (state, code)
