@@ -321,8 +321,7 @@ def near_rows(n=220, seed=6):
     return rows
 
 
-@pytest.mark.parametrize("paired", [48, 1])  # 1: blocks by shingle
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+@pytest.mark.parametrize(("k", "num", "paired"), [(4, 85, 48), (4, 85, 1), (5, 80, 48)])  # 1: blocks by shingle
 def test_join_equals_brute_force(spark, monkeypatch, k, num, paired):
     rows = near_rows()
     monkeypatch.setattr(jaccard_join, "CHUNK", 7)  # large components take many blocks
@@ -530,9 +529,11 @@ def test_fingerprints_of_odd_rows(odd, empty):
 # token counts
 
 
-def test_token_counts_equal_the_library(spark, odd, empty):
+@pytest.mark.parametrize("block_bytes", [16 << 20, 100])  # 100: blocks of few documents
+def test_token_counts_equal_the_library(spark, odd, empty, monkeypatch, block_bytes):
     import sentencepiece
 
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", block_bytes)
     model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     rng = random.Random(5)
     alphabet = " \n\tab▁é<s>/0日 　x"
@@ -544,6 +545,24 @@ def test_token_counts_equal_the_library(spark, odd, empty):
     assert token_counts.count_tokens(empty, tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pieces_are_counted_once_for_each_pretoken(monkeypatch):
+    import pyarrow as pa
+
+    seen = []
+    monkeypatch.setattr(token_counts, "pieces", lambda model, words: seen.extend(words) or [len(w) for w in words])
+    blocks = []
+    for k, texts in enumerate([["a bb a", "ccc bb", ""], ["bb  é", None]]):
+        block = token_counts.Block(10 * k)
+        for i, t in enumerate(texts):
+            block.add(i, t or "")
+        blocks.append(pa.Table.from_batches([block.written(3)]))
+    asked = [(t.column("block")[0].as_py(), a) for t in blocks for a in t.column("asked")[0].as_py()]
+    tables = [pa.table({"block": [b for b, a in asked if a["bucket"] == k], **{c: [a[c] for _, a in asked if a["bucket"] == k] for c in ("bucket", "start", "n", "n_bytes", "lengths", "text")}}) for k in {a["bucket"] for _, a in asked}]
+    answers = pa.concat_tables([token_counts.piece_counter("unused")(t) for t in tables])
+    sums = [token_counts._sum(t, answers.filter(pa.compute.equal(answers.column("of_block"), 10 * k))).column("n_tokens").to_pylist() for k, t in enumerate(blocks)]
+    assert sums == [[4, 5, 0], [4, 0]] and sorted(seen) == sorted(["a", "bb", "ccc", " é"])
+
+
 # quality
 
 
