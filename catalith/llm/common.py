@@ -81,12 +81,14 @@ def lookup(rows: DataFrame, table: DataFrame, on: list[str], times: str, total:
 
     times: the column of table that counts a key's rows (or more); total: the sum of these counts. A key that holds a
     HOT_KEYS-th of the rows or more is joined by a broadcast, which has HOT_KEYS rows at most; the others by a shuffle.
+    The driver learns the hashes of the hot keys only. table is read twice or more, so it should be a written one.
     """
-    bound = max(LEAST_HOT, -(-total // HOT_KEYS))
-    hot = table.filter(F.col(times) >= bound)
-    often = rows.join(F.broadcast(hot), on)
-    seldom = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.filter(F.col(times) < bound), on)
-    return often.unionByName(seldom)
+    mark = F.xxhash64(*on)  # keys of one hash are on the same side, so equal hashes do no harm
+    hot = [r[0] for r in table.filter(F.col(times) >= max(LEAST_HOT, -(-total // HOT_KEYS))).select(mark).distinct().collect()]
+    if not hot:
+        return rows.join(table, on)
+    often = rows.filter(mark.isin(hot)).join(F.broadcast(table.filter(mark.isin(hot))), on)
+    return often.unionByName(rows.filter(~mark.isin(hot)).join(table.filter(~mark.isin(hot)), on))
 
 
 def row_key(doc_id: Column, mark: Column) -> Column:
