@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprints, jaccard_join, language, mixing, packing, quality, secrets, token_counts, toxicity
+from . import conversations, exact_dedup, fingerprints, html_text, jaccard_join, language, manifest, mixing, packing, quality, secrets, token_counts, toxicity
 from .common import bound_batches, documents, labels, tokenizer_path
 
 
@@ -68,9 +68,27 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it still proves after tampering. Null columns count as a dash."""
+    bound_batches(spark)
+    return manifest.manifest(documents(spark, sf_dir))
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage. Nulls are one space; without rows left nothing is edited."""
+    bound_batches(spark)
+    return conversations.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null html is empty and has none."""
+    bound_batches(spark)
+    return html_text.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_find_secrets, op5_jaccard_join, op6_fingerprints, op7_count_tokens, op8_quality, op9_language, op10_pack)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_toxicity, op4_find_secrets, op5_jaccard_join, op6_fingerprints, op7_count_tokens, op8_quality, op9_language, op10_pack, op11_merkle_manifest, op12_repair_conversations, op13_extract_html)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op1_mix_sources": mixing.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op11_merkle_manifest": manifest.ORACLE_SQL, "op12_repair_conversations": conversations.ORACLE_SQL}
