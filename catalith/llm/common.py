@@ -99,11 +99,13 @@ def row_key(doc_id: Column, mark: Column) -> Column:
 def rows_of(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     """The rows of docs whose key is in keys (one column, key), one a key, with all their columns.
 
-    Repeated rows are reduced map-side before the one shuffle of the texts, so no key gathers in a task. The columns
-    travel in a struct: their names can't clash.
+    Of rows that share a key the one stays whose columns, as strings, hash least: rows that differ in more than the key
+    are told apart the same way on every run. They are reduced map-side before the one shuffle of the texts, so no key
+    gathers in a task. The columns travel in a struct: their names can't clash.
     """
-    held = docs.select(key.alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    one = held.groupBy("key").agg(F.first("row").alias("row"))
+    mark = F.xxhash64(*[F.coalesce(docs[f"`{c}`"].cast("string"), F.lit("\0")) for c in docs.columns])
+    held = docs.select(key.alias("key"), mark.alias("mark"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    one = held.groupBy("key").agg(F.min_by("row", "mark").alias("row"))
     return one.join(keys, "key", "left_semi").select("row.*")
 
 

@@ -184,8 +184,8 @@ def exact_dedup(docs: DataFrame, *, shard_keys: int = SHARD_KEYS) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns, whatever these are called: of equal texts one.
 
-    It is the row of the largest doc_id; a row whose id and text are repeated comes once, with the other columns of any
-    one of them. The texts are shuffled once.
+    It is the row of the largest doc_id; a row whose id and text are repeated comes once, with the other columns of the
+    one whose columns hash least. The texts are shuffled once.
     """
     kept = exact_dedup(docs).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
     return rows_of(docs, kept, row_key(docs["doc_id"].cast("long"), F.sha2(F.coalesce(docs["text"], F.lit("")), 256)))

@@ -33,7 +33,7 @@ def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, mos
     """doc_id, label: for each value at most `most` ids outside the held-out fold, the first by a hash of the id.
 
     All values together get most_rows at most, so that the sample is fit to be broadcast: where there are very many
-    values each gets fewer, and more values than most_rows are an error.
+    values each gets fewer, and of more values than most_rows only the commonest, of equal ones the first, are sampled.
     Of the FREQUENT commonest values only ids of a low enough hash (about four times as many as are wanted) are ranked,
     so that a value that holds most rows sends few to the task that ranks it.
     """
@@ -41,8 +41,9 @@ def per_value_ids(docs: DataFrame, value: str, *, folds: int, not_fold: int, mos
     counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     values = counts.count()
     if values > most_rows:
-        raise ValueError(f"{values} values of {value} are more than the {most_rows} rows of the sample")
-    most = min(most, most_rows // max(1, values))
+        counts = counts.orderBy(F.desc("n"), "label").limit(most_rows)
+        rows = rows.join(F.broadcast(counts.select("label")), "label", "left_semi")  # most_rows at most
+    most = min(most, most_rows // max(1, min(values, most_rows)))
     common = counts.filter(F.col("n") > 8 * most).orderBy(F.desc("n"), "label").limit(FREQUENT).collect()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     order = Window.partitionBy("label").orderBy("draw", "doc_id")

@@ -8,7 +8,8 @@ clean documents hold as well, but far more seldom, is a weak stem: one hit says
 Matching. The terms form a trie. The Levenshtein automata of the permitted distance (0, 1 or 2 by the term's length;
 any letter may be edited, the first too) are intersected with it, and the product is made deterministic state by state
 as words ask for it. A word is walked once and its verdict is kept. Inexact matches that occur in clean sample documents are ordinary words
-and are not counted. An inexact form of a term that starts with a weak stem counts as a hit of that weak stem.
+and are not counted. Terms that a stem covers stay in the trie: an inexact form of one counts as a hit of that stem,
+pure or weak.
 
 Scoring. Each hit looks at the window of WINDOW words around it: inside quotation marks, or beside a reporting verb,
 it weighs QUOTED of a hit; further hits in the window raise it. The sums over the whole text go through a logistic
@@ -36,7 +37,7 @@ from .sampling import held_out, labelled_ids, texts_of
 
 FOLDS, HELD_OUT = 3, 1
 SAMPLE = 16_000
-#: Ordinary words that come near to a term. More of them are an error: leaving some out would make them hits.
+#: Ordinary words that come near to a term, at most; of more the ones in most sample documents, of equal ones the first.
 ORDINARY = 400_000
 PURITY = 0.97
 STEM_LENGTHS = (4, 5, 6, 7, 8)
@@ -66,14 +67,14 @@ def permitted(term: str) -> int:
 class Lexicon:
     """Terms and stems, with the automaton that finds inexact terms."""
 
-    NONE, EXACT, STEM, FUZZY, WEAK, FAINT = 0, 1, 2, 3, 4, 5  # FAINT is an inexact form of a weak stem's term
+    NONE, EXACT, STEM, FUZZY, WEAK, FAINT, BENT = range(7)  # FAINT, BENT: an inexact form of a weak, a pure stem's term
 
     def __init__(self, terms: list[str], stems: list[str], weak: list[str] = (), ordinary: list[str] = ()) -> None:
         self.terms, self.stems, self.weak, self.ordinary = frozenset(terms), frozenset(stems), frozenset(weak), frozenset(ordinary)
         self.lengths = sorted({len(s) for s in [*stems, *weak]})
         self.children: list[dict[str, int]] = [{}]  # node 0 is the root
         self.ends: list[int] = [-1]  # edits permitted to the term that ends here
-        self.faint: list[bool] = [False]  # whether that term is a form of a weak stem
+        self.kind: list[int] = [self.NONE]  # what an inexact form of that term counts as
         self.allow: list[int] = [0]  # the most edits that any term below permits
         for term in terms:
             node, most = 0, permitted(term)
@@ -83,12 +84,13 @@ class Lexicon:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.ends.append(-1)
-                    self.faint.append(False)
+                    self.kind.append(self.NONE)
                     self.allow.append(0)
                 node = self.children[node][c]
                 self.allow[node] = max(self.allow[node], most)
             self.ends[node] = most
-            self.faint[node] = any(term[:k] in self.weak for k in self.lengths)
+            heads = {term[:k] for k in self.lengths if len(term) > k}
+            self.kind[node] = self.BENT if heads & self.stems else self.FAINT if heads & self.weak or term in self.weak else self.FUZZY
         self._reset()
 
     def _reset(self) -> None:
@@ -116,8 +118,8 @@ class Lexicon:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            ended = {self.faint[n] for n, e in key if e <= self.ends[n]}
-            self.accept.append(self.FUZZY if False in ended else self.FAINT if ended else self.NONE)
+            ended = {self.kind[n] for n, e in key if e <= self.ends[n]}
+            self.accept.append(next((k for k in (self.FUZZY, self.BENT, self.FAINT) if k in ended), self.NONE))
             self.nodes += len(key)
             self.moves.append({})
         return self.states[key]
@@ -133,7 +135,7 @@ class Lexicon:
         return out
 
     def nearest(self, word: str) -> int:
-        """FUZZY where some term lies within its permitted distance, FAINT where only forms of weak stems do."""
+        """FUZZY where some term lies within its permitted distance, BENT or FAINT where only forms of stems do."""
         state = self.start
         for c in word:
             to = self.moves[state].get(c)
@@ -147,10 +149,10 @@ class Lexicon:
         return self.nearest(word) != self.NONE
 
     def _verdict(self, word: str) -> int:
-        if word in self.terms:
-            return self.EXACT
         if any(len(word) > k and word[:k] in self.stems for k in self.lengths):
             return self.STEM
+        if word in self.terms:
+            return self.EXACT
         if any(len(word) > k and word[:k] in self.weak for k in self.lengths):
             return self.WEAK
         plain = word if word.isalpha() else word.translate(LOOKALIKE)
@@ -175,7 +177,7 @@ def features(lexicon: Lexicon, text: str) -> list[float]:
     """The FEATURES numbers, then the plain counts of exact, stem and inexact hits."""
     low = text.lower()
     words = WORD.findall(low)
-    marks = lexicon.verdicts(words)
+    marks = [lexicon.STEM if v == lexicon.BENT else v for v in lexicon.verdicts(words)]
     n_weak = marks.count(lexicon.WEAK) + marks.count(lexicon.FAINT)
     hits = [i for i, v in enumerate(marks) if v and v < lexicon.WEAK]
     weak = [math.log1p(n_weak), float(n_weak > 1), float(n_weak > 2), min(20.0, 100 * n_weak / (20 + len(words)))]
@@ -238,17 +240,14 @@ def learn(sample: DataFrame) -> Lexicon:
     for stem in (r["stem"] for r in found if not r["pure"]):  # of one family the most telling
         if not any(stem.startswith(x) or x.startswith(stem) for x in weak):
             weak.add(stem)
-    words = [w for w in words if not any(len(w) > k and w[:k] in kept for k in STEM_LENGTHS)]
     lexicon = Lexicon(words, sorted(kept), sorted(weak))
 
     def ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column("w").to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, v in zip(names, lexicon.verdicts(names), strict=True) if v in (Lexicon.FUZZY, Lexicon.FAINT)], pa.string())], names=["w"])
+            near = [v in (Lexicon.FUZZY, Lexicon.FAINT, Lexicon.BENT) for v in lexicon.verdicts(batch.column("w").to_pylist())]
+            yield batch.filter(pa.array(near, pa.bool_()))
 
-    usual = [r["w"] for r in other.select("w").mapInArrow(ordinary, "w string").limit(ORDINARY + 1).collect()]
-    if len(usual) > ORDINARY:
-        raise ValueError(f"more than {ORDINARY} words of clean sample documents are near to a term")
+    usual = [r["w"] for r in other.select("w", "n").mapInArrow(ordinary, "w string, n long").orderBy(F.desc("n"), "w").limit(ORDINARY).collect()]
     return Lexicon(words, sorted(kept), sorted(weak), sorted(usual))
 
 

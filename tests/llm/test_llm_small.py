@@ -71,14 +71,43 @@ def test_mix_comes_near_targets_and_reruns_agree(spark):
         target[source] = t
         largest[source] = max(size, largest.get(source, 0))
     wanted = {}
-    for _, source, size, _, t, n, copies, inclusion in first:
-        assert 0 <= inclusion < 1
-        wanted[source] = wanted.get(source, 0) + size * (t // sizes_of[source] + inclusion)
+    for _, source, size, _, t, n, copies, whole, inclusion in first:
+        assert 0 <= inclusion < 1 and t // sizes_of[source] <= whole <= copies <= whole + (inclusion > 0)
+        wanted[source] = wanted.get(source, 0) + size * (whole + inclusion)
     for source in taken:
         assert abs(wanted[source] - target[source]) < 1e-6 * target[source]
         assert abs(taken[source] - target[source]) <= largest[source]
 
 
+def test_inclusion_differs_inside_a_source_and_is_the_frequency(spark):
+    """Each of 600 sources is one more draw of the same forty sizes: its ids, and so its random numbers, are its own."""
+    sizes = [1, 2, 3, 5, 9, 20, 33, 70, 150, 400] * 4
+    docs = table(spark, [(1000 * s + i, "w " * n, "en", f"s{s:03}") for s in range(600) for i, n in enumerate(sizes)])
+    rows = mixing.mix_sources(docs, weights=(1,)).collect()
+    chance, taken = {}, {}
+    for r in rows:
+        chance.setdefault(r["size"], set()).add((r["whole"], round(r["inclusion"], 12)))
+        taken.setdefault(r["size"], []).append(r["copies"] - r["whole"])
+    assert all(len(v) == 1 for v in chance.values()) and len(set().union(*chance.values())) >= 5
+    for n, drawn in taken.items():
+        (_, p), spread = next(iter(chance[n])), 4 * (0.25 / len(drawn)) ** 0.5
+        assert abs(sum(drawn) / len(drawn) - p) < spread, (n, p, sum(drawn) / len(drawn))
+
+
+def test_rank_is_by_odds_not_by_the_random_number_alone(spark):
+    docs = table(spark, [(i, "w " * (1 + i * i % 300), "en", "a") for i in range(400)])
+    sized = mixing.sizes(docs)
+    ranked = mixing._rank(mixing._planned(sized, mixing.plan_mix(sized)), "mix").withColumn("u", mixing._uniform(mixing.F.col("id"), "mix")).filter("q is not null").collect()
+    assert len(ranked) > 300 and [r["id"] for r in sorted(ranked, key=lambda r: r["q"])] != [r["id"] for r in sorted(ranked, key=lambda r: r["u"])]
+
+
+def test_documents_whose_inclusion_would_reach_one_are_taken_whole(spark):
+    docs = table(spark, [(i, "w " * n, "en", "a") for i, n in enumerate([1] * 50 + [40_000, 50_000, 60_000] + [300] * 30)] + [(99, "w " * 200_000, "en", "b")])
+    rows = [r for r in mixing.mix_sources(docs, weights=(1,), share=0.85).collect() if r["source"] == "a"]
+    assert {r["whole"] for r in rows} == {0, 1} and all(r["inclusion"] < 1 and r["copies"] <= 2 for r in rows)
+    assert abs(sum((r["whole"] + r["inclusion"]) * r["size"] for r in rows) - rows[0]["target"]) < 1e-6 * rows[0]["target"]
+
+
 def test_mix_of_an_empty_table(empty):
     assert mixing.mix_sources(empty).count() == 0
     assert mixing.repeat_rows(empty).count() == 0
@@ -192,6 +221,45 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_misspelt_forms_of_a_pure_stem_are_found(spark):
+    """Ten terms of one stem are learned from a table; each is then misspelt in its first letters, where the stem lies."""
+    rng, plain = random.Random(13), [a + b for a in "ba ce di fo gu".split() for b in "na ri lo mu te sk".split()]
+    forms = ["vermin" + end for end in "ous oid ally ish ated ing let some kin dom".split()]
+    rows, labels = [], []
+    for i in range(900):
+        words, toxic = [rng.choice(plain) for _ in range(rng.randint(20, 60))], i % 3 == 0
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(forms))
+        rows.append((i, " ".join(words), "en", "a"))
+        labels.append((i, 1, int(toxic)))
+    lexicon, _ = toxicity.fit(table(spark, rows), spark.createDataFrame(labels, LABELS))
+    assert any(forms[0].startswith(s) for s in lexicon.stems) and len(lexicon.terms & set(forms)) == 10
+    for w in forms:
+        bent = ["x" + w[1:], w[0] + "x" + w[1:], w[0] + w[2:]]
+        assert lexicon.verdicts([w, *bent]) == [lexicon.STEM, *[lexicon.BENT] * 3]
+        assert all(toxicity.features(lexicon, f"you {b} you")[toxicity.FEATURES + 1] == 1 for b in bent)
+    lone = toxicity.Lexicon(["stupid"], ["stup"])
+    assert lone.verdicts(["stupid", "atupid", "sttupid"]) == [lone.STEM, lone.BENT, lone.BENT]
+
+
+def test_more_languages_than_the_sample_has_rows(spark):
+    from catalith.llm import sampling
+
+    docs = table(spark, [(i, "some text", f"l{i % 40:02}" if i < 400 else "l07", "a") for i in range(900)])
+    rows = sampling.per_value_ids(docs, "lang", folds=4, not_fold=2, most=5, most_rows=6).collect()
+    assert len({r["label"] for r in rows}) == len(rows) == 6 and "l07" in {r["label"] for r in rows}
+
+
+def test_the_row_that_stays_does_not_depend_on_partitions(spark):
+    rows = [(1, "one and the same text", "en", f"s{i}") for i in range(9)] + [(2, "other", None, "en"), (2, "other", "en", None), (3, None, None, None)]
+    keys = spark.createDataFrame([("1:k",), ("2:k",)], "key string")
+    got = []
+    for n in (1, 3, 7):
+        docs = table(spark, rows[::-1] if n == 3 else rows).repartition(n)
+        got.append(sorted(map(str, common.rows_of(docs, keys, common.row_key(docs["doc_id"], common.F.lit("k"))).collect())))
+    assert len(got[0]) == 2 and got[0] == got[1] == got[2]
+
+
 def test_toxicity_against_brute_force(spark):
     """Hits of whole texts by comparing every word with every term, and the scores that follow from them."""
     docs, labels = toxic_table(spark)
@@ -212,13 +280,17 @@ def test_toxicity_against_brute_force(spark):
         rows.append((i, " ".join(words) or None, "en", "a"))
 
     def verdict(w):
-        if w in lexicon.terms:
-            return 0
         if any(len(w) > k and w[:k] in lexicon.stems for k in toxicity.STEM_LENGTHS):
             return 1
+        if w in lexicon.terms:
+            return 0
         if any(len(w) > k and w[:k] in lexicon.weak for k in toxicity.STEM_LENGTHS) or len(w) < 4 or w in lexicon.ordinary:
             return None
-        return 2 if any(edits(w, t) <= toxicity.permitted(t) and not any(t.startswith(x) for x in lexicon.weak) for t in lexicon.terms) else None
+        near = [t for t in lexicon.terms if edits(w, t) <= toxicity.permitted(t)]
+        covered = lambda t, stems: any(len(t) > k and t[:k] in stems for k in toxicity.STEM_LENGTHS)
+        if any(not covered(t, lexicon.stems) and not any(t.startswith(x) for x in lexicon.weak) for t in near):
+            return 2
+        return 1 if any(covered(t, lexicon.stems) for t in near) else None
 
     scored = spark.createDataFrame([(i, False, t) for i, t, _, _ in rows], "doc_id long, held_out boolean, text string").mapInArrow(toxicity.scorer(lexicon, weights), toxicity.SCHEMA)
     for r in scored.collect():
@@ -581,6 +653,87 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in out)
 
 
+def plain_statistics(text):
+    """The numbers that describe a text, character by character."""
+    import math
+
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    n, count, kinds = max(1, len(raw)), max(1, len(text.split())), set(words)
+    classes = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "\t\n\x0b\x0c\r ", ".,;:?'", "!", "|", "#$%&*+=<>@^_`~{}[]/\\", None, "\n"]
+    shares = [sum(b > 127 if c is None else b < 128 and chr(b) in c for b in raw) / n for c in classes]
+    entropy = -sum(raw.count(b) / n * math.log(raw.count(b) / n) for b in set(raw))
+    lengths = [len(w) for w in words] or [0]
+    mean = sum(lengths) / len(lengths)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in lengths) / len(lengths))
+    return [
+        math.log1p(len(words)), *shares, entropy, mean, deviation, math.log1p(max(lengths)), len(kinds) / count, math.log1p(len(kinds)) / math.log1p(count), max((words.count(w) for w in kinds), default=0) / count, sum(a == b for a, b in itertools.pairwise(words)) / count,
+        math.log1p(n / len(lines)), 1 - len(set(lines)) / len(lines), sum(not any(c.isalpha() for c in w) for w in kinds) / max(1, len(kinds)), sum(not w[-1].isalnum() and w[-1] not in ".,;:?" for w in words) / count, sum(w[0].isupper() for w in words) / count,
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Every number, the scale, the prior and the intercept over all rows, and the scores, by loops over plain lists."""
+    import math
+
+    rng, docs, labels = random.Random(23), [], []
+    for i in range(500):
+        words = ["".join(rng.choice("abcdeiouéA.") for _ in range(rng.randint(1, 8))) for _ in range(rng.randint(0, 60))]
+        docs.append((i, "\n".join(words) + "." if i % 6 else "BUY!! | $$ 9 " * len(words), "en", "a"))
+        labels.append((i, int(i % 6 != 0), 0))
+    df = table(spark, docs)
+    described = quality.described(df).collect()
+    plain = {i: [float(np.float32(v)) for v in plain_statistics(t)] for i, t, _, _ in docs}
+    for r in described:
+        assert np.allclose(np.frombuffer(r["x"], "<f4"), plain[r["doc_id"]], rtol=1e-5, atol=1e-6)
+    rows = quality.described(df).cache()
+    model = quality.fit(rows, spark.createDataFrame(labels, LABELS), most=100)
+    numbers = {r["doc_id"]: np.frombuffer(r["x"], "<f4").astype(float).tolist() for r in described}
+    free = [i for i in numbers if zlib.crc32(str(i).encode()) % 3 != 1]
+    for k in range(len(plain[0])):
+        column = [numbers[i][k] for i in free]
+        mean = sum(column) / len(column)
+        assert abs(model.mean[k] - mean) < 1e-3 and abs(model.scale[k] - math.sqrt(sum((v - mean) ** 2 for v in column) / len(column))) < 1e-3
+
+    def raw(weights, i):
+        z = [min(4.0, max(-4.0, (v - m) / s)) for v, m, s in zip(numbers[i], model.mean, model.scale, strict=True)]
+        return sum(a * b for a, b in zip(z + [v * v / 4 for v in z], weights, strict=True))
+
+    at, counts = quality._bins(rows.filter("free"), model)
+    assert counts.sum() == len(free) and dict(zip(at.tolist(), counts.tolist(), strict=True)) == {k: sum(int(quality.bin_of(np.array(raw(model.weights, i)))) == k for i in free) for k in at.tolist()}
+    p = [raw(model.weights, i) for i in free[:60] if i % 6]
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    z_u = quality.of_bin(at)
+    for b in (-1.0, 0.0, 2.5):
+        called_u = sum(sigmoid(z + b) * n for z, n in zip(z_u, counts, strict=True)) / counts.sum()
+        want = 0.8 * sum(1 - sigmoid(z + b) for z in p) / len(p) + max(0.0, called_u - 0.8 * sum(sigmoid(z + b) for z in p) / len(p))
+        assert abs(quality.risk(np.array(p), z_u, counts, 0.8, b) - want) < 1e-9
+    best = quality.best_intercept(np.array(p), z_u, counts, 0.8, 0.0)
+    assert all(quality.risk(np.array(p), z_u, counts, 0.8, best) <= quality.risk(np.array(p), z_u, counts, 0.8, k / 50) + 1e-9 for k in range(-150, 151))
+    for r in quality.score_quality(df, spark.createDataFrame(labels, LABELS), most=100).collect():
+        assert abs(r["score"] - sigmoid(raw(model.weights, r["doc_id"]) + model.intercept)) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_prior_is_the_least_quotient_of_tails():
+    rng = np.random.default_rng(3)
+    positive, bad = quality.bin_of(rng.normal(3, 1, 4000)), quality.bin_of(rng.normal(-3, 1, 3000))
+    kinds, counts = np.unique(np.r_[quality.bin_of(rng.normal(3, 1, 7000)), bad], return_counts=True)
+    assert abs(quality.estimate_prior(positive, kinds, counts) - 0.7) < 0.03
+    every = np.repeat(kinds, counts)
+    slack = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(4000) + 1 / np.sqrt(10_000))
+    quotients = [((every >= t).mean() + slack) / (positive >= t).mean() for t in positive]
+    t = positive[int(np.argmin(quotients))]
+    assert abs(quality.estimate_prior(positive, kinds, counts) - (every >= t).mean() / (positive >= t).mean()) < 1e-3
+
+
+def test_descent_follows_the_risk():
+    """With the second term above zero, the model's gradient is that of the risk: no small step lowers it at the end."""
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(1, 1, (400, 3)), rng.normal(-1, 1, (400, 3))
+    model = quality.train(good[:200], np.vstack([good[200:], bad]), 1 / 3, np.zeros(3), np.ones(3))
+    s_good, s_bad = model.scores(good), model.scores(bad)
+    assert (s_good > 0.5).mean() > 0.9 and (s_bad < 0.5).mean() > 0.9
+
+
 def test_quality_of_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], LABELS)
     some = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 12)], LABELS)
@@ -593,6 +746,46 @@ def test_quality_of_odd_rows(spark, odd, empty):
 # language
 
 
+def plain_shares(text):
+    """Share of each bucket among a text's subwords, byte by byte."""
+    raw, found = text.lower().encode(), {}
+    for start in range(len(raw)):
+        for length in (2, 3, 4):
+            h = length
+            for k in range(length):
+                h = (h * 0x01000193 + (raw[start + k] if start + k < len(raw) else 0)) & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            found[h >> (32 - language.BUCKET_BITS)] = found.get(h >> (32 - language.BUCKET_BITS), 0) + 1
+    return {b: n / sum(found.values()) for b, n in found.items()}
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    """Subwords, averages, softmax and rejection of every text by loops; a slice of few bytes changes nothing."""
+    import math
+
+    rng = random.Random(2)
+    kinds = {"aa": "bana nabi", "bb": "tok kot éto", "cc": "日本 本日の"}
+    docs = [(i, " ".join(rng.choice(kinds[k].split()) for _ in range(rng.randint(1, 30))), k, "s") for i in range(240) for k in [list(kinds)[i % 3]]]
+    docs += [(900, None, "aa", "s"), (901, "", "aa", "s"), (902, "12 !", "bb", "s"), (903, "z", None, "s")]
+    df = table(spark, docs)
+    model = language.fit(df)
+    got = {r["doc_id"]: r for r in language.identify(df).collect()}
+    for i, text, _, _ in docs:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        shares = plain_shares(text)
+        kinds_, values = language.counted(text, language.BUCKET_BITS)
+        assert {int(b): round(float(v), 9) for b, v in zip(kinds_, values, strict=True)} == {b: round(v, 9) for b, v in shares.items()}
+        logits = [sum(v * float(model.table[b, k]) for b, v in shares.items()) / model.temperature for k in range(len(model.languages))]
+        e = [math.exp(x - max(logits)) for x in logits]
+        p = [x / sum(e) for x in e]
+        assert abs(got[i]["score"] - max(p)) < 1e-4 and got[i]["lang_pred"] == model.languages[p.index(max(p))] and got[i]["rejected"] == (got[i]["score"] < model.threshold)
+    monkeypatch.setattr(language, "SLICE", 7)
+    assert np.allclose(model.logits([t for _, t, _, _ in docs[:50]]), [[sum(v * float(model.table[b, k]) for b, v in plain_shares(t).items()) for k in range(len(model.languages))] for _, t, _, _ in docs[:50]], atol=1e-5)
+
+
 def test_language_on_held_out_rows(spark):
     rng = random.Random(11)
     syllables = {"aa": ["tho", "ing", "ere"], "bb": ["sch", "ung", "ein"], "cc": ["eau", "que", "ion"]}
