@@ -99,7 +99,6 @@ SELECT p.id, CASE WHEN NOT EXISTS (SELECT 1 FROM photos q WHERE q.camera = p.cam
 
 
 @query("gone_folder", GONE_FOLDER_SQL)
-@query("all_gone_folder", GONE_FOLDER_SQL)
 def gone_folder(photos: DataFrame, observed: DataFrame) -> DataFrame:
     """The outermost folder of each file that a walk did not meet, where no file left holds that folder."""
     parts = F.split(X.folder(F.col("source_path")), "/")
@@ -118,7 +117,6 @@ WHERE status IN ('Completed', 'Copied', 'Found_At_Destination') AND dest_path NO
 
 
 @query("vanished", VANISHED_SQL)
-@query("all_vanished", VANISHED_SQL)
 def vanished(photos: DataFrame, observed: DataFrame) -> DataFrame:
     """Every settled photo that a walk did not meet at its place: its content found elsewhere there, or failed."""
     lost = photos.filter(F.col("status").isin(*schema.DELIVERED) & F.col("dest_path").isNotNull()).join(observed.select(F.col("path").alias("dest_path")), "dest_path", "left_anti")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import paths as X
+from ..functions.similarity import hashes
+from ..plans.similarity_index import within
 from ..registry import query
 from .metadata import sidecar_owners
-from .similarity import hashes
 
 
 @query("import_choices", r"""
@@ -70,13 +71,15 @@ def backup_totals(runs: DataFrame) -> DataFrame:
     return backup_list(runs).agg(F.count_if(F.col("availability") == "present").alias("present"), F.max(F.when(F.col("file").isNotNull(), F.col("attempt"))).alias("last_success"), F.count(F.lit(1)).alias("attempts"))
 
 
-@query("comparison_pending", "SELECT count(*) AS hashes, count(*) FILTER (WHERE h % 7 = 0) AS pending, (SELECT count(*) FROM contents WHERE h62 IS NULL) AS unavailable FROM hashes")
-def comparison_pending(contents: DataFrame) -> DataFrame:
-    """Hashes that no comparison has finished with, by the markers that it leaves (here all but every seventh have one)."""
-    h = hashes(contents)
-    marks = h.filter("h % 7 <> 0")
-    pending = h.join(marks, "h", "left_anti").agg(F.count(F.lit(1)).alias("pending"))
-    return h.agg(F.count(F.lit(1)).alias("hashes")).crossJoin(F.broadcast(pending)).crossJoin(F.broadcast(contents.agg(F.count_if(F.col("h62").isNull()).alias("unavailable"))))  # one row each
+@query("comparison_pending", """
+, early AS (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL AND 4 * content_id < 3 * (SELECT max(content_id) FROM contents))
+SELECT v.batch, (SELECT count(*) FROM hashes) AS hashes, (SELECT count(*) FROM hashes) - CASE WHEN v.batch = 0 THEN (SELECT count(*) FROM early) ELSE (SELECT count(*) FROM hashes) END AS pending, (SELECT count(*) FROM contents WHERE h62 IS NULL) AS unavailable FROM (VALUES (0), (1)) v(batch)""")
+def comparison_pending(contents: DataFrame, markers: DataFrame) -> DataFrame:
+    """After each batch of the index: hashes that no comparison has finished with, by the markers that it left, and contents without a hash."""
+    done = hashes(contents).join(markers, "h", "left").agg(F.count(F.lit(1)).alias("hashes"), *[F.count_if(F.coalesce(F.col("batch") > k, F.lit(True))).alias(f"p{k}") for k in (0, 1)])
+    none = contents.agg(F.count_if(F.col("h62").isNull()).alias("unavailable"))
+    per = done.select("hashes", F.explode(F.array(*[F.struct(F.lit(k).alias("batch"), F.col(f"p{k}").alias("pending")) for k in (0, 1)])).alias("x"))
+    return per.crossJoin(F.broadcast(none)).select("x.batch", "hashes", "x.pending", "unavailable")  # two rows and one
 
 
 @query("json_fidelity", """
@@ -91,12 +94,10 @@ def json_fidelity(events: DataFrame) -> DataFrame:
 
 @query("facet_sizes", """
 SELECT count(*) FILTER (WHERE p.id IN (SELECT photo_id FROM available WHERE h IN (SELECT low FROM edges UNION SELECT high FROM edges))) AS near, count(*) FILTER (WHERE p.file_size >= 2000) AS large, count(*) FILTER (WHERE p.status <> 'Failed' AND least(c.width, c.height) < 1000) AS small FROM photos p LEFT JOIN contents c USING (sha1_hash)""")
-def facet_sizes(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def facet_sizes(photos: DataFrame, contents: DataFrame, available: DataFrame, edges: DataFrame) -> DataFrame:
     """The chips of look-alikes and of sizes, over one base."""
-    from .similarity import available, edges
-
-    e = edges(contents)
+    e = within(edges, 6)
     met = e.select(F.col("low").alias("h")).union(e.select("high")).distinct()
-    near = available(photos, contents).join(met, "h", "left_semi").select(F.col("photo_id").alias("id"), F.lit(True).alias("is_near"))
+    near = available.join(met, "h", "left_semi").select(F.col("photo_id").alias("id"), F.lit(True).alias("is_near"))
     rows = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash", "left").join(near, "id", "left")
     return rows.agg(F.count("is_near").alias("near"), F.count_if(F.col("file_size") >= 2000).alias("large"), F.count_if((F.col("status") != "Failed") & (F.least("width", "height") < 1000)).alias("small"))

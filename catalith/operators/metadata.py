@@ -65,7 +65,6 @@ FROM photos s JOIN (SELECT s.id, count(p.id) AS owners, count(*) FILTER (WHERE p
 
 
 @query("sidecar_association", ASSOCIATION_SQL)
-@query("all_sidecar_association", ASSOCIATION_SQL)
 def sidecar_association(photos: DataFrame) -> DataFrame:
     """Which photo a sidecar belongs to: by full name, by being the only one of its stem, or by the raw-first rule.
 

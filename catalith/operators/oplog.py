@@ -20,7 +20,6 @@ STATUS_FACETS_SQL = "SELECT status, count(*) AS n FROM operations GROUP BY statu
 
 
 @query("oplog_status_facets", STATUS_FACETS_SQL)
-@query("all_oplog_status_facets", STATUS_FACETS_SQL)
 def oplog_status_facets(operations: DataFrame) -> DataFrame:
     """Counts by status under every filter but the status itself: here over the whole log."""
     return operations.groupBy("status").agg(F.count(F.lit(1)).alias("n"))

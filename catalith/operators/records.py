@@ -9,8 +9,7 @@ from .. import schema
 from ..functions import paths as X
 from ..functions.numbering import numbered
 from ..registry import query
-from ..sources.catalog import BITS
-from .similarity import hashes, near_pairs
+from ..plans.similarity_index import within
 
 
 @query("attention_newest", """
@@ -48,18 +47,15 @@ SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER
 
 
 @query("validation_by_threshold", VALIDATION_SQL)
-@query("all_validation_by_threshold", VALIDATION_SQL)
-def validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataFrame:
+def validation_by_threshold(contents: DataFrame, embeddings: DataFrame, edges: DataFrame) -> DataFrame:
     """How many of the near pairs share a label, at each of the six thresholds, the counts behind precision and recall; truth is every pair of unequal hashes that shares a label.
 
     Only pairs at most 16 bits apart are made; the truth follows from the sizes of labels and buckets.
     """
-    from .similarity import block_pairs
-
     count = F.count(F.lit(1))
     sizes = contents.filter("h62 is not null").join(embeddings.select(F.col("vec_id").alias("content_id"), "label"), "content_id").groupBy(F.col("h62").alias("h"), "label").agg(count.alias("n"))
     low, high = (sizes.select(F.col("h").alias(side), F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}_n")) for side in ("low", "high"))
-    near = block_pairs(hashes(contents, "h62"), max(schema.THRESHOLDS.values())).join(low, "low").join(high, "high")
+    near = edges.select("low", "high", "distance").join(low, "low").join(high, "high")
     near = near.groupBy("distance", F.coalesce(F.col("low_label") == F.col("high_label"), F.lit(False)).alias("same")).agg(F.sum(F.col("low_n") * F.col("high_n")).alias("n"))
     labels = sizes.filter("label is not null").groupBy("label").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("truth"))
     levels = labels.select("truth", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(d).alias("m")) for t, d in schema.THRESHOLDS.items()])).alias("x")).select("truth", "x.*")
@@ -69,11 +65,14 @@ def validation_by_threshold(contents: DataFrame, embeddings: DataFrame) -> DataF
 
 
 @query("incremental_pairs", """
-SELECT a.h AS known, b.h AS new FROM hashes a JOIN hashes b ON a.h % 4 <> 0 AND b.h % 4 = 0 AND bit_count(xor(a.h, b.h)) <= 3""")
-def incremental_pairs(contents: DataFrame, most: int = 3) -> DataFrame:
-    """Only new hashes (here every fourth) against known ones, by bands of the hash."""
-    h = hashes(contents)
-    return near_pairs(h.filter("h % 4 <> 0").select(F.col("h").alias("a")), h.filter("h % 4 = 0").select(F.col("h").alias("b")), BITS, most).select(F.col("a").alias("known"), F.col("b").alias("new"))
+, early AS (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL AND 4 * content_id < 3 * (SELECT max(content_id) FROM contents))
+SELECT a.h AS known, b.h AS new, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM early a JOIN (SELECT h FROM hashes WHERE h NOT IN (SELECT h FROM early)) b ON bit_count(xor(a.h, b.h)) <= 3""")
+def incremental_pairs(edges: DataFrame, markers: DataFrame, most: int = 3) -> DataFrame:
+    """What the index's last step found between the hashes that it was given and those known before, by their markers."""
+    last = markers.filter("batch = 1").select("h", F.lit(True).alias("late"))
+    found = within(edges, most).join(last.select(F.col("h").alias("low"), F.col("late").alias("low_new")), "low", "left").join(last.select(F.col("h").alias("high"), F.col("late").alias("high_new")), "high", "left")
+    new, known = (F.when(F.col("low_new"), F.col(a)).otherwise(F.col(b)) for a, b in (("low", "high"), ("high", "low")))
+    return found.filter("(low_new is null) <> (high_new is null)").select(known.alias("known"), new.alias("new"), "distance")
 
 
 @query("recovery_totals", "SELECT phash_state, count(*) AS n, count(*) FILTER (WHERE s.held) AS retryable FROM contents c LEFT JOIN (SELECT sha1_hash, bool_or(dest_path IS NOT NULL) AS held FROM photos GROUP BY 1) s USING (sha1_hash) GROUP BY 1")

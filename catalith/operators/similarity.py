@@ -1,11 +1,12 @@
 """Look-alikes over locality hashes: Hamming joins, buckets, counts, neighbourhoods.
 
-Equal hashes are never joined with each other: a bucket is counted once, and only distinct hashes are compared. For
-distances up to 6 the comparison is an exact equi-join by multi-index search: of four bands of a 62-bit hash one
-differs in one bit at most, so each band is looked up with its value and with every value one bit away, and the
-distance is checked after; a pair counts at its first such band only, so no distinct is needed. Up to 16 bits, bands
-save too little (four bands with up to four bits each would probe 2,517 values and still meet a seventh of all pairs):
-distinct hashes are dealt into blocks of about BLOCK rows, and every unordered pair of blocks is one join key.
+Equal hashes are never joined with each other: a bucket is counted once, and only distinct hashes are compared. Pairs
+come from the kept index (plans.similarity_index), which compares each hash once; its bands let a query read only the
+distances that it asks for. Counts at all thresholds are kept beside it.
+
+Where only near pairs of two tables are wanted, near_pairs finds distances up to 7 by multi-index search: of four bands
+of a 62-bit hash one differs in one bit at most, so each band is looked up with its value and with every value one
+bit away, and the distance is checked after; a pair counts at its first such band only, so no distinct is needed.
 """
 
 from __future__ import annotations
@@ -15,114 +16,59 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import paths as X
+from ..functions.similarity import both_ways, distance, hashes
+from ..plans.similarity_index import within
 from ..registry import query
-from ..sources.catalog import BITS
 
 NEAR = 6
-#: Bands of the multi-index search, and rows of a block.
-BANDS, BLOCK = 4, 4096
-
-
-def distance(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def hashes(contents: DataFrame, column: str = "h62") -> DataFrame:
-    return contents.filter(F.col(column).isNotNull()).select(F.col(column).alias("h")).distinct()
+#: Bands of the multi-index search.
+BANDS = 4
 
 
 def near_pairs(left: DataFrame, right: DataFrame, bits: int, most: int, bands: int = BANDS) -> DataFrame:
     """left: a; right: b (distinct hashes). a, b, distance: every pair at most `most` bits apart, once."""
     radius = most // bands
     if radius > 1:
-        raise ValueError("more than one bit a band: use block_pairs")
+        raise ValueError("more than one bit a band: use the index")
     edges = [bits * k // bands for k in range(bands + 1)]
-    part = lambda h, k: F.shiftright(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("bigint"))
-    flips = lambda k: [0, *(1 << i for i in range(edges[k + 1] - edges[k]))][: None if radius else 1]
-    struct = lambda k, value: F.struct(F.lit(k).alias("band"), value.alias("part"))
-    probes = F.array(*[struct(k, part("a", k).bitwiseXOR(F.lit(f).cast("bigint"))) for k in range(bands) for f in flips(k)])
-    held = F.array(*[struct(k, part("b", k)) for k in range(bands)])
-    found = left.select("a", F.explode(probes).alias("x")).select("a", "x.*").join(right.select("b", F.explode(held).alias("x")).select("b", "x.*"), ["band", "part"])
-    apart = lambda k: F.bit_count(part("a", k).bitwiseXOR(part("b", k)))
-    first = F.coalesce(*[F.when(apart(k) <= radius, F.lit(k)) for k in range(bands)])
-    d = distance(F.col("a"), F.col("b"))
-    return found.filter((d <= most) & (F.col("band") == first)).select("a", "b", d.alias("distance"))
-
-
-def band_pairs(h: DataFrame, bits: int, most: int) -> DataFrame:
-    """low, high, distance of distinct hashes at most `most` bits apart, by bands."""
-    found = near_pairs(h.select(F.col("h").alias("a")), h.select(F.col("h").alias("b")), bits, most).filter("a < b")
-    return found.select(F.col("a").alias("low"), F.col("b").alias("high"), "distance")
-
-
-def block_pairs(h: DataFrame, most: int) -> DataFrame:
-    """The same for distances that no band helps with: every pair of blocks is one join key, so no task sees all."""
-    blocks = max(1, -(-h.count() // BLOCK))
-    own = F.pmod(F.xxhash64("h"), F.lit(blocks))
-    side = lambda at, other: h.select(F.col("h"), own.alias(at)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("x <= y")
-    a, b = side("x", "y").alias("a"), side("y", "x").alias("b")
-    d = distance(F.col("a.h"), F.col("b.h"))
-    once = (F.col("a.x") < F.col("a.y")) | (F.col("a.h") < F.col("b.h"))
-    found = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & once & (d <= most))
-    return found.select(F.least("a.h", "b.h").alias("low"), F.greatest("a.h", "b.h").alias("high"), d.alias("distance"))
-
-
-def edges(contents: DataFrame) -> DataFrame:
-    return band_pairs(hashes(contents), BITS, NEAR)
-
-
-def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("low").alias("h"), F.col("high").alias("other"), "distance").union(pairs.select("high", "low", "distance"))
-
-
-def available(photos: DataFrame, contents: DataFrame, column: str = "h62") -> DataFrame:
-    """content_id, h, photo_id: one delivered photo for each content that has a hash."""
-    held = photos.filter(F.col("status").isin(*schema.DELIVERED)).groupBy("sha1_hash").agg(F.min("id").alias("photo_id"))
-    return contents.filter(F.col(column).isNotNull()).join(held, "sha1_hash").select("content_id", F.col(column).alias("h"), "photo_id", "mean_brightness", "mean_gradient")
-
-
-def buckets(avail: DataFrame) -> DataFrame:
-    return avail.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-
-
-def weighted(avail: DataFrame, contents: DataFrame) -> DataFrame:
-    """h, distance, n: for each hash the photos at each distance above 0, by bucket sizes."""
-    b = buckets(avail)
-    near = both_ways(edges(contents)).join(b.select(F.col("h").alias("other"), "n"), "other")
-    return near.join(b.select("h"), "h", "left_semi").groupBy("h", "distance").agg(F.sum("n").alias("n"))
+    spans = list(zip(edges, edges[1:], strict=False))
+    part = lambda h, lo, hi: f"(shiftright({h}, {lo}) & {(1 << (hi - lo)) - 1}L)"
+    flips = lambda lo, hi: ", ".join(f"{f}L" for f in [0, *(1 << i for i in range(hi - lo))][: None if radius else 1])
+    probes = ", ".join(f"transform(array({flips(lo, hi)}), f -> struct({k} as band, {part('a', lo, hi)} ^ f as part))" for k, (lo, hi) in enumerate(spans))
+    held = ", ".join(f"struct({k} as band, {part('b', lo, hi)} as part)" for k, (lo, hi) in enumerate(spans))
+    first = ", ".join(f"if(bit_count({part('a', lo, hi)} ^ {part('b', lo, hi)}) <= {radius}, {k}, null)" for k, (lo, hi) in enumerate(spans))
+    found = left.selectExpr("a", f"inline(concat({probes}))").join(right.selectExpr("b", f"inline(array({held}))"), ["band", "part"])
+    return found.filter(f"bit_count(a ^ b) <= {most} and band = coalesce({first})").selectExpr("a", "b", "bit_count(a ^ b) as distance")
 
 
 @query("hamming_pairs_le6", "SELECT low, high, distance FROM edges")
-def hamming_pairs_le6(contents: DataFrame) -> DataFrame:
-    return edges(contents)
+def hamming_pairs_le6(edges: DataFrame) -> DataFrame:
+    return within(edges, NEAR).select("low", "high", "distance")
 
 
 @query("hamming_pairs_le16", """
 SELECT a.h AS low, b.h AS high, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL) a JOIN (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL) b ON a.h < b.h AND bit_count(xor(a.h, b.h)) <= 16""")
-def hamming_pairs_le16(contents: DataFrame) -> DataFrame:
-    return block_pairs(hashes(contents, "h62"), 16)
+def hamming_pairs_le16(edges: DataFrame) -> DataFrame:
+    return edges.select("low", "high", "distance")
 
 
 @query("hash_buckets", "SELECT h, n FROM buckets")
-def hash_buckets(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return buckets(available(photos, contents))
+def hash_buckets(buckets: DataFrame) -> DataFrame:
+    return buckets.select("h", "n")
 
 
 @query("match_counts", """
 SELECT a.photo_id, CAST(b.n - 1 + coalesce(s.n, 0) AS BIGINT) AS matches FROM available a JOIN buckets b USING (h) LEFT JOIN (SELECT r.h, sum(b.n) AS n FROM around r JOIN buckets b ON b.h = r.other GROUP BY r.h) s ON s.h = a.h""")
-def match_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    """Look-alikes of each representative: its bucket's others, and all of its neighbours' buckets."""
-    avail = available(photos, contents)
-    around = weighted(avail, contents).groupBy("h").agg(F.sum("n").alias("around"))
-    out = avail.join(buckets(avail), "h").join(around, "h", "left")
-    return out.select("photo_id", (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("matches"))
+def match_counts(match_cache: DataFrame) -> DataFrame:
+    """Look-alikes of each representative at 90 %: its bucket's others, and all of its neighbours' buckets."""
+    return match_cache.select("photo_id", F.col("at_90").alias("matches"))
 
 
 @query("similar_gallery_ranked", """
 SELECT photo_id, matches FROM (SELECT a.photo_id, CAST(b.n - 1 + coalesce(s.n, 0) AS BIGINT) AS matches FROM available a JOIN buckets b USING (h) LEFT JOIN (SELECT r.h, sum(b.n) AS n FROM around r JOIN buckets b ON b.h = r.other GROUP BY r.h) s ON s.h = a.h)
 WHERE matches > 0 ORDER BY matches DESC, photo_id LIMIT 60""")
-def similar_gallery_ranked(photos: DataFrame, contents: DataFrame, size: int = 60) -> DataFrame:
-    return match_counts(photos, contents).filter("matches > 0").orderBy(F.desc("matches"), "photo_id").limit(size)
+def similar_gallery_ranked(match_cache: DataFrame, size: int = 60) -> DataFrame:
+    return match_counts(match_cache).filter("matches > 0").orderBy(F.desc("matches"), "photo_id").limit(size)
 
 
 THRESHOLD_COUNTS_SQL = """
@@ -132,44 +78,37 @@ CROSS JOIN (SELECT c.h62 AS h FROM contents c WHERE c.h62 IS NOT NULL AND c.sha1
 
 
 @query("six_threshold_counts", THRESHOLD_COUNTS_SQL)
-@query("all_threshold_counts", THRESHOLD_COUNTS_SQL)
-def threshold_counts(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    """Cumulative counts at all six thresholds over the 62-bit hashes, block by block, in one aggregation."""
-    avail = available(photos, contents)
-    b = buckets(avail)
-    near = both_ways(block_pairs(b.select("h"), max(schema.THRESHOLDS.values()))).join(b.select(F.col("h").alias("other"), "n"), "other")
-    per = near.groupBy("h").agg(*[F.sum(F.when(F.col("distance") <= d, F.col("n"))).alias(f"s{t}") for t, d in schema.THRESHOLDS.items()])
-    out = avail.join(b, "h").join(per, "h", "left")
-    return out.select("photo_id", *[(F.col("n") - 1 + F.coalesce(F.col(f"s{t}"), F.lit(0))).alias(f"at_{t}") for t in schema.THRESHOLDS])
+def threshold_counts(match_cache: DataFrame) -> DataFrame:
+    """Cumulative counts at all six thresholds."""
+    return match_cache.select("photo_id", *[f"at_{t}" for t in schema.THRESHOLDS])
 
 
 @query("reference_histogram", """
 SELECT d AS distance, n, CAST(sum(n) OVER (ORDER BY d) AS BIGINT) AS cumulative FROM (SELECT CAST(bit_count(xor(h, (SELECT h FROM available ORDER BY photo_id LIMIT 1))) AS INTEGER) AS d, count(*) AS n FROM available GROUP BY 1)""")
-def reference_histogram(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def reference_histogram(available: DataFrame) -> DataFrame:
     """How many photos lie at each distance from one reference, and cumulatively (at most 65 rows are ordered)."""
-    avail = available(photos, contents)
+    avail = available
     ref = avail.agg(F.min_by("h", "photo_id").alias("ref"))
     per = avail.crossJoin(F.broadcast(ref)).groupBy(distance(F.col("h"), F.col("ref")).alias("distance")).agg(F.count(F.lit(1)).alias("n"))
     return per.select("distance", "n", F.sum("n").over(Window.orderBy("distance")).alias("cumulative"))
 
 
 @query("comparison_state", "SELECT count(*) FILTER (WHERE h62 IS NULL) AS unavailable, count(*) FILTER (WHERE h62 IS NOT NULL AND h62 NOT IN (SELECT low FROM edges UNION SELECT high FROM edges)) AS alone, count(*) AS contents FROM contents")
-def comparison_state(contents: DataFrame) -> DataFrame:
-    e = edges(contents)
+def comparison_state(contents: DataFrame, edges: DataFrame) -> DataFrame:
+    e = within(edges, NEAR)
     met = e.select("low").union(e.select("high")).distinct().select(F.col("low").alias("h62"), F.lit(True).alias("met"))
     return contents.join(met, "h62", "left").agg(F.count_if(F.col("h62").isNull()).alias("unavailable"), F.count_if(F.col("h62").isNotNull() & F.col("met").isNull()).alias("alone"), F.count(F.lit(1)).alias("contents"))
 
 
 @query("neighbourhood_sets", """
 SELECT min(photo_id) AS representative, count(*) AS members FROM (SELECT a.photo_id, n.k FROM available a JOIN (SELECT h, string_agg(x, ',' ORDER BY x) AS k FROM (SELECT h, h AS x FROM buckets UNION SELECT r.h, r.other FROM around r JOIN buckets b ON b.h = r.other) GROUP BY h) n USING (h)) GROUP BY k HAVING count(*) > 1""")
-def neighbourhood_sets(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def neighbourhood_sets(available: DataFrame, buckets: DataFrame, edges: DataFrame) -> DataFrame:
     """Photos whose closed neighbourhoods are identical, by an order-free key of bounded size: its number and two sums.
 
     The key takes no list of the neighbours, so a hash with very many costs no more memory than one with few.
     """
-    avail = available(photos, contents)
-    b = buckets(avail)
-    closed = b.select("h", F.col("h").alias("x")).union(both_ways(edges(contents)).select("h", F.col("other").alias("x"))).distinct()
+    avail, b = available, buckets
+    closed = b.select("h", F.col("h").alias("x")).union(both_ways(within(edges, NEAR)).select("h", F.col("other").alias("x"))).distinct()
     closed = closed.join(b.select(F.col("h").alias("x")), "x", "left_semi").join(b.select("h"), "h", "left_semi")
     mark = lambda salt: F.sum(F.xxhash64("x", F.lit(salt)).cast("decimal(20,0)"))
     keys = closed.groupBy("h").agg(F.struct(F.count(F.lit(1)), mark(1), mark(2)).alias("k"))
@@ -178,8 +117,8 @@ def neighbourhood_sets(photos: DataFrame, contents: DataFrame) -> DataFrame:
 
 @query("nearest_matches", """
 SELECT photo_id, d AS distance, round_even((64 - d) * 100 / 64.0, 2)::DOUBLE AS score FROM (SELECT photo_id, CAST(bit_count(xor(h, (SELECT h FROM available ORDER BY photo_id LIMIT 1))) AS INTEGER) AS d FROM available) WHERE photo_id <> (SELECT min(photo_id) FROM available) ORDER BY d, photo_id LIMIT 20""")
-def nearest_matches(photos: DataFrame, contents: DataFrame, n: int = 20) -> DataFrame:
-    avail = available(photos, contents)
+def nearest_matches(available: DataFrame, n: int = 20) -> DataFrame:
+    avail = available
     ref = F.broadcast(avail.agg(F.min_by("h", "photo_id").alias("ref"), F.min("photo_id").alias("ref_id")))
     d = distance(F.col("h"), F.col("ref"))
     return avail.crossJoin(ref).filter("photo_id <> ref_id").select("photo_id", d.alias("distance"), X.score(d).alias("score")).orderBy("distance", "photo_id").limit(n)
@@ -187,24 +126,23 @@ def nearest_matches(photos: DataFrame, contents: DataFrame, n: int = 20) -> Data
 
 @query("pair_compare", """
 SELECT low, high, distance, round_even((64 - distance) * 100 / 64.0, 2)::DOUBLE AS score, distance <= 3 AS close FROM edges""")
-def pair_compare(contents: DataFrame) -> DataFrame:
-    return edges(contents).select("low", "high", "distance", X.score(F.col("distance")).alias("score"), (F.col("distance") <= 3).alias("close"))
+def pair_compare(edges: DataFrame) -> DataFrame:
+    return within(edges, NEAR).select("low", "high", "distance", X.score(F.col("distance")).alias("score"), (F.col("distance") <= 3).alias("close"))
 
 
 @query("reference_set", """
 SELECT a.photo_id AS member FROM available a WHERE a.h = (SELECT h FROM available ORDER BY photo_id LIMIT 1) OR a.h IN (SELECT other FROM around WHERE h = (SELECT h FROM available ORDER BY photo_id LIMIT 1))""")
-def reference_set(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def reference_set(available: DataFrame) -> DataFrame:
     """The members of one photo's set: what it matches directly, never what those match in turn."""
-    avail = available(photos, contents)
+    avail = available
     ref = F.broadcast(avail.agg(F.min_by("h", "photo_id").alias("ref")))
     return avail.crossJoin(ref).filter(distance(F.col("h"), F.col("ref")) <= NEAR).select(F.col("photo_id").alias("member"))
 
 
 @query("matched_photo_ids", "SELECT photo_id FROM available WHERE h IN (SELECT r.h FROM around r JOIN buckets b ON b.h = r.other UNION SELECT h FROM buckets WHERE n > 1)")
-def matched_photo_ids(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    avail = available(photos, contents)
-    b = buckets(avail)
-    near = both_ways(edges(contents)).join(b.select(F.col("h").alias("other")), "other", "left_semi").select("h")
+def matched_photo_ids(available: DataFrame, buckets: DataFrame, edges: DataFrame) -> DataFrame:
+    avail, b = available, buckets
+    near = both_ways(within(edges, NEAR)).join(b.select(F.col("h").alias("other")), "other", "left_semi").select("h")
     return avail.join(near.union(b.filter("n > 1").select("h")).distinct(), "h", "left_semi").select("photo_id")
 
 
@@ -232,69 +170,62 @@ def match_queue(photos: DataFrame, size: int = 60) -> DataFrame:
     return rows.join(n, rows["sha1_hash"].eqNullSafe(n["sha1_hash"])).orderBy(F.desc("matches"), F.desc("file_size"), "id").select("id", "matches").limit(size)
 
 
-def similar_queue(photos: DataFrame, contents: DataFrame, percent: float, sort: str, term: str = "", page: int = 1, size: int = 30) -> DataFrame:
+def similar_queue(photos: DataFrame, match_cache: DataFrame, percent: int, sort: str, term: str = "", page: int = 1, size: int = 30) -> DataFrame:
     """A page of the photos that have look-alikes at a percentage, whose name holds the term."""
-    avail = available(photos, contents)
-    b = buckets(avail)
-    near = both_ways(pairs_within(b.select("h"), X.match_distance(percent))).join(b.select(F.col("h").alias("other"), "n"), "other").groupBy("h").agg(F.sum("n").alias("around"))
-    counted = avail.join(b, "h").join(near, "h", "left").select(F.col("photo_id").alias("id"), (F.col("n") - 1 + F.coalesce("around", F.lit(0))).alias("matches")).filter("matches > 0")
+    counted = match_cache.select(F.col("photo_id").alias("id"), F.col(f"at_{percent}").alias("matches")).filter("matches > 0")
     named = photos.filter(F.ilike("name", F.lit(X.escape_like(term)), F.lit("\\")))
     return counted.join(named, "id").orderBy(*queue_orders()[sort]).offset((page - 1) * size).limit(size).select("id", "name", "matches")
 
 
-def pairs_within(h: DataFrame, most: int) -> DataFrame:
-    return band_pairs(h, BITS, most) if most <= 2 * BANDS - 1 else block_pairs(h, most)
-
-
 SIMILAR_QUEUE_SQL = """
 SELECT id, name, matches FROM (SELECT p.id, p.name, p.date_taken, p.file_size, (SELECT count(*) FROM available b WHERE bit_count(xor(a.h, b.h)) <= {d}) - 1 AS matches FROM available a JOIN photos p ON p.id = a.photo_id)
 WHERE matches > 0 AND name ILIKE '%{term}%' ORDER BY {order} LIMIT 30 OFFSET {skip}"""
 
 
 @query("match_queue_similar", SIMILAR_QUEUE_SQL.format(d=6, term="", order="matches DESC, id", skip=0))
-def match_queue_similar(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return similar_queue(photos, contents, 90, "matches")
+def match_queue_similar(photos: DataFrame, match_cache: DataFrame) -> DataFrame:
+    return similar_queue(photos, match_cache, 90, "matches")
 
 
 @query("match_queue_newest", SIMILAR_QUEUE_SQL.format(d=16, term="cr2", order="date_taken IS NULL, date_taken DESC, id DESC", skip=30))
-def match_queue_newest(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return similar_queue(photos, contents, 75, "newest", "CR2", page=2)
+def match_queue_newest(photos: DataFrame, match_cache: DataFrame) -> DataFrame:
+    return similar_queue(photos, match_cache, 75, "newest", "CR2", page=2)
 
 
 @query("match_queue_oldest", SIMILAR_QUEUE_SQL.format(d=12, term="", order="date_taken IS NULL, date_taken, id", skip=0))
-def match_queue_oldest(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return similar_queue(photos, contents, 80, "oldest")
+def match_queue_oldest(photos: DataFrame, match_cache: DataFrame) -> DataFrame:
+    return similar_queue(photos, match_cache, 80, "oldest")
 
 
 @query("match_queue_name", SIMILAR_QUEUE_SQL.format(d=16, term="", order="lower(name), id", skip=0))
-def match_queue_name(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return similar_queue(photos, contents, 75, "name")
+def match_queue_name(photos: DataFrame, match_cache: DataFrame) -> DataFrame:
+    return similar_queue(photos, match_cache, 75, "name")
 
 
 @query("match_queue_largest", SIMILAR_QUEUE_SQL.format(d=3, term="", order="file_size DESC NULLS LAST, id", skip=0))
-def match_queue_largest(photos: DataFrame, contents: DataFrame) -> DataFrame:
-    return similar_queue(photos, contents, 95, "largest")
+def match_queue_largest(photos: DataFrame, match_cache: DataFrame) -> DataFrame:
+    return similar_queue(photos, match_cache, 95, "largest")
 
 
 @query("largest_match", """
 SELECT photo_id AS id, arg_max(content_id, (pixels, -content_id)) AS content_id, max(pixels) AS pixels FROM (
   SELECT a.photo_id, b.content_id, c.width::BIGINT * c.height AS pixels FROM available a JOIN available b ON a.content_id <> b.content_id AND bit_count(xor(a.h, b.h)) <= 6 JOIN contents c ON c.content_id = b.content_id WHERE c.width > 0 AND c.height > 0) GROUP BY photo_id""")
-def largest_match(photos: DataFrame, contents: DataFrame) -> DataFrame:
+def largest_match(available: DataFrame, contents: DataFrame, edges: DataFrame) -> DataFrame:
     """Each photo's look-alike with the most pixels, of equal ones that of the least id. A bucket's two best are enough."""
-    avail = available(photos, contents).join(contents.filter("width > 0 and height > 0").select("content_id", (F.col("width").cast("bigint") * F.col("height")).alias("pixels")), "content_id")
+    avail = available.join(contents.filter("width > 0 and height > 0").select("content_id", (F.col("width").cast("bigint") * F.col("height")).alias("pixels")), "content_id")
     order = Window.partitionBy("h").orderBy(F.desc("pixels"), "content_id")
     best = avail.withColumn("k", F.row_number().over(order)).filter("k <= 2").select(F.col("h").alias("other"), "content_id", "pixels")
     h = hashes(contents)
-    around = both_ways(edges(contents)).select("h", "other").union(h.select("h", F.col("h").alias("other")))
-    seen = available(photos, contents).select("photo_id", "h", F.col("content_id").alias("own")).join(around, "h").join(best, "other").filter("own <> content_id")
+    around = both_ways(within(edges, NEAR)).select("h", "other").union(h.select("h", F.col("h").alias("other")))
+    seen = available.select("photo_id", "h", F.col("content_id").alias("own")).join(around, "h").join(best, "other").filter("own <> content_id")
     top = F.max(F.struct("pixels", (-F.col("content_id")).alias("at"))).alias("top")
     return seen.groupBy(F.col("photo_id").alias("id")).agg(top).select("id", (-F.col("top.at")).alias("content_id"), F.col("top.pixels").alias("pixels"))
 
 
 @query("similarity_diagnostics", "SELECT (SELECT count(*) FROM hashes) AS distinct_hashes, (SELECT count(*) FROM edges) AS stored_pairs, (SELECT count(*) FROM hashes WHERE h NOT IN (SELECT low FROM edges UNION SELECT high FROM edges)) AS alone")
-def similarity_diagnostics(contents: DataFrame) -> DataFrame:
+def similarity_diagnostics(contents: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct hashes, pairs of look-alikes, and hashes without any."""
-    h, e = hashes(contents), edges(contents)
+    h, e = hashes(contents), within(edges, NEAR)
     met = e.select(F.col("low").alias("h")).union(e.select("high")).distinct().withColumn("met", F.lit(True))
     per = h.join(met, "h", "left").agg(F.count(F.lit(1)).alias("distinct_hashes"), F.count_if(F.col("met").isNull()).alias("alone"))
     return per.crossJoin(F.broadcast(e.agg(F.count(F.lit(1)).alias("stored_pairs")))).select("distinct_hashes", "stored_pairs", "alone")  # one row each

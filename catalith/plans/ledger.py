@@ -41,12 +41,10 @@ def progress_last(review_events: DataFrame) -> DataFrame:
 
 @query("count_cache", """
 SELECT a.photo_id, count(*) FILTER (WHERE bit_count(xor(a.h, b.h)) <= 16) - 1 AS count_75, count(*) FILTER (WHERE bit_count(xor(a.h, b.h)) <= 6) - 1 AS count_90, a.photo_id IN (SELECT photo_id FROM review_events GROUP BY photo_id HAVING arg_max(action, id) = 'purchase') AS dirty FROM available a CROSS JOIN available b GROUP BY a.photo_id""")
-def count_cache(photos: DataFrame, contents: DataFrame, review_events: DataFrame) -> DataFrame:
+def count_cache(match_cache: DataFrame, review_events: DataFrame) -> DataFrame:
     """The published counts of look-alikes, and which of them later changes made dirty."""
-    from ..operators.similarity import threshold_counts
-
     changed = review_events.groupBy("photo_id").agg(F.max_by("action", "id").alias("last")).filter("last = 'purchase'").select("photo_id", F.lit(True).alias("changed"))
-    rows = threshold_counts(photos, contents).join(changed, "photo_id", "left")
+    rows = match_cache.join(changed, "photo_id", "left")
     return rows.select("photo_id", F.col("at_75").alias("count_75"), F.col("at_90").alias("count_90"), F.coalesce("changed", F.lit(False)).alias("dirty"))
 
 

@@ -7,12 +7,18 @@ and not the texts.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stored import stored
+from ..functions import similarity
+from ..plans.similarity_index import SimilarityIndex, all_pairs, band
+from .stored import delete_at_end, shared_dir, stamped, stored
+
+_indexes: dict[tuple, SimilarityIndex] = {}
 
 #: Bits of a locality hash: what fits a long beside a sign and what every engine can shift.
 BITS = 62
@@ -30,12 +36,15 @@ def similarity_hashes(texts: DataFrame) -> DataFrame:
     word = F.md5(F.col("word"))
     half = lambda at: F.conv(F.substring(word, at, 8), 16, 10).cast("bigint")
     rows = texts.select("content_id", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).select("content_id", half(1).alias("high"), half(9).alias("low"))
-    bits = [F.sum(F.shiftright("low" if i < BITS // 2 else "high", i % (BITS // 2)).bitwiseAND(F.lit(1).cast("bigint"))).alias(f"b{i}") for i in range(BITS)]
+    bits = [F.expr(f"sum(shiftright({'low' if i < BITS // 2 else 'high'}, {i % (BITS // 2)}) & 1L) as b{i}") for i in range(BITS)]
     sums = rows.groupBy("content_id").agg(F.count(F.lit(1)).alias("n"), *bits)
-    value = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        value = value + F.when(2 * F.col(f"b{i}") > F.col("n"), F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return sums.select("content_id", value.alias("h62"))
+    return sums.selectExpr("content_id", " + ".join(f"if(2 * b{i} > n, {1 << i}L, 0L)" for i in range(BITS)) + " as h62")
+
+
+def earlier(contents: DataFrame) -> DataFrame:
+    """The contents of the lower three quarters of the ids: those that an earlier run knew."""
+    last = F.broadcast(contents.agg(F.max("content_id").alias("last_id")))  # one row
+    return contents.crossJoin(last).filter("4 * content_id < 3 * last_id").drop("last_id")
 
 
 class Catalog:
@@ -49,11 +58,60 @@ class Catalog:
 
     @cached_property
     def photos(self) -> DataFrame:
-        return stored(self._photos, ["documents"], self.sf_dir, "photos")
+        return self._stored(lambda: self._photos, "photos")
 
     @cached_property
     def contents(self) -> DataFrame:
-        return stored(self._contents, ["documents"], self.sf_dir, "contents")
+        return self._stored(lambda: self._contents, "contents")
+
+    def _stored(self, build: Callable[[], DataFrame], name: str) -> DataFrame:
+        return stored(self.spark, build, ["documents"], self.sf_dir, name)
+
+    @cached_property
+    def _index(self) -> SimilarityIndex | None:
+        """The kept index of look-alikes, after two steps: the contents of the earlier ids, then the others.
+
+        The second step compares only what the first has not. None where the session names no shared folder.
+        """
+        base = shared_dir(self.spark)
+        if base is None or getattr(self.spark, "_jvm", None) is None:
+            return None
+        key = stamped(self.spark, ["documents"], self.sf_dir, "index")
+        if key not in _indexes:
+            index = SimilarityIndex(self.spark, f"{base}/catalith-views/index-{uuid.uuid4().hex}")
+            delete_at_end(self.spark, index.path)
+            index.step(similarity.hashes(earlier(self.contents)))
+            index.step(similarity.hashes(self.contents))
+            _indexes[key] = index
+        return _indexes[key]
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """low, high, distance, band: the hashes up to 16 bits apart."""
+        if self._index is None:
+            return all_pairs(similarity.hashes(self.contents), 16).withColumn("band", band(F.col("distance")))
+        return self._index.edges()
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        """h, batch: the hashes that the index has finished with."""
+        if self._index is None:
+            early = similarity.hashes(earlier(self.contents)).withColumn("early", F.lit(True))
+            return similarity.hashes(self.contents).join(early, "h", "left").select("h", F.when(F.col("early"), 0).otherwise(1).alias("batch"))
+        return self._index.markers()
+
+    @cached_property
+    def available(self) -> DataFrame:
+        return self._stored(lambda: similarity.available(self.photos, self.contents), "available")
+
+    @cached_property
+    def buckets(self) -> DataFrame:
+        return self._stored(lambda: similarity.buckets(self.available), "buckets")
+
+    @cached_property
+    def match_cache(self) -> DataFrame:
+        """photo_id, at_75 to at_100: the cached counts of look-alikes, remade when the table changes."""
+        return self._stored(lambda: similarity.count_matches(self.available, self.buckets, self.edges), "match-counts")
 
     @cached_property
     def _photos(self) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
-_written: dict[tuple, str] = {}
+_written: dict[tuple, tuple[str, StructType]] = {}
 _own_dir: list[str] = []
 
 
@@ -28,11 +30,18 @@ def written(df: DataFrame, base: str, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{base}/catalith-views/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends, if it is there by now."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder; where the session names none, a checkpoint of Spark's own needs it as well."""
     base = shared_dir(df.sparkSession)
@@ -48,20 +57,25 @@ def _stamp(spark: SparkSession, path: str) -> tuple:
     return files.getContentSummary(where).getLength(), files.getFileStatus(where).getModificationTime()
 
 
-def stored(df: DataFrame, tables: list[str], sf_dir: str, name: str) -> DataFrame:
-    """df, derived from these tables of sf_dir: written at its first use in a session, and again if a table changes.
+def stored(spark: SparkSession, build: Callable[[], DataFrame], tables: list[str], sf_dir: str, name: str) -> DataFrame:
+    """What build gives, derived from these tables of sf_dir: written at its first use in a session, and again if one changes.
 
-    Where the session names no shared folder df is derived anew each time.
+    Later uses read it by path and schema and build nothing. Where the session names no shared folder it is derived each time.
     """
-    spark = df.sparkSession
     base = shared_dir(spark)
     if base is None or getattr(spark, "_jvm", None) is None:
-        return df
-    key = (spark.sparkContext.applicationId, sf_dir, name, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables))
+        return build()
+    key = stamped(spark, tables, sf_dir, name)
     if key not in _written:
-        out = written(df, base, name)
-        _written[key] = out.inputFiles()[0].rsplit("/", 1)[0] if out.inputFiles() else ""
-        if not _written[key]:
-            del _written[key]
-        return out
-    return spark.read.schema(df.schema).parquet(_written[key])
+        out = written(build(), base, name)
+        files = out.inputFiles()
+        if not files:
+            return out
+        _written[key] = files[0].rsplit("/", 1)[0], out.schema
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def stamped(spark: SparkSession, tables: list[str], sf_dir: str, name: str) -> tuple:
+    """A key that changes with the session and with any of the tables."""
+    return (spark.sparkContext.applicationId, sf_dir, name, *(_stamp(spark, f"{sf_dir}/{t}.parquet") for t in tables))

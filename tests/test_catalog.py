@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from catalith import schema
 from catalith.functions import numbering
 from catalith.functions import paths as X
+from catalith.functions import similarity as shared
 from catalith.operators import checks, duplicates, gallery, lineage, metadata, oplog, predicates, records, similarity
+from catalith.plans import similarity_index
 from catalith.streaming import incremental
 
 
@@ -47,22 +50,71 @@ def brute(hashes, most):
     return sorted((int(a), int(b), bin(int(a) ^ int(b)).count("1")) for i, a in enumerate(hashes) for b in hashes[i + 1 :] if bin(int(a) ^ int(b)).count("1") <= most)
 
 
+def frame(spark, hashes):
+    return spark.createDataFrame([(h,) for h in hashes], "h long")
+
+
+def mutated(rng, n, most):
+    """Random hashes, and of each one another a few bits away."""
+    base = rng.integers(0, 1 << 62, n)
+    return sorted({*map(int, base), *(int(b) ^ sum(1 << int(k) for k in rng.choice(62, m, replace=False)) for b, m in zip(base, rng.integers(1, most, n), strict=True))})
+
+
 @pytest.mark.parametrize("most", [3, 6])
-def test_band_pairs_equal_brute_force(spark, most):
-    rng = np.random.default_rng(73)
-    base = rng.integers(0, 1 << 60, 60)
-    mutated = [int(b) ^ sum(1 << int(k) for k in rng.choice(60, n, replace=False)) for b, n in zip(base, rng.integers(1, 9, 60), strict=True)]
-    hashes = sorted({*map(int, base), *mutated})
-    got = similarity.band_pairs(spark.createDataFrame([(h,) for h in hashes], "h long"), 62, most)
+def test_near_pairs_equal_brute_force(spark, most):
+    hashes = mutated(np.random.default_rng(73), 60, 9)
+    got = similarity.near_pairs(frame(spark, hashes).withColumnRenamed("h", "a"), frame(spark, hashes).withColumnRenamed("h", "b"), 62, most).filter("a < b")
     assert sorted(map(tuple, got.collect())) == brute(hashes, most)
 
 
-def test_block_pairs_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "BLOCK", 30)
+@pytest.mark.parametrize("tile", [7, 40, 4096])
+def test_tiled_pairs_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(similarity_index, "TILE", tile)
     rng = np.random.default_rng(5)
-    hashes = sorted({int(x) for x in rng.integers(0, 1 << 30, 80)})
-    got = similarity.block_pairs(spark.createDataFrame([(h,) for h in hashes], "h long"), 12)
-    assert sorted(map(tuple, got.collect())) == brute(hashes, 12)
+    hashes = sorted({*mutated(rng, 40, 22), *(int(x) for x in rng.integers(0, 1 << 30, 40)), 0, (1 << 62) - 1})
+    assert sorted(map(tuple, similarity_index.all_pairs(frame(spark, hashes), 16).collect())) == brute(hashes, 16)
+    assert similarity_index.all_pairs(frame(spark, []), 16).count() == 0
+
+
+def test_tiles_of_far_apart_bit_counts_never_meet(spark):
+    """A third each of few, middling and many set bits: two thirds of the pairs are not compared."""
+    rng = random.Random(3)
+    hashes = [sum(1 << k for k in rng.sample(range(62), n)) for n in (4, 31, 58) for _ in range(300)]
+    tiles = similarity_index.Tiles(frame(spark, sorted(set(hashes))))
+    assert similarity_index.planned(tiles, None, 16) < 0.4 * len(hashes) ** 2 / 2
+    assert sorted(map(tuple, similarity_index.pairs_of(tiles, None, 16).collect())) == brute(sorted(set(hashes)), 16)
+
+
+def test_index_compares_only_what_is_new_and_appends_once(spark, tmp_path):
+    hashes = mutated(np.random.default_rng(9), 200, 18)
+    index, new = similarity_index.SimilarityIndex(spark, f"{tmp_path}/index"), hashes[::100]
+    old = [h for h in hashes if h not in new]
+    assert index.batches() == [] and index.edges().count() == 0 and index.pending(frame(spark, hashes)).count() == len(hashes)
+    assert index.step(frame(spark, old))[0] == len(old)
+    assert sorted(tuple(r)[:3] for r in index.edges().collect()) == brute(old, 16)
+
+    def die():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):  # dies after its edges, before its markers
+        index.step(frame(spark, hashes), before_markers=die)
+    assert index.pending(frame(spark, hashes)).count() == len(new) and sorted(tuple(r)[:3] for r in index.edges().collect()) == brute(old, 16)
+    again = similarity_index.SimilarityIndex(spark, f"{tmp_path}/index")
+    n, compared = again.step(frame(spark, hashes))
+    assert n == len(new) and compared <= len(new) * (len(old) + len(new))
+    assert sorted(tuple(r)[:3] for r in again.edges().collect()) == brute(hashes, 16)
+    assert again.step(frame(spark, hashes)) == (0, 0) and again.batches() == [0, 1]
+    assert sorted(r["h"] for r in again.markers().collect()) == hashes and {r["h"] for r in again.markers().filter("batch = 1").collect()} == set(new)
+
+
+@pytest.mark.parametrize("most", [0, 3, 6, 9, 12, 16])
+def test_edges_within_read_their_bands_only(spark, tmp_path, most):
+    index = similarity_index.SimilarityIndex(spark, f"{tmp_path}/index")
+    hashes = mutated(np.random.default_rng(4), 100, 18)
+    index.step(frame(spark, hashes))
+    near = similarity_index.within(index.edges(), most)
+    assert sorted(tuple(r)[:3] for r in near.collect()) == brute(hashes, most)
+    assert "PartitionFilters: [isnotnull(band" in near._jdf.queryExecution().toString()
 
 
 def library(spark, hashes):
@@ -71,20 +123,30 @@ def library(spark, hashes):
     return photos, contents
 
 
+def looks(spark, hashes):
+    """available, buckets, edges and cached counts of a library."""
+    photos, contents = library(spark, hashes)
+    avail = shared.available(photos, contents).cache()
+    sizes = shared.buckets(avail)
+    edges = similarity_index.all_pairs(shared.hashes(contents), 16).withColumn("band", similarity_index.band(F.col("distance"))).cache()
+    return avail, sizes, edges, shared.count_matches(avail, sizes, edges)
+
+
 def test_equal_hashes_are_counted_not_joined(spark):
-    photos, contents = library(spark, [7] * 200)
-    assert {r["matches"] for r in similarity.match_counts(photos, contents).collect()} == {199}
-    assert similarity.neighbourhood_sets(photos, contents).collect()[0][0:2] == (0, 200)
-    assert similarity.edges(contents).count() == 0
+    avail, sizes, edges, counts = looks(spark, [7] * 200)
+    assert {r["matches"] for r in similarity.match_counts(counts).collect()} == {199}
+    assert similarity.neighbourhood_sets(avail, sizes, edges).collect()[0][0:2] == (0, 200)
+    assert edges.count() == 0
 
 
 def test_all_six_thresholds_are_counted(spark):
     values = [0, 0, 0x7, 0x3F, 0x1FF, 0xFFF, 0xFFFF, 0x1FFFF]
-    photos, contents = library(spark, values)
-    got = {r["photo_id"]: tuple(r)[1:] for r in similarity.threshold_counts(photos, contents).collect()}
+    _, contents = library(spark, values)
+    _, _, edges, counts = looks(spark, values)
+    got = {r["photo_id"]: tuple(r)[1:] for r in similarity.threshold_counts(counts).collect()}
     assert got[0] == (6, 5, 4, 3, 2, 1)  # at 75, 80, 85, 90, 95, 100; the last is 17 bits away
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "vec_id long, label int")
-    rows = {r["threshold"]: (r["found"], r["truth"]) for r in records.validation_by_threshold(contents, labels).collect()}
+    rows = {r["threshold"]: (r["found"], r["truth"]) for r in records.validation_by_threshold(contents, labels, edges).collect()}
     pairs = [(a, b) for a, b in itertools.combinations(range(8), 2) if values[a] != values[b]]
     truth = sum((a - b) % 2 == 0 for a, b in pairs)
     assert rows == {t: (sum((values[a] ^ values[b]).bit_count() <= d for a, b in pairs), truth) for t, d in schema.THRESHOLDS.items()}
@@ -103,9 +165,9 @@ def test_no_id_is_left_out(spark):
 
 
 def test_sets_are_relative_to_their_reference(spark):
-    photos, contents = library(spark, [0, 0x3F, 0xFFF, 0x3FFFF])
-    assert ids(similarity.reference_set(photos, contents), "member") == [0, 1]
-    assert sorted(r["matches"] for r in similarity.match_counts(photos, contents).collect()) == [1, 1, 2, 2]
+    avail, _, _, counts = looks(spark, [0, 0x3F, 0xFFF, 0x3FFFF])
+    assert ids(similarity.reference_set(avail), "member") == [0, 1]
+    assert sorted(r["matches"] for r in similarity.match_counts(counts).collect()) == [1, 1, 2, 2]
 
 
 def test_normalize_duplicates(spark):
