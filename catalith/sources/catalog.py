@@ -65,7 +65,7 @@ class Catalog:
         return self._stored(lambda: self._contents, "contents")
 
     def _stored(self, build: Callable[[], DataFrame], name: str) -> DataFrame:
-        return stored(self.spark, build, ["documents"], self.sf_dir, name)
+        return stored(self.spark, build, ["documents", "embeddings"], self.sf_dir, name)
 
     @cached_property
     def _index(self) -> SimilarityIndex | None:
@@ -113,6 +113,32 @@ class Catalog:
         """photo_id, at_75 to at_100: the cached counts of look-alikes, remade when the table changes."""
         return self._stored(lambda: similarity.count_matches(self.available, self.buckets, self.edges), "match-counts")
 
+    @cached_property
+    def pictures(self) -> DataFrame:
+        """content_id, orientation, pixels: grey values of 32 x 32 points, made of the vectors; every 23rd picture is dark."""
+        e, i = F.col("embedding"), F.col("vec_id")
+        point = lambda k: F.floor(F.lit(128.5) + 1500 * F.element_at(e, F.floor(k / 32).cast("int") % F.size(e) + 1).cast("double") * F.element_at(e, (k % 32 + 32) % F.size(e) + 1).cast("double"))
+        bounded = lambda k: F.least(F.lit(255), F.greatest(F.lit(0), point(k))).cast("int")
+        pixels = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda k: F.floor(bounded(k) / F.when(i % 23 == 0, 16).otherwise(1)).cast("int"))
+        return self.table("embeddings").select(i.alias("content_id"), (i % 10).cast("int").alias("orientation"), pixels.alias("pixels"))
+
+    @cached_property
+    def jpegs(self) -> DataFrame:
+        """file_id, data: an encoded file for each document, its scan made of the text, its comment of language and source; some damaged."""
+        i, said = F.col("doc_id"), F.hex(F.concat_ws("/", "lang", "source"))
+        jfif, tables = F.lit("FFE000104A46494600010100000100010000"), F.lit("FFDB000401AAFFC0000B080030004001011100FFC4000502AABB")
+        comment = F.concat(F.lit("FFFE"), F.lpad(F.hex((F.length(said) / 2 + 2).cast("long")), 4, "0"), said)
+        scan = F.concat(F.lit("FFDA0008010100003F00"), F.hex(F.sha2("text", 256)), F.lit("FF00FFD0"), F.hex(F.md5("text")))
+        kind = F.when(i % 13 == 5, 1).when(i % 17 == 5, 2).when(i % 19 == 5, 3).when(i % 23 == 5, 4).otherwise(0)
+        start, more, end = F.when(kind == 1, "FFD9").otherwise("FFD8"), F.when(kind == 4, "FFC10002").otherwise(""), F.when(kind == 2, "").when(kind == 3, "FFD900").otherwise("FFD9")
+        return self.table("documents").select(i.alias("file_id"), F.unhex(F.concat(start, jfif, tables, more, comment, scan, end)).alias("data"))
+
+    @cached_property
+    def measures(self) -> DataFrame:
+        from ..operators.pictures import measured
+
+        return stored(self.spark, lambda: measured(self.pictures), ["embeddings"], self.sf_dir, "measures")
+
     @cached_property
     def _photos(self) -> DataFrame:
         i = F.col("doc_id")
@@ -132,9 +158,9 @@ class Catalog:
         texts = self.table("documents").filter("doc_id % 18 <> 5").select(F.col("doc_id").alias("content_id"), "text")  # the other pictures can't be read
         vectors = similarity_hashes(texts)
         i = F.col("content_id")
-        return first.join(vectors, "content_id", "left").select(
+        return first.join(vectors, "content_id", "left").join(self.measures, "content_id", "left").select(
             i, "sha1_hash", "h62", F.when(F.col("h62").isNull(), "error").otherwise("ok").alias("phash_state"), (640 * (1 + i % 8)).cast("int").alias("width"), (480 * (1 + i % 8)).cast("int").alias("height"),
-            F.when(i % 17 != 0, (i * 7 % 200).cast("double")).alias("mean_brightness"), F.when(i % 17 != 0, (i * 3 % 40) / 10).alias("mean_gradient"),
+            "mean_brightness", "mean_gradient",
         )
 
     @cached_property
@@ -249,6 +275,13 @@ class Catalog:
         shared = rows.groupBy("name").agg(F.min("sha1_hash").alias("a"), F.max("sha1_hash").alias("b")).filter("a <> b").select("name")
         return rows.join(shared, "name", "left_semi").select("name", "folder").distinct()
 
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        """Rows as a scan hands them to the writer: some without content or path, with a control character, or empty."""
+        i = F.col("id")
+        path = F.when(i % 41 == 0, None).when(i % 43 == 0, F.lit("")).when(i % 47 == 0, F.concat("source_path", F.lit("\n"))).otherwise(F.col("source_path"))
+        return self.photos.select(i, F.when(i % 37 != 0, F.col("sha1_hash")).alias("sha1_hash"), path.alias("source_path"), F.when(i % 53 == 0, 0).otherwise(F.col("file_size")).cast("bigint").alias("file_size"))
+
     @cached_property
     def recorded(self) -> DataFrame:
         return self.photos.select(F.col("source_path").alias("path"), F.col("file_size").alias("size"), (F.col("id") * 1.5).alias("mtime"), "status")

@@ -1,10 +1,20 @@
 """The views of sources.catalog as common table expressions for DuckDB."""
 
+from ..operators.picture_sql import MEASURED_SQL
+
 #: A similarity hash by majority of word hashes, bit by bit.
 _SUMS = ", ".join(f"sum(({'low' if i < 31 else 'high'} >> {i % 31}) & 1)" for i in range(62))
 
 VIEWS = (
     rf"""
+pictures AS (
+  SELECT vec_id AS content_id, CAST(vec_id % 10 AS INTEGER) AS orientation, list_transform(range(1024), lambda k: least(255, greatest(0, CAST(floor(128.5::DOUBLE + 1500 * embedding[k // 32 % len(embedding) + 1]::DOUBLE * embedding[(k % 32 + 32) % len(embedding) + 1]::DOUBLE) AS INTEGER))) // CASE WHEN vec_id % 23 = 0 THEN 16 ELSE 1 END) AS pixels FROM embeddings
+),
+measured AS ({MEASURED_SQL}),
+jpeg_parts AS (
+  SELECT doc_id AS file_id, CASE WHEN doc_id % 13 = 5 THEN 1 WHEN doc_id % 17 = 5 THEN 2 WHEN doc_id % 19 = 5 THEN 3 WHEN doc_id % 23 = 5 THEN 4 ELSE 0 END AS damage, 'FFE000104A46494600010100000100010000' AS jfif, 'FFDB000401AAFFC0000B080030004001011100FFC4000502AABB' AS tables,
+    'FFFE' || lpad(to_hex(CAST(octet_length(encode(concat_ws('/', lang, source))) + 2 AS BIGINT)), 4, '0') || hex(concat_ws('/', lang, source)) AS said, 'FFDA0008010100003F00' || hex(sha256(text)) || 'FF00FFD0' || hex(md5(text)) AS scan FROM documents
+),
 word_hashes AS (
   SELECT content_id, CAST(list_sum([CASE WHEN 2 * s[i + 1] > n THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(62)]) AS BIGINT) AS h62 FROM (SELECT content_id, count(*) AS n, [{_SUMS}] AS s FROM (
     SELECT content_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS high, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS low FROM (SELECT doc_id AS content_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents WHERE doc_id % 18 <> 5)) GROUP BY content_id)
@@ -20,8 +30,8 @@ photos AS (
 ),
 contents AS (
   SELECT content_id, sha1_hash, h62, CASE WHEN h62 IS NULL THEN 'error' ELSE 'ok' END AS phash_state, CAST(640 * (1 + content_id % 8) AS INTEGER) AS width, CAST(480 * (1 + content_id % 8) AS INTEGER) AS height,
-    CASE WHEN content_id % 17 <> 0 THEN CAST(content_id * 7 % 200 AS DOUBLE) END AS mean_brightness, CASE WHEN content_id % 17 <> 0 THEN (content_id * 3 % 40) / 10 END AS mean_gradient
-  FROM (SELECT sha1_hash, min(id) AS content_id FROM photos GROUP BY sha1_hash) LEFT JOIN word_hashes USING (content_id)
+    mean_brightness, mean_gradient
+  FROM (SELECT sha1_hash, min(id) AS content_id FROM photos GROUP BY sha1_hash) LEFT JOIN word_hashes USING (content_id) LEFT JOIN measured USING (content_id)
 ),
 runs AS (
   SELECT o_orderkey AS id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'MOVE' WHEN '2' THEN 'COPY' WHEN '3' THEN 'CHECK' ELSE 'INDEX' END AS mode,
@@ -74,6 +84,9 @@ sidecars AS (
 ),
 looks AS (SELECT p.id AS photo_id, c.h62 AS recorded, xor(c.h62, (CAST(1 AS BIGINT) << CAST(p.id % 40 AS INTEGER)) - 1) AS seen FROM photos p JOIN contents c USING (sha1_hash) WHERE p.dest_path IS NOT NULL AND c.h62 IS NOT NULL),
 clashes AS (SELECT DISTINCT right(name, 6) AS name, regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder FROM photos WHERE right(name, 6) IN (SELECT right(name, 6) FROM photos GROUP BY 1 HAVING count(DISTINCT sha1_hash) > 1)),
+arrivals AS (
+  SELECT id, CASE WHEN id % 37 <> 0 THEN sha1_hash END AS sha1_hash, CASE WHEN id % 41 = 0 THEN NULL WHEN id % 43 = 0 THEN '' WHEN id % 47 = 0 THEN source_path || chr(10) ELSE source_path END AS source_path, CASE WHEN id % 53 = 0 THEN 0 ELSE file_size END AS file_size FROM photos
+),
 recorded AS (SELECT source_path AS path, file_size AS size, CAST(id * 1.5 AS DOUBLE) AS mtime, status FROM photos),
 candidates AS (SELECT source_path AS path, file_size + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS size, CAST(id * 1.5 AS DOUBLE) + CASE WHEN id % 7 = 0 THEN 1.0::DOUBLE WHEN id % 3 = 0 THEN 0.0000004::DOUBLE ELSE 0.0::DOUBLE END AS mtime FROM photos),
 hashes AS (SELECT DISTINCT h62 AS h FROM contents WHERE h62 IS NOT NULL),
