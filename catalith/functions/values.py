@@ -10,17 +10,47 @@ from ..registry import query
 
 
 def rating(text: Column) -> Column:
-    """-1 or 0 to 5 without superfluous zeros; null for anything else."""
-    number = text.try_cast("decimal(38,18)")
-    plain = F.regexp_replace(F.regexp_replace(number.cast("string"), "0+$", ""), r"\.$", "")
-    return F.when((number == -1) | number.between(0, 5), F.when(number == 0, "0").otherwise(plain))
-
-
-def degrees_minutes(text: Column, hemisphere: Column) -> Column:
-    """Decimal degrees as degrees and decimal minutes, computed exactly."""
-    number = text.try_cast("decimal(18,9)")
-    degrees = F.floor(number)
-    return F.concat(degrees.cast("string"), F.lit(","), ((number - degrees) * 60).cast("decimal(18,6)").cast("string"), hemisphere)
+    """-1 or 0 to 5 without superfluous zeros, by the digits themselves; null for anything else, such as 4e0 or a blank beside."""
+    sign, whole = F.regexp_extract(text, "^([+-]?)", 1), F.ltrim(F.regexp_extract(text, "^[+-]?([0-9]*)", 1), F.lit("0"))
+    part = F.rtrim(F.regexp_extract(text, r"\.([0-9]+)$", 1), F.lit("0"))
+    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    allowed = F.when(sign == "-", number.isin("0", "1")).otherwise(F.length(whole).isin(0, 1) & ((whole < "5") | ((whole == "5") & (part == ""))))
+    plain = text.rlike(r"^[+-]?([0-9]+(\.[0-9]+)?|\.[0-9]+)\z")
+    return F.when(plain & allowed, F.concat(F.when((sign == "-") & (number != "0"), "-").otherwise(""), number))
+
+
+def recorded_date(text: Column) -> Column:
+    """Whether a text is a date to the year, month, day, minute or second, with or without a zone, that the calendar and clock have."""
+    clock = r"^[0-9]{4}(-(0[1-9]|1[0-2])(-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?)?)?)?\z"
+    return text.rlike(clock) & ((F.length(text) < 10) | F.substring(text, 1, 10).try_cast("date").isNotNull())
+
+
+#: Digits of a fraction that stay exact when it is multiplied by 60.
+MOST_DIGITS = 36
+
+
+def coordinate_issue(axis: str, most: int, ends: str, exif: Column) -> Column:
+    """Why a coordinate in decimal degrees is refused; EXIF has the hemisphere apart and no sign."""
+    value, ref = F.col(axis), F.col(f"{axis}_ref")
+    degrees = F.regexp_extract(value, "^[+-]?([0-9]+)", 1).try_cast("decimal(38,0)")
+    beyond = degrees.isNull() | (degrees > most) | ((degrees == most) & value.rlike(r"\.[0-9]*[1-9]")) | (F.length(F.regexp_extract(value, r"\.([0-9]+)$", 1)) > MOST_DIGITS)
+    wrong = (
+        F.when(exif & ref.isNull(), "gps_coordinate_without_reference").when(~value.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?\z"), f"invalid_gps_{axis}").when(exif & ~ref.isin(*ends), "invalid_gps_reference")
+        .when(exif & value.startswith("-") & value.rlike("[1-9]"), "negative_exif_coordinate").when(beyond, f"invalid_gps_{axis}")
+    )
+    return F.when(value != "", wrong).when(exif & ref.isNotNull(), "gps_reference_without_coordinate")
+
+
+def degrees_minutes(axis: str, ends: str, exif: Column) -> Column:
+    """Decimal degrees as degrees and decimal minutes with as many places, computed on the digits."""
+    value = F.col(axis)
+    digits = F.regexp_extract(value, r"\.([0-9]+)$", 1)
+    scaled = (digits.try_cast("decimal(36,0)") * F.lit(60)).cast("decimal(38,0)").cast("string")
+    padded = F.when(F.length(scaled) > F.length(digits), scaled).otherwise(F.concat(F.repeat(F.lit("0"), F.length(digits) + 1 - F.length(scaled)), scaled))
+    places = F.length(digits)
+    minutes = F.when(digits == "", "0").otherwise(F.concat(F.substring(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substring(padded, F.length(padded) - places + 1, places)))
+    end = F.when(exif, F.col(f"{axis}_ref")).when(value.startswith("-"), ends[1]).otherwise(ends[0])
+    return F.concat(F.regexp_extract(value, "^[+-]?([0-9]+)", 1).try_cast("decimal(38,0)").cast("string"), F.lit(","), minutes, end)
 
 
 def shown_path(path: Column, library: str, rejects: str) -> Column:

@@ -1,4 +1,9 @@
-"""Metadata as readers give it: qualified tags, typed values, sources, conflicts, and the report of a capture."""
+"""Metadata as readers give it: qualified tags, typed values, sources, conflicts, and the report of a capture.
+
+One pass interprets all tags: a broadcast dimension says of each known tag what source, field and part it is, one
+aggregation lays a source's parts side by side, and column expressions read them. A source is taken whole or not at
+all: its first value that is wrong, in a fixed order, is its issue, and nothing falls back to another source silently.
+"""
 
 from __future__ import annotations
 
@@ -8,78 +13,164 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..registry import query
 
+# Tags that are read, as source, tag and part. Of XMP-dc texts a language may follow the name.
+TAGS = [
+    ("exif", "IFD0:Make", "camera_make"), ("exif", "IFD0:Model", "camera_model"), ("exif", "IFD0:Orientation", "orientation"), ("exif", "IFD0:XPTitle", "title"), ("exif", "IFD0:ImageDescription", "caption"), ("exif", "IFD0:Copyright", "rights"), ("exif", "IFD0:Artist", "creators"),
+    ("exif", "IFD0:XPKeywords", "keywords"), ("exif", "IFD0:Rating", "rating"), ("exif", "ExifIFD:DateTimeOriginal", "date_taken"), ("exif", "ExifIFD:SubSecTimeOriginal", "fraction"), ("exif", "ExifIFD:OffsetTimeOriginal", "zone"),
+    ("exif", "GPS:GPSLatitude", "latitude"), ("exif", "GPS:GPSLongitude", "longitude"), ("exif", "GPS:GPSAltitude", "altitude"), ("exif", "GPS:GPSAltitudeRef", "altitude_ref"), ("exif", "GPS:GPSLatitudeRef", "latitude_ref"), ("exif", "GPS:GPSLongitudeRef", "longitude_ref"),
+    ("embedded_xmp", "XMP-exif:DateTimeOriginal", "date_taken"), ("embedded_xmp", "XMP-tiff:Make", "camera_make"), ("embedded_xmp", "XMP-tiff:Model", "camera_model"), ("embedded_xmp", "XMP-tiff:Orientation", "orientation"), ("embedded_xmp", "XMP-xmp:Rating", "rating"),
+    ("embedded_xmp", "XMP-dc:Title", "title"), ("embedded_xmp", "XMP-dc:Description", "caption"), ("embedded_xmp", "XMP-dc:Rights", "rights"), ("embedded_xmp", "XMP-dc:Subject", "keywords"), ("embedded_xmp", "XMP-dc:Creator", "creators"),
+    ("embedded_xmp", "XMP-exif:GPSLatitude", "latitude"), ("embedded_xmp", "XMP-exif:GPSLongitude", "longitude"), ("embedded_xmp", "XMP-exif:GPSAltitude", "altitude"), ("embedded_xmp", "XMP-exif:GPSAltitudeRef", "altitude_ref"),
+]
 DATE, FRACTION, OFFSET = "ExifIFD:DateTimeOriginal", "ExifIFD:SubSecTimeOriginal", "ExifIFD:OffsetTimeOriginal"
+PARTS = sorted({part for _, _, part in TAGS})
+FIELDS = ("date_taken", "orientation", "rating", "camera_make", "camera_model", "title", "caption", "rights", "keywords", "creators", "latitude", "longitude", "altitude", "altitude_ref")
+_DIMENSION = ", ".join(f"('{s}', '{t}', '{p}')" for s, t, p in TAGS)
 
-#: One row a photo and canonical tag: copies of a tag collapse, and conflict where they differ.
-CANONICAL_SQL = """
-SELECT photo_id, canon AS tag, min(value) AS value, count(DISTINCT value) > 1 AS conflict, count(*) AS copies FROM (SELECT photo_id, split_part(tag, ':', 1) || ':' || split_part(tag, ':', -1) AS canon, value FROM image_tags) GROUP BY 1, 2"""
+#: One row a photo and canonical tag: numbered copies collapse, and conflict where they differ; any other part between family and name is a conflict too.
+CANONICAL_SQL = r"""
+SELECT photo_id, canon AS tag, min(value) FILTER (WHERE plain) AS value, coalesce(count(DISTINCT value) FILTER (WHERE plain) > 1, false) OR NOT bool_and(plain) AS conflict, count(*) AS copies FROM (
+  SELECT photo_id, split_part(tag, ':', 1) || ':' || split_part(tag, ':', -1) AS canon, regexp_full_match(tag, '[^:]*(:Copy[0-9]+)*:[^:]*') AS plain, value FROM image_tags WHERE tag LIKE '%:%') GROUP BY 1, 2"""
 
 
 @query("canonical_tags", CANONICAL_SQL)
 def canonical_tags(image_tags: DataFrame) -> DataFrame:
     """Tags by family and name; numbered copies of a tag collapse into it and conflict where their values differ."""
     parts = F.split("tag", ":")
-    canon = F.concat_ws(":", F.element_at(parts, 1), F.element_at(parts, -1))
-    return image_tags.groupBy("photo_id", canon.alias("tag")).agg(F.min("value").alias("value"), (F.min("value") != F.max("value")).alias("conflict"), F.count(F.lit(1)).alias("copies"))
+    canon, plain = F.concat_ws(":", F.element_at(parts, 1), F.element_at(parts, -1)), F.col("tag").rlike("^[^:]*(:Copy[0-9]+)*:[^:]*$")
+    rows = image_tags.filter(F.col("tag").contains(":")).select("photo_id", canon.alias("tag"), F.when(plain, F.col("value")).alias("value"), plain.alias("plain"))
+    differ = F.coalesce(F.min("value") != F.max("value"), F.lit(False)) | ~F.bool_and("plain")
+    return rows.groupBy("photo_id", "tag").agg(F.min("value").alias("value"), differ.alias("conflict"), F.count(F.lit(1)).alias("copies"))
+
+
+_PART_SQL = ", ".join(f"max(CASE WHEN part = '{p}' AND lang IS NULL THEN value END) AS {p}" for p in PARTS)
+_LOCAL_SQL = ", ".join(f"string_agg(coalesce(lang, 'x-default') || '=' || value, ',' ORDER BY coalesce(lang, 'x-default')) FILTER (part = '{p}') AS local_{p}, count(lang) FILTER (part = '{p}') AS n_{p}" for p in ("title", "caption", "rights"))
+WIDE_SQL = rf"""
+SELECT photo_id, source, bool_or(conflict) AS conflict, {_PART_SQL}, {_LOCAL_SQL} FROM (
+  SELECT c.photo_id, c.value, c.conflict, d.source, d.part, c.lang FROM (SELECT *, CASE WHEN regexp_matches(tag, '^XMP-dc:(Title|Description|Rights)-') THEN regexp_extract(tag, '^XMP-dc:[A-Za-z]+-(.*)$', 1) END AS lang, CASE WHEN regexp_matches(tag, '^XMP-dc:(Title|Description|Rights)-') THEN regexp_extract(tag, '^(XMP-dc:[A-Za-z]+)-', 1) ELSE tag END AS known FROM ({CANONICAL_SQL})) c
+  JOIN (VALUES {_DIMENSION}) d(source, tag, part) ON d.tag = c.known) GROUP BY photo_id, source"""
+
+
+def sources(image_tags: DataFrame) -> DataFrame:
+    """One row a photo and source with its parts side by side: one scan and two aggregations, whatever the number of fields."""
+    rows, spark = canonical_tags(image_tags), image_tags.sparkSession
+    local = F.regexp_extract("tag", "^XMP-dc:(?:Title|Description|Rights)-(.*)$", 1)
+    rows = rows.withColumn("lang", F.when(F.col("tag").rlike("^XMP-dc:(Title|Description|Rights)-"), local)).withColumn("tag", F.when(F.col("lang").isNotNull(), F.regexp_extract("tag", "^(XMP-dc:[A-Za-z]+)-", 1)).otherwise(F.col("tag")))
+    known = spark.createDataFrame(TAGS, "source string, tag string, part string")
+    rows = rows.join(F.broadcast(known), "tag")  # the tags that are read: a fixed list
+    part = lambda p: F.max(F.when((F.col("part") == p) & F.col("lang").isNull(), F.col("value"))).alias(p)
+    text = F.struct(F.coalesce("lang", F.lit("x-default")).alias("lang"), "value")
+    texts = [c for p in ("title", "caption", "rights") for c in (F.collect_list(F.when(F.col("part") == p, text)).alias(f"local_{p}"), F.count(F.when(F.col("part") == p, F.col("lang"))).alias(f"n_{p}"))]
+    wide = rows.groupBy("photo_id", "source").agg(F.bool_or("conflict").alias("conflict"), *map(part, PARTS), *texts)
+    for p in ("title", "caption", "rights"):  # a photo has few languages
+        wide = wide.withColumn(f"local_{p}", F.array_join(F.transform(F.sort_array(f"local_{p}"), lambda x: F.concat_ws("=", x["lang"], x["value"])), ","))
+    return wide
+
+
+def _gps_sql(axis: str, most: int, ends: str) -> str:
+    value, ref = axis, f"{axis}_ref"
+    number = f"try_cast(regexp_extract({value}, '^[+-]?([0-9]+)', 1) AS HUGEINT)"
+    beyond = f"({number} IS NULL OR {number} > {most} OR ({number} = {most} AND regexp_matches({value}, '\.[0-9]*[1-9]')) OR length(regexp_extract({value}, '\.([0-9]+)$', 1)) > 36)"
+    return f"""CASE WHEN {value} <> '' THEN CASE WHEN source = 'exif' AND {ref} IS NULL THEN 'gps_coordinate_without_reference' WHEN NOT regexp_full_match({value}, '[+-]?[0-9]+(\.[0-9]+)?') THEN 'invalid_gps_{axis}'
+      WHEN source = 'exif' AND {ref} NOT IN ('{ends[0]}', '{ends[1]}') THEN 'invalid_gps_reference' WHEN source = 'exif' AND {value} LIKE '-%' AND regexp_matches({value}, '[1-9]') THEN 'negative_exif_coordinate' WHEN {beyond} THEN 'invalid_gps_{axis}' END
+    WHEN source = 'exif' AND {ref} IS NOT NULL THEN 'gps_reference_without_coordinate' END"""
+
+
+def _minutes_sql(axis: str, ends: str) -> str:
+    digits = f"regexp_extract({axis}, '\.([0-9]+)$', 1)"
+    times = f"CAST(try_cast({digits} AS HUGEINT) * 60 AS VARCHAR)"
+    scaled = f"lpad({times}, CAST(greatest(length({digits}) + 1, length({times})) AS INTEGER), '0')"
+    return f"""CASE WHEN {axis} <> '' THEN CAST(try_cast(regexp_extract({axis}, '^[+-]?([0-9]+)', 1) AS HUGEINT) AS VARCHAR) || ',' || CASE WHEN {digits} = '' THEN '0' ELSE left({scaled}, length({scaled}) - length({digits})) || '.' || right({scaled}, length({digits})) END
+      || CASE WHEN source = 'exif' THEN {axis}_ref WHEN {axis} LIKE '-%' THEN '{ends[1]}' ELSE '{ends[0]}' END ELSE {axis} END"""
+
+
+_DATED = r"[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?)?"
+_CLOCK = r"[0-9]{4}(-(0[1-9]|1[0-2])(-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?)?)?)?"
+READ_SQL = rf"""
+SELECT *, CASE WHEN conflict THEN 'ambiguous_embedded_' || CASE source WHEN 'exif' THEN 'exif' ELSE 'xmp' END
+    WHEN gps1 IS NOT NULL THEN gps1 WHEN gps2 IS NOT NULL THEN gps2 WHEN altitude <> '' AND (NOT regexp_full_match(altitude, '[0-9]+(\.[0-9]+)?(/[0-9]+)?') OR regexp_matches(altitude, '/0+$')) THEN 'invalid_gps_altitude' WHEN altitude_ref NOT IN ('', '0', '1') THEN 'invalid_gps_altitude_ref'
+    WHEN source = 'exif' AND date_taken IS NULL AND (fraction IS NOT NULL OR zone IS NOT NULL) THEN 'date_components_without_date' WHEN source = 'exif' AND date_taken <> '' AND NOT regexp_full_match(date_taken, '[0-9]{{4}}:[0-9]{{2}}:[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'invalid_date_taken'
+    WHEN source = 'exif' AND date_taken <> '' AND NOT regexp_full_match(fraction, '[0-9]+') THEN 'invalid_date_fraction' WHEN source = 'exif' AND date_taken <> '' AND NOT regexp_full_match(zone, '[+-][0-9]{{2}}:[0-9]{{2}}') THEN 'invalid_date_offset'
+    WHEN dated <> '' AND (NOT regexp_full_match(dated, '{_CLOCK}') OR (length(dated) >= 10 AND TRY_CAST(left(dated, 10) AS DATE) IS NULL)) THEN 'invalid_date_taken' WHEN orientation <> '' AND NOT regexp_full_match(orientation, '\+?0*[1-8]') THEN 'invalid_orientation'
+    WHEN rating <> '' AND NOT regexp_full_match(rating, '-0*1(\.0*)?|[+-]?0*\.?0*|\+?0*[0-4]?\.[0-9]+|\+?0*[0-5](\.0*)?') OR rating IN ('+', '-', '.', '+.', '-.') OR rating LIKE '%.' THEN 'invalid_rating' END AS issue FROM (
+  SELECT *, {_gps_sql('latitude', 90, 'NS')} AS gps1, {_gps_sql('longitude', 180, 'EW')} AS gps2,
+    CASE WHEN date_taken = '' THEN '' WHEN source = 'exif' THEN replace(left(date_taken, 10), ':', '-') || 'T' || substr(date_taken, 12) || coalesce('.' || fraction, '') || coalesce(zone, '') ELSE replace(left(date_taken, 10), ':', '-') || CASE WHEN substr(date_taken, 11, 1) = ' ' THEN 'T' ELSE substr(date_taken, 11, 1) END || substr(date_taken, 12) END AS dated FROM ({WIDE_SQL}))"""
+
+_RATED_SQL = r"CASE WHEN rating = '' THEN '' ELSE CASE WHEN rating LIKE '-%' AND regexp_matches(rating, '[1-9]') THEN '-' ELSE '' END || coalesce(nullif(ltrim(regexp_extract(rating, '^[+-]?([0-9]*)', 1), '0'), ''), '0') || CASE WHEN regexp_matches(rating, '\.[0-9]*[1-9]') THEN '.' || rtrim(regexp_extract(rating, '\.([0-9]*)$', 1), '0') ELSE '' END END"
+_VALUES_SQL = {
+    "date_taken": "CASE WHEN dated LIKE '%Z' THEN rtrim(dated, 'Z') || '+00:00' ELSE dated END", "orientation": "right(orientation, 1)", "rating": _RATED_SQL, "keywords": "CASE WHEN source = 'exif' THEN replace(keywords, ';', '|') ELSE keywords END",
+    "latitude": _minutes_sql("latitude", "NS"), "longitude": _minutes_sql("longitude", "EW"), **{p: f"CASE WHEN n_{p} > 0 THEN local_{p} ELSE {p} END" for p in ("title", "caption", "rights")},
+}
+EXIF_FIELDS_SQL = f"""
+SELECT photo_id, source, x.field AS field, x.value AS value, issue FROM (SELECT photo_id, source, issue, unnest(CASE WHEN issue IS NULL THEN [{', '.join(f"{{'field': '{f}', 'value': CASE WHEN {'true' if f not in ('title', 'caption', 'rights') else f'n_{f} > 0 OR'} {'AND' if f not in ('title', 'caption', 'rights') else ''} {f} IS NOT NULL THEN {_VALUES_SQL.get(f, f)} END}}" for f in FIELDS)}] ELSE [{{'field': NULL, 'value': NULL}}] END) AS x FROM ({READ_SQL}))
+WHERE issue IS NOT NULL OR x.value IS NOT NULL"""
+
+
+def read(image_tags: DataFrame) -> DataFrame:
+    """One row a photo and source: a column a field, and the issue for which the source is refused."""
+    rows, exif = sources(image_tags), F.col("source") == "exif"
+    text = lambda name: F.col(name)
+    said, blank = lambda name: F.col(name) != "", F.lit("")
+    d, zone, fraction = text("date_taken"), text("zone"), text("fraction")
+    day, rest = F.translate(F.substring(d, 1, 10), ":", "-"), F.substring(d, 12, 1 << 20)
+    mark = F.when(F.substring(d, 11, 1) == " ", "T").otherwise(F.substring(d, 11, 1))
+    dated = F.when(d == "", "").when(exif, F.concat(day, F.lit("T"), rest, F.coalesce(F.concat(F.lit("."), fraction), blank), F.coalesce(zone, blank))).otherwise(F.concat(day, mark, rest))
+    rows = rows.withColumn("dated", dated)
+    issue = F.coalesce(
+        F.when(F.col("conflict"), F.when(exif, "ambiguous_embedded_exif").otherwise("ambiguous_embedded_xmp")), V.coordinate_issue("latitude", 90, "NS", exif), V.coordinate_issue("longitude", 180, "EW", exif),
+        F.when(said("altitude") & (~F.col("altitude").rlike(r"^[0-9]+(\.[0-9]+)?(/[0-9]+)?\z") | F.col("altitude").rlike(r"/0+\z")), "invalid_gps_altitude"), F.when(~F.col("altitude_ref").isin("", "0", "1"), "invalid_gps_altitude_ref"),
+        F.when(exif & d.isNull() & (fraction.isNotNull() | zone.isNotNull()), "date_components_without_date"), F.when(exif & said("date_taken") & ~d.rlike(r"^[0-9]{4}:[0-9]{2}:[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"), "invalid_date_taken"),
+        F.when(exif & said("date_taken") & ~fraction.rlike(r"^[0-9]+\z"), "invalid_date_fraction"), F.when(exif & said("date_taken") & ~zone.rlike(r"^[+-][0-9]{2}:[0-9]{2}\z"), "invalid_date_offset"),
+        F.when(said("dated") & ~V.recorded_date(F.col("dated")), "invalid_date_taken"), F.when(said("orientation") & ~F.col("orientation").rlike(r"^\+?0*[1-8]\z"), "invalid_orientation"), F.when(said("rating") & V.rating(F.col("rating")).isNull(), "invalid_rating"),
+    )
+    values = {
+        "date_taken": F.when(F.col("dated").endswith("Z"), F.concat(F.rtrim("dated", F.lit("Z")), F.lit("+00:00"))).otherwise(F.col("dated")), "orientation": F.expr("right(orientation, 1)"), "rating": F.when(F.col("rating") == "", "").otherwise(V.rating(F.col("rating"))),
+        "keywords": F.when(exif, F.translate("keywords", ";", "|")).otherwise(F.col("keywords")), "latitude": F.when(F.col("latitude") == "", "").otherwise(V.degrees_minutes("latitude", "NS", exif)), "longitude": F.when(F.col("longitude") == "", "").otherwise(V.degrees_minutes("longitude", "EW", exif)),
+        **{p: F.when(F.col(f"n_{p}") > 0, F.col(f"local_{p}")).otherwise(F.col(p)) for p in ("title", "caption", "rights")},
+    }
+    return rows.select("photo_id", "source", issue.alias("issue"), *[values.get(f, F.col(f)).alias(f) for f in FIELDS])
 
 
-def wide(image_tags: DataFrame, names: dict[str, str]) -> DataFrame:
-    """One row a photo with a column a tag."""
-    rows = canonical_tags(image_tags)
-    return rows.groupBy("photo_id").agg(*[F.max(F.when(F.col("tag") == t, F.col("value"))).alias(n) for n, t in names.items()])
+@query("interpreted_fields", EXIF_FIELDS_SQL)
+def interpreted_fields(image_tags: DataFrame) -> DataFrame:
+    """Tags as fields of their sources, in one form for comparison: offsets written out, ratings, orientations and coordinates checked.
+
+    A refused source gives one row, its issue.
+    """
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in FIELDS])
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")))
+    rows = read(image_tags).select("photo_id", "source", "issue", F.explode(F.when(F.col("issue").isNull(), fields).otherwise(nothing)).alias("x"))
+    return rows.select("photo_id", "source", "x.field", "x.value", "issue").filter("issue is not null or value is not null")
 
 
-DATED_SQL = """
-SELECT photo_id, max(CASE WHEN tag = 'ExifIFD:DateTimeOriginal' THEN value END) AS d, max(CASE WHEN tag = 'ExifIFD:SubSecTimeOriginal' THEN value END) AS f, max(CASE WHEN tag = 'ExifIFD:OffsetTimeOriginal' THEN value END) AS o FROM image_tags GROUP BY photo_id"""
-COMPOSED_SQL = rf"""
-SELECT photo_id, issue, CASE WHEN issue IS NULL AND d IS NOT NULL THEN replace(substr(d, 1, 10), ':', '-') || 'T' || substr(d, 12) || coalesce('.' || f, '') || coalesce(o, '') END AS date_taken FROM (
-  SELECT *, CASE WHEN d IS NULL AND (f IS NOT NULL OR o IS NOT NULL) THEN 'date_components_without_date' WHEN d IS NOT NULL AND (NOT regexp_full_match(d, '\d{{4}}:\d{{2}}:\d{{2}} \d{{2}}:\d{{2}}:\d{{2}}') OR TRY_CAST(replace(substr(d, 1, 10), ':', '-') AS DATE) IS NULL) THEN 'invalid_date_taken'
-    WHEN NOT regexp_full_match(f, '[0-9]+') THEN 'invalid_date_fraction' WHEN NOT regexp_full_match(o, '[+-][0-9]{{2}}:[0-9]{{2}}') THEN 'invalid_date_offset' END AS issue FROM ({DATED_SQL}))"""
+COMPOSED_SQL = f"SELECT photo_id, issue, CASE WHEN issue IS NULL THEN {_VALUES_SQL['date_taken']} END AS date_taken FROM ({READ_SQL}) WHERE source = 'exif'"
 
 
 @query("exif_composed", COMPOSED_SQL)
 def exif_composed(image_tags: DataFrame) -> DataFrame:
-    """The date of a picture from its day, fraction and offset; parts that don't fit are an issue, never dropped."""
-    rows = wide(image_tags, {"d": DATE, "f": FRACTION, "o": OFFSET})
-    d, f, o = F.col("d"), F.col("f"), F.col("o")
-    day = F.translate(F.substring(d, 1, 10), ":", "-")
-    wrong = ~d.rlike(r"^\d{4}:\d{2}:\d{2} \d{2}:\d{2}:\d{2}$") | day.try_cast("date").isNull()
-    issue = (
-        F.when(d.isNull() & (f.isNotNull() | o.isNotNull()), "date_components_without_date").when(d.isNotNull() & wrong, "invalid_date_taken")
-        .when(~f.rlike("^[0-9]+$"), "invalid_date_fraction").when(~o.rlike("^[+-][0-9]{2}:[0-9]{2}$"), "invalid_date_offset")
-    )
-    text = F.concat(day, F.lit("T"), F.substring(d, 12, 100), F.coalesce(F.concat(F.lit("."), f), F.lit("")), F.coalesce(o, F.lit("")))
-    return rows.withColumn("issue", issue).select("photo_id", "issue", F.when(F.col("issue").isNull(), text).alias("date_taken"))
-
-
-RATING_SQL = r"""
-SELECT photo_id, value AS said, CASE WHEN TRY_CAST(value AS DECIMAL(38, 18)) = -1 OR TRY_CAST(value AS DECIMAL(38, 18)) BETWEEN 0 AND 5 THEN CASE WHEN TRY_CAST(value AS DECIMAL(38, 18)) = 0 THEN '0' ELSE regexp_replace(regexp_replace(CAST(TRY_CAST(value AS DECIMAL(38, 18)) AS VARCHAR), '0+$', ''), '\.$', '') END END AS rating
-FROM image_tags WHERE tag = 'XMP-xmp:Rating'"""
+    """The date of a picture from its day, time, fraction and offset; parts that don't fit are an issue, never dropped."""
+    return read(image_tags).filter("source = 'exif'").select("photo_id", "issue", F.when(F.col("issue").isNull(), F.col("date_taken")).alias("date_taken"))
 
 
-@query("ratings", RATING_SQL)
+@query("ratings", f"SELECT photo_id, source, rating AS said, CASE WHEN NOT (NOT regexp_full_match(rating, '-0*1(\\.0*)?|[+-]?0*\\.?0*|\\+?0*[0-4]?\\.[0-9]+|\\+?0*[0-5](\\.0*)?') OR rating IN ('', '+', '-', '.', '+.', '-.') OR rating LIKE '%.') THEN {_RATED_SQL} END AS rating FROM ({WIDE_SQL}) WHERE rating IS NOT NULL")
 def ratings(image_tags: DataFrame) -> DataFrame:
-    """Ratings without superfluous zeros; null for what is neither -1 nor from 0 to 5."""
-    return image_tags.filter("tag = 'XMP-xmp:Rating'").select("photo_id", F.col("value").alias("said"), V.rating(F.col("value")).alias("rating"))
+    """Ratings without superfluous zeros; null for what is no plain number, or neither -1 nor from 0 to 5."""
+    return sources(image_tags).filter("rating is not null").select("photo_id", "source", F.col("rating").alias("said"), V.rating(F.col("rating")).alias("rating"))
 
 
-GPS_SQL = """
-SELECT coalesce(v.photo_id, r.photo_id) AS photo_id, coalesce(v.axis, r.axis) AS axis, CASE WHEN v.value IS NULL THEN 'gps_reference_without_coordinate' WHEN r.value IS NULL THEN 'gps_coordinate_without_reference' WHEN v.value::DECIMAL(18, 9) > v.most THEN 'invalid_gps' END AS issue,
-  CASE WHEN r.value IS NOT NULL AND v.value::DECIMAL(18, 9) <= v.most THEN CAST(floor(v.value::DECIMAL(18, 9)) AS BIGINT) || ',' || ((v.value::DECIMAL(18, 9) - floor(v.value::DECIMAL(18, 9))) * 60)::DECIMAL(18, 6) || r.value END AS text
-FROM (SELECT photo_id, CASE WHEN tag = 'GPS:GPSLatitude' THEN 'latitude' ELSE 'longitude' END AS axis, CASE WHEN tag = 'GPS:GPSLatitude' THEN 90 ELSE 180 END AS most, value FROM image_tags WHERE tag IN ('GPS:GPSLatitude', 'GPS:GPSLongitude')) v
-FULL JOIN (SELECT photo_id, CASE WHEN tag = 'GPS:GPSLatitudeRef' THEN 'latitude' ELSE 'longitude' END AS axis, value FROM image_tags WHERE tag IN ('GPS:GPSLatitudeRef', 'GPS:GPSLongitudeRef')) r ON v.photo_id = r.photo_id AND v.axis = r.axis"""
+GPS_SQL = f"""
+SELECT photo_id, source, axis, issue, CASE WHEN issue IS NULL THEN text END AS text FROM (
+  SELECT photo_id, source, 'latitude' AS axis, {_gps_sql('latitude', 90, 'NS')} AS issue, CASE WHEN {_gps_sql('latitude', 90, 'NS')} IS NULL THEN {_minutes_sql('latitude', 'NS')} END AS text FROM ({WIDE_SQL}) WHERE latitude IS NOT NULL OR latitude_ref IS NOT NULL
+  UNION ALL SELECT photo_id, source, 'longitude', {_gps_sql('longitude', 180, 'EW')}, CASE WHEN {_gps_sql('longitude', 180, 'EW')} IS NULL THEN {_minutes_sql('longitude', 'EW')} END FROM ({WIDE_SQL}) WHERE longitude IS NOT NULL OR longitude_ref IS NOT NULL)"""
 
 
 @query("gps_minutes", GPS_SQL)
 def gps_minutes(image_tags: DataFrame) -> DataFrame:
-    """Coordinates as degrees and exact decimal minutes; a coordinate without its hemisphere, or the reverse, is an issue."""
-    axis = F.when(F.col("tag").contains("Latitude"), "latitude").otherwise("longitude")
-    rows = image_tags.filter(F.col("tag").startswith("GPS:")).withColumn("axis", axis)
-    per = rows.groupBy("photo_id", "axis").agg(F.max(F.when(~F.col("tag").endswith("Ref"), F.col("value"))).alias("v"), F.max(F.when(F.col("tag").endswith("Ref"), F.col("value"))).alias("r"))
-    most = F.when(F.col("axis") == "latitude", 90).otherwise(180)
-    text, beyond = V.degrees_minutes(F.col("v"), F.col("r")), F.col("v").try_cast("decimal(18,9)") > most
-    issue = F.when(F.col("v").isNull(), "gps_reference_without_coordinate").when(F.col("r").isNull(), "gps_coordinate_without_reference").when(beyond, "invalid_gps")
-    return per.withColumn("issue", issue).select("photo_id", "axis", "issue", F.when(F.col("issue").isNull(), text).alias("text"))
+    """Coordinates as degrees and exact decimal minutes, or why they are refused; EXIF's are unsigned with a hemisphere apart."""
+    rows, exif = sources(image_tags), F.col("source") == "exif"
+    one = lambda axis, most, ends: F.struct(F.lit(axis).alias("axis"), V.coordinate_issue(axis, most, ends, exif).alias("issue"), V.degrees_minutes(axis, ends, exif).alias("text"), F.coalesce(axis, f"{axis}_ref").isNotNull().alias("there"))
+    rows = rows.select("photo_id", "source", F.explode(F.array(one("latitude", 90, "NS"), one("longitude", 180, "EW"))).alias("x")).select("photo_id", "source", "x.*").filter("there")
+    return rows.select("photo_id", "source", "axis", "issue", F.when(F.col("issue").isNull(), F.col("text")).alias("text"))
 
 
 @query("keyword_lists", "SELECT photo_id, k AS place, string_split(value, ';')[k] AS keyword FROM (SELECT photo_id, value, unnest(range(1, len(string_split(value, ';')) + 1)) AS k FROM image_tags WHERE tag = 'IFD0:XPKeywords')")
@@ -101,35 +192,6 @@ def localized_titles(image_tags: DataFrame) -> DataFrame:
     return per.select("photo_id", F.size("t").cast("bigint").alias("languages"), plain.alias("plain"), F.array_join(F.transform("t", lambda x: F.concat_ws("=", x["lang"], x["value"])), ",").alias("titles"))
 
 
-EXIF_FIELDS_SQL = f"""
-SELECT photo_id, 'exif' AS source, 'date_taken' AS field, date_taken AS value, issue FROM ({COMPOSED_SQL}) WHERE date_taken IS NOT NULL OR issue IS NOT NULL
-UNION ALL SELECT photo_id, 'exif', 'orientation', CASE WHEN CAST(value AS INTEGER) BETWEEN 1 AND 8 THEN value END, CASE WHEN NOT CAST(value AS INTEGER) BETWEEN 1 AND 8 THEN 'invalid_orientation' END FROM image_tags WHERE tag = 'IFD0:Orientation'
-UNION ALL SELECT photo_id, 'exif', 'camera_make', CASE WHEN NOT conflict THEN value END, CASE WHEN conflict THEN 'ambiguous_embedded_exif' END FROM ({CANONICAL_SQL}) WHERE tag = 'IFD0:Make'
-UNION ALL SELECT photo_id, 'embedded_xmp', 'rating', rating, CASE WHEN rating IS NULL THEN 'invalid_rating' END FROM ({RATING_SQL})
-UNION ALL SELECT photo_id, 'embedded_xmp', 'date_taken', replace(substr(value, 1, 10), ':', '-') || 'T' || rtrim(substr(value, 12), 'Z') || CASE WHEN value LIKE '%Z' THEN '+00:00' ELSE '' END, NULL FROM image_tags WHERE tag = 'XMP-exif:DateTimeOriginal'"""
-
-
-@query("interpreted_fields", EXIF_FIELDS_SQL)
-def interpreted_fields(image_tags: DataFrame) -> DataFrame:
-    """Tags as fields of their sources, typed for comparison: offsets written out, ratings and orientations checked.
-
-    A value that doesn't fit is an issue of its field and never falls back to another source.
-    """
-    def rows(df: DataFrame, source: str, field: str, value: Column, issue: Column) -> DataFrame:
-        return df.select("photo_id", F.lit(source).alias("source"), F.lit(field).alias("field"), value.alias("value"), issue.cast("string").alias("issue"))
-
-    v, tags = F.col("value"), lambda t: image_tags.filter(F.col("tag") == t)
-    dated = exif_composed(image_tags).filter("date_taken is not null or issue is not null")
-    turned = v.try_cast("int").between(1, 8)
-    make = canonical_tags(image_tags).filter("tag = 'IFD0:Make'")
-    xmp_date = F.concat(F.translate(F.substring(v, 1, 10), ":", "-"), F.lit("T"), F.rtrim(F.substring(v, 12, 100), F.lit("Z")), F.when(v.endswith("Z"), "+00:00").otherwise(""))
-    out = rows(dated, "exif", "date_taken", F.col("date_taken"), F.col("issue"))
-    out = out.union(rows(tags("IFD0:Orientation"), "exif", "orientation", F.when(turned, v), F.when(~turned, "invalid_orientation")))
-    out = out.union(rows(make, "exif", "camera_make", F.when(~F.col("conflict"), v), F.when(F.col("conflict"), "ambiguous_embedded_exif")))
-    out = out.union(rows(ratings(image_tags), "embedded_xmp", "rating", F.col("rating"), F.when(F.col("rating").isNull(), "invalid_rating")))
-    return out.union(rows(tags("XMP-exif:DateTimeOriginal"), "embedded_xmp", "date_taken", xmp_date, F.lit(None)))
-
-
 REPORT_SQL = f"""
 SELECT photo_id, CASE WHEN count(issue) > 0 THEN 'needs_attention' ELSE 'captured' END AS state, count(issue) AS issues, coalesce(string_agg(DISTINCT source || ':' || issue, ',' ORDER BY source || ':' || issue), '') AS codes, count(DISTINCT source) AS sources FROM ({EXIF_FIELDS_SQL}) GROUP BY photo_id"""
 

@@ -242,11 +242,13 @@ class Catalog:
         exif = F.concat(F.translate(day, "-", ":"), F.lit(" "), F.substring("date_taken", 12, 8))
         degrees = lambda most: F.concat(text(i % most), F.lit("."), F.lpad(text(i * 7 % 1000), 3, "0"))
         tags = {
-            "ExifIFD:DateTimeOriginal": F.when(i % 11 == 0, None).when(i % 17 == 0, "unknown").otherwise(exif), "ExifIFD:SubSecTimeOriginal": F.when(i % 3 == 0, text(i % 100)).when(i % 31 == 0, "x"),
+            "ExifIFD:DateTimeOriginal": F.when(i % 11 == 0, None).when(i % 17 == 0, "unknown").when(i % 29 == 3, "2020:01:02 99:99:99").when(i % 29 == 4, "").otherwise(exif), "ExifIFD:SubSecTimeOriginal": F.when(i % 3 == 0, text(i % 100)).when(i % 31 == 0, "x"),
             "ExifIFD:OffsetTimeOriginal": F.when(i % 2 == 0, "+02:00").when(i % 37 == 0, "2h"), "IFD0:Orientation": F.when(i % 5 != 0, text(i % 10)), "IFD0:Make": F.col("camera"),
             "IFD0:Copy1:Make": F.when(i % 7 == 0, F.col("lens")).when(i % 2 == 0, F.col("camera")), "IFD0:XPKeywords": F.concat("lens", F.lit("; "), "camera", F.lit(";x")),
-            "XMP-xmp:Rating": F.element_at(F.array(*map(F.lit, ("4.50", "-1", "05.0", "7", "0.00", None))), (i % 6 + 1).cast("int")), "XMP-dc:Title": F.col("camera"), "XMP-dc:Title-de": F.when(i % 4 == 0, F.col("lens")),
-            "XMP-exif:DateTimeOriginal": F.when(i % 3 == 1, F.concat(F.translate(day, "-", ":"), F.lit(" 08:00:00Z"))), "GPS:GPSLatitude": F.when(i % 4 < 3, degrees(95)), "GPS:GPSLatitudeRef": F.when(i % 8 < 6, F.lit("N")).when(i % 8 == 7, "S"),
+            "XMP-xmp:Rating": F.element_at(F.array(*map(F.lit, ("4.50", "-1", "05.0", "7", "0.00", None, "4e0", " 3 ", "+2", "5.0000000000000000001", ".5", "-1.0", "-2", ""))), (i % 14 + 1).cast("int")), "XMP-dc:Title": F.col("camera"), "XMP-dc:Title-de": F.when(i % 4 == 0, F.col("lens")),
+            "XMP-exif:DateTimeOriginal": F.when(i % 3 == 1, F.concat(F.translate(day, "-", ":"), F.when(i % 59 == 1, " 08:00:61").when(i % 59 == 4, "").otherwise(" 08:00:00Z"))), "GPS:GPSLatitude": F.when(i % 31 == 1, "12 deg").when(i % 31 == 2, "-1.5").when(i % 31 == 5, "12.3456789012345678901234567").when(i % 31 == 6, "090.000").when(i % 4 < 3, degrees(95)), "GPS:GPSLatitudeRef": F.when(i % 37 == 2, "X").when(i % 8 < 6, F.lit("N")).when(i % 8 == 7, "S"),
+            "IFD0:Foo:Make": F.when(i % 53 == 7, F.lit("other")), "IFD0:Model": F.when(i % 2 == 1, F.concat("camera", F.lit(" II"))), "IFD0:Artist": F.when(i % 3 == 0, F.col("lens")), "IFD0:Rating": F.when(i % 9 == 2, "3.0").when(i % 9 == 4, "6"), "IFD0:Copyright": F.when(i % 7 == 3, F.lit("")), "XMP-dc:Subject": F.when(i % 6 == 1, F.lit("a;b")),
+            "XMP-tiff:Orientation": F.when(i % 6 == 2, "+08").when(i % 41 == 3, "9"), "XMP-exif:GPSLatitude": F.when(i % 13 == 2, "-12.250").when(i % 13 == 3, "+7"), "XMP-exif:GPSAltitude": F.when(i % 13 == 4, "100/2").when(i % 47 == 5, "1/0"), "GPS:GPSAltitudeRef": F.when(i % 43 == 4, "2").when(i % 5 == 1, "0"), "XMP-dc:Rights-fr": F.when(i % 10 == 3, F.lit("tous")),
             "GPS:GPSLongitude": F.when(i % 4 < 3, degrees(185)), "GPS:GPSLongitudeRef": F.when(i % 4 < 3, F.lit("E")),
         }
         rows = self.photos.select(i.alias("photo_id"), F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), v.alias("value")) for t, v in tags.items()])).alias("x"))

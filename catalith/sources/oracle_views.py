@@ -63,12 +63,14 @@ findings AS (
 ),
 image_tags AS (
   SELECT photo_id, x.tag AS tag, x.value AS value FROM (SELECT id AS photo_id, unnest([
-    {'tag': 'ExifIFD:DateTimeOriginal', 'value': CASE WHEN id % 11 = 0 THEN NULL WHEN id % 17 = 0 THEN 'unknown' ELSE replace(substr(date_taken, 1, 10), '-', ':') || ' ' || substr(date_taken, 12, 8) END}, {'tag': 'ExifIFD:SubSecTimeOriginal', 'value': CASE WHEN id % 3 = 0 THEN CAST(id % 100 AS VARCHAR) WHEN id % 31 = 0 THEN 'x' END},
+    {'tag': 'ExifIFD:DateTimeOriginal', 'value': CASE WHEN id % 11 = 0 THEN NULL WHEN id % 17 = 0 THEN 'unknown' WHEN id % 29 = 3 THEN '2020:01:02 99:99:99' WHEN id % 29 = 4 THEN '' ELSE replace(substr(date_taken, 1, 10), '-', ':') || ' ' || substr(date_taken, 12, 8) END}, {'tag': 'ExifIFD:SubSecTimeOriginal', 'value': CASE WHEN id % 3 = 0 THEN CAST(id % 100 AS VARCHAR) WHEN id % 31 = 0 THEN 'x' END},
     {'tag': 'ExifIFD:OffsetTimeOriginal', 'value': CASE WHEN id % 2 = 0 THEN '+02:00' WHEN id % 37 = 0 THEN '2h' END}, {'tag': 'IFD0:Orientation', 'value': CASE WHEN id % 5 <> 0 THEN CAST(id % 10 AS VARCHAR) END}, {'tag': 'IFD0:Make', 'value': camera},
     {'tag': 'IFD0:Copy1:Make', 'value': CASE WHEN id % 7 = 0 THEN lens WHEN id % 2 = 0 THEN camera END}, {'tag': 'IFD0:XPKeywords', 'value': lens || '; ' || camera || ';x'},
-    {'tag': 'XMP-xmp:Rating', 'value': ['4.50', '-1', '05.0', '7', '0.00', NULL][id % 6 + 1]}, {'tag': 'XMP-dc:Title', 'value': camera}, {'tag': 'XMP-dc:Title-de', 'value': CASE WHEN id % 4 = 0 THEN lens END},
-    {'tag': 'XMP-exif:DateTimeOriginal', 'value': CASE WHEN id % 3 = 1 THEN replace(substr(date_taken, 1, 10), '-', ':') || ' 08:00:00Z' END},
-    {'tag': 'GPS:GPSLatitude', 'value': CASE WHEN id % 4 < 3 THEN (id % 95) || '.' || lpad(CAST(id * 7 % 1000 AS VARCHAR), 3, '0') END}, {'tag': 'GPS:GPSLatitudeRef', 'value': CASE WHEN id % 8 < 6 THEN 'N' WHEN id % 8 = 7 THEN 'S' END},
+    {'tag': 'XMP-xmp:Rating', 'value': ['4.50', '-1', '05.0', '7', '0.00', NULL, '4e0', ' 3 ', '+2', '5.0000000000000000001', '.5', '-1.0', '-2', ''][id % 14 + 1]}, {'tag': 'XMP-dc:Title', 'value': camera}, {'tag': 'XMP-dc:Title-de', 'value': CASE WHEN id % 4 = 0 THEN lens END},
+    {'tag': 'XMP-exif:DateTimeOriginal', 'value': CASE WHEN id % 3 = 1 THEN replace(substr(date_taken, 1, 10), '-', ':') || CASE WHEN id % 59 = 1 THEN ' 08:00:61' WHEN id % 59 = 4 THEN '' ELSE ' 08:00:00Z' END END},
+    {'tag': 'GPS:GPSLatitude', 'value': CASE WHEN id % 31 = 1 THEN '12 deg' WHEN id % 31 = 2 THEN '-1.5' WHEN id % 31 = 5 THEN '12.3456789012345678901234567' WHEN id % 31 = 6 THEN '090.000' WHEN id % 4 < 3 THEN (id % 95) || '.' || lpad(CAST(id * 7 % 1000 AS VARCHAR), 3, '0') END}, {'tag': 'IFD0:Foo:Make', 'value': CASE WHEN id % 53 = 7 THEN 'other' END}, {'tag': 'IFD0:Model', 'value': CASE WHEN id % 2 = 1 THEN camera || ' II' END}, {'tag': 'IFD0:Artist', 'value': CASE WHEN id % 3 = 0 THEN lens END}, {'tag': 'IFD0:Rating', 'value': CASE WHEN id % 9 = 2 THEN '3.0' WHEN id % 9 = 4 THEN '6' END}, {'tag': 'IFD0:Copyright', 'value': CASE WHEN id % 7 = 3 THEN '' END}, {'tag': 'XMP-dc:Subject', 'value': CASE WHEN id % 6 = 1 THEN 'a;b' END},
+    {'tag': 'XMP-tiff:Orientation', 'value': CASE WHEN id % 6 = 2 THEN '+08' WHEN id % 41 = 3 THEN '9' END}, {'tag': 'XMP-exif:GPSLatitude', 'value': CASE WHEN id % 13 = 2 THEN '-12.250' WHEN id % 13 = 3 THEN '+7' END}, {'tag': 'XMP-exif:GPSAltitude', 'value': CASE WHEN id % 13 = 4 THEN '100/2' WHEN id % 47 = 5 THEN '1/0' END}, {'tag': 'GPS:GPSAltitudeRef', 'value': CASE WHEN id % 43 = 4 THEN '2' WHEN id % 5 = 1 THEN '0' END}, {'tag': 'XMP-dc:Rights-fr', 'value': CASE WHEN id % 10 = 3 THEN 'tous' END},
+    {'tag': 'GPS:GPSLatitudeRef', 'value': CASE WHEN id % 37 = 2 THEN 'X' WHEN id % 8 < 6 THEN 'N' WHEN id % 8 = 7 THEN 'S' END},
     {'tag': 'GPS:GPSLongitude', 'value': CASE WHEN id % 4 < 3 THEN (id % 185) || '.' || lpad(CAST(id * 7 % 1000 AS VARCHAR), 3, '0') END}, {'tag': 'GPS:GPSLongitudeRef', 'value': CASE WHEN id % 4 < 3 THEN 'E' END}]) AS x FROM photos) WHERE x.value IS NOT NULL
 ),
 ends AS (
