@@ -70,21 +70,20 @@ def sources(image_tags: DataFrame) -> DataFrame:
 def _gps_sql(axis: str, most: int, ends: str) -> str:
     value, ref = axis, f"{axis}_ref"
     number = f"try_cast(regexp_extract({value}, '^[+-]?([0-9]+)', 1) AS HUGEINT)"
-    beyond = f"({number} IS NULL OR {number} > {most} OR ({number} = {most} AND regexp_matches({value}, '\.[0-9]*[1-9]')) OR length(regexp_extract({value}, '\.([0-9]+)$', 1)) > 36)"
-    return f"""CASE WHEN {value} <> '' THEN CASE WHEN source = 'exif' AND {ref} IS NULL THEN 'gps_coordinate_without_reference' WHEN NOT regexp_full_match({value}, '[+-]?[0-9]+(\.[0-9]+)?') THEN 'invalid_gps_{axis}'
+    beyond = rf"({number} IS NULL OR {number} > {most} OR ({number} = {most} AND regexp_matches({value}, '\.[0-9]*[1-9]')) OR length(regexp_extract({value}, '\.([0-9]+)$', 1)) > 36)"
+    return rf"""CASE WHEN {value} <> '' THEN CASE WHEN source = 'exif' AND {ref} IS NULL THEN 'gps_coordinate_without_reference' WHEN NOT regexp_full_match({value}, '[+-]?[0-9]+(\.[0-9]+)?') THEN 'invalid_gps_{axis}'
       WHEN source = 'exif' AND {ref} NOT IN ('{ends[0]}', '{ends[1]}') THEN 'invalid_gps_reference' WHEN source = 'exif' AND {value} LIKE '-%' AND regexp_matches({value}, '[1-9]') THEN 'negative_exif_coordinate' WHEN {beyond} THEN 'invalid_gps_{axis}' END
     WHEN source = 'exif' AND {ref} IS NOT NULL THEN 'gps_reference_without_coordinate' END"""
 
 
 def _minutes_sql(axis: str, ends: str) -> str:
-    digits = f"regexp_extract({axis}, '\.([0-9]+)$', 1)"
+    digits = rf"regexp_extract({axis}, '\.([0-9]+)$', 1)"
     times = f"CAST(try_cast({digits} AS HUGEINT) * 60 AS VARCHAR)"
     scaled = f"lpad({times}, CAST(greatest(length({digits}) + 1, length({times})) AS INTEGER), '0')"
     return f"""CASE WHEN {axis} <> '' THEN CAST(try_cast(regexp_extract({axis}, '^[+-]?([0-9]+)', 1) AS HUGEINT) AS VARCHAR) || ',' || CASE WHEN {digits} = '' THEN '0' ELSE left({scaled}, length({scaled}) - length({digits})) || '.' || right({scaled}, length({digits})) END
       || CASE WHEN source = 'exif' THEN {axis}_ref WHEN {axis} LIKE '-%' THEN '{ends[1]}' ELSE '{ends[0]}' END ELSE {axis} END"""
 
 
-_DATED = r"[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?)?)?"
 _CLOCK = r"[0-9]{4}(-(0[1-9]|1[0-2])(-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?)?)?)?"
 READ_SQL = rf"""
 SELECT *, CASE WHEN conflict THEN 'ambiguous_embedded_' || CASE source WHEN 'exif' THEN 'exif' ELSE 'xmp' END

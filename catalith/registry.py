@@ -12,7 +12,7 @@ from .sources.catalog import Catalog
 from .sources.oracle_views import with_views
 
 MODULES = (
-    "functions.scalars", "functions.values", "operators.gallery", "operators.predicates", "operators.capture", "operators.findings", "operators.choices", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks", "operators.records", "operators.pictures", "operators.jpegs",
+    "functions.scalars", "functions.values", "operators.gallery", "operators.predicates", "operators.capture", "operators.findings", "operators.choices", "operators.facets", "operators.duplicates", "operators.similarity", "operators.stats", "operators.oplog", "operators.review", "operators.lineage", "operators.metadata", "operators.checks", "operators.records", "operators.pictures", "operators.jpegs", "operators.versions",
     "plans.transfer", "plans.ingest", "plans.ledger", "streaming.incremental", "streaming.batches",
 )
 

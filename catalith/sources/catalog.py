@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
@@ -277,6 +277,64 @@ class Catalog:
         shared = rows.groupBy("name").agg(F.min("sha1_hash").alias("a"), F.max("sha1_hash").alias("b")).filter("a <> b").select("name")
         return rows.join(shared, "name", "left_semi").select("name", "folder").distinct()
 
+    @cached_property
+    def payloads(self) -> DataFrame:
+        """event_id, text: payloads of events, some of them no JSON, or JSON that not every reader takes."""
+        odd = ('{"a": NaN}', '{"a": [1, {"b": null}]}', "[1]", '{"a": ', '{"a": "Infinity"}', '{"NaN": "-Infinity \\" NaN"}', '{"a": -Infinity}', "", " {}")
+        k = F.col("event_id") % 12
+        return self.table("events").select("event_id", F.when(k < len(odd), F.element_at(F.array(*map(F.lit, odd)), (F.least(k, F.lit(len(odd) - 1)) + 1).cast("int"))).otherwise(F.col("props")).alias("text"))
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """change_id, photo_id, before_sha1: contents that photos had before a change: those of photos one or two further, as chains and branches."""
+        i = F.col("id")
+        before = self.photos.select((i - 1).alias("photo_id"), F.col("sha1_hash").alias("before_sha1")).filter("photo_id % 7 in (0, 1, 4)").unionByName(self.photos.select((i - 2).alias("photo_id"), F.col("sha1_hash").alias("before_sha1")).filter("photo_id % 7 = 3"))
+        return before.filter("photo_id >= 0").select((F.col("photo_id") * 10 + F.col("photo_id") % 7).alias("change_id"), "photo_id", "before_sha1")
+
+    @cached_property
+    def retained(self) -> DataFrame:
+        """photo_id, version, state, linked: a retained sidecar of each photo; its fields are what the next photo's XMP says."""
+        i = F.col("id")
+        return self.photos.select(i.alias("photo_id"), F.sha2(F.concat("sha1_hash", F.lit("#xmp")), 256).alias("version"), F.when(i % 9 == 0, "needs_attention").otherwise("valid").alias("state"), (i % 5 != 0).alias("linked"))
+
+    @cached_property
+    def decisions(self) -> DataFrame:
+        """decision_id, photo_id, kind, owners: saved choices."""
+        kind = F.when(F.col("action") == "click", "association").otherwise("primary")
+        return self.review_events.filter("action in ('click', 'view')").select(F.col("id").alias("decision_id"), "photo_id", kind.alias("kind"), self._owners(F.col("k") % 4).alias("owners"))
+
+    @staticmethod
+    def _owners(kind: Column) -> Column:
+        return F.when(kind == 0, F.array(F.lit("a=1"), F.lit("b=2"))).when(kind == 1, F.array(F.lit("b=2"), F.lit("a=1"))).when(kind == 2, F.array(F.lit("a=1"))).otherwise(F.array(F.lit("a=2"), F.lit("b=1")))
+
+    @cached_property
+    def receipts(self) -> DataFrame:
+        """event_id, photo_id, primary_revision, association_revision, highwater, owners: applied choices; older ones don't name their association."""
+        before = Window.partitionBy("photo_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+        last = lambda action: F.last(F.when(F.col("action") == action, F.col("id")), ignorenulls=True).over(before)
+        rows = self.review_events.withColumn("view", last("view")).withColumn("click", last("click")).filter("action = 'purchase'")
+        return rows.select(F.col("id").alias("event_id"), "photo_id", F.when(F.col("k") % 3 != 0, F.col("view")).alias("primary_revision"), F.when(F.col("k") % 5 == 0, F.col("click")).alias("association_revision"), F.when(F.col("k") % 7 == 0, F.col("click") - 1).otherwise(F.col("id")).alias("highwater"), self._owners(F.col("k") % 3).alias("owners"))
+
+    @cached_property
+    def scans(self) -> DataFrame:
+        """run_id, root, scanned_at, status, targeted, every_type, issues: index runs, each of the source or of a folder below it."""
+        i = F.col("id")
+        of = self.photos.select(i.alias("target"), F.col("source_path"))
+        depth = (F.col("run_id") % 3 + 2).cast("int")
+        rows = self.runs.filter("mode = 'INDEX'").select(i.alias("run_id"), "status", F.col("started_at").alias("scanned_at"), "target").join(of, "target")
+        return rows.select("run_id", F.array_join(F.slice(F.split("source_path", "/"), F.lit(1), depth), "/").alias("root"), "scanned_at", "status", (F.col("run_id") % 5 == 0).alias("targeted"), (F.col("run_id") % 7 != 0).alias("every_type"), (F.col("run_id") % 4 == 0).alias("issues"))
+
+    @cached_property
+    def gone_files(self) -> DataFrame:
+        """path, folder, found_path, found_in: members of folders that are gone, some of which lie elsewhere now."""
+        i = F.col("id")
+        shelf = F.concat(F.lit("/dst/library/"), "camera", F.lit("/"), (F.floor(i / 40) % 9).cast("string"))
+        inner = F.concat(F.when(i % 3 == 0, "sub/").otherwise(""), "name")
+        lost = (F.floor(i / 40) % 4 == 1) & (i % 40 == 7)
+        other = (F.floor(i / 40) % 4 == 2) & (i % 40 == 9)
+        found = F.when(lost, None).when(other, F.concat(F.lit("/dst/library/else/"), "name")).otherwise(F.concat(F.lit("/dst/library/new/"), "camera", F.lit("-"), (F.floor(i / 40) % 9).cast("string"), F.lit("/"), inner))
+        return self.photos.select(F.concat(shelf, F.lit("/"), inner).alias("path"), shelf.alias("folder"), found.alias("found_path"), F.when(found.isNotNull(), F.when(i % 101 == 100, "rejects").otherwise("library")).alias("found_in"))
+
     @cached_property
     def arrivals(self) -> DataFrame:
         """Rows as a scan hands them to the writer: some without content or path, with a control character, or empty."""

@@ -86,6 +86,21 @@ sidecars AS (
 ),
 looks AS (SELECT p.id AS photo_id, c.h62 AS recorded, xor(c.h62, (CAST(1 AS BIGINT) << CAST(p.id % 40 AS INTEGER)) - 1) AS seen FROM photos p JOIN contents c USING (sha1_hash) WHERE p.dest_path IS NOT NULL AND c.h62 IS NOT NULL),
 clashes AS (SELECT DISTINCT right(name, 6) AS name, regexp_extract(source_path, '^(.*)/[^/]*$', 1) AS folder FROM photos WHERE right(name, 6) IN (SELECT right(name, 6) FROM photos GROUP BY 1 HAVING count(DISTINCT sha1_hash) > 1)),
+changes AS (SELECT photo_id * 10 + photo_id % 7 AS change_id, photo_id, before_sha1 FROM (SELECT id - 1 AS photo_id, sha1_hash AS before_sha1 FROM photos WHERE (id - 1) % 7 IN (0, 1, 4) UNION ALL SELECT id - 2, sha1_hash FROM photos WHERE (id - 2) % 7 = 3) WHERE photo_id >= 0),
+retained AS (SELECT id AS photo_id, sha256(sha1_hash || '#xmp') AS version, CASE WHEN id % 9 = 0 THEN 'needs_attention' ELSE 'valid' END AS state, id % 5 <> 0 AS linked FROM photos),
+decisions AS (SELECT id AS decision_id, photo_id, CASE WHEN action = 'click' THEN 'association' ELSE 'primary' END AS kind, CASE k % 4 WHEN 0 THEN ['a=1', 'b=2'] WHEN 1 THEN ['b=2', 'a=1'] WHEN 2 THEN ['a=1'] ELSE ['a=2', 'b=1'] END AS owners FROM review_events WHERE action IN ('click', 'view')),
+receipts AS (
+  SELECT id AS event_id, photo_id, CASE WHEN k % 3 <> 0 THEN v END AS primary_revision, CASE WHEN k % 5 = 0 THEN c END AS association_revision, CASE WHEN k % 7 = 0 THEN c - 1 ELSE id END AS highwater, CASE k % 3 WHEN 0 THEN ['a=1', 'b=2'] WHEN 1 THEN ['b=2', 'a=1'] WHEN 2 THEN ['a=1'] ELSE ['a=2', 'b=1'] END AS owners FROM (
+    SELECT *, max(CASE WHEN action = 'view' THEN id END) OVER w AS v, max(CASE WHEN action = 'click' THEN id END) OVER w AS c FROM review_events WINDOW w AS (PARTITION BY photo_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE action = 'purchase'
+),
+scans AS (
+  SELECT r.id AS run_id, array_to_string(string_split(p.source_path, '/')[1 : r.id % 3 + 2], '/') AS root, r.started_at AS scanned_at, r.status, r.id % 5 = 0 AS targeted, r.id % 7 <> 0 AS every_type, r.id % 4 = 0 AS issues FROM runs r JOIN photos p ON p.id = r.target WHERE r.mode = 'INDEX'
+),
+gone_files AS (
+  SELECT folder || '/' || inside AS path, folder, CASE WHEN id // 40 % 4 = 1 AND id % 40 = 7 THEN NULL WHEN id // 40 % 4 = 2 AND id % 40 = 9 THEN '/dst/library/else/' || name ELSE '/dst/library/new/' || camera || '-' || (id // 40 % 9) || '/' || inside END AS found_path,
+    CASE WHEN id // 40 % 4 = 1 AND id % 40 = 7 THEN NULL WHEN id % 101 = 100 THEN 'rejects' ELSE 'library' END AS found_in FROM (SELECT *, '/dst/library/' || camera || '/' || (id // 40 % 9) AS folder, CASE WHEN id % 3 = 0 THEN 'sub/' ELSE '' END || name AS inside FROM photos)
+),
+payloads AS (SELECT event_id, CASE WHEN event_id % 12 < 9 THEN ['{"a": NaN}', '{"a": [1, {"b": null}]}', '[1]', '{"a": ', '{"a": "Infinity"}', '{"NaN": "-Infinity \" NaN"}', '{"a": -Infinity}', '', ' {}'][event_id % 12 + 1] ELSE props END AS text FROM events),
 arrivals AS (
   SELECT id, CASE WHEN id % 37 <> 0 THEN sha1_hash END AS sha1_hash, CASE WHEN id % 41 = 0 THEN NULL WHEN id % 43 = 0 THEN '' WHEN id % 47 = 0 THEN source_path || chr(10) ELSE source_path END AS source_path, CASE WHEN id % 53 = 0 THEN 0 ELSE file_size END AS file_size FROM photos
 ),
