@@ -18,10 +18,12 @@ def roots(origins: DataFrame, rounds: int = 41) -> DataFrame:
     """file_id, root, depth: every file's topmost origin, by pointer doubling.
 
     Each round joins the pointers with themselves and doubles the distance they span; it stops when no pointer moves.
-    Every round is written to the shared folder where there is one, so that a lost executor costs a round at most.
+    A cycle never stops moving, and is an error after `rounds`. Every round is written, so a lost executor costs a round.
     """
     up = origins.select("file_id", F.col("origin_file_id").alias("root"), F.lit(1).cast("bigint").alias("depth"))
-    for _ in range(rounds):
+    for spent in range(rounds + 1):
+        if spent == rounds:
+            raise ValueError(f"a file is its own origin, or lies deeper than 2 to the {rounds}")
         step = up.select(F.col("file_id").alias("root"), F.col("root").alias("above"), F.col("depth").alias("more"))
         joined = up.join(step, "root", "left").withColumn("moved", F.col("above").isNotNull())
         up = kept(joined.select("file_id", F.coalesce("above", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "moved"), "lineage")
@@ -44,17 +46,22 @@ def lineage_closure(origins: DataFrame, start: int = 3) -> DataFrame:
     return closure(origins, start)
 
 
-def closure(origins: DataFrame, start: int) -> DataFrame:
-    """id: a file and everything made from it. A frontier grows by a level a round and never meets a file twice.
+def closure(origins: DataFrame, start: int | DataFrame, together: DataFrame | None = None) -> DataFrame:
+    """id: a file, or several (id), everything made from them, and whatever one operation of `together` (op, file_id) joined with any of these.
 
-    Each level is written on its own, and what was seen is read as one table of the levels, so plans don't nest.
+    A frontier grows by a level a round and never meets a file twice. Each level is written on its own, and what was seen is read as one table of the levels, so plans don't nest.
     """
     spark = origins.sparkSession
-    frontier = kept(spark.range(start, start + 1).select("id"), "closure")
+    first = spark.range(start, start + 1).select("id") if isinstance(start, int) else start.select("id").distinct()
+    frontier = kept(first, "closure")
     levels = [frontier]
     while True:
         seen = reduce(DataFrame.union, levels)
-        found = origins.join(frontier, origins["origin_file_id"] == frontier["id"]).select(F.col("file_id").alias("id")).distinct().join(seen, "id", "left_anti")
+        found = origins.join(frontier, origins["origin_file_id"] == frontier["id"]).select(F.col("file_id").alias("id"))
+        if together is not None:
+            ops = together.join(frontier.withColumnRenamed("id", "file_id"), "file_id", "left_semi").select("op").distinct()
+            found = found.union(together.join(ops, "op", "left_semi").select("file_id"))
+        found = found.distinct().join(seen, "id", "left_anti")
         frontier = kept(found, "closure")
         if not frontier.limit(1).count():
             return seen

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths as X
 from ..registry import query
+from .review import FLAGS_SQL
 
 DELIVERED_SQL = "('Completed', 'Copied', 'Found_At_Destination')"
 UNORGANIZED_SQL = "('Pending', 'Processing', 'Failed')"
@@ -32,11 +33,17 @@ def in_rejects(photos: DataFrame, observed: DataFrame) -> DataFrame:
 @query("view_members", f"""
 SELECT v AS view, id FROM (SELECT id, unnest([CASE WHEN status IN {DELIVERED_SQL} OR status IN {UNORGANIZED_SQL} THEN 'all' END, CASE WHEN status IN {DELIVERED_SQL} THEN 'organized' END, CASE WHEN status IN {UNORGANIZED_SQL} THEN 'unorganized' END,
   CASE WHEN status IN ('Pending', 'Processing', 'Failed', 'Copied', 'Rejected_Copied') THEN 'source' END, CASE WHEN (status IN {DELIVERED_SQL} OR status IN ('Pending', 'Processing')) AND (CAST(substr(date_taken, 1, 4) AS INTEGER) < 1800 OR CAST(substr(date_taken, 1, 4) AS INTEGER) > 2027) THEN 'suspicious' END,
-  CASE WHEN status IN ('Rejected', 'Rejected_Copied') AND dest_path IN (SELECT path FROM observed) THEN 'rejects' END, CASE WHEN status NOT IN ('Duplicate', 'Removed_Duplicate') THEN 'job' END]) AS v FROM photos) WHERE v IS NOT NULL""")
-def view_members(photos: DataFrame, observed: DataFrame) -> DataFrame:
-    """Every photo in every view that holds it: one predicate map, one pass."""
-    names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in view_predicates().items()]))
-    return in_rejects(photos, observed).select(F.explode(names).alias("view"), "id")
+  CASE WHEN status IN ('Rejected', 'Rejected_Copied') AND dest_path IN (SELECT path FROM observed) THEN 'rejects' END, CASE WHEN status NOT IN ('Duplicate', 'Removed_Duplicate') THEN 'job' END, CASE WHEN id IN (SELECT a.photo_id FROM available a JOIN available b ON a.photo_id <> b.photo_id AND bit_count(xor(a.h, b.h)) <= 16) THEN 'similar' END, CASE WHEN id IN (SELECT id FROM ({FLAGS_SQL}) WHERE small OR later OR odd_date OR issue) THEN 'review' END]) AS v FROM photos) WHERE v IS NOT NULL""")
+def view_members(photos: DataFrame, observed: DataFrame, match_cache: DataFrame, contents: DataFrame, review_events: DataFrame, issues: DataFrame) -> DataFrame:
+    """Every photo in every view that holds it: one predicate map, one pass over the photos and what the views join."""
+    from .review import review_flags
+
+    similar = match_cache.filter("at_75 > 0").select(F.col("photo_id").alias("id"), F.lit(True).alias("similar"))
+    asked = review_flags(photos, contents, review_events, issues).select("id", (F.col("small") | F.col("later") | F.col("odd_date") | F.col("issue")).alias("asked"))
+    rows = in_rejects(photos, observed).join(similar, "id", "left").join(asked, "id", "left")
+    views = view_predicates() | {"similar": F.col("similar"), "review": F.col("asked")}
+    names = F.array_compact(F.array(*[F.when(p, F.lit(n)) for n, p in views.items()]))
+    return rows.select(F.explode(names).alias("view"), "id")
 
 
 @query("filter_top_files", "SELECT id, source_path FROM photos WHERE source_path LIKE '/src/%' AND instr(substr(source_path, 6), '/') = 0 UNION SELECT id, source_path FROM photos WHERE source_path LIKE '/src/src1/en/%'")
@@ -64,10 +71,13 @@ def folder_names(photos: DataFrame) -> DataFrame:
 
 @query("other_names", r"""
 SELECT p.id FROM (SELECT *, regexp_extract(dest_path, '([^/]*)\.[^./]*$', 1) AS stem FROM photos WHERE status IN ('Completed', 'Copied', 'Found_At_Destination')) p
-WHERE EXISTS (SELECT 1 FROM photos d WHERE d.sha1_hash = p.sha1_hash AND regexp_extract(d.source_path, '([^/]*)\.[^./]*$', 1) <> p.stem)""")
-def other_names(photos: DataFrame) -> DataFrame:
-    """Delivered photos whose content also has another name. A content's least and greatest names decide: no pair is made."""
-    names = photos.groupBy("sha1_hash").agg(F.min(X.stem(F.col("source_path"))).alias("least"), F.max(X.stem(F.col("source_path"))).alias("most"))
+WHERE EXISTS (SELECT 1 FROM photos d WHERE d.sha1_hash = p.sha1_hash AND regexp_extract(d.source_path, '([^/]*)\.[^./]*$', 1) <> p.stem) OR EXISTS (SELECT 1 FROM photos d JOIN log_entries o ON o.photo_id = d.id WHERE d.sha1_hash = p.sha1_hash AND regexp_extract(o.source_path, '([^/]*)\.[^./]*$', 1) <> p.stem)""")
+def other_names(photos: DataFrame, log_entries: DataFrame) -> DataFrame:
+    """Delivered photos whose content also has, or had at an operation, another name. A content's least and greatest names decide: no pair is made."""
+    named = lambda df: df.select("sha1_hash", X.stem(F.col("source_path")).alias("n"))
+    then = log_entries.groupBy(F.col("photo_id").alias("id")).agg(F.min_by("source_path", X.stem(F.col("source_path"))).alias("low"), F.max_by("source_path", X.stem(F.col("source_path"))).alias("high"))
+    then = then.join(photos.select("id", "sha1_hash"), "id").select("sha1_hash", F.explode(F.array("low", "high")).alias("source_path"))
+    names = named(photos).union(named(then)).groupBy("sha1_hash").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     rows = photos.filter(F.col("status").isin(*schema.DELIVERED)).join(names, "sha1_hash")
     own = X.stem(F.col("dest_path"))
     return rows.filter((F.col("least") != own) | (F.col("most") != own)).select("id")
@@ -149,34 +159,52 @@ def not_an_image(observed: DataFrame) -> DataFrame:
     return observed.select("path", refusal.alias("refusal"))
 
 
-@query("log_status", "SELECT op, CASE WHEN status = 'Copied' AND amount > 25 THEN 'Copied_Only' ELSE status END AS shown FROM operations")
+SHOWN_SQL = "CASE WHEN status = 'Copied' AND note = 'original kept' THEN 'Copied_Only' ELSE status END"
+
+
+@query("log_status", f"SELECT op, {SHOWN_SQL} AS shown FROM operations")
 def log_status(operations: DataFrame) -> DataFrame:
-    """The log's statuses; a copy whose original stayed, which its note tells (here a large amount), has one of its own."""
+    """The log's statuses; a copy whose original stayed, which its note tells, has one of its own."""
     return operations.select("op", shown_status().alias("shown"))
 
 
 def shown_status() -> Column:
-    return F.when((F.col("status") == "Copied") & (F.col("amount") > 25), "Copied_Only").otherwise(F.col("status"))
+    return F.when((F.col("status") == "Copied") & F.coalesce(F.col("note") == "original kept", F.lit(False)), "Copied_Only").otherwise(F.col("status"))
+
+
+def holds(column: str, term: str) -> Column:
+    """Whether a text holds a term, whatever its case; wildcards are letters like others, and no text holds nothing."""
+    return F.coalesce(F.ilike(column, F.lit(X.escape_like(term)), F.lit("\\")), F.lit(False))
+
+
+@query("oplog_filtered", f"""
+SELECT op, run_id, photo_id, shown FROM (SELECT *, {SHOWN_SQL} AS shown FROM log_entries) WHERE shown IN ('Failed', 'Copied_Only', 'Completed') AND (source_path ILIKE '%13%' OR dest_path ILIKE '%13%' OR message ILIKE '%13%')""")
+def oplog_filtered(log_entries: DataFrame, shown: tuple = ("Failed", "Copied_Only", "Completed"), term: str = "13") -> DataFrame:
+    """The log by derived status and by one text over the paths of the time and the message; operations without a photo survive."""
+    rows = log_entries.withColumn("shown", shown_status()).filter(F.col("shown").isin(*shown))
+    return rows.filter(holds("source_path", term) | holds("dest_path", term) | holds("message", term)).select("op", "run_id", "photo_id", "shown")
 
 
-@query("oplog_filtered", """
-SELECT op, run_id, photo_id, shown FROM (SELECT *, CASE WHEN status = 'Copied' AND amount > 25 THEN 'Copied_Only' ELSE status END AS shown FROM operations) o LEFT JOIN (SELECT id, name, source_path FROM photos) p ON p.id = o.photo_id
-WHERE shown IN ('Failed', 'Copied_Only') AND (message ILIKE '%denied%' OR source_path ILIKE '%denied%' OR name ILIKE '%7.jpg%')""")
-def oplog_filtered(operations: DataFrame, photos: DataFrame, shown: tuple = ("Failed", "Copied_Only"), terms: tuple = ("denied", "7.jpg")) -> DataFrame:
-    """The log by derived status and by text over message, path and name; operations without a photo survive."""
-    names = photos.select(F.col("id").alias("photo_id"), "name", "source_path")
-    rows = operations.withColumn("shown", shown_status()).filter(F.col("shown").isin(*shown)).join(names, "photo_id", "left")
-    like = lambda c, t: F.coalesce(F.ilike(c, F.lit(X.escape_like(t)), F.lit("\\")), F.lit(False))
-    return rows.filter(like("message", terms[0]) | like("source_path", terms[0]) | like("name", terms[1])).select("op", "run_id", "photo_id", "shown")
+@query("oplog_edits", """
+SELECT op, run_id, photo_id FROM log_entries o WHERE timestamp >= DATE '1995-01-01' AND timestamp < DATE '1998-01-01' AND EXISTS (SELECT 1 FROM operation_events e WHERE e.op = o.op AND e.step = 'metadata_saved' AND e.outcome = 'verified') AND EXISTS (SELECT 1 FROM operation_events i WHERE i.op = o.op AND i.step = 'intent' AND i.kind = 'metadata_edit')""")
+def oplog_edits(log_entries: DataFrame, operation_events: DataFrame, since: str = "1995-01-01", until: str = "1998-01-01") -> DataFrame:
+    """Metadata edits of a span of time: operations that meant an edit and saved it, verified. Their steps are read once."""
+    saved, meant = (F.col("step") == "metadata_saved") & (F.col("outcome") == "verified"), (F.col("step") == "intent") & F.coalesce(F.col("kind") == "metadata_edit", F.lit(False))
+    edits = operation_events.groupBy("op").agg(F.bool_or(saved).alias("saved"), F.bool_or(meant).alias("meant")).filter("saved and meant").select("op")
+    rows = log_entries.filter((F.col("timestamp") >= F.lit(since).cast("date")) & (F.col("timestamp") < F.lit(until).cast("date")))
+    return rows.join(edits, "op", "left_semi").select("op", "run_id", "photo_id")
 
 
 @query("oplog_of_photo", """
-, files(id) AS (SELECT CAST(5 AS BIGINT) UNION SELECT o.file_id FROM files f JOIN origins o ON o.origin_file_id = f.id) SELECT op, photo_id FROM operations WHERE photo_id IN (SELECT id FROM files)""")
-def oplog_of_photo(operations: DataFrame, origins: DataFrame, photo: int = 5) -> DataFrame:
-    """What was done to a photo or to anything made from it."""
+, files(id) AS (SELECT id FROM photos WHERE id = 61 OR sha1_hash = (SELECT sha1_hash FROM photos WHERE id = 61) UNION SELECT x.id FROM files f JOIN (SELECT origin_file_id AS at, file_id AS id FROM origins UNION SELECT a.file_id, b.file_id FROM consolidations a JOIN consolidations b ON a.op = b.op) x ON x.at = f.id)
+SELECT op, photo_id FROM operations WHERE photo_id IN (SELECT id FROM files)""")
+def oplog_of_photo(operations: DataFrame, photos: DataFrame, origins: DataFrame, consolidations: DataFrame, photo: int = 61) -> DataFrame:
+    """What was done to a photo, to its exact copies, to anything made from these, and to what was consolidated with any of them."""
     from .lineage import closure
 
-    files = closure(origins, photo)
+    own = photos.filter(F.col("id") == photo).select("sha1_hash").distinct()
+    start = photos.join(F.broadcast(own), "sha1_hash", "left_semi").select("id").union(photos.filter(F.col("id") == photo).select("id")).distinct()  # one content
+    files = closure(origins, start, consolidations)
     return operations.join(files, operations["photo_id"] == files["id"], "left_semi").select("op", "photo_id")
 
 

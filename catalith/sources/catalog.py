@@ -177,7 +177,53 @@ class Catalog:
         # the six columns identify a line; the id is a function of them, so that no global sort is needed
         op = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyyMMdd"), F.round(F.col("l_extendedprice") * 100).cast("bigint"))
         message = F.when(key == "NF", F.element_at(F.array(*map(F.lit, ("OSError: [Errno 28] No space left: '/dst/a'", "PermissionError: [Errno 13] Permission denied: '/src/b'", "Hash mismatch after copy", "FileNotFoundError: [Errno 2] No such file: '/src/c'", "unexpected end"))), (F.col("l_partkey") % 5 + 1).cast("int")))
-        return self.table("lineitem").select(op.alias("op"), F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("photo_id"), status.alias("status"), message.alias("message"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").cast("bigint").alias("amount"))
+        return self.table("lineitem").select(op.alias("op"), F.col("l_orderkey").alias("run_id"), F.col("l_partkey").alias("photo_id"), status.alias("status"), message.alias("message"), F.col("l_shipdate").alias("timestamp"), F.col("l_quantity").cast("bigint").alias("amount"), F.when((key == "AF") & (F.col("l_quantity") > 25), "original kept").alias("note"))
+
+    @cached_property
+    def log_entries(self) -> DataFrame:
+        """The log with the paths that each row was about at the time: some files were named otherwise then."""
+        known = self.photos.select(F.col("id").alias("photo_id"), F.col("source_path").alias("present"), "dest_path")
+        then = F.when(F.col("amount") % 5 == 0, F.regexp_replace("present", "doc-", "orig-")).otherwise(F.col("present"))
+        return self.operations.join(known, "photo_id", "left").select("op", "run_id", "photo_id", "status", "note", "message", "timestamp", then.alias("source_path"), F.when(F.col("status").isin("Copied", "Completed"), F.col("dest_path")).alias("dest_path"))
+
+    @cached_property
+    def operation_events(self) -> DataFrame:
+        """op, step, outcome, kind: steps of the operations that saved metadata; not each was an edit, not each was verified."""
+        a = F.col("amount")
+        intent = F.struct(F.lit("intent").alias("step"), F.lit("recorded").alias("outcome"), F.when(a % 2 == 0, "metadata_edit").otherwise("keep_new_version").alias("kind"))
+        saved = F.struct(F.lit("metadata_saved").alias("step"), F.when(a % 9 == 0, "failed").otherwise("verified").alias("outcome"), F.lit(None).cast("string").alias("kind"))
+        return self.operations.filter("status = 'Completed' and amount % 3 = 0").select("op", F.explode(F.array(intent, saved)).alias("x")).select("op", "x.*")
+
+    @cached_property
+    def consolidations(self) -> DataFrame:
+        """op, file_id: files that a verified consolidation made one."""
+        return self.table("documents").filter("doc_id % 50 in (11, 36)").select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("op"), F.col("doc_id").alias("file_id"))
+
+    @cached_property
+    def updates(self) -> DataFrame:
+        """id, old_status, new_status, old_date, new_date, old_side, new_side: photos before and after a rescan."""
+        i, d = F.col("id"), F.col("date_taken")
+        year = lambda text: F.concat(F.lit(text), F.substring(d, 5, 100))
+        sides = self.contents.select("sha1_hash", F.least("width", "height").alias("side"))
+        rows = self.photos.join(sides, "sha1_hash", "left")
+        old = F.when(i % 9 == 1, year("1700")).when(i % 9 == 2, year("2090")).otherwise(d)
+        new = F.when(i % 27 == 10, year("1650")).when(i % 9 == 4, year("2026")).when(i % 9 == 5, year("1950")).otherwise(d)
+        return rows.select(i, F.when(i % 15 == 0, "Pending").otherwise(F.col("status")).alias("old_status"), F.col("status").alias("new_status"), old.alias("old_date"), new.alias("new_date"), F.when(i % 4 == 1, F.lit(480)).otherwise(F.col("side")).alias("old_side"), F.col("side").alias("new_side"))
+
+    @cached_property
+    def requests(self) -> DataFrame:
+        """id, request_id, photo_id, sha1, revision, reason, action, note, bookmark, date_taken: decisions as browsers send them, some twice, some out of date."""
+        i, k = F.col("id"), F.col("k")
+        own = self.photos.select(F.col("id").alias("photo_id"), "sha1_hash", F.col("date_taken").alias("date_now"))
+        before = self.review_events.filter("id % 10 <> 0").groupBy("photo_id").agg(F.count(F.lit(1)).alias("n"))
+        rows = self.review_events.filter("id % 10 = 0").join(own, "photo_id").join(before, "photo_id", "left")
+        reason = F.element_at(F.array(*map(F.lit, ("small", "later", "date", "later", "other"))), (k % 5 + 1).cast("int"))
+        action = F.when(k % 11 == 1, "correct").when(reason == "small", "reviewed").when(reason == "date", "correct").otherwise(F.element_at(F.array(*map(F.lit, ("later", "done", "keep"))), (k % 3 + 1).cast("int")))
+        return rows.select(
+            i, F.concat(F.lit("r"), F.when(i % 40 == 10, i - 10).otherwise(i).cast("string")).alias("request_id"), "photo_id", F.when(k % 13 == 2, F.sha1("sha1_hash")).otherwise(F.col("sha1_hash")).alias("sha1"), (F.coalesce("n", F.lit(0)) + F.when(k % 7 == 3, 1).otherwise(0)).alias("revision"),
+            reason.alias("reason"), action.alias("action"), F.when(k % 17 == 4, F.repeat(F.lit("x"), 61)).when(reason == "later", "a note").otherwise("").alias("note"), F.when(reason == "later", F.when(k % 2 == 0, "keep").otherwise("date")).alias("bookmark"),
+            F.when(reason == "date", F.when(k % 19 == 2, "1799").otherwise(F.col("date_now"))).alias("date_taken"),
+        )
 
     @cached_property
     def review_events(self) -> DataFrame:

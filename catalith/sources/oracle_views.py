@@ -41,9 +41,27 @@ operations AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'), CAST(round(l_extendedprice * 100) AS BIGINT)) AS op, l_orderkey AS run_id, l_partkey AS photo_id,
     CASE l_returnflag || l_linestatus WHEN 'AF' THEN 'Copied' WHEN 'AO' THEN 'Completed' WHEN 'NF' THEN 'Failed' WHEN 'NO' THEN 'Skipped' WHEN 'RF' THEN 'Duplicate' ELSE 'Pending' END AS status,
     CASE WHEN l_returnflag || l_linestatus = 'NF' THEN ['OSError: [Errno 28] No space left: ''/dst/a''', 'PermissionError: [Errno 13] Permission denied: ''/src/b''', 'Hash mismatch after copy', 'FileNotFoundError: [Errno 2] No such file: ''/src/c''', 'unexpected end'][l_partkey % 5 + 1] END AS message,
-    l_shipdate AS timestamp, CAST(l_quantity AS BIGINT) AS amount FROM lineitem
+    l_shipdate AS timestamp, CAST(l_quantity AS BIGINT) AS amount, CASE WHEN l_returnflag || l_linestatus = 'AF' AND l_quantity > 25 THEN 'original kept' END AS note FROM lineitem
 ),
 review_events AS (SELECT event_id AS id, user_id AS photo_id, event_type AS action, ts AS created_at, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+log_entries AS (
+  SELECT o.op, o.run_id, o.photo_id, o.status, o.note, o.message, o.timestamp, CASE WHEN o.amount % 5 = 0 THEN replace(p.source_path, 'doc-', 'orig-') ELSE p.source_path END AS source_path, CASE WHEN o.status IN ('Copied', 'Completed') THEN p.dest_path END AS dest_path FROM operations o LEFT JOIN photos p ON p.id = o.photo_id
+),
+operation_events AS (
+  SELECT op, 'intent' AS step, 'recorded' AS outcome, CASE WHEN amount % 2 = 0 THEN 'metadata_edit' ELSE 'keep_new_version' END AS kind FROM operations WHERE status = 'Completed' AND amount % 3 = 0
+  UNION ALL SELECT op, 'metadata_saved', CASE WHEN amount % 9 = 0 THEN 'failed' ELSE 'verified' END, NULL FROM operations WHERE status = 'Completed' AND amount % 3 = 0
+),
+consolidations AS (SELECT doc_id // 50 AS op, doc_id AS file_id FROM documents WHERE doc_id % 50 IN (11, 36)),
+updates AS (
+  SELECT id, CASE WHEN id % 15 = 0 THEN 'Pending' ELSE status END AS old_status, status AS new_status, CASE id % 9 WHEN 1 THEN '1700' || substr(date_taken, 5) WHEN 2 THEN '2090' || substr(date_taken, 5) ELSE date_taken END AS old_date,
+    CASE WHEN id % 27 = 10 THEN '1650' || substr(date_taken, 5) WHEN id % 9 = 4 THEN '2026' || substr(date_taken, 5) WHEN id % 9 = 5 THEN '1950' || substr(date_taken, 5) ELSE date_taken END AS new_date, CASE WHEN id % 4 = 1 THEN 480 ELSE least(width, height) END AS old_side, least(width, height) AS new_side
+  FROM photos LEFT JOIN contents USING (sha1_hash)
+),
+requests AS (
+  SELECT id, 'r' || CASE WHEN id % 40 = 10 THEN id - 10 ELSE id END AS request_id, photo_id, CASE WHEN k % 13 = 2 THEN sha1(sha1_hash) ELSE sha1_hash END AS sha1, coalesce(n, 0) + CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END AS revision, reason, CASE WHEN k % 11 = 1 THEN 'correct' WHEN reason = 'small' THEN 'reviewed' WHEN reason = 'date' THEN 'correct' ELSE ['later', 'done', 'keep'][k % 3 + 1] END AS action,
+    CASE WHEN k % 17 = 4 THEN repeat('x', 61) WHEN reason = 'later' THEN 'a note' ELSE '' END AS note, CASE WHEN reason = 'later' THEN CASE WHEN k % 2 = 0 THEN 'keep' ELSE 'date' END END AS bookmark, CASE WHEN reason = 'date' THEN CASE WHEN k % 19 = 2 THEN '1799' ELSE date_now END END AS date_taken
+  FROM (SELECT r.*, p.sha1_hash, p.date_taken AS date_now, b.n, ['small', 'later', 'date', 'later', 'other'][r.k % 5 + 1] AS reason FROM review_events r JOIN photos p ON p.id = r.photo_id LEFT JOIN (SELECT photo_id, count(*) AS n FROM review_events WHERE id % 10 <> 0 GROUP BY 1) b ON b.photo_id = r.photo_id WHERE r.id % 10 = 0)
+),
 issues AS (SELECT doc_id AS photo_id, CASE WHEN toxic = 1 THEN 'unestablished_outcome' ELSE 'note' END AS category, quality = 0 AS resolved FROM labels),
 origins AS (SELECT doc_id AS file_id, doc_id // 2 AS origin_file_id FROM documents WHERE doc_id > 0),
 observed AS (
