@@ -411,9 +411,11 @@ def link_classes(docs: DataFrame, k: int, limit: Threshold) -> tuple[DataFrame,
     active = materialize(small.join(found, small["row"] == found["node"]).select("row", "doc_id", "text_hash", "n", "weight", "root"), "jaccard-active")
     placed = _blocks(active, prefixes, leaders, limit)
     groups = max(1, -(-placed.count() // TASK_ROWS))
+    key = [F.coalesce("doc_id", F.lit(0)).alias("key_id"), F.col("doc_id").isNull().alias("no_id"), F.col("text_hash")]
     texts = _among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text"), active)
-    same = placed["doc_id"].eqNullSafe(texts["doc_id"]) & (placed["text_hash"] == texts["text_hash"])
-    shipped = placed.join(texts, same).select(F.pmod("block", F.lit(groups)).alias("group"), "block", "side", "shingle", "row", "weight", "prefix", "text")
+    texts = texts.select(*key, "text").groupBy("key_id", "no_id", "text_hash").agg(F.min("text").alias("text"))  # a repeated row sends one text a map task
+    shipped = placed.select(*key, F.pmod("block", F.lit(groups)).alias("group"), "block", "side", "shingle", "row", "weight", "prefix").join(texts, ["key_id", "no_id", "text_hash"])
+    shipped = shipped.select("group", "block", "side", "shingle", "row", "weight", "prefix", "text")
     links = materialize(shipped.groupBy("group").applyInArrow(_searcher(k, limit), LINK_SCHEMA), "jaccard-links")
     for table in (prefixes, leaders, active, placed):
         discard(table)
@@ -455,7 +457,7 @@ def keep_one(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100) -> D
     """The rows of docs that stay, with all their columns, whatever these are called: of each component one.
 
     It is the row of the least doc_id; null ids come last; of equal ids that of the least text hash. Rows without any
-    shingle stay. A row whose id and text are repeated comes once, with the other columns of any one of them.
+    shingle stay. A row whose id and text are repeated comes once, with the other columns of the one whose columns hash least.
     """
     found = _joined(docs, k, Threshold(num, den)).filter("stays").select(row_key(F.col("doc_id"), F.col("text_hash")).alias("key")).distinct()
     return rows_of(docs, found, row_key(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])))

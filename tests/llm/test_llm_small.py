@@ -221,6 +221,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_a_row_repeated_often_ships_its_text_once(spark):
+    """Five hundred copies of one row, with and without an id, beside near copies: whole components, one text a row kind."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, base, "en", "a")] * 300 + [(None, base, "en", "a")] * 200 + [(i, base + f" tail{i}", "en", "a") for i in range(20, 40)]
+    got = jaccard_join.jaccard_join(table(spark, rows).repartition(5), k=4, num=85, den=100).collect()
+    assert len(got) == 520 and {r["component_id"] for r in got} == {7} and {r["n_links"] for r in got} == {519}
+
+
 def test_misspelt_forms_of_a_pure_stem_are_found(spark):
     """Ten terms of one stem are learned from a table; each is then misspelt in its first letters, where the stem lies."""
     rng, plain = random.Random(13), [a + b for a in "ba ce di fo gu".split() for b in "na ri lo mu te sk".split()]
