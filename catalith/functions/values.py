@@ -71,10 +71,11 @@ def folder_day(folder: Column) -> Column:
 
 
 def turned(first: Column, then: Column) -> Column:
-    """The orientation of a picture that is turned by quarters once more; both are 1, 6, 3 or 8 (0 to 3 quarters)."""
-    quarters = F.create_map(*[F.lit(x) for pair in schema.QUARTERS.items() for x in pair])
-    back = F.array(*[F.lit(o) for o in schema.QUARTERS])
-    return F.element_at(back, ((quarters[first] + quarters[then]) % 4 + 1).cast("int"))
+    """The orientation (1 to 8) of a picture that is turned once more by 0 to 3 quarters (1, 6, 3 or 8). A mirrored one stays mirrored."""
+    every = schema.QUARTERS | schema.MIRRORED
+    quarters = F.create_map(*[F.lit(x) for pair in every.items() for x in pair])
+    back = lambda kind: F.element_at(F.array(*[F.lit(o) for o in kind]), ((quarters[first] + quarters[then]) % 4 + 1).cast("int"))
+    return F.when(first.isin(*schema.MIRRORED), back(schema.MIRRORED)).otherwise(back(schema.QUARTERS))
 
 
 def bytes_shown(size: Column) -> Column:
@@ -88,7 +89,8 @@ def bytes_shown(size: Column) -> Column:
 
 def duration_shown(seconds: Column) -> Column:
     part = lambda x: F.lpad(F.floor(x).cast("string"), 2, "0")
-    return F.concat_ws(":", part(seconds / 3600), part(F.pmod(seconds / 60, F.lit(60))), part(F.pmod(seconds, F.lit(60))))
+    hours = F.floor(seconds / 3600).cast("string")
+    return F.concat_ws(":", F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), part(F.pmod(seconds / 60, F.lit(60))), part(F.pmod(seconds, F.lit(60))))
 
 
 @query("shown_paths", """
@@ -100,34 +102,32 @@ def shown_paths(photos: DataFrame, library: str = "/dst/library", rejects: str =
 
 
 @query("folder_days", r"""
-SELECT id, f AS folder, CAST(CASE WHEN regexp_full_match(f, '\d{4}/\d{2}/\d{2}') THEN TRY_CAST(replace(f, '/', '-') AS DATE) END AS VARCHAR) AS day FROM (SELECT id, CASE id % 5 WHEN 0 THEN 'Undated/' || substr(date_taken, 1, 4) WHEN 1 THEN '2001/02/30' WHEN 2 THEN substr(date_taken, 1, 4) ELSE replace(substr(date_taken, 1, 10), '-', '/') END AS f FROM photos)""")
-def folder_days(photos: DataFrame) -> DataFrame:
-    k, d = F.col("id") % 5, F.col("date_taken")
-    folder = F.when(k == 0, F.concat(F.lit("Undated/"), F.substring(d, 1, 4))).when(k == 1, F.lit("2001/02/30")).when(k == 2, F.substring(d, 1, 4)).otherwise(F.translate(F.substring(d, 1, 10), "-", "/"))
-    return photos.select("id", folder.alias("folder")).select("id", "folder", folder_day(F.col("folder")).cast("string").alias("day"))
+SELECT id, day_folder AS folder, CAST(CASE WHEN regexp_full_match(day_folder, '\d{4}/\d{2}/\d{2}') THEN TRY_CAST(replace(day_folder, '/', '-') AS DATE) END AS VARCHAR) AS day FROM asked""")
+def folder_days(asked: DataFrame) -> DataFrame:
+    """The day that a folder names, if it names one of the calendar."""
+    return asked.select("id", F.col("day_folder").alias("folder"), folder_day(F.col("day_folder")).cast("string").alias("day"))
 
 
 @query("turned_twice", """
-SELECT content_id, [1, 6, 3, 8][content_id % 4 + 1] AS first, [1, 6, 3, 8][content_id // 4 % 4 + 1] AS then_turned, [1, 6, 3, 8][(content_id % 4 + content_id // 4 % 4) % 4 + 1] AS both FROM contents""")
-def turned_twice(contents: DataFrame) -> DataFrame:
-    pick = lambda k: F.element_at(F.array(*[F.lit(o) for o in schema.QUARTERS]), (k % 4 + 1).cast("int"))
-    rows = contents.select("content_id", pick(F.col("content_id")).alias("first"), pick(F.floor(F.col("content_id") / 4)).alias("then_turned"))
-    return rows.withColumn("both", turned(F.col("first"), F.col("then_turned")))
+, circle(o, mirrored, q) AS (VALUES (1, 0, 0), (6, 0, 1), (3, 0, 2), (8, 0, 3), (2, 1, 0), (7, 1, 1), (4, 1, 2), (5, 1, 3))
+SELECT t.content_id, t.first, t.then_turned, c.o AS both FROM turns t JOIN circle a ON a.o = t.first JOIN circle b ON b.o = t.then_turned JOIN circle c ON c.mirrored = a.mirrored AND c.q = (a.q + b.q) % 4""")
+def turned_twice(turns: DataFrame) -> DataFrame:
+    """The orientation of each picture, mirrored or not, once it was turned by more quarters."""
+    return turns.select("content_id", "first", "then_turned", turned(F.col("first"), F.col("then_turned")).alias("both"))
 
 
 @query("shown_sizes", """
 SELECT id, s AS size, CASE WHEN u = 0 OR s / power(1000.0, u) >= 10 THEN CAST(CAST(floor(s / power(1000.0, u)) AS BIGINT) AS VARCHAR) ELSE CAST(CAST(floor(s / power(1000.0, u) * 10) / 10 AS DECIMAL(10, 1)) AS VARCHAR) END || ' ' || ['B', 'kB', 'MB', 'GB', 'TB', 'PB'][u + 1] AS shown
-FROM (SELECT id, s, CASE WHEN s < 1000 THEN 0 WHEN s < 1000000 THEN 1 WHEN s < 1000000000 THEN 2 WHEN s < 1000000000000 THEN 3 ELSE 4 END AS u FROM (SELECT id, file_size * [1, 97, 10007, 1000003, 100000007][id % 5 + 1] AS s FROM photos))""")
-def shown_sizes(photos: DataFrame) -> DataFrame:
-    size = F.col("file_size") * F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (1, 97, 10_007, 1_000_003, 100_000_007)]), (F.col("id") % 5 + 1).cast("int"))
-    return photos.select("id", size.alias("size")).select("id", "size", bytes_shown(F.col("size")).alias("shown"))
+FROM (SELECT id, size AS s, CASE WHEN size < 1000 THEN 0 WHEN size < 1000000 THEN 1 WHEN size < 1000000000 THEN 2 WHEN size < 1000000000000 THEN 3 ELSE 4 END AS u FROM asked)""")
+def shown_sizes(asked: DataFrame) -> DataFrame:
+    return asked.select("id", "size", bytes_shown(F.col("size")).alias("shown"))
 
 
 @query("shown_durations", """
-SELECT id, lpad(CAST(id * 37 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id * 37 // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(id * 37 % 60 AS VARCHAR), 2, '0') AS shown FROM photos WHERE id * 37 < 360000""")
-def shown_durations(photos: DataFrame) -> DataFrame:
-    """Hours, minutes and seconds, below a hundred hours."""
-    return photos.filter("id * 37 < 360000").select("id", duration_shown(F.col("id") * 37).alias("shown"))
+SELECT id, CASE WHEN seconds < 36000 THEN '0' ELSE '' END || (seconds // 3600) || ':' || lpad(CAST(seconds // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(seconds % 60 AS VARCHAR), 2, '0') AS shown FROM asked""")
+def shown_durations(asked: DataFrame) -> DataFrame:
+    """Hours, minutes and seconds; hours have two digits at least."""
+    return asked.select("id", duration_shown(F.col("seconds")).alias("shown"))
 
 
 @query("instant_gaps", "SELECT id, photo_id, CAST(date_diff('microsecond', lag(created_at) OVER w, created_at) AS DOUBLE) / 1000000 AS seconds FROM review_events WINDOW w AS (PARTITION BY photo_id ORDER BY created_at, id)")
@@ -148,23 +148,18 @@ def json_rows(events: DataFrame) -> DataFrame:
 
 
 @query("json_kinds", """
-SELECT event_id, CASE WHEN NOT json_valid(t) THEN NULL ELSE lower(json_type(t)) END AS kind FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '[1, 2]' WHEN 1 THEN '"a"' WHEN 2 THEN '{"a": ' WHEN 3 THEN 'true' WHEN 4 THEN 'null' ELSE props END AS t FROM events)""")
-def json_kinds(events: DataFrame) -> DataFrame:
+SELECT event_id, CASE WHEN json_valid(text) AND NOT regexp_matches(regexp_replace(text, '"([^"\\\\]|\\\\.)*"', '""', 'g'), 'NaN|Infinity') THEN lower(json_type(text)) END AS kind FROM payloads""")
+def json_kinds(payloads: DataFrame) -> DataFrame:
     """What kind of value a text holds as JSON; null where it is none."""
-    k = F.col("event_id") % 6
-    text = F.when(k == 0, "[1, 2]").when(k == 1, '"a"').when(k == 2, '{"a": ').when(k == 3, "true").when(k == 4, "null").otherwise(F.col("props"))
-    valid, head = F.try_parse_json(text).isNotNull(), F.substring(F.ltrim(text), 1, 1)
+    bare = F.regexp_replace("text", r'"([^"\\]|\\.)*+"', '""')
+    valid, head = F.try_parse_json("text").isNotNull() & ~bare.rlike("NaN|Infinity"), F.substring(F.ltrim("text"), 1, 1)
     kind = F.when(head == "{", "object").when(head == "[", "array").when(head == '"', "varchar").when(head.isin("t", "f"), "boolean").when(head == "n", "null").otherwise("number")
-    return events.select("event_id", F.when(valid, kind).alias("kind"))
+    return payloads.select("event_id", F.when(valid, kind).alias("kind"))
 
 
-@query("type_names", r"SELECT id, t AS type, regexp_full_match(t, '[a-z0-9]{1,10}') AS valid, CASE WHEN lower(ltrim(trim(t), '.')) IN ('jpg', 'png', 'cr2', 'tif') THEN 'supported' ELSE 'warning' END AS support FROM (SELECT id, CASE id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN 'txt' WHEN 2 THEN ' cr2' ELSE regexp_extract(name, '\.([^.]*)$', 1) END AS t FROM photos)")
-def type_names(photos: DataFrame) -> DataFrame:
+@query("type_names", r"SELECT id, type_name AS type, regexp_full_match(type_name, '[a-z0-9]{1,10}') AS valid, CASE WHEN lower(ltrim(trim(type_name), '.')) IN ('jpg', 'png', 'cr2', 'tif') THEN 'supported' ELSE 'warning' END AS support FROM asked")
+def type_names(asked: DataFrame) -> DataFrame:
     """Whether a name may be a file type, and whether the type is read as a picture or only carried along."""
-    from .paths import extension
-
-    k = F.col("id") % 4
-    asked = F.when(k == 0, ".JPG").when(k == 1, "txt").when(k == 2, " cr2").otherwise(extension(F.col("name")))
-    t = F.col("type")
+    t = F.col("type_name")
     plain = F.lower(F.ltrim(F.trim(t), F.lit(".")))
-    return photos.select("id", asked.alias("type")).select("id", "type", t.rlike("^[a-z0-9]{1,10}$").alias("valid"), F.when(plain.isin(*schema.RASTER, *schema.RAW), "supported").otherwise("warning").alias("support"))
+    return asked.select("id", t.alias("type"), t.rlike("^[a-z0-9]{1,10}$").alias("valid"), F.when(plain.isin(*schema.RASTER, *schema.RAW), "supported").otherwise("warning").alias("support"))

@@ -57,16 +57,10 @@ def filter_top_files(photos: DataFrame, root: str = "/src", folders: tuple = (".
 
 @query("folder_names", r"""
 SELECT id, f AS folder, CASE WHEN f = '.' THEN f WHEN f = '' OR f LIKE '/%' OR n = '..' OR n LIKE '../%' OR n IN ('', '.') THEN NULL ELSE n END AS normal FROM (
-  SELECT id, f, CASE WHEN f LIKE '%/./%' THEN replace(f, '/./', '/') WHEN f LIKE '%//%' THEN replace(f, '//', '/') WHEN f LIKE '%/' THEN rtrim(f, '/') ELSE f END AS n
-  FROM (SELECT id, CASE id % 8 WHEN 0 THEN '.' WHEN 1 THEN camera || '//' || lens WHEN 2 THEN '/' || camera WHEN 3 THEN '../' || camera WHEN 4 THEN camera || '/./' || lens WHEN 5 THEN camera || '/' WHEN 6 THEN '' ELSE camera END AS f FROM photos))""")
-def folder_names(photos: DataFrame) -> DataFrame:
+  SELECT id, folder AS f, CASE WHEN folder LIKE '%/./%' THEN replace(folder, '/./', '/') WHEN folder LIKE '%//%' THEN replace(folder, '//', '/') WHEN folder LIKE '%/' THEN rtrim(folder, '/') ELSE folder END AS n FROM asked)""")
+def folder_names(asked: DataFrame) -> DataFrame:
     """A folder as a user names it, cleaned of empty and "." steps; null where it is empty, absolute or outside."""
-    k, c = F.col("id") % 8, F.col("camera")
-    asked = (
-        F.when(k == 0, F.lit(".")).when(k == 1, F.concat(c, F.lit("//"), "lens")).when(k == 2, F.concat(F.lit("/"), c)).when(k == 3, F.concat(F.lit("../"), c))
-        .when(k == 4, F.concat(c, F.lit("/./"), "lens")).when(k == 5, F.concat(c, F.lit("/"))).when(k == 6, F.lit("")).otherwise(c)
-    )
-    return photos.select("id", asked.alias("folder")).select("id", "folder", X.normal_folder(F.col("folder")).alias("normal"))
+    return asked.select("id", "folder", X.normal_folder(F.col("folder")).alias("normal"))
 
 
 @query("other_names", r"""
@@ -269,13 +263,10 @@ def rejects_reminder(photos: DataFrame, review_events: DataFrame, now: str = "20
 
 
 @query("hash_texts", r"""
-SELECT content_id, phash_state = 'ok' AND regexp_full_match(lower(t), '[0-9a-f]{16}') AS usable FROM (SELECT content_id, phash_state, CASE content_id % 5 WHEN 0 THEN substr(lower(lpad(to_hex(h62), 16, '0')), 1, 15) WHEN 1 THEN upper(lpad(to_hex(h62), 16, '0')) WHEN 2 THEN 'unreadable-hash!' ELSE lower(lpad(to_hex(h62), 16, '0')) END AS t FROM contents) WHERE t IS NOT NULL""")
-def hash_texts(contents: DataFrame) -> DataFrame:
-    """Whether a recorded hash is one: sixteen hexadecimal digits of a picture that could be read (here some are not)."""
-    plain, k = F.lower(F.lpad(F.hex("h62"), 16, "0")), F.col("content_id") % 5
-    text = F.when(k == 0, F.substring(plain, 1, 15)).when(k == 1, F.upper(plain)).when(k == 2, "unreadable-hash!").otherwise(plain)
-    rows = contents.select("content_id", "phash_state", text.alias("t")).filter("t is not null")
-    return rows.select("content_id", ((F.col("phash_state") == "ok") & F.lower("t").rlike("^[0-9a-f]{16}$")).alias("usable"))
+SELECT content_id, phash_state = 'ok' AND regexp_full_match(lower(text), '[0-9a-f]{16}') AS usable FROM hash_records""")
+def hash_texts(hash_records: DataFrame) -> DataFrame:
+    """Whether a recorded hash is one: sixteen hexadecimal digits of a picture that could be read."""
+    return hash_records.select("content_id", ((F.col("phash_state") == "ok") & F.lower("text").rlike("^[0-9a-f]{16}$")).alias("usable"))
 
 
 @query("discovery_breakdown", r"""

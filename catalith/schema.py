@@ -19,8 +19,9 @@ RAW = ("raw", "dng", "cr2", "cr3", "crw", "nef", "nrw", "arw", "srf", "sr2", "ra
 THRESHOLDS = {75: 16, 80: 12, 85: 9, 90: 6, 95: 3, 100: 0}
 HASH_BITS = 64
 
-# Orientations that are turned by 0 to 3 quarters.
+# Orientations that are turned by 0 to 3 quarters, and those that are mirrored as well.
 QUARTERS = {1: 0, 6: 1, 3: 2, 8: 3}
+MIRRORED = {2: 0, 7: 1, 4: 2, 5: 3}
 
 #: The year below which a date is suspicious unless a setting says otherwise (fixed value), and a frozen "now".
 MIN_YEAR = 1800

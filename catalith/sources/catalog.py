@@ -155,7 +155,7 @@ class Catalog:
     @cached_property
     def _contents(self) -> DataFrame:
         first = self.photos.groupBy("sha1_hash").agg(F.min("id").alias("content_id"))
-        texts = self.table("documents").filter("doc_id % 18 <> 5").select(F.col("doc_id").alias("content_id"), "text")  # the other pictures can't be read
+        texts = self.table("documents").filter("substring(sha1(text), 1, 1) <> '5'").select(F.col("doc_id").alias("content_id"), "text")  # the other pictures can't be read
         vectors = similarity_hashes(texts)
         i = F.col("content_id")
         return first.join(vectors, "content_id", "left").join(self.measures, "content_id", "left").select(
@@ -199,6 +199,30 @@ class Catalog:
         """op, file_id: files that a verified consolidation made one."""
         return self.table("documents").filter("doc_id % 50 in (11, 36)").select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("op"), F.col("doc_id").alias("file_id"))
 
+    @cached_property
+    def asked(self) -> DataFrame:
+        """id, folder, day_folder, type_name, size, seconds: what users and files name, some of it wrong."""
+        i, c, d = F.col("id"), F.col("camera"), F.col("date_taken")
+        k, text = i % 8, lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+        folder = F.when(k == 0, ".").when(k == 1, text(c, "//", F.col("lens"))).when(k == 2, text("/", c)).when(k == 3, text("../", c)).when(k == 4, text(c, "/./", F.col("lens"))).when(k == 5, text(c, "/")).when(k == 6, "").otherwise(c)
+        day = F.when(i % 5 == 0, text("Undated/", F.substring(d, 1, 4))).when(i % 5 == 1, "2001/02/30").when(i % 5 == 2, F.substring(d, 1, 4)).otherwise(F.translate(F.substring(d, 1, 10), "-", "/"))
+        kind = F.when(i % 4 == 0, ".JPG").when(i % 4 == 1, "txt").when(i % 4 == 2, " cr2").otherwise(F.regexp_extract("name", r"\.([^.]*)$", 1))
+        size = F.col("file_size") * F.element_at(F.array(*[F.lit(x).cast("bigint") for x in (1, 97, 10_007, 1_000_003, 100_000_007)]), (i % 5 + 1).cast("int"))
+        return self.photos.select(i, folder.alias("folder"), day.alias("day_folder"), kind.alias("type_name"), size.alias("size"), (i * 37 * (1 + i % 3 * 100)).alias("seconds"))
+
+    @cached_property
+    def hash_records(self) -> DataFrame:
+        """content_id, phash_state, text: hashes as texts, some cut off, in capitals or none at all."""
+        plain, k = F.lower(F.lpad(F.hex("h62"), 16, "0")), F.col("content_id") % 5
+        text = F.when(k == 0, F.substring(plain, 1, 15)).when(k == 1, F.upper(plain)).when(k == 2, "unreadable-hash!").otherwise(plain)
+        return self.contents.select("content_id", "phash_state", text.alias("text")).filter("text is not null")
+
+    @cached_property
+    def turns(self) -> DataFrame:
+        """content_id, first, then_turned: the orientation of a picture, and quarters by which it is turned once more."""
+        i = F.col("content_id")
+        return self.contents.select(i, (i % 8 + 1).cast("int").alias("first"), F.element_at(F.array(*map(F.lit, (1, 6, 3, 8))), (F.floor(i / 8) % 4 + 1).cast("int")).alias("then_turned"))
+
     @cached_property
     def updates(self) -> DataFrame:
         """id, old_status, new_status, old_date, new_date, old_side, new_side: photos before and after a rescan."""

@@ -17,7 +17,7 @@ jpeg_parts AS (
 ),
 word_hashes AS (
   SELECT content_id, CAST(list_sum([CASE WHEN 2 * s[i + 1] > n THEN CAST(1 AS BIGINT) << i ELSE 0 END for i in range(62)]) AS BIGINT) AS h62 FROM (SELECT content_id, count(*) AS n, [{_SUMS}] AS s FROM (
-    SELECT content_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS high, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS low FROM (SELECT doc_id AS content_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents WHERE doc_id % 18 <> 5)) GROUP BY content_id)
+    SELECT content_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS high, CAST('0x' || substr(md5(w), 9, 8) AS BIGINT) AS low FROM (SELECT doc_id AS content_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents WHERE substr(sha1(text), 1, 1) <> '5')) GROUP BY content_id)
 ),
 """
     r"""
@@ -52,6 +52,13 @@ operation_events AS (
   UNION ALL SELECT op, 'metadata_saved', CASE WHEN amount % 9 = 0 THEN 'failed' ELSE 'verified' END, NULL FROM operations WHERE status = 'Completed' AND amount % 3 = 0
 ),
 consolidations AS (SELECT doc_id // 50 AS op, doc_id AS file_id FROM documents WHERE doc_id % 50 IN (11, 36)),
+asked AS (
+  SELECT id, CASE id % 8 WHEN 0 THEN '.' WHEN 1 THEN camera || '//' || lens WHEN 2 THEN '/' || camera WHEN 3 THEN '../' || camera WHEN 4 THEN camera || '/./' || lens WHEN 5 THEN camera || '/' WHEN 6 THEN '' ELSE camera END AS folder,
+    CASE id % 5 WHEN 0 THEN 'Undated/' || substr(date_taken, 1, 4) WHEN 1 THEN '2001/02/30' WHEN 2 THEN substr(date_taken, 1, 4) ELSE replace(substr(date_taken, 1, 10), '-', '/') END AS day_folder,
+    CASE id % 4 WHEN 0 THEN '.JPG' WHEN 1 THEN 'txt' WHEN 2 THEN ' cr2' ELSE regexp_extract(name, '\.([^.]*)$', 1) END AS type_name, file_size * [1, 97, 10007, 1000003, 100000007][id % 5 + 1] AS size, id * 37 * (1 + id % 3 * 100) AS seconds FROM photos
+),
+hash_records AS (SELECT content_id, phash_state, CASE content_id % 5 WHEN 0 THEN substr(lower(lpad(to_hex(h62), 16, '0')), 1, 15) WHEN 1 THEN upper(lpad(to_hex(h62), 16, '0')) WHEN 2 THEN 'unreadable-hash!' ELSE lower(lpad(to_hex(h62), 16, '0')) END AS text FROM contents WHERE h62 IS NOT NULL OR content_id % 5 = 2),
+turns AS (SELECT content_id, CAST(content_id % 8 + 1 AS INTEGER) AS first, [1, 6, 3, 8][content_id // 8 % 4 + 1] AS then_turned FROM contents),
 updates AS (
   SELECT id, CASE WHEN id % 15 = 0 THEN 'Pending' ELSE status END AS old_status, status AS new_status, CASE id % 9 WHEN 1 THEN '1700' || substr(date_taken, 5) WHEN 2 THEN '2090' || substr(date_taken, 5) ELSE date_taken END AS old_date,
     CASE WHEN id % 27 = 10 THEN '1650' || substr(date_taken, 5) WHEN id % 9 = 4 THEN '2026' || substr(date_taken, 5) WHEN id % 9 = 5 THEN '1950' || substr(date_taken, 5) ELSE date_taken END AS new_date, CASE WHEN id % 4 = 1 THEN 480 ELSE least(width, height) END AS old_side, least(width, height) AS new_side

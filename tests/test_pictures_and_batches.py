@@ -124,3 +124,15 @@ def test_a_batch_that_dies_is_written_once(spark, tmp_path, step):
     assert sorted((r["id"], r["broken"]) for r in writer.quarantine(ROW).collect()) == sorted(bad.items())
     ledger = spark.read.parquet(f"{tmp_path}/out/ledger").collect()
     assert sum(r["rows"] for r in ledger) == 100 - len(bad) and sum(r["quarantine"] for r in ledger) == len(bad)
+
+
+def test_turning_once_more_keeps_the_mirror(spark):
+    """A picture of any orientation that is turned by quarters shows as its upright form, turned."""
+    from catalith.functions import values
+
+    p = np.random.default_rng(8).integers(0, 256, (32, 32)).astype(float)
+    quarters = {1: 0, 6: 1, 3: 2, 8: 3}
+    rows = spark.createDataFrame([(o, t) for o in range(1, 9) for t in quarters], "a int, b int")
+    for r in rows.select("a", "b", values.turned(rows["a"], rows["b"]).alias("c")).collect():
+        shown = lambda o: pictures.upright(p[None], np.array([o]))[0]
+        assert (shown(r["c"]) == np.rot90(shown(r["a"]), -quarters[r["b"]])).all(), tuple(r)
