@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -44,6 +44,40 @@ def unique_destinations(photos: DataFrame) -> DataFrame:
     return numbered(rows, ["folder", "short"]).select("id", F.concat("folder", F.lit("/"), "short", F.when(F.col("k") > 1, F.concat(F.lit("_"), (F.col("k") - 1).cast("string"))).otherwise("")).alias("target"))
 
 
+RESOLVED_SQL = r"""
+, held AS (SELECT folder, stem, ext, n, min(sha1_hash) AS sha1_hash, count(*) FILTER (true) AS files FROM (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '([^/]*?)(_([1-9][0-9]*))?(\.[^./]*)?$', 1) AS stem, regexp_extract(path, '(\.[^./]*)?$', 1) AS ext,
+  coalesce(try_cast(regexp_extract(path, '_([1-9][0-9]*)(\.[^./]*)?$', 1) AS BIGINT), 0) AS n, sha1_hash FROM occupied) GROUP BY 1, 2, 3, 4), chained AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY n) - 1 AS place FROM held),
+judged AS (SELECT w.*, (SELECT min(c.n) FROM chained c WHERE c.folder = w.folder AND c.stem = w.stem AND c.ext = w.ext AND c.place = c.n AND c.sha1_hash = w.sha1_hash) AS present FROM wanted w), fresh AS (SELECT *, row_number() OVER (PARTITION BY folder, stem, ext ORDER BY id) AS k FROM judged WHERE present IS NULL),
+numbered AS (SELECT f.*, k - 1 + (SELECT count(*) FROM chained c WHERE c.folder = f.folder AND c.stem = f.stem AND c.ext = f.ext AND c.n - c.place <= f.k - 1) AS n FROM fresh f)
+SELECT id, folder || '/' || stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || ext AS target, already FROM (SELECT id, folder, stem, ext, n, false AS already FROM numbered UNION ALL SELECT id, folder, stem, ext, present, true FROM judged WHERE present IS NOT NULL)"""
+
+
+@query("resolved_destinations", RESOLVED_SQL)
+def resolved_destinations(wanted: DataFrame, occupied: DataFrame) -> DataFrame:
+    """Where each photo goes: its name or, where that is taken, the first free one with a number after the original stem.
+
+    A taken name on the way to the first free one that holds the photo's own content is the photo, delivered before.
+    Photos that want one name take its free numbers in order of id. Free numbers follow from how many taken ones lie
+    below: both are put in one order by the free names before them, so no photo meets all files of its name.
+    """
+    key, path = ["folder", "stem", "ext"], F.col("path")
+    ending = r"(?:_([1-9][0-9]*))?(\.[^./]*)?$"
+    held = occupied.select(
+        X.folder(path).alias("folder"), F.regexp_extract(path, "([^/]*?)" + ending, 1).alias("stem"), F.regexp_extract(path, r"(\.[^./]*)?$", 1).alias("ext"),
+        F.coalesce(F.nullif(F.regexp_extract(path, ending, 1), F.lit("")).try_cast("bigint"), F.lit(0)).alias("n"), "sha1_hash",
+    ).groupBy(*key, "n").agg(F.min("sha1_hash").alias("sha1_hash"))
+    by_number = Window.partitionBy(*key).orderBy("n")
+    held = held.withColumn("place", (F.row_number().over(by_number) - 1).cast("bigint"))
+    first = held.filter("place = n").groupBy(*key, "sha1_hash").agg(F.min("n").alias("present"))
+    judged = wanted.join(first, [*key, "sha1_hash"], "left")
+    fresh = numbered(judged.filter("present is null"), key).select("id", *key, (F.col("k") - 1).alias("at"), F.lit(1).alias("side"))
+    taken = held.select(F.lit(None).cast("bigint").alias("id"), *key, (F.col("n") - F.col("place")).alias("at"), F.lit(0).alias("side"))
+    upto = Window.partitionBy(*key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    placed = fresh.unionByName(taken).withColumn("below", F.sum(1 - F.col("side")).over(upto)).filter("side = 1").select("id", *key, (F.col("at") + F.col("below")).alias("n"), F.lit(False).alias("already"))
+    rows = placed.unionByName(judged.filter("present is not null").select("id", *key, F.col("present").alias("n"), F.lit(True).alias("already")))
+    return rows.select("id", F.concat("folder", F.lit("/"), "stem", F.when(F.col("n") > 0, F.concat(F.lit("_"), F.col("n").cast("string"))).otherwise(""), "ext").alias("target"), "already")
+
+
 #: Ids of one part of a snapshot token.
 TOKEN_IDS = 1000
 

@@ -199,6 +199,19 @@ class Catalog:
         """op, file_id: files that a verified consolidation made one."""
         return self.table("documents").filter("doc_id % 50 in (11, 36)").select(F.floor(F.col("doc_id") / 50).cast("bigint").alias("op"), F.col("doc_id").alias("file_id"))
 
+    @cached_property
+    def wanted(self) -> DataFrame:
+        """id, folder, stem, ext, sha1_hash: the names that waiting photos want; a name is wanted by several."""
+        i = F.col("id")
+        return self.photos.filter("status in ('Pending', 'Duplicate', 'Copied') and sha1_hash is not null").select(i, F.concat(F.lit("/dst/library/"), "lens").alias("folder"), F.concat(F.lit("IMG_"), F.substring("name", 10, 1)).alias("stem"), F.lit(".jpg").alias("ext"), "sha1_hash")
+
+    @cached_property
+    def occupied(self) -> DataFrame:
+        """path, sha1_hash: names that are taken; some are numbered with gaps, some hold the content that a photo would bring."""
+        rows = self.wanted.filter("id % 4 in (1, 3)")
+        number = F.floor(F.col("id") / 60) % 7
+        return rows.groupBy(F.concat("folder", F.lit("/"), "stem", F.when(number > 0, F.concat(F.lit("_"), number.cast("string"))).otherwise(""), "ext").alias("path")).agg(F.min("sha1_hash").alias("sha1_hash")).filter("substring(sha1_hash, 2, 1) <> '7'")
+
     @cached_property
     def asked(self) -> DataFrame:
         """id, folder, day_folder, type_name, size, seconds: what users and files name, some of it wrong."""

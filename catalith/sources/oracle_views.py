@@ -52,6 +52,8 @@ operation_events AS (
   UNION ALL SELECT op, 'metadata_saved', CASE WHEN amount % 9 = 0 THEN 'failed' ELSE 'verified' END, NULL FROM operations WHERE status = 'Completed' AND amount % 3 = 0
 ),
 consolidations AS (SELECT doc_id // 50 AS op, doc_id AS file_id FROM documents WHERE doc_id % 50 IN (11, 36)),
+wanted AS (SELECT id, '/dst/library/' || lens AS folder, 'IMG_' || substr(name, 10, 1) AS stem, '.jpg' AS ext, sha1_hash FROM photos WHERE status IN ('Pending', 'Duplicate', 'Copied') AND sha1_hash IS NOT NULL),
+occupied AS (SELECT folder || '/' || stem || CASE WHEN id // 60 % 7 > 0 THEN '_' || (id // 60 % 7) ELSE '' END || ext AS path, min(sha1_hash) AS sha1_hash FROM wanted WHERE id % 4 IN (1, 3) GROUP BY 1 HAVING substr(min(sha1_hash), 2, 1) <> '7'),
 asked AS (
   SELECT id, CASE id % 8 WHEN 0 THEN '.' WHEN 1 THEN camera || '//' || lens WHEN 2 THEN '/' || camera WHEN 3 THEN '../' || camera WHEN 4 THEN camera || '/./' || lens WHEN 5 THEN camera || '/' WHEN 6 THEN '' ELSE camera END AS folder,
     CASE id % 5 WHEN 0 THEN 'Undated/' || substr(date_taken, 1, 4) WHEN 1 THEN '2001/02/30' WHEN 2 THEN substr(date_taken, 1, 4) ELSE replace(substr(date_taken, 1, 10), '-', '/') END AS day_folder,

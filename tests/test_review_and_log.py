@@ -67,3 +67,13 @@ def test_closure_follows_consolidations_both_ways(spark):
 def test_a_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="its own origin"):
         lineage.roots(spark.createDataFrame([(1, 2), (2, 1)], "file_id long, origin_file_id long"), rounds=4)
+
+
+def test_destinations_skip_taken_names_and_find_themselves(spark):
+    from catalith.plans import transfer
+
+    wanted = spark.createDataFrame([(1, "new1"), (2, "a"), (3, "c"), (4, "new2"), (5, "new3"), (6, "e")], "id long, sha1_hash string").selectExpr("id", "'/d' as folder", "'x_y' as stem", "'.jpg' as ext", "sha1_hash")
+    taken = [("/d/x_y.jpg", "a"), ("/d/x_y_1.jpg", "b"), ("/d/x_y_2.jpg", "c"), ("/d/x_y_4.jpg", "d"), ("/d/x_y_5.jpg", "e"), ("/d/x_y.png", "z"), ("/other/x_y_3.jpg", "z"), ("/d/x_y_03.jpg", "q")]
+    got = {r["id"]: (r["target"], r["already"]) for r in transfer.resolved_destinations(wanted, spark.createDataFrame(taken, "path string, sha1_hash string")).collect()}
+    # e lies beyond the first free name, 3, so it is not met
+    assert got == {1: ("/d/x_y_3.jpg", False), 2: ("/d/x_y.jpg", True), 3: ("/d/x_y_2.jpg", True), 4: ("/d/x_y_6.jpg", False), 5: ("/d/x_y_7.jpg", False), 6: ("/d/x_y_8.jpg", False)}
