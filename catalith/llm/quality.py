@@ -5,10 +5,10 @@ corpus outside the held-out fold, labels unseen. Every text is described by some
 table. From it come, over all unlabelled rows and in sums and counts that do not depend on their order:
 
 - the scale (mean and deviation of each number);
-- the class prior, the share of good text: a first classifier tells positives from unlabelled rows; among the scores of
-  all unlabelled rows, counted in BINS bins, and of the positives kept from its training, the prior is the share of
-  unlabelled rows over the share of positives above the score where this quotient is least, sampling errors added;
-  text above that score is almost all good;
+- the class prior, the share of good text: a first classifier learns to tell half of the sampled positives from half of
+  the sampled unlabelled rows; it scores all unlabelled rows that it has not seen, counted in BINS bins, and the other
+  positives; the prior is the share of unlabelled rows over the share of positives above the score where this quotient is
+  least, sampling errors added; text above that score is almost all good;
 - the intercept of the final model, which says where 0.5 lies: the one of least risk over all unlabelled rows, again in
   bins.
 
@@ -229,24 +229,27 @@ def _bins(free: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r["bin"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
 
 
-def _sampled(rows: DataFrame) -> np.ndarray:
-    """The numbers of a bounded sample, one row an id, in order of id."""
+def _sampled(rows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The ids and the numbers of a bounded sample, one row an id, in order of id."""
     one = rows.groupBy("doc_id").agg(F.min("x").alias("x")).toArrow().sort_by([("doc_id", "ascending")])
-    return matrix(one.column("x")) if one.num_rows else np.zeros((0, len(statistics(""))))
+    return one.column("doc_id").to_pylist(), matrix(one.column("x")) if one.num_rows else np.zeros((0, len(statistics(""))))
 
 
 def fit(rows: DataFrame, labels: DataFrame, *, most: int = SAMPLE) -> Model | None:
     """rows: as described() gives them, written. The model, or None where there is nothing to fit on."""
-    free = rows.filter("free")
-    ids = labelled_ids(labels.filter("quality = 1"), "quality", folds=FOLDS, not_fold=HELD_OUT, most=most)
-    positive = _sampled(free.join(F.broadcast(ids.select("doc_id")), "doc_id"))  # `most` ids
+    free, spark = rows.filter("free"), rows.sparkSession
+    ids = labelled_ids(labels.filter("quality = 1"), "quality", folds=FOLDS, not_fold=HELD_OUT, most=most).select("doc_id")
+    _, positive = _sampled(free.join(F.broadcast(ids), "doc_id"))  # `most` ids
     n, mean, scale = _scale(free)
     if not n or not len(positive):
         return None
-    unlabelled = _sampled(free.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id", "x").limit(most))
-    kept = positive[1::2] if len(positive) > 1 else positive
-    first = separate(positive[::2], unlabelled, mean, scale)
-    prior = estimate_prior(bin_of(first.expanded(kept) @ first.weights), *_bins(free, first))
+    known, unlabelled = _sampled(free.orderBy(F.xxhash64("doc_id", F.lit("u")), "doc_id", "x").limit(most))
+    first = separate(positive[::2], unlabelled[::2], mean, scale)
+    seen = spark.createDataFrame([(i,) for i in known[::2]], "doc_id long")  # half of `most` ids
+    at, counts = _bins(free.join(F.broadcast(seen), "doc_id", "left_anti"), first)
+    if not len(at):  # one row
+        at, counts = _bins(free, first)
+    prior = estimate_prior(bin_of(first.expanded(positive[1::2] if len(positive) > 1 else positive) @ first.weights), at, counts)
     model = train(positive, unlabelled, prior, mean, scale)
     at, counts = _bins(free, model)
     model.intercept = best_intercept(model.expanded(positive) @ model.weights, of_bin(at), counts, prior, model.intercept)
