@@ -15,14 +15,17 @@ never read, whatever they are called.
 from __future__ import annotations
 
 import heapq
+import itertools
+import operator
 import os
 import re
-import unicodedata
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,31 +36,33 @@ END_ID = 2
 #: Tokens of the largest piece that is no full window. Smaller pieces make windows more equal, and cut more documents.
 GRAIN = 1024
 GROUP_WINDOWS = 128
-#: Distinct chunks whose ids a worker keeps, about 200 bytes each; beyond this the table starts anew.
+#: Distinct words whose ids a worker keeps, about 200 bytes each, and an eighth of these ids; beyond this the table starts anew.
 KEPT = 1_000_000
+#: Bytes of text that are encoded at once, or one longer text: their ids take about ten times as much.
+ENCODED = 4 << 20
+#: Letters of the scripts whose words go to the tokenizer's model, where the tokenizer treats them as single letters.
+LETTERS = [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x530)]
 
 PIECE_SCHEMA = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def plain_class() -> str:
-    """A character class: white space, and the letters and digits of the BMP that NFC and lower-casing leave whole.
-
-    The tokenizer's own classes are \\p{L} and \\p{N}: '_' is punctuation to it, and so is the dot that lower-casing
-    parts from U+0130. Letters beyond the BMP are left out, which costs time and no correctness.
-    """
-    marks = bytes(all(unicodedata.category(x)[0] in "LN" for x in (c, *unicodedata.normalize("NFC", c).lower())) for c in map(chr, range(0x10000)))
-    return r"\s" + "".join(f"\\u{m.start():04x}-\\u{m.end() - 1:04x}" for m in re.finditer(b"\x01+", marks))
+def spread(ids: np.ndarray, stops: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ids[stops[i]:stops[i + 1]] for each i of index one after another, and where each of them begins and ends."""
+    lengths = np.diff(stops)[index]
+    at = np.zeros(len(index) + 1, np.int64)
+    np.cumsum(lengths, out=at[1:])
+    return ids[np.repeat(stops[index] - at[:-1], lengths) + np.arange(at[-1])], at
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids one after
-    another; nor does it join letters or digits to a single comma or full stop between them, so these are set apart
-    first; any with another neighbour stays in its chunk. Ids of distinct chunks are kept. New runs of letters are
-    encoded many at a time, and told apart by the tokens that end a word. Texts that might hold a special token, or
-    white space that the two sides see differently, are encoded whole.
+    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids one after another,
+    and the distinct chunks of many texts are encoded once. Letters, then ASCII punctuation to a chunk's end are two
+    words to the tokenizer, which makes them lower case and encodes each on its own: such chunks are parted, and their
+    letters go to the tokenizer's model as its own first steps would hand them over. All other chunks are encoded by the
+    whole tokenizer, special tokens and white space beyond ASCII among them. Ids of distinct words are kept.
     """
 
     def __init__(self, tokenizer_file: str, kept: int = KEPT) -> None:
@@ -65,48 +70,67 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task a core
         self.tokenizer, self.kept = Tokenizer.from_file(tokenizer_file), kept
-        self.known: dict[str, bytes] = {}
-        self.odd = re.compile("<\\||[\x1c-\x1f\u180e]")
-        plain = plain_class()
-        self.joined = re.compile(f"[.,](?:[^{plain}]|(?<=[^{plain}][.,]))")
-        self.apart = re.compile(f"(?<![^{plain}])([.,])(?![^{plain}])")
-        self.letters = re.compile(r"[A-Za-z\u00c0-\u024f]{1,200}")  # one letter each, unchanged by composition
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of runs of letters: each is one word to the tokenizer."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(ends) != len(words):
-            return self._bytes(words)
-        raw, stops = ids.tobytes(), ends.tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        self._forget()
+        self.letters, self.symbols = self._letters()
+        self.lower = re.compile(f"[{''.join(map(chr, self.symbols))}]+")
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table, self.stops = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _letters(self) -> tuple[str, dict[int, str]]:
+        """Letters that Arrow makes lower case as the tokenizer does, and how the model spells the lower-case ones."""
+        normal, words = self.tokenizer.normalizer.normalize_str, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        found = {}
+        for c in map(chr, LETTERS):
+            low = pc.utf8_lower(c).as_py()
+            spelt = words(f"a{low}a")
+            if len(low) == len(spelt) == 1 and normal(f"{c} a{c}a{c}") == f"{low} a{low}a{low}":
+                found[c] = low, spelt[0][0][1:-1]
+        letters = [c for c, (low, _) in found.items() if low in found]
+        return "".join(letters), {ord(low): spelt for low, spelt in map(found.get, letters)}
 
     def _learn(self, new: list[str]) -> None:
-        plain = self.letters.fullmatch
-        for some, encode in (([w for w in new if plain(w)], self._words), ([w for w in new if not plain(w)], self._bytes)):
-            for i in range(0, len(some), 2000):
-                self.known.update(zip(some[i : i + 2000], encode(some[i : i + 2000]), strict=True))
-
-    def _split(self, text: str) -> list[str] | None:
-        if self.odd.search(text):
-            return None
-        if text.isascii():
-            text = text.lower()
-        return (self.apart.sub(r" \1 ", text) if self.joined.search(text) else text.replace(",", " , ").replace(".", " . ")).split()
+        lower, tokenize, symbols, number = self.lower.fullmatch, self.tokenizer.model.tokenize, self.symbols, operator.attrgetter("id")
+        ids, stops = [], []
+        for word in new:
+            if lower(word):
+                ids.extend(map(number, tokenize(word if word.isascii() else word.translate(symbols))))
+            else:
+                ids += self.tokenizer.encode(word, add_special_tokens=False).ids
+            stops.append(len(ids))
+        self.stops = np.append(self.stops, np.array(stops, np.int64) + len(self.table))
+        self.table = np.append(self.table, np.fromiter(ids, "<u4", len(ids)))
+        self.known.update(zip(new, range(len(self.known), len(self.stops))))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Where the table has the ids of each word."""
+        if len(self.known) > self.kept or len(self.table) > 8 * self.kept:
+            self._forget()
+        found = list(map(self.known.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, i in zip(words, found, strict=True) if i is None)))
+            found = [self.known[w] if i is None else i for w, i in zip(words, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin and end."""
+        chunks = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+        flat = chunks.flatten().dictionary_encode()
+        word = pc.ascii_rtrim(flat.dictionary, string.punctuation)
+        plain = pc.match_substring_regex(word, f"^[{self.letters}]*$")
+        head = pc.if_else(plain, pc.utf8_lower(word), flat.dictionary).dictionary_encode()
+        tail = pc.if_else(plain, pc.utf8_ltrim(flat.dictionary, self.letters), "").dictionary_encode()
+        words = [w for part in (head, tail) for w in part.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        numbers = self._numbers(words)
+        pairs = np.stack([numbers[head.indices.to_numpy()], numbers[tail.indices.to_numpy() + len(head.dictionary)]], 1).ravel()
+        found, stops = spread(self.table, self.stops, pairs)
+        found, stops = spread(found, stops[::2], flat.indices.to_numpy())
+        return found, stops[chunks.offsets.to_numpy() - chunks.offsets[0].as_py()]
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        if len(self.known) > self.kept:
-            self.known = {}
-        self._learn(list(set().union(*[s for s in split if s is not None]).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._bytes([text])[0] for words, text in zip(split, texts, strict=True)]
+        ids, stops = self.ids(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in itertools.pairwise(stops.tolist())]
 
 
 def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
@@ -122,16 +146,27 @@ def cuts(n: int, capacity: int, grain: int) -> list[tuple[int, int]]:
     return out
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The texts in runs of at most this many bytes, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def cutter(tokenizer_file: str, end_id: int, capacity: int, grain: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = worker_cache(f"pack:{tokenizer_file}", lambda: Encoder(tokenizer_file)), np.array([end_id], "<u4").tobytes()
+        encoder = worker_cache(f"pack:{tokenizer_file}", lambda: Encoder(tokenizer_file))
         for batch in batches:
             rows = []
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for row, doc_id, ids in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), encoder.of(texts), strict=True):
-                ids += end
-                n = len(ids) // 4
-                rows += [(row, doc_id, s, k, zlib.crc32(ids[4 * s : 4 * (s + k)]), n) for s, k in cuts(n, capacity, grain)]
+            keys = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)
+            for some in slices(batch.column("text"), ENCODED):
+                ids, stops = encoder.ids(some)
+                ids, stops = np.insert(ids, stops[1:], end_id), (stops + np.arange(len(stops))).tolist()
+                for (a, b), (row, doc_id) in zip(itertools.pairwise(stops), keys):
+                    rows += [(row, doc_id, s, k, zlib.crc32(ids[a + s : a + s + k]), b - a) for s, k in cuts(b - a, capacity, grain)]
             columns = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

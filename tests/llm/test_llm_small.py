@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from catalith.llm import common, components, exact_dedup, fingerprints, jaccard_join, language, mixing, packing, quality, secrets, token_counts, toxicity
@@ -883,6 +884,38 @@ def test_ids_of_random_strings_equal_the_library():
     assert wrong == []
 
 
+def test_words_are_encoded_once_whatever_their_case_and_punctuation():
+    encoder = packing.Encoder(tokenizer_path("word_bpe_49k.json"))
+    encoder.of(["Straße, STRASSE straße!", "\tstraße... Äther\náther. ÄTHER!", "(4.5) äther"])
+    assert set(encoder.known) == {"", ",", "!", ".", "...", "straße", "strasse", "äther", "áther", "(4.5)"}
+
+
+def test_every_letter_is_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    around = ["{}", "A{}", "{}a,", "{0}{0}.'", "st{}'s!", "{}\u0301,", "<|{}|>", "{}</w>", "\u03a3{}\u03a3", "{}\u00a0{}."]
+    texts = [a.format(c, c) for c in map(chr, range(1, 0x530)) for a in around]
+    want = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ascii(t) for t, g, w in zip(texts, encoder.of(texts), want, strict=True) if g != w] == []
+    few = packing.Encoder(path, kept=5)  # the table starts anew again and again
+    assert [g for i in range(0, len(texts), 100) for g in few.of(texts[i : i + 100])] == want
+
+
+def test_texts_are_encoded_in_slices(monkeypatch):
+    texts = ["the cat", None, "", "a" * 50, "x, y. " * 40, "don't", None, "é" * 9, "the end"]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array(range(10, 10 + len(texts)), pa.int64()), pa.array(texts, pa.string())]
+    batches = [pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text"]), pa.RecordBatch.from_arrays([c.slice(0, 0) for c in columns], names=["row", "doc_id", "text"])]
+    run = packing.cutter(tokenizer_path("word_bpe_49k.json"), 2, 64, 16)
+    whole = [b.to_pydict() for b in run(iter(batches))]
+    assert sorted(set(whole[0]["row"])) == list(range(len(texts)))
+    for most in (1, 30, 60):
+        monkeypatch.setattr(packing, "ENCODED", most)
+        assert max(len(x) for x in packing.slices(columns[2], most)) < len(texts)
+        assert [b.to_pydict() for b in run(iter(batches))] == whole
+
+
 def test_packing_of_odd_rows(odd, empty):
     rows = packing.pack_documents(odd, tokenizer_path("word_bpe_49k.json")).collect()
     assert sum(r["start"] == 0 for r in rows) == len(ODD)
