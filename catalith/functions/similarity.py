@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..plans.similarity_index import neighbour_sums
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -30,9 +31,16 @@ def buckets(avail: DataFrame) -> DataFrame:
     return avail.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_matches(avail: DataFrame, sizes: DataFrame, edges: DataFrame) -> DataFrame:
-    """photo_id, at_75 to at_100: look-alikes at each threshold, its bucket's others and its neighbours' buckets, in one aggregation."""
-    near = both_ways(edges).join(sizes.select(F.col("h").alias("other"), "n"), "other")
-    per = near.groupBy("h").agg(*[F.sum(F.when(F.col("distance") <= d, F.col("n"))).alias(f"s{t}") for t, d in schema.THRESHOLDS.items()])
+def count_matches(avail: DataFrame, sizes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """photo_id, at_75 to at_100: look-alikes at each threshold, its bucket's others and its neighbours' buckets, in one aggregation.
+
+    edges: those of a kept index that reaches as far; without them buckets are added up where their tiles meet, and no pair is stored.
+    """
+    levels = {t: d for t, d in schema.THRESHOLDS.items() if d}
+    if edges is None:
+        per = neighbour_sums(sizes, list(levels.values())).withColumnsRenamed({f"s{k}": f"near_{t}" for k, t in enumerate(levels)})
+    else:
+        near = both_ways(edges).join(sizes.select(F.col("h").alias("other"), "n"), "other")
+        per = near.groupBy("h").agg(*[F.sum(F.when(F.col("distance") <= d, F.col("n"))).alias(f"near_{t}") for t, d in levels.items()])
     out = avail.join(sizes, "h").join(per, "h", "left")
-    return out.select("photo_id", *[(F.col("n") - 1 + F.coalesce(F.col(f"s{t}"), F.lit(0))).alias(f"at_{t}") for t in schema.THRESHOLDS])
+    return out.select("photo_id", *[(F.col("n") - 1 + (F.coalesce(F.col(f"near_{t}"), F.lit(0)) if d else F.lit(0))).alias(f"at_{t}") for t, d in schema.THRESHOLDS.items()])

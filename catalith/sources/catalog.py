@@ -111,7 +111,7 @@ class Catalog:
     @cached_property
     def match_cache(self) -> DataFrame:
         """photo_id, at_75 to at_100: the cached counts of look-alikes, remade when the table changes."""
-        return self._stored(lambda: similarity.count_matches(self.available, self.buckets, self.edges), "match-counts")
+        return self._stored(lambda: similarity.count_matches(self.available, self.buckets), "match-counts")
 
     @cached_property
     def pictures(self) -> DataFrame:
