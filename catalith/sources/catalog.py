@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity
-from ..plans.similarity_index import SimilarityIndex, all_pairs, band
+from ..plans.similarity_index import SimilarityIndex, all_pairs, band, neighbour_sums
 from .stored import delete_at_end, shared_dir, stamped, stored
 
 _indexes: dict[tuple, SimilarityIndex] = {}
@@ -85,6 +85,17 @@ class Catalog:
             _indexes[key] = index
         return _indexes[key]
 
+    @cached_property
+    def hashes(self) -> DataFrame:
+        """h: the distinct hashes."""
+        return similarity.hashes(self.contents)
+
+    @cached_property
+    def met_hashes(self) -> DataFrame:
+        """h, n: the hashes with others up to 6 bits away, and how many these are."""
+        sums = lambda: neighbour_sums(self.hashes.withColumn("n", F.lit(1)), [6])
+        return self._stored(lambda: sums().withColumnRenamed("s0", "n"), "met-hashes")
+
     @cached_property
     def edges(self) -> DataFrame:
         """low, high, distance, band: the hashes up to 16 bits apart."""
