@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths as X
 from ..functions.similarity import hashes
-from ..plans.similarity_index import within
 from ..registry import query
 from .metadata import sidecar_owners
 
@@ -93,10 +92,8 @@ def json_fidelity(payloads: DataFrame) -> DataFrame:
 
 @query("facet_sizes", """
 SELECT count(*) FILTER (WHERE p.id IN (SELECT photo_id FROM available WHERE h IN (SELECT low FROM edges UNION SELECT high FROM edges))) AS near, count(*) FILTER (WHERE p.file_size >= 2000) AS large, count(*) FILTER (WHERE p.status <> 'Failed' AND least(c.width, c.height) < 1000) AS small FROM photos p LEFT JOIN contents c USING (sha1_hash)""")
-def facet_sizes(photos: DataFrame, contents: DataFrame, available: DataFrame, edges: DataFrame) -> DataFrame:
+def facet_sizes(photos: DataFrame, contents: DataFrame, available: DataFrame, met_hashes: DataFrame) -> DataFrame:
     """The chips of look-alikes and of sizes, over one base."""
-    e = within(edges, 6)
-    met = e.select(F.col("low").alias("h")).union(e.select("high")).distinct()
-    near = available.join(met, "h", "left_semi").select(F.col("photo_id").alias("id"), F.lit(True).alias("is_near"))
+    near = available.join(met_hashes, "h", "left_semi").select(F.col("photo_id").alias("id"), F.lit(True).alias("is_near"))
     rows = photos.join(contents.select("sha1_hash", "width", "height"), "sha1_hash", "left").join(near, "id", "left")
     return rows.agg(F.count("is_near").alias("near"), F.count_if(F.col("file_size") >= 2000).alias("large"), F.count_if((F.col("status") != "Failed") & (F.least("width", "height") < 1000)).alias("small"))
