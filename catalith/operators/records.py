@@ -9,7 +9,7 @@ from .. import schema
 from ..functions import paths as X
 from ..functions.numbering import numbered
 from ..registry import query
-from ..plans.similarity_index import within
+from ..plans.similarity_index import label_pairs, within
 
 
 @query("attention_newest", """
@@ -47,21 +47,26 @@ SELECT t AS threshold, count(*) FILTER (WHERE d <= m) AS found, count(*) FILTER
 
 
 @query("validation_by_threshold", VALIDATION_SQL)
-def validation_by_threshold(contents: DataFrame, embeddings: DataFrame, edges: DataFrame) -> DataFrame:
+def validation_by_threshold(contents: DataFrame, embeddings: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """How many of the near pairs share a label, at each of the six thresholds, the counts behind precision and recall; truth is every pair of unequal hashes that shares a label.
 
-    Only pairs at most 16 bits apart are made; the truth follows from the sizes of labels and buckets.
+    Only pairs at most 16 bits apart are counted, without edges where tiles meet; the truth follows from the sizes of labels and buckets.
     """
     count = F.count(F.lit(1))
     sizes = contents.filter("h62 is not null").join(embeddings.select(F.col("vec_id").alias("content_id"), "label"), "content_id").groupBy(F.col("h62").alias("h"), "label").agg(count.alias("n"))
-    low, high = (sizes.select(F.col("h").alias(side), F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}_n")) for side in ("low", "high"))
-    near = edges.select("low", "high", "distance").join(low, "low").join(high, "high")
-    near = near.groupBy("distance", F.coalesce(F.col("low_label") == F.col("high_label"), F.lit(False)).alias("same")).agg(F.sum(F.col("low_n") * F.col("high_n")).alias("n"))
+    if edges is None:
+        parts = label_pairs(sizes, list(schema.THRESHOLDS.values())).groupBy(F.col("level").alias("m")).agg(F.sum("found").alias("found"), F.sum("same").alias("right_ones"))
+        near = parts.select("m", F.expr("found div 2").alias("found"), F.expr("right_ones div 2").alias("right_ones"))
+    else:
+        low, high = (sizes.select(F.col("h").alias(side), F.col("label").alias(f"{side}_label"), F.col("n").alias(f"{side}_n")) for side in ("low", "high"))
+        made = edges.select("low", "high", "distance").join(low, "low").join(high, "high")
+        n, same = F.col("low_n") * F.col("high_n"), F.coalesce(F.col("low_label") == F.col("high_label"), F.lit(False))
+        upto = F.explode(F.filter(F.array(*map(F.lit, schema.THRESHOLDS.values())), lambda m: m >= F.col("distance"))).alias("m")
+        near = made.groupBy("distance").agg(F.sum(n).alias("found"), F.sum(F.when(same, n)).alias("right_ones")).select(upto, "found", "right_ones").groupBy("m").agg(F.sum("found").alias("found"), F.sum("right_ones").alias("right_ones"))
     labels = sizes.filter("label is not null").groupBy("label").agg(F.expr("(sum(n) * sum(n) - sum(n * n)) div 2").alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("truth"))
     levels = labels.select("truth", F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(d).alias("m")) for t, d in schema.THRESHOLDS.items()])).alias("x")).select("truth", "x.*")
-    rows = levels.join(F.broadcast(near), F.col("distance") <= F.col("m"), "left")  # at most 34 rows on the right
-    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
-    return rows.groupBy("threshold").agg(total(F.col("n")).alias("found"), total(F.when(F.col("same"), F.col("n"))).alias("right_ones"), F.max("truth").alias("truth"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return levels.join(F.broadcast(near), "m", "left").select("threshold", none("found"), none("right_ones"), "truth")  # a row for each threshold
 
 
 @query("incremental_pairs", """

@@ -14,7 +14,7 @@ from catalith.sources import catalog, stored
 SF_DIR = "/root/testdata/sf0.001"
 #: Queries that must not make the index, whose stored pairs grew with the square of the table.
 WITHOUT_INDEX = [
-    "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare",
+    "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare", "validation_by_threshold",
 ]
 
 
@@ -73,3 +73,19 @@ def test_pairs_leave_a_task_in_small_batches():
     h = np.unique(np.random.default_rng(1).integers(0, 1 << 12, 9000))
     sizes = [len(i) for i, _, _ in similarity_index.near(h, h, 16)]
     assert sum(sizes) == len(h) ** 2 and max(sizes) <= similarity_index.AT_ONCE
+
+
+@pytest.fixture(params=[5, 40, 16384])
+def tiled(request, monkeypatch):
+    monkeypatch.setattr(similarity_index, "SIDE", request.param)
+    monkeypatch.setattr(similarity_index, "TASK", 900)
+
+
+def test_labels_of_near_pairs(spark, tiled):
+    values = crowd()
+    _, contents, _ = library(spark, values)
+    label = lambda i: None if i % 11 == 4 else i * i % 3
+    labels = spark.createDataFrame([(i, label(i)) for i in range(len(values))], "vec_id long, label int")
+    pairs = [(apart(a, b), label(i) is not None and label(i) == label(j)) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and a != b]
+    got = {r["threshold"]: tuple(r)[1:] for r in records.validation_by_threshold(contents, labels).select("threshold", "found", "right_ones", "truth").collect()}
+    assert got == {t: (sum(d <= m for d, _ in pairs), sum(s for d, s in pairs if d <= m), sum(s for _, s in pairs)) for t, m in schema.THRESHOLDS.items()}
