@@ -14,7 +14,7 @@ from catalith.sources import catalog, stored
 SF_DIR = "/root/testdata/sf0.001"
 #: Queries that must not make the index, whose stored pairs grew with the square of the table.
 WITHOUT_INDEX = [
-    "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare", "validation_by_threshold", "count_cache", "hamming_pairs_le6",
+    "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare", "validation_by_threshold", "count_cache", "hamming_pairs_le6", "largest_match",
 ]
 
 
@@ -89,3 +89,17 @@ def test_labels_of_near_pairs(spark, tiled):
     pairs = [(apart(a, b), label(i) is not None and label(i) == label(j)) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and a != b]
     got = {r["threshold"]: tuple(r)[1:] for r in records.validation_by_threshold(contents, labels).select("threshold", "found", "right_ones", "truth").collect()}
     assert got == {t: (sum(d <= m for d, _ in pairs), sum(s for d, s in pairs if d <= m), sum(s for _, s in pairs)) for t, m in schema.THRESHOLDS.items()}
+
+
+def test_largest_of_the_neighbours(spark, tiled):
+    values = crowd()
+    avail, contents, _ = library(spark, values)
+    pixels = [(10 + i * 7 % 5) * 3 for i in range(len(values))]
+    want = {}
+    for i, a in enumerate(values):
+        near = [(pixels[j], -j) for j, b in enumerate(values) if j != i and apart(a, b) <= 6]
+        if near:
+            want[i + 1000] = (-max(near)[1], max(near)[0])
+    assert {r["id"]: (r["content_id"], r["pixels"]) for r in similarity.largest_match(avail, contents).collect()} == want
+    none = contents.selectExpr("content_id", "sha1_hash", "h62", "0 as width", "height")
+    assert similarity.largest_match(avail, none).count() == 0
