@@ -15,7 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 #: Queries that must not make the index, whose stored pairs grew with the square of the table.
 WITHOUT_INDEX = [
     "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare", "validation_by_threshold", "count_cache", "hamming_pairs_le6", "largest_match",
-    "match_counts", "match_queue_largest", "match_queue_name", "match_queue_newest", "match_queue_oldest", "match_queue_similar", "matched_photo_ids",
+    "match_counts", "match_queue_largest", "match_queue_name", "match_queue_newest", "match_queue_oldest", "match_queue_similar", "matched_photo_ids", "neighbourhood_sets",
 ]
 
 
@@ -104,3 +104,13 @@ def test_largest_of_the_neighbours(spark, tiled):
     assert {r["id"]: (r["content_id"], r["pixels"]) for r in similarity.largest_match(avail, contents).collect()} == want
     none = contents.selectExpr("content_id", "sha1_hash", "h62", "0 as width", "height")
     assert similarity.largest_match(avail, none).count() == 0
+
+
+def test_sets_of_equal_neighbours(spark, tiled):
+    values = crowd()
+    avail, _, sizes = library(spark, values)
+    sets = {}
+    for i, a in enumerate(values):
+        sets.setdefault(frozenset(b for b in values if apart(a, b) <= 6), []).append(i + 1000)
+    want = {(min(ids), len(ids)) for ids in sets.values() if len(ids) > 1}
+    assert want and {tuple(r) for r in similarity.neighbourhood_sets(avail, sizes).collect()} == want
