@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 WITHOUT_INDEX = [
     "similar_gallery_ranked", "comparison_state", "facet_sizes", "pair_compare", "validation_by_threshold", "count_cache", "hamming_pairs_le6", "largest_match",
     "match_counts", "match_queue_largest", "match_queue_name", "match_queue_newest", "match_queue_oldest", "match_queue_similar", "matched_photo_ids", "neighbourhood_sets",
-    "similarity_diagnostics", "six_threshold_counts", "view_members",
+    "similarity_diagnostics", "six_threshold_counts", "view_members", "hamming_pairs_le16",
 ]
 
 
