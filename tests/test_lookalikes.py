@@ -126,7 +126,7 @@ def test_met_hashes_and_their_pairs(spark, tiled):
     assert tuple(similarity.similarity_diagnostics(rows.select("h"), met).collect()[0]) == (len(values), sum(want.values()) // 2, sum(not n for n in want.values()))
 
 
-@pytest.mark.parametrize("name", ["comparison_pending"])
+@pytest.mark.parametrize("name", ["comparison_pending", "incremental_pairs"])
 def test_index_keeps_close_pairs_only(spark, monkeypatch, name):
     monkeypatch.setattr(stored, "_written", {})
     monkeypatch.setattr(catalog, "_indexes", {})
